@@ -92,15 +92,17 @@ def result() -> list[Column]:
 def resolve(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Check each hit's full bytes against the kept document's; split collisions by their text."""
     blocks = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    hits = rows.join(groups, "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    holders = rows.join(groups, "digest").where(F.col("doc_id").cast("string").eqNullSafe(F.col("locator")))
+    # whole texts are shuffled once, here; what follows reads the texts of hits alone
+    hits = written(rows.join(groups.hint("merge"), "digest"), "hit-texts")
+    holders = hits.where(F.col("doc_id").cast("string").eqNullSafe(F.col("locator")))
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     holders = holders.groupBy("digest", "group_size").agg(F.max("text").alias("held"))
     holders = holders.select("digest", "held", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
     checked = hits.join(holders, ["digest", "salt"]).select("digest", "doc_id", "text_sha256", "keep_id", "group_size", (F.col("text") == F.col("held")).alias("same"))
     checked = written(checked, "hits")
     mixed = checked.where("not same").select("digest").distinct()
     sound = checked.join(mixed, "digest", "left_anti").select(*result())
-    apart = rows.join(mixed, "digest", "left_semi")
+    apart = hits.select("digest", "doc_id", "text", "text_sha256").join(mixed, "digest", "left_semi")
     by_text = apart.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return sound.unionByName(apart.join(by_text, "text").select(*result()))
 
