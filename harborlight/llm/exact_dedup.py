@@ -46,6 +46,7 @@ class DigestState:
 
         conf, key = self.spark.conf, "spark.sql.streaming.stateStore.providerClass"
         before = conf.get(key)
+        conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else each state partition reserves megabytes of disk
         conf.set(key, ROCKSDB)
         try:
             run = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{self.path}/state").trigger(availableNow=True).start()
