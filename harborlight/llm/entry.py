@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, packing, quality, toxicity
+from harborlight.llm import exact_dedup, media, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1,
+        "op2_media": media.op2,
         "op3_exact_dedup": exact_dedup.op3,
         "op8_toxicity": toxicity.op8,
         "op10_packing": packing.op10,
