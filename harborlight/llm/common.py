@@ -72,3 +72,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         held += int(n)
     if start < len(sizes):
         yield batch.slice(start)
+
+
+#: Words of 64 bits in a prefilter: at most 2 ** 20 rows of 16 bytes are broadcast, at any scale.
+PREFILTER_WORDS = 1 << 20
+
+
+def prefilter(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` may be in `keys`, by a one-hash bitmap of fixed size.
+
+    No row in keys is lost; a few others pass and meet an exact join later. It keeps wide rows
+    (texts) that nothing asks for out of that join's shuffle. With keys beyond the bitmap's 67
+    million bits it lets more and more through and is merely useless.
+    """
+    at = F.pmod(F.xxhash64(F.col(column)), F.lit(PREFILTER_WORDS * 64))
+    bit = F.expr("shiftleft(1L, cast(pmod(prefilter_at, 64) as int))")
+    marked = keys.select(at.alias("prefilter_at")).select((F.col("prefilter_at") / 64).cast("long").alias("prefilter_word"), bit.alias("b"))
+    words = marked.groupBy("prefilter_word").agg(F.bit_or("b").alias("prefilter_bits"))
+    probe = rows.withColumn("prefilter_at", at).withColumn("prefilter_word", (F.col("prefilter_at") / 64).cast("long"))
+    held = probe.join(F.broadcast(words), "prefilter_word").where(F.col("prefilter_bits").bitwiseAND(bit) != 0)
+    return held.select(*rows.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, media, packing, quality, toxicity
+from harborlight.llm import exact_dedup, jaccard_join, media, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1,
         "op2_media": media.op2,
         "op3_exact_dedup": exact_dedup.op3,
+        "op4_ngram_jaccard": jaccard_join.op4,
         "op8_toxicity": toxicity.op8,
         "op10_packing": packing.op10,
     }

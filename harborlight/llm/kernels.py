@@ -104,10 +104,10 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.n
         parts.append(mix(value[same]))
         owner.append(row[:full][same])
     for r in np.flatnonzero((count > 0) & (count < width)):
-        value = U64(count[r])
+        value = np.array([count[r]], U64)
         for c in code[first[r] : first[r + 1]]:
-            value = (value * U64(0x2545F4914F6CDD1D) + c).astype(U64)
-        parts.append(mix(np.array([value], U64)))
+            value = value * U64(0x2545F4914F6CDD1D) + c
+        parts.append(mix(value))
         owner.append(np.array([r], np.int64))
     value = np.concatenate(parts) if parts else np.zeros(0, U64)
     who = np.concatenate(owner) if owner else np.zeros(0, np.int64)
