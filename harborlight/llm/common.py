@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Keep the Arrow batches that Python workers get small, so that long texts fit in memory."""
+def prepare(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Settings that the operators' Python workers need.
+
+    Arrow batches stay small, so that long texts fit in memory. Workers of a local session find
+    this package where the driver found it (on a cluster, ship it with --py-files).
+    """
+    top = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if top not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([top, *filter(None, paths)])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
@@ -51,7 +61,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -78,17 +88,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 PREFILTER_WORDS = 1 << 20
 
 
-def prefilter(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose `column` may be in `keys`, by a one-hash bitmap of fixed size.
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """rows plus `maybe`: false where `column` is surely not in keys, by a one-hash bitmap.
 
-    No row in keys is lost; a few others pass and meet an exact join later. It keeps wide rows
-    (texts) that nothing asks for out of that join's shuffle. With keys beyond the bitmap's 67
-    million bits it lets more and more through and is merely useless.
+    The bitmap has a fixed size. It keeps wide rows (texts) that nothing asks for out of a
+    later join's shuffle; with keys beyond its 67 million bits it lets more and more through
+    and is merely useless, never wrong.
     """
     at = F.pmod(F.xxhash64(F.col(column)), F.lit(PREFILTER_WORDS * 64))
     bit = F.expr("shiftleft(1L, cast(pmod(prefilter_at, 64) as int))")
-    marked = keys.select(at.alias("prefilter_at")).select((F.col("prefilter_at") / 64).cast("long").alias("prefilter_word"), bit.alias("b"))
-    words = marked.groupBy("prefilter_word").agg(F.bit_or("b").alias("prefilter_bits"))
-    probe = rows.withColumn("prefilter_at", at).withColumn("prefilter_word", (F.col("prefilter_at") / 64).cast("long"))
-    held = probe.join(F.broadcast(words), "prefilter_word").where(F.col("prefilter_bits").bitwiseAND(bit) != 0)
-    return held.select(*rows.columns)
+    word = F.shiftright("prefilter_at", 6).alias("prefilter_word")
+    words = keys.select(at.alias("prefilter_at")).select(word, bit.alias("b")).groupBy("prefilter_word").agg(F.bit_or("b").alias("prefilter_bits"))
+    probe = rows.withColumn("prefilter_at", at).withColumn("prefilter_word", word)
+    probe = probe.join(F.broadcast(words), "prefilter_word", "left")
+    return probe.select(*rows.columns, F.coalesce(F.col("prefilter_bits").bitwiseAND(bit) != 0, F.lit(False)).alias("maybe"))
+
+
+def prefilter(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` may be in keys; an exact join has to follow."""
+    return maybe_in(rows, keys, column).where("maybe").drop("maybe")
