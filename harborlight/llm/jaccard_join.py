@@ -6,11 +6,12 @@ in any common order), sorted by size, and pairs a set only with the band of size
 The common order puts frequent shingles last, so that boilerplate seldom makes a tile; the list
 of frequent shingles is a bounded heuristic and does not touch the result.
 
-Every candidate pair is first bounded by hashed bitmaps: each bit set in one bitmap only is a
-shingle the other set lacks, which bounds the overlap from above. Survivors are decided by an
-exact intersection of sorted arrays. Equal sets are one node, so copies are never paired. In a
-first round tiles pair each set with the tile's leader alone; the second round pairs only sets
-whose groups the first one left apart, so a group of near copies costs one comparison a member.
+Tiles with the same members are one tile, whatever shingle made them. Every candidate pair is
+first bounded by hashed bitmaps, inside its tile: each bit set in one bitmap only is a shingle
+the other set lacks, which bounds the overlap from above. Survivors alone leave the tile and are
+decided by an exact intersection of sorted arrays. Equal sets are one node, so copies are never
+paired. In a first round tiles pair each set with the tile's leader alone; the second round
+takes only tiles whose groups the first one left apart.
 
 Shingles are 64-bit hashes. Defined results: null and empty texts, and texts of white space,
 have no shingles and stay alone; fewer words than the width make one shingle; very long texts
@@ -44,21 +45,43 @@ def need(a, b, percent: int = PERCENT):
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Bits at the hashes' low ends; about four bits a value, a power of two."""
-    width = min(max(BITS[0], 1 << int(4 * max(len(values), 1) - 1).bit_length()), BITS[1])
+    """Bits at the hashes' low ends; about eight bits a value, a power of two."""
+    width = min(max(BITS[0], 1 << int(8 * max(len(values), 1) - 1).bit_length()), BITS[1])
     bits = np.zeros(width, bool)
     bits[(values & U64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def most_overlap(a: bytes, b: bytes, na: int, nb: int) -> int:
-    """An upper bound of the overlap of two sets, from their bitmaps."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+def bit_rows(bitmaps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width in words: which bitmaps have it, and their matrix."""
+    words = np.array([len(b) // 8 for b in bitmaps])
+    return {int(w): (at := np.flatnonzero(words == w), np.frombuffer(b"".join([bitmaps[i] for i in at]), np.uint64).reshape(len(at), w)) for w in np.unique(words)}
+
+
+def most_overlap(bitmaps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """An upper bound of the overlap of the sets i[k] and j[k], from their bitmaps and sizes.
+
+    The wider bitmap of a pair is folded to the narrower one's width.
+    """
+    tables, place = bit_rows(bitmaps), np.zeros(len(bitmaps), np.int64)
+    words = np.array([len(b) // 8 for b in bitmaps])
+    for at, _ in tables.values():
+        place[at] = np.arange(len(at))
+    out = np.minimum(n[i], n[j]).astype(np.int64)
+    for wi in tables:
+        for wj in tables:
+            pairs = np.flatnonzero((words[i] == wi) & (words[j] == wj))
+            step = max(1, (1 << 21) // max(wi, wj))
+            for part in (pairs[k : k + step] for k in range(0, len(pairs), step)):
+                x, y = tables[wi][1][place[i[part]]], tables[wj][1][place[j[part]]]
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+                only_x = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+                only_y = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+                out[part] = np.minimum(n[i[part]] - only_x, n[j[part]] - only_y)
+    return out
 
 
 def node_ids(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -125,7 +148,10 @@ def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, bucke
 
 
 def tiles(packed: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, leader, leader_n of every tile with two sets or more whose sizes fit."""
+    """tile, members, node, n, leader, leader_n of every tile with two sets whose sizes fit.
+
+    tile is a hash of the members, so that tiles with the same members are one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[bytes]] = [[], [], []]
@@ -138,65 +164,63 @@ def tiles(packed: DataFrame, percent: int) -> DataFrame:
         token, node, n = token[order], node[order], n[order]
         if not len(token):
             return
-        fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        token, node, n = token[fresh], node[fresh], n[fresh]
+        new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+        token, node, n = token[new], node[new], n[new]
         same = token[1:] == token[:-1]
         near = same & (percent * n[1:].astype(np.int64) <= 100 * n[:-1].astype(np.int64))
         fits = np.append(near, False) | np.append(False, near)
         token, node, n = token[fits], node[fits], n[fits]
-        start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        if not len(token):
+            return
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        tile = np.add.reduceat(mix(node.view(U64)), start)
         count = np.diff(np.append(start, len(token)))
-        low = np.lexsort((node, token))[start] if len(token) else start
-        lead = np.repeat(low, count)
-        for i in range(0, len(token), 1 << 17):
-            s = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(n[s]), pa.array(node[lead[s]]), pa.array(n[lead[s]])], ["token", "node", "n", "leader", "leader_n"])
+        low = np.lexsort((node, token))[start]
+        _, once = np.unique(tile, return_index=True)
+        rows = np.concatenate([np.arange(a, a + c) for a, c in zip(start[once], count[once])])
+        of = np.repeat(once, count[once])
+        for i in range(0, len(rows), 1 << 17):
+            r, t = rows[i : i + (1 << 17)], of[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tile[t].view(np.int64)), pa.array(count[t].astype(np.int32)), pa.array(node[r]), pa.array(n[r]), pa.array(node[low[t]]), pa.array(n[low[t]])],
+                ["tile", "members", "node", "n", "leader", "leader_n"],
+            )
 
-    return packed.repartition("bucket").mapInArrow(run, "token long, node long, n int, leader long, leader_n int")
+    rows = packed.repartition("bucket").mapInArrow(run, "tile long, members int, node long, n int, leader long, leader_n int")
+    return rows.dropDuplicates(["tile", "node"])
 
 
 def apart(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of one tile in different groups, a set with the sizes of its band alone.
+    """Pairs a < b of one tile in different groups whose bitmaps allow a link.
 
-    rows: token, node, n, component. A tile is sorted by size and taken in blocks of rows, so
-    memory holds one block's pairs.
+    rows: tile, node, n, component, bitmap. A tile is sorted by size; a set meets the band of
+    sizes that may link with it, and blocks of rows bound the pairs in memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[np.asarray(c) for c in batch.columns] for batch in batches]
-        if not held:
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
             return
-        token, node, n, group = (np.concatenate(c) for c in zip(*held))
-        del held
-        order = np.lexsort((n, token))
-        token, node, n, group = token[order], node[order], n[order].astype(np.int64), group[order]
-        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        stop = np.append(start[1:], len(token))
-        end = np.repeat(stop, stop - start)
-        # the band of row i ends where sizes exceed 100 n / percent
-        limit = np.empty(len(token), np.int64)
-        for a, b in zip(start, stop):
-            limit[a:b] = a + np.searchsorted(n[a:b], 100 * n[a:b] // percent, side="right")
-        count = np.minimum(limit, end) - np.arange(len(token)) - 1
-        total = np.append(0, np.cumsum(count))
-        known, at = np.zeros(0, "i8,i8,i4,i4"), 0
-        while at < len(token):
-            to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), side="right")) - 1)
-            i = np.repeat(np.arange(at, to), count[at:to])
-            j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], count[at:to])
-            keep = group[i] != group[j]
-            i, j = i[keep], j[keep]
-            swap = node[i] > node[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            pairs = np.empty(len(i), known.dtype)
-            for f, v in zip(known.dtype.names, (node[i], node[j], n[i], n[j])):
-                pairs[f] = v
-            pairs = np.unique(pairs)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[f])) for f in known.dtype.names], ["a", "b", "na", "nb"])
-            at = to
-
-    return rows.repartition("token").mapInArrow(run, "a long, b long, na int, nb int")
+        table = table.combine_chunks().sort_by([("tile", "ascending"), ("n", "ascending")])
+        tile, node, n, group = (table.column(k).to_numpy() for k in range(4))
+        n = n.astype(np.int64)
+        start = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        for a, b in zip(start, np.append(start[1:], len(tile))):
+            bitmaps, size = table.column(4).slice(a, b - a).to_pylist(), n[a:b]
+            count = np.searchsorted(size, 100 * size // percent, side="right") - np.arange(b - a) - 1
+            total, at = np.append(0, np.cumsum(count)), 0
+            while at < b - a:
+                to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 18), side="right")) - 1)
+                i = np.repeat(np.arange(at, to), count[at:to])
+                j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], count[at:to])
+                keep = group[a + i] != group[a + j]
+                i, j, at = i[keep], j[keep], to
+                keep = most_overlap(bitmaps, size, i, j) >= need(size[i], size[j], percent)
+                x, y = node[a + i[keep]], node[a + j[keep]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return rows.repartition("tile").mapInArrow(run, "a long, b long")
 
 
 def bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
@@ -204,9 +228,10 @@ def bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
-            keep = [most_overlap(p, q, m, n) >= need(m, n, percent) for p, q, m, n in zip(x, y, na, nb)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            maps, at = batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.arange(batch.num_rows)
+            keep = most_overlap(maps, np.concatenate((na, nb)), at, at + len(at)) >= need(na, nb, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     left = bitmaps.select(F.col("node").alias("a"), F.col("bitmap").alias("x"))
     right = bitmaps.select(F.col("node").alias("b"), F.col("bitmap").alias("y"))
@@ -253,21 +278,34 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     nodes = written(sets.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap")), "nodes")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        pairs = written(bounded(pairs, nodes, percent), "candidates")
-        return written(linked(pairs, docs, nodes.select("node", "doc_id"), width, percent), "links")
+        return written(linked(written(pairs, "candidates"), docs, nodes.select("node", "doc_id"), width, percent), "links")
 
     star = tile.where("node <> leader").where(f"least(n, leader_n) * 100L >= greatest(n, leader_n) * {percent}L")
     star = star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).distinct()
-    first = decided(star)
-    known = components(first)
-    rows = tile.select("token", "node", "n").join(known, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+    first = decided(bounded(star, nodes.select("node", "bitmap"), percent))
+    # two sets have met their leader; in larger tiles the others have yet to meet each other
+    rows = tile.where("members > 2 and node <> leader").select("tile", "node", "n").join(components(first), "node", "left")
+    rows = written(rows.select("tile", "node", "n", F.coalesce("component", "node").alias("component")), "tile-groups")
+    open_tiles = rows.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tile")
+    rows = rows.join(open_tiles, "tile").join(nodes.select("node", "bitmap"), "node").select("tile", "node", "n", "component", "bitmap")
     second = decided(apart(rows, percent).distinct())
-    group = components(first.unionByName(second))
-    labelled = written(signed.select("doc_id", "n", "node").join(group, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    alone, together = labelled.where("n = 0"), labelled.where("n > 0")
-    least = together.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = together.join(least, "component").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
-    return named.unionByName(alone.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node"))
+    return named(signed.select("doc_id", "n", "node"), components(first.unionByName(second)))
+
+
+#: Parts that the rows of a large group are dealt to when they get its name.
+SALTS = 32
+
+
+def named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (doc_id, n, node) with the smallest doc_id of their group."""
+    rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "labelled")
+    alone, together = rows.where("n = 0"), rows.where("n > 0")
+    least = together.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("node").alias("node"))
+    single = least.where("size = 1").select(F.col("component_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
+    several = least.where("size > 1").select("component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared = together.join(several, ["component", "salt"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
+    return single.unionByName(shared).unionByName(alone.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
