@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, jaccard_join, media, packing, quality, repeats, toxicity
+from harborlight.llm import exact_dedup, jaccard_join, media, packing, quality, repeats, sentence_pieces, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media": media.op2,
         "op3_exact_dedup": exact_dedup.op3,
         "op4_ngram_jaccard": jaccard_join.op4,
+        "op5_shards": shards.op5,
+        "op6_sentence_pieces": sentence_pieces.op6,
         "op7_repeats": repeats.op7,
         "op8_toxicity": toxicity.op8,
         "op10_packing": packing.op10,

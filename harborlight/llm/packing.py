@@ -68,7 +68,7 @@ def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
     """Pieces with their ids. Sequences are gapless from offset 0; only the last is not full."""
-    return cut(global_offsets(written(tokenise(docs, vocabulary), "tokens")), length)
+    return cut(global_offsets(written(tokenise(docs, vocabulary), "tokens", "zstd")), length)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
