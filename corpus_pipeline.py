@@ -1,11 +1,76 @@
-"""Corpus pipeline: stages over documents, each a dealt operator."""
+"""Corpus pipeline: five stages over documents, each one a corpus operator.
+
+Every stage reads all rows that the stage before kept and returns the columns of documents; the
+last returns packed pieces. Rows with null texts count as empty texts. A stage's decision takes
+effect: toxic documents go, of equal texts the largest doc_id stays, of linked near copies the
+smallest doc_id, and repeated byte strings leave the texts (n_chars follows).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harborlight.llm import exact_dedup, jaccard_join, packing, repeats, toxicity
+from harborlight.llm.common import prepare, without, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold. The model learns from this stage's own input."""
+    prepare(spark)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.flag(docs.select(*COLUMNS), model).where(~F.col("toxic")).select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; of rows repeated with both, one."""
+    prepare(spark)
+    found = written(exact_dedup.exact_dedup(docs), "dedup")
+    docs = without(docs.select(*COLUMNS), found.where("not kept"), "doc_id")
+    again = written(found.where("kept").groupBy("doc_id").count().where("count > 1"), "repeated-rows")
+    if again.isEmpty():
+        return docs
+    # rows repeated with doc_id and text; several texts under one doc_id all stay
+    unsure = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    sure = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
+    return sure.unionByName(unsure)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one that names it; documents without words stay."""
+    prepare(spark)
+    found = written(jaccard_join.jaccard_groups(docs), "groups")
+    return without(docs.select(*COLUMNS), found.where("doc_id <> component_id"), "doc_id")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that also start earlier. A character that loses some of
+    its bytes goes whole."""
+    prepare(spark)
+    return repeats.without_repeats(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    prepare(spark)
+    return packing.pack(docs).drop("ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("packing", pack),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

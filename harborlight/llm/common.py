@@ -107,3 +107,10 @@ def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 def prefilter(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """The rows whose `column` may be in keys; an exact join has to follow."""
     return maybe_in(rows, keys, column).where("maybe").drop("maybe")
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` is not in keys (null never is); only likely ones are shuffled."""
+    probe = maybe_in(rows, keys, column)
+    likely = probe.where("maybe").select(*rows.columns).join(keys.select(column).distinct().hint("merge"), column, "left_anti")
+    return probe.where("not maybe").select(*rows.columns).unionByName(likely)

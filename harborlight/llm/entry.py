@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, jaccard_join, media, packing, quality, repeats, sentence_pieces, shards, toxicity
+from harborlight.llm import exact_dedup, jaccard_join, licences, media, packing, quality, repeats, sentence_pieces, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentence_pieces": sentence_pieces.op6,
         "op7_repeats": repeats.op7,
         "op8_toxicity": toxicity.op8,
+        "op9_licences": licences.op9,
         "op10_packing": packing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op9_licences": licences.sql()}

@@ -29,6 +29,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,6 +223,16 @@ def marked_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
+def kept_bytes(text: bytes, spans, length: int) -> tuple[bytes, int, int]:
+    """The bytes outside all marked windows, how many are inside, and in how many runs."""
+    raw, spans = np.frombuffer(text, np.uint8), np.array([*map(tuple, spans)], np.int64).reshape(-1, 2)
+    step = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(step, spans[:, 0], 1)
+    np.add.at(step, spans[:, 0] + spans[:, 1] + length - 1, -1)
+    gone = np.cumsum(step[:-1]) > 0
+    return raw[~gone].tobytes(), int(gone.sum()), int(np.sum(gone & ~np.append(False, gone[:-1])))
+
+
 def cut(rows: DataFrame, length: int) -> DataFrame:
     """rows: doc_id, text, marks (start, windows). Whole documents in, RESULT out."""
 
@@ -229,18 +240,11 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(1)[i].as_py().encode(), np.uint8)
-                spans = batch.column(2)[i].values
-                start = spans.field(0).to_numpy().astype(np.int64)
-                stop = start + spans.field(1).to_numpy() + length - 1
-                step = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(step, start, 1)
-                np.add.at(step, stop, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                kept = raw[~gone].tobytes()
-                out.append((len(raw), int(gone.sum()), int(np.sum(gone & ~np.append(False, gone[:-1]))), hashlib.sha256(kept).hexdigest(), kept))
+                text, marked = batch.column(1)[i].as_py().encode(), batch.column(2)[i].values
+                kept, removed, runs = kept_bytes(text, zip(marked.field(0).to_pylist(), marked.field(1).to_pylist()), length)
+                out.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], [x.split()[0] for x in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [x.split()[0] for x in RESULT.split(", ")])
 
     return rows.select("doc_id", "text", "marks").mapInArrow(run, RESULT)
 
@@ -252,25 +256,50 @@ def clashing(docs: DataFrame) -> DataFrame:
     return seen.join(several, "doc_id").where("digest <> least").select("doc_id", "digest").distinct()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """RESULT for every row of docs (doc_id, text): the bytes left and what was removed."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    out = written(clashing(docs), "clashing")
+def with_marks(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """docs (with all its columns) in two parts: rows with `marks`, and rows that stay whole."""
     active, idle = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    out = written(clashing(docs), "clashing")
     if not out.isEmpty():
         keyed = active.withColumn("digest", F.sha2("text", 256))
-        idle = idle.unionByName(keyed.join(out, ["doc_id", "digest"], "left_semi").select("doc_id", "text"))
-        active = keyed.join(out, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
-    held = marked_windows(active, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
-    held = written(held, "marks")
+        idle = idle.unionByName(keyed.join(out, ["doc_id", "digest"], "left_semi").select(*docs.columns))
+        active = keyed.join(out, ["doc_id", "digest"], "left_anti").select(*docs.columns)
+    found = marked_windows(active.select("doc_id", "text"), length)
+    held = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("marks")), "marks")
     probe = maybe_in(active, held, "doc_id")
-    rows = probe.where("maybe").drop("maybe").join(held.hint("merge"), "doc_id", "left")
-    whole = rows.where("marks is null").select("doc_id", "text").unionByName(probe.where("not maybe").drop("maybe")).unionByName(idle)
+    rows = probe.where("maybe").drop("maybe").join(held.hint("merge"), "doc_id", "left").select(*docs.columns, "marks")
+    whole = rows.where("marks is null").drop("marks").unionByName(probe.where("not maybe").drop("maybe")).unionByName(idle)
+    return rows.where("marks is not null"), whole
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """RESULT for every row of docs (doc_id, text): the bytes left and what was removed."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    marked, whole = with_marks(docs, length)
     same = whole.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.sha2("text", 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"),
     )
-    return cut(rows.where("marks is not null"), length).unionByName(same)
+    return cut(marked, length).unionByName(same)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs (doc_id, text, n_chars, more columns) with the repeated bytes cut out of text.
+
+    Characters that lose some of their bytes go whole, and n_chars counts what is left. Rows
+    without repeats stay as they are, null texts included.
+    """
+    names = docs.columns
+    work = docs.select(*[F.col(c) for c in names if c != "text"], F.col("text").alias("own"), whole_text().alias("text"))
+    marked, whole = with_marks(work, length)
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([kept_bytes(t.encode(), m, length)[0].decode(errors="ignore") for t, m in zip(text, marks)], dtype=object)
+
+    changed = marked.withColumn("text", rest("text", F.transform("marks", lambda m: F.array(m["start"], m["windows"]))))
+    changed = changed.withColumn("n_chars", F.length("text").cast("long"))
+    return changed.select(*names).unionByName(whole.withColumn("text", F.col("own")).select(*names))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

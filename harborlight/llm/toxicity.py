@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from harborlight.llm.common import documents, whole_text
 from harborlight.llm.labelled import fold, sample
@@ -120,43 +121,55 @@ def fit(rows: DataFrame, penalty: float = 0.3, steps: int = 400) -> SentenceMode
     return SentenceModel(float(theta[-1]), {f: float(w) for f, w in zip(names, theta) if abs(w) > 1e-3})
 
 
+def sentence_scores(text: str, model: SentenceModel, memo: dict[str, list[str] | None], offending: float) -> tuple[float, list[dict]]:
+    """The document's noisy-or score and its sentences that score at least `offending`."""
+    none, found, base = 0.0, [], math.log1p(math.exp(model.bias))
+    for s in SENTENCE.finditer(text):
+        held: set[str] = set()
+        for w in set(WORD.findall(s[0].lower())):
+            hit = memo.get(w, 0)
+            if hit == 0:
+                if len(memo) > 400_000:
+                    memo.clear()
+                hit = memo[w] = model.features(w) or None
+            if hit:
+                held.update(hit)
+        if held:
+            z = model.bias + sum(model.weights[f] for f in sorted(held))
+            none += float(np.logaddexp(0.0, z))
+            if (p := 1 / (1 + math.exp(-z))) >= offending:
+                found.append({"start": s.start(), "end": s.end(), "score": p})
+        else:
+            none += base
+    return -math.expm1(-none), found
+
+
 def score(docs: DataFrame, model: SentenceModel, offending: float = THRESHOLD) -> DataFrame:
     """doc_id, score, and the sentences (character spans) that score at least `offending`."""
-    base = math.log1p(math.exp(model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[str] | None] = {}
         for batch in batches:
-            scores, spans = [], []
-            for text in batch.column(1).to_pylist():
-                none, found = 0.0, []
-                for s in SENTENCE.finditer(text):
-                    held = set()
-                    for w in set(WORD.findall(s[0].lower())):
-                        hit = memo.get(w, 0)
-                        if hit == 0:
-                            if len(memo) > 400_000:
-                                memo.clear()
-                            hit = memo[w] = model.features(w) or None
-                        if hit:
-                            held.update(hit)
-                    if held:
-                        z = model.bias + sum(model.weights[f] for f in sorted(held))
-                        none += float(np.logaddexp(0.0, z))
-                        if (p := 1 / (1 + math.exp(-z))) >= offending:
-                            found.append({"start": s.start(), "end": s.end(), "score": p})
-                    else:
-                        none += base
-                scores.append(-math.expm1(-none))
-                spans.append(found)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))],
-                ["doc_id", "score", "sentences"],
-            )
+            rows = [sentence_scores(t, model, memo, offending) for t in batch.column(1).to_pylist()]
+            spans = pa.array([r[1] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), spans], ["doc_id", "score", "sentences"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, SCORED)
 
 
+def flag(docs: DataFrame, model: SentenceModel, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with all columns and `toxic`: its score reaches the threshold. No join is needed."""
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, list[str] | None] = {}
+        for batch in batches:
+            toxic = [sentence_scores(t or "", model, memo, 2.0)[0] >= threshold for t in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic, pa.bool_())], [*batch.schema.names, "toxic"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("toxic", BooleanType())]))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> SentenceModel:
     return fit(sample(docs, labels, "toxic", fold(4) != 2, SAMPLE, "toxic-sample"))
 
