@@ -10,8 +10,8 @@ Tiles with the same members are one tile, whatever shingle made them. Every cand
 first bounded by hashed bitmaps, inside its tile: each bit set in one bitmap only is a shingle
 the other set lacks, which bounds the overlap from above. Survivors alone leave the tile and are
 decided by an exact intersection of sorted arrays. Equal sets are one node, so copies are never
-paired. In a first round tiles pair each set with the tile's leader alone; the second round
-takes only tiles whose groups the first one left apart.
+paired. In a first round tiles pair each set with the tile's leader alone, in a second one with
+LEADERS of its sets; the last round takes the pairs whose groups these left apart.
 
 Shingles are 64-bit hashes. Defined results: null and empty texts, and texts of white space,
 have no shingles and stay alone; fewer words than the width make one shingle; very long texts
@@ -37,6 +37,10 @@ WIDTH, PERCENT = 5, 75
 #: Frequent shingles that are put last in the common order: at most so many 8-byte hashes.
 HEAVY, HEAVY_ROWS = 1 << 16, 4
 BITS = (64, 1 << 16)  # smallest and largest bitmap
+#: Bitmaps travel to tiles folded to so many bytes; what passes there meets the whole ones.
+TILE_BYTES = 256
+#: Sets of a tile that all others meet before the others meet each other.
+LEADERS = 8
 
 
 def need(a, b, percent: int = PERCENT):
@@ -52,6 +56,14 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(bits: bytes, most: int = TILE_BYTES) -> bytes:
+    """A bitmap halved by OR until it has at most `most` bytes."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > most:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def bit_rows(bitmaps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By width in words: which bitmaps have it, and their matrix."""
     words = np.array([len(b) // 8 for b in bitmaps])
@@ -105,13 +117,14 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0), pa.array(node_ids(values, edge)), pa.array(np.diff(edge).astype(np.int32)),
-                        pa.array([bitmap(values[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
+                        pa.array(maps := [bitmap(values[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
+                        pa.array([folded(m) for m in maps], pa.binary()),
                         pa.array(heavy + [None] * (len(edge) - 2), pa.list_(pa.struct([("token", pa.int64()), ("rows", pa.int32())]))),
                     ],
-                    ["doc_id", "node", "n", "bitmap", "heavy"],
+                    ["doc_id", "node", "n", "bitmap", "small", "heavy"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, bitmap binary, heavy array<struct<token: long, rows: int>>")
+    return docs.mapInArrow(run, "doc_id long, node long, n int, bitmap binary, small binary, heavy array<struct<token: long, rows: int>>")
 
 
 def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
@@ -190,11 +203,12 @@ def tiles(packed: DataFrame, percent: int) -> DataFrame:
     return rows.dropDuplicates(["tile", "node"])
 
 
-def apart(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of one tile in different groups whose bitmaps allow a link.
+def apart(rows: DataFrame, percent: int, leaders: int | None = None) -> DataFrame:
+    """Pairs a < b (with sizes) of one tile in different groups whose bitmaps allow a link.
 
-    rows: tile, node, n, component, bitmap. A tile is sorted by size; a set meets the band of
-    sizes that may link with it, and blocks of rows bound the pairs in memory.
+    rows: tile, node, n, component, small. A tile is sorted by size; a set meets the band of
+    sizes that may link with it, and blocks of rows bound the pairs in memory. leaders: only
+    pairs with one of so many sets of the tile, picked by hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,19 +222,23 @@ def apart(rows: DataFrame, percent: int) -> DataFrame:
         for a, b in zip(start, np.append(start[1:], len(tile))):
             bitmaps, size = table.column(4).slice(a, b - a).to_pylist(), n[a:b]
             count = np.searchsorted(size, 100 * size // percent, side="right") - np.arange(b - a) - 1
+            picked = np.argsort(mix(node[a:b].view(U64) ^ U64(0xA5A5)), kind="stable")[:leaders] if leaders else None
             total, at = np.append(0, np.cumsum(count)), 0
             while at < b - a:
                 to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 18), side="right")) - 1)
                 i = np.repeat(np.arange(at, to), count[at:to])
                 j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], count[at:to])
                 keep = group[a + i] != group[a + j]
+                if leaders:
+                    keep &= np.isin(i, picked) | np.isin(j, picked)
                 i, j, at = i[keep], j[keep], to
                 keep = most_overlap(bitmaps, size, i, j) >= need(size[i], size[j], percent)
-                x, y = node[a + i[keep]], node[a + j[keep]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                i, j = a + i[keep], a + j[keep]
+                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(n[i].astype(np.int32)), pa.array(n[j].astype(np.int32))], ["a", "b", "na", "nb"])
 
-    return rows.repartition("tile").mapInArrow(run, "a long, b long")
+    return rows.repartition("tile").mapInArrow(run, "a long, b long, na int, nb int")
 
 
 def bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
@@ -274,22 +292,26 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     heavy = np.array([r["token"] for r in often.collect()], np.int64).view(U64)  # at most HEAVY numbers
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tile = written(tiles(postings(docs, heavy, width, percent, buckets), percent), "tiles")
-    sets = signed.where("n > 0").select("doc_id", "node", "bitmap")
-    nodes = written(sets.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap")), "nodes")
+    sets = signed.where("n > 0").select("doc_id", "node", "bitmap", "small")
+    first = [F.first(c).alias(c) for c in ("bitmap", "small")]
+    nodes = written(sets.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first), "nodes")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        return written(linked(written(pairs, "candidates"), docs, nodes.select("node", "doc_id"), width, percent), "links")
+        pairs = written(bounded(pairs.distinct(), nodes.select("node", "bitmap"), percent), "candidates")
+        return written(linked(pairs, docs, nodes.select("node", "doc_id"), width, percent), "links")
+
+    def still_open(links: DataFrame) -> DataFrame:
+        """Rows of the tiles that hold several groups. Two sets have met their leader already."""
+        rows = tile.where("members > 2").select("tile", "node", "n").join(components(links), "node", "left")
+        rows = written(rows.select("tile", "node", "n", F.coalesce("component", "node").alias("component")), "tile-groups")
+        several = rows.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tile")
+        return rows.join(several, "tile").join(nodes.select("node", "small"), "node").select("tile", "node", "n", "component", "small")
 
     star = tile.where("node <> leader").where(f"least(n, leader_n) * 100L >= greatest(n, leader_n) * {percent}L")
-    star = star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).distinct()
-    first = decided(bounded(star, nodes.select("node", "bitmap"), percent))
-    # two sets have met their leader; in larger tiles the others have yet to meet each other
-    rows = tile.where("members > 2 and node <> leader").select("tile", "node", "n").join(components(first), "node", "left")
-    rows = written(rows.select("tile", "node", "n", F.coalesce("component", "node").alias("component")), "tile-groups")
-    open_tiles = rows.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tile")
-    rows = rows.join(open_tiles, "tile").join(nodes.select("node", "bitmap"), "node").select("tile", "node", "n", "component", "bitmap")
-    second = decided(apart(rows, percent).distinct())
-    return named(signed.select("doc_id", "n", "node"), components(first.unionByName(second)))
+    links = decided(star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")))
+    for leaders in (LEADERS, None):
+        links = links.unionByName(decided(apart(still_open(links), percent, leaders)))
+    return named(signed.select("doc_id", "n", "node"), components(links))
 
 
 #: Parts that the rows of a large group are dealt to when they get its name.
