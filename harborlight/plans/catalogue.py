@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harborlight.plans import screening  # noqa: F401
+from harborlight.plans import dialogue, screening  # noqa: F401
 from harborlight.plans.registry import ORACLES, QUERIES, Query
 
 
