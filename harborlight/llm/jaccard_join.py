@@ -36,9 +36,8 @@ from harborlight.llm.kernels import U64, mix, shingle_sets, utf8
 WIDTH, PERCENT = 5, 75
 #: Frequent shingles that are put last in the common order: at most so many 8-byte hashes.
 HEAVY, HEAVY_ROWS = 1 << 16, 4
-BITS = (64, 1 << 16)  # smallest and largest bitmap
-#: Bitmaps travel to tiles folded to so many bytes; what passes there meets the whole ones.
-TILE_BYTES = 256
+#: Bits of a bitmap: eight a shingle up to 2048, two a shingle beyond, at most 65536.
+BITS = (64, 2048, 1 << 16)
 #: Sets of a tile that all others meet before the others meet each other.
 LEADERS = 8
 
@@ -49,21 +48,14 @@ def need(a, b, percent: int = PERCENT):
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Bits at the hashes' low ends; about eight bits a value, a power of two."""
-    width = min(max(BITS[0], 1 << int(8 * max(len(values), 1) - 1).bit_length()), BITS[1])
+    """Bits at the hashes' low ends; the width is a power of two."""
+    dense, sparse = (1 << int(k * max(len(values), 1) - 1).bit_length() for k in (8, 2))
+    width = min(max(BITS[0], min(dense, max(BITS[1], sparse))), BITS[2])
     bits = np.zeros(width, bool)
     bits[(values & U64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def folded(bits: bytes, most: int = TILE_BYTES) -> bytes:
-    """A bitmap halved by OR until it has at most `most` bytes."""
-    x = np.frombuffer(bits, np.uint64)
-    while len(x) * 8 > most:
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    return x.tobytes()
-
-
 def bit_rows(bitmaps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By width in words: which bitmaps have it, and their matrix."""
     words = np.array([len(b) // 8 for b in bitmaps])
@@ -117,14 +109,13 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0), pa.array(node_ids(values, edge)), pa.array(np.diff(edge).astype(np.int32)),
-                        pa.array(maps := [bitmap(values[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
-                        pa.array([folded(m) for m in maps], pa.binary()),
+                        pa.array([bitmap(values[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
                         pa.array(heavy + [None] * (len(edge) - 2), pa.list_(pa.struct([("token", pa.int64()), ("rows", pa.int32())]))),
                     ],
-                    ["doc_id", "node", "n", "bitmap", "small", "heavy"],
+                    ["doc_id", "node", "n", "bitmap", "heavy"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, bitmap binary, small binary, heavy array<struct<token: long, rows: int>>")
+    return docs.mapInArrow(run, "doc_id long, node long, n int, bitmap binary, heavy array<struct<token: long, rows: int>>")
 
 
 def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
@@ -204,9 +195,9 @@ def tiles(packed: DataFrame, percent: int) -> DataFrame:
 
 
 def apart(rows: DataFrame, percent: int, leaders: int | None = None) -> DataFrame:
-    """Pairs a < b (with sizes) of one tile in different groups whose bitmaps allow a link.
+    """Pairs a < b of one tile in different groups whose bitmaps allow a link.
 
-    rows: tile, node, n, component, small. A tile is sorted by size; a set meets the band of
+    rows: tile, node, n, component, bitmap. A tile is sorted by size; a set meets the band of
     sizes that may link with it, and blocks of rows bound the pairs in memory. leaders: only
     pairs with one of so many sets of the tile, picked by hash.
     """
@@ -236,9 +227,9 @@ def apart(rows: DataFrame, percent: int, leaders: int | None = None) -> DataFram
                 i, j = a + i[keep], a + j[keep]
                 i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(n[i].astype(np.int32)), pa.array(n[j].astype(np.int32))], ["a", "b", "na", "nb"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
-    return rows.repartition("tile").mapInArrow(run, "a long, b long, na int, nb int")
+    return rows.repartition("tile").mapInArrow(run, "a long, b long")
 
 
 def bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
@@ -292,25 +283,24 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     heavy = np.array([r["token"] for r in often.collect()], np.int64).view(U64)  # at most HEAVY numbers
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tile = written(tiles(postings(docs, heavy, width, percent, buckets), percent), "tiles")
-    sets = signed.where("n > 0").select("doc_id", "node", "bitmap", "small")
-    first = [F.first(c).alias(c) for c in ("bitmap", "small")]
-    nodes = written(sets.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first), "nodes")
+    sets = signed.where("n > 0 and doc_id is not null")
+    nodes = written(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap")), "nodes")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        pairs = written(bounded(pairs.distinct(), nodes.select("node", "bitmap"), percent), "candidates")
-        return written(linked(pairs, docs, nodes.select("node", "doc_id"), width, percent), "links")
+        return written(linked(written(pairs, "candidates"), docs, nodes.select("node", "doc_id"), width, percent), "links")
 
     def still_open(links: DataFrame) -> DataFrame:
         """Rows of the tiles that hold several groups. Two sets have met their leader already."""
         rows = tile.where("members > 2").select("tile", "node", "n").join(components(links), "node", "left")
         rows = written(rows.select("tile", "node", "n", F.coalesce("component", "node").alias("component")), "tile-groups")
         several = rows.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tile")
-        return rows.join(several, "tile").join(nodes.select("node", "small"), "node").select("tile", "node", "n", "component", "small")
+        return rows.join(several, "tile").join(nodes.select("node", "bitmap"), "node").select("tile", "node", "n", "component", "bitmap")
 
     star = tile.where("node <> leader").where(f"least(n, leader_n) * 100L >= greatest(n, leader_n) * {percent}L")
-    links = decided(star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")))
+    star = star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).distinct()
+    links = decided(bounded(star, nodes.select("node", "bitmap"), percent))
     for leaders in (LEADERS, None):
-        links = links.unionByName(decided(apart(still_open(links), percent, leaders)))
+        links = links.unionByName(decided(apart(still_open(links), percent, leaders).distinct()))
     return named(signed.select("doc_id", "n", "node"), components(links))
 
 
