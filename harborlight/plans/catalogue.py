@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harborlight.plans import corpus, dialogue, events, screening  # noqa: F401
+from harborlight.plans import corpus, dialogue, events, extras, screening  # noqa: F401
 from harborlight.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -40,10 +40,12 @@ def admitted(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     return rows.groupBy("key").applyInPandas(run, "event_id long, admitted boolean").unionByName(free)
 
 
-def admitted_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The same for a stream of (key, ts, event_id); idle keys lose their state by timeout.
+def admitted_stream(requests: DataFrame, limit: int, seconds: int, forget: bool = True) -> DataFrame:
+    """The same for a stream of (key, ts, event_id).
 
     Requests of one key have to arrive in time order across micro-batches, as from one gateway.
+    forget: idle keys lose their state by a processing-time timeout, which keeps a query that
+    runs all the time; leave it off for runs that end with the input.
     """
     window = seconds * 1_000_000
 
@@ -55,8 +57,9 @@ def admitted_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
         rows = pd.concat(list(parts)).sort_values(["t", "event_id"])
         out, held = decide(rows["t"].tolist(), held, limit, window)
         state.update((held,))
-        state.setTimeoutDuration(seconds * 1000)
+        if forget:
+            state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "admitted": out})
 
     rows = requests.select("key", F.unix_micros("ts").alias("t"), "event_id")
-    return rows.groupBy("key").applyInPandasWithState(run, "event_id long, admitted boolean", "held array<bigint>", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("key").applyInPandasWithState(run, "event_id long, admitted boolean", "held array<bigint>", "append", "ProcessingTimeTimeout" if forget else "NoTimeout")
