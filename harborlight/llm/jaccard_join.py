@@ -203,10 +203,10 @@ def apart(rows: DataFrame, percent: int, leaders: int | None = None) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
-        table = table.combine_chunks().sort_by([("tile", "ascending"), ("n", "ascending")])
+        table = pa.Table.from_batches(held).combine_chunks().sort_by([("tile", "ascending"), ("n", "ascending")])
         tile, node, n, group = (table.column(k).to_numpy() for k in range(4))
         n = n.astype(np.int64)
         start = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))

@@ -178,10 +178,10 @@ def compare(rows: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     """Marks of the windows of the asked segments that start earlier in another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
-        table = table.combine_chunks().sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        table = pa.Table.from_batches(held).combine_chunks().sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
         anchor, doc, start = (table.column(k).to_numpy() for k in range(3))
         _, place = np.unique(doc, return_inverse=True)
         key = (place.astype(np.int64) << 32) + start
