@@ -1,0 +1 @@
+"""Column expressions: text rules and normalisers."""

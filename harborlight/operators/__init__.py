@@ -1,0 +1 @@
+"""DataFrame operators: scoring, curation, retrieval."""

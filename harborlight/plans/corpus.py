@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlight.operators import curation as C
 from harborlight.operators import retrieval as R
-from harborlight.operators import text as T
+from harborlight.functions import text as T
 from harborlight.plans.registry import query
 from harborlight.sources.tables import table
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from harborlight.operators import text as T
+from harborlight.functions import text as T
 from harborlight.plans.registry import query
 from harborlight.sources.tables import table
 

@@ -1,0 +1 @@
+"""Tables, files and sinks."""

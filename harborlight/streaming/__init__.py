@@ -1,0 +1 @@
+"""Structured Streaming jobs and their batch counterparts."""

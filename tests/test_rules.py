@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborlight.operators import curation, retrieval
-from harborlight.operators import text as T
+from harborlight.functions import text as T
 from harborlight.sources import readers, sinks
 from harborlight.streaming.limiter import admitted, admitted_stream, decide
 from harborlight.streaming.topics import run_once
