@@ -4,12 +4,13 @@ A feed of (digest, doc_id, content locator) runs through a streaming aggregation
 state lives on disk (RocksDB, checkpointed in the shared folder) and never expires: there is no
 watermark. Per digest it keeps the document that stays (largest doc_id), the locator of its
 content and the number of documents. Spark combines the feed by digest in each task before it
-is shuffled, so a text that a third of all rows share reaches the state as one row per task.
+is shuffled, so a text that a third of all rows share reaches the state as one row per task. A
+digest with one document is that document's result; no join is needed for it.
 
 Digests only propose hits. Every document whose digest is held by another one is compared with
 the kept document's full bytes, which the locator fetches; rows that differ (a collision) are
-regrouped by their text. Hits of a large group are dealt to as many salts as it has blocks of
-SALT_ROWS rows, so no task gets the whole group.
+regrouped by their text. Texts whose digest is surely single stay out of that join, and the rows
+of a digest are dealt to SALTS parts, so no task gets a whole large group.
 
 Defined results: a null text counts as empty; a null doc_id is smaller than any other, and rows
 without any doc_id in their group keep each other as null; rows repeated with the same doc_id
@@ -22,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import documents, whole_text, work_path, written
+from harborlight.llm.common import documents, prefilter, whole_text, work_path, written
 
-SALT_ROWS = 4096
+SALTS = 32
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,9 +36,9 @@ class DigestState:
         self.spark, self.path = spark, path
 
     def absorb(self, feed: DataFrame) -> None:
-        """Take all that `feed` (a streaming DataFrame of digest, doc_id, locator) has now."""
+        """Take all that `feed` (a streaming DataFrame of digest, doc_id, locator, text_sha256) has now."""
         changed, out = f"{self.path}/changed", feed.groupBy("digest").agg(
-            F.max(F.struct("doc_id", "locator")).alias("kept"), F.count(F.lit(1)).alias("group_size")
+            F.max(F.struct("doc_id", "locator", "text_sha256")).alias("kept"), F.count(F.lit(1)).alias("group_size")
         )
 
         def keep(batch: DataFrame, number: int) -> None:
@@ -55,11 +56,11 @@ class DigestState:
             conf.set(key, before)
 
     def groups(self) -> DataFrame:
-        """digest, keep_id, locator, group_size as of the last batch that changed the digest."""
-        schema = "digest string, kept struct<doc_id: long, locator: string>, group_size long, batch long"
+        """digest, keep_id, locator, text_sha256, group_size as of the last batch that changed the digest."""
+        schema = "digest string, kept struct<doc_id: long, locator: string, text_sha256: string>, group_size long, batch long"
         rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/changed").parquet(f"{self.path}/changed")
         last = rows.groupBy("digest").agg(F.max_by(F.struct("kept", "group_size"), "batch").alias("s"))
-        return last.select("digest", F.col("s.kept.doc_id").alias("keep_id"), F.col("s.kept.locator").alias("locator"), "s.group_size")
+        return last.select("digest", F.col("s.kept.doc_id").alias("keep_id"), F.col("s.kept.locator").alias("locator"), F.col("s.kept.text_sha256").alias("text_sha256"), "s.group_size")
 
 
 def exact_dedup(docs: DataFrame, digest: Column | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -79,10 +80,10 @@ def exact_dedup(docs: DataFrame, digest: Column | None = None, files_per_batch:
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     state = DigestState(spark, work_path(spark, "dedup"))
-    state.absorb(source.parquet(landed).select("digest", "doc_id", "locator"))
+    state.absorb(source.parquet(landed))
     groups = written(state.groups(), "groups")
-    alone = spark.read.schema(schema).parquet(landed).join(groups.where("group_size = 1"), "digest")
-    return alone.select(*result()).unionByName(resolve(rows, groups.where("group_size > 1")))
+    alone = groups.where("group_size = 1").withColumn("doc_id", F.col("keep_id"))
+    return alone.select(*result()).unionByName(resolve(rows, groups.where("group_size > 1").drop("text_sha256")))
 
 
 def result() -> list[Column]:
@@ -92,13 +93,13 @@ def result() -> list[Column]:
 
 def resolve(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Check each hit's full bytes against the kept document's; split collisions by their text."""
-    blocks = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(SALTS)).cast("int"))
     # whole texts are shuffled once, here; what follows reads the texts of hits alone
-    hits = written(rows.join(groups.hint("merge"), "digest"), "hit-texts")
+    hits = prefilter(salted, groups, "digest").join(groups.select("*", parts).hint("merge"), ["digest", "salt"])
+    hits = written(hits, "hit-texts")
     holders = hits.where(F.col("doc_id").cast("string").eqNullSafe(F.col("locator")))
-    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    holders = holders.groupBy("digest", "group_size").agg(F.max("text").alias("held"))
-    holders = holders.select("digest", "held", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
+    holders = holders.groupBy("digest").agg(F.max("text").alias("held")).select("digest", "held", parts)
     checked = hits.join(holders, ["digest", "salt"]).select("digest", "doc_id", "text_sha256", "keep_id", "group_size", (F.col("text") == F.col("held")).alias("same"))
     checked = written(checked, "hits")
     mixed = checked.where("not same").select("digest").distinct()

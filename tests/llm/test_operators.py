@@ -68,11 +68,11 @@ def test_exact_dedup_splits_collisions(awkward):
 
 def test_exact_dedup_continues_its_state(spark, tmp_path):
     state = exact_dedup.DigestState(spark, f"{tmp_path}/s")
-    schema = "digest string, doc_id long, locator string"
-    for rows in ([("a", 1, "x"), ("b", 5, "y")], [("a", 4, "z")]):
+    schema = "digest string, doc_id long, locator string, text_sha256 string"
+    for rows in ([("a", 1, "x", "d"), ("b", 5, "y", "e")], [("a", 4, "z", "d")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         state.absorb(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
-    assert sorted(map(tuple, state.groups().collect())) == [("a", 4, "z", 2), ("b", 5, "y", 1)]
+    assert sorted(map(tuple, state.groups().collect())) == [("a", 4, "z", "d", 2), ("b", 5, "y", "e", 1)]
 
 
 def shingles(text):
