@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -69,6 +70,13 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def trim() -> None:
+    """Give memory that numpy has freed back to the system (glibc keeps it otherwise)."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch with at most `limit` bytes of text, or one row, each."""
     import pyarrow.compute as pc
@@ -78,10 +86,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:
             yield batch.slice(start, i - start)
+            trim()
             start, held = i, 0
         held += int(n)
     if start < len(sizes):
         yield batch.slice(start)
+        trim()
 
 
 #: Words of 64 bits in a prefilter: at most 2 ** 20 rows of 16 bytes are broadcast, at any scale.

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import documents, maybe_in, prefilter, slices, whole_text, written
+from harborlight.llm.common import documents, maybe_in, prefilter, slices, trim, whole_text, written
 from harborlight.llm.kernels import BYTE_CODE, U64, gram_hashes, mix, powers, sliding_min, utf8
 from harborlight.llm.runindex import RunIndex
 
 LENGTH, GRAM = 100, 32
-#: Bytes of segments in one index.
-BLOCK = 3 << 20
+#: Bytes of segments in one index, and of texts in one numpy pass.
+BLOCK, SLICE = 1 << 20, 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _PLACE = U64((1 << 36) - 1)
@@ -75,7 +75,7 @@ def entries(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 ids = piece.column(0).to_numpy()
                 row, start, windows, anchor, digest = segments(*utf8(piece.column(1)), length)
                 if not len(row):
@@ -100,7 +100,7 @@ def later_copies(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 ids = piece.column(0).to_numpy()
                 row, start, windows, anchor, digest = segments(*utf8(piece.column(1)), length)
                 order = np.lexsort((start, ids[row], digest, anchor))
@@ -205,6 +205,8 @@ def compare(rows: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
                     new = np.flatnonzero(fresh(pattern, offset - np.arange(len(offset))))
                     if len(new):
                         yield marks(doc[pattern[new]], start[pattern[new]] + offset[new], np.diff(np.append(new, len(offset))))
+                del index
+                trim()
 
     return rows.repartition("anchor").mapInArrow(run, MARKS)
 
