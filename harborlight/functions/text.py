@@ -72,3 +72,14 @@ def normal_key(text: Column) -> Column:
 def masked(text: Column) -> Column:
     """Runs of six digits or more become a placeholder."""
     return F.regexp_replace(text, "[0-9]{6,}", "<number>")
+
+
+def longest_overlap(reply: str, history: list[str], least: int = 12) -> str:
+    """The first longest piece of reply, `least` characters or more, that one earlier text holds."""
+    best = ""
+    for i in range(len(reply) - least + 1):
+        n = max(least, len(best) + 1)
+        while i + n <= len(reply) and any(reply[i : i + n] in h for h in history):
+            best = reply[i : i + n]
+            n += 1
+    return best

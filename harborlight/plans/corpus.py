@@ -258,3 +258,18 @@ def ret12(spark, d):
     rows = near(spark, d, 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "id"))).alias("h"))
     line = F.transform("h", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["source"].cast("string"), F.lit("/"), x["id"].cast("string")))
     return rows.select("query_id", F.array_join(line, "\n").alias("context"))
+
+
+@query("RET10_trace", f"""WITH {_NEAR}, r AS (SELECT * FROM k WHERE rank <= 3) SELECT query_id, count(*) AS results, round(min(distance), 4) AS top1, min(distance) <= 1.2::DOUBLE AS passed,
+  string_agg(source || ':' || id, ',' ORDER BY rank) AS listed FROM r GROUP BY query_id""")
+def ret10(spark, d):
+    rows = near(spark, d, 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.min("distance").alias("low"), F.array_sort(F.collect_list(F.struct("rank", "source", "id"))).alias("h"))
+    listed = F.array_join(F.transform("h", lambda x: F.concat(x["source"].cast("string"), F.lit(":"), x["id"].cast("string"))), ",")
+    return rows.select("query_id", "results", F.round("low", 4).alias("top1"), (F.col("low") <= 1.2).alias("passed"), listed.alias("listed"))
+
+
+@query("SRT05_adjusted_order", f"""WITH {_NEAR}, a AS (SELECT query_id, id, rank, distance - CASE WHEN id % 3 = 0 THEN 0.05::DOUBLE ELSE 0 END AS adjusted FROM k WHERE rank <= 9)
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY adjusted, rank) AS place FROM a""")
+def srt05(spark, d):
+    rows = near(spark, d, 9).withColumn("adjusted", F.col("distance") - F.when(F.col("id") % 3 == 0, 0.05).otherwise(0.0))
+    return rows.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("adjusted", "rank")).alias("place"))

@@ -264,3 +264,36 @@ def src06(spark, d):
 def src07(spark, d):
     rows = turns(spark, d).groupBy("conv_id").agg(*[F.md5(F.min_by("text", F.when(F.col("role") == r, F.col("turn")))).alias(n) for r, n in (("user", "human"), ("assistant", "reply"))], F.count_if(F.col("role") == "user").alias("u"), F.count_if(F.col("role") == "assistant").alias("a"))
     return rows.where("u > 0 and a > 0").select("conv_id", "human", "reply")
+
+
+@query("QC03_longest_overlap")
+def qc03(spark, d):
+    """conv_id, turn, overlap of the replies that repeat an earlier one; only conversations in
+    which the n-gram join finds a repetition reach Python."""
+    import pandas as pd
+
+    hits = repeated(turns(spark, d)).select("conv_id").distinct()
+    rows = turns(spark, d).where("role = 'assistant'").join(hits, "conv_id", "left_semi").select("conv_id", "turn", "text")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("turn")
+        texts = part["text"].tolist()
+        found = [T.longest_overlap(t, texts[:i]) for i, t in enumerate(texts)]
+        out = pd.DataFrame({"conv_id": part["conv_id"], "turn": part["turn"], "overlap": found})
+        return out[out["overlap"] != ""]
+
+    return rows.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, overlap string")
+
+
+@query("QC07_turn_judge", f"""WITH {TURNS} SELECT conv_id, turn, list_filter([CASE WHEN NOT len(text) BETWEEN 25 AND 600 THEN 'length' END, CASE WHEN regexp_matches(text, '^(The|Der|La|Le) ') THEN 'opening' END,
+  CASE WHEN regexp_matches(text, '(ant|ist)[.]') THEN 'closed' END], lambda x: x IS NOT NULL) AS failed FROM turns WHERE role = 'assistant'""")
+def qc07(spark, d):
+    tests = {"length": ~F.length("text").between(25, 600), "opening": F.col("text").rlike("^(The|Der|La|Le) "), "closed": F.col("text").rlike("(ant|ist)[.]")}
+    return turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])).alias("failed"))
+
+
+@query("QC10_smoke", f"""WITH {TURNS} SELECT conv_id, turn, regexp_matches(text, '(ant|ist)[.]') AS closed, regexp_matches(text, 'que ') AND turn <= 1 AS unsupported FROM turns WHERE role = 'assistant'
+  AND (regexp_matches(text, '(ant|ist)[.]') OR (regexp_matches(text, 'que ') AND turn <= 1))""")
+def qc10(spark, d):
+    closed, claim = F.col("text").rlike("(ant|ist)[.]"), F.col("text").rlike("que ") & (F.col("turn") <= 1)
+    return turns(spark, d).where((F.col("role") == "assistant") & (closed | claim)).select("conv_id", "turn", closed.alias("closed"), claim.alias("unsupported"))

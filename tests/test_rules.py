@@ -95,3 +95,8 @@ def test_readers_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
     with pytest.raises(ValueError):
         readers.roster(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_longest_overlap():
+    assert T.longest_overlap("say hello to the whole world now", ["x hello to the whole y", "the whole world now!"]) == "hello to the whole "
+    assert T.longest_overlap("short", ["short"]) == "" and T.longest_overlap("", []) == ""
