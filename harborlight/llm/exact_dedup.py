@@ -99,7 +99,8 @@ def resolve(rows: DataFrame, groups: DataFrame) -> DataFrame:
     hits = prefilter(salted, groups, "digest").join(groups.select("*", parts).hint("merge"), ["digest", "salt"])
     hits = written(hits, "hit-texts")
     holders = hits.where(F.col("doc_id").cast("string").eqNullSafe(F.col("locator")))
-    holders = holders.groupBy("digest").agg(F.max("text").alias("held")).select("digest", "held", parts)
+    holders = holders.groupBy("digest").agg(F.max("text").alias("held"))
+    holders = holders.join(hits.select("digest", "salt").distinct(), "digest")  # to the parts that have rows
     checked = hits.join(holders, ["digest", "salt"]).select("digest", "doc_id", "text_sha256", "keep_id", "group_size", (F.col("text") == F.col("held")).alias("same"))
     checked = written(checked, "hits")
     mixed = checked.where("not same").select("digest").distinct()
