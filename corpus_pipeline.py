@@ -55,7 +55,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
     prepare(spark)
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, encode_special_tokens=False).drop("ids")
 
 
 STAGES = [

@@ -116,12 +116,12 @@ def read_slots(shards: DataFrame, first: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "slot long, sequence_id long, shard long, byte_offset long, n_tokens int, ids_crc32 long, doc_ids array<long>").where(F.col("slot") >= first)
 
 
-def materialise(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str | None = None) -> DataFrame:
+def materialise(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
     """The written shards of docs (doc_id, text), a row each."""
-    tokens = written(tokenise(docs, vocabulary), "tokens", "zstd")
+    tokens = written(tokenise(docs, vocabulary, encode_special_tokens=encode_special_tokens), "tokens", "zstd")
     total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]  # one number
     return write_shards(cut(global_offsets(tokens), length), -(-total // length), work_path(docs.sparkSession, "shards"), length, key)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_slots(materialise(documents(spark, sf_dir)))
+    return read_slots(materialise(documents(spark, sf_dir), encode_special_tokens=False))
