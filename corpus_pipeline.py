@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.llm import exact_dedup, jaccard_join, packing, repeats, toxicity
-from harborlight.llm.common import prepare, without, written
+from harborlight.llm.common import prepare, whole_text, without, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,21 +28,25 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id; of rows repeated with both, one."""
     prepare(spark)
     found = written(exact_dedup.exact_dedup(docs), "dedup")
-    docs = without(docs.select(*COLUMNS), found.where("not kept"), "doc_id")
-    again = written(found.where("kept").groupBy("doc_id").count().where("count > 1"), "repeated-rows")
+    # a doc_id may be null or shared by several texts, which all stay
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias("key")
+    keyed = docs.withColumn("text_sha256", F.sha2(whole_text(), 256)).select(*COLUMNS, key)
+    docs = without(keyed, found.where("not kept").select(key), "key")
+    again = written(found.where("kept").groupBy(key).count().where("count > 1"), "repeated-rows")
     if again.isEmpty():
-        return docs
-    # rows repeated with doc_id and text; several texts under one doc_id all stay
-    unsure = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    sure = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
-    return sure.unionByName(unsure)
+        return docs.select(*COLUMNS)
+    # rows repeated with doc_id and text
+    unsure = docs.join(again, "key", "left_semi").dropDuplicates(["key"])
+    sure = docs.join(again, "key", "left_anti")
+    return sure.unionByName(unsure).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one that names it; documents without words stay."""
+    """Of every group of linked documents the one that names it (null and shared doc_ids: the first
+    of its rows); documents without words stay."""
     prepare(spark)
     found = written(jaccard_join.jaccard_groups(docs), "groups")
-    return without(docs.select(*COLUMNS), found.where("doc_id <> component_id"), "doc_id")
+    return without(docs.select(*COLUMNS, jaccard_join.row_key().alias("key")), found.where("not leads"), "key").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ LEADERS of its sets; the last round takes the pairs whose groups these left apar
 Shingles are 64-bit hashes. Defined results: null and empty texts, and texts of white space,
 have no shingles and stay alone; fewer words than the width make one shingle; very long texts
 are one set each, whole; rows repeated with one doc_id are one document when their sets are
-equal and keep a row each; a null doc_id links like any other but never names a group unless
-all its members are null; empty tables give no rows; extra columns are ignored.
+equal and keep a row each; several texts under one doc_id are a document each; a null doc_id links
+like any other but never names a group unless all its members are null; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.llm.common import documents, prefilter, slices, whole_text, written
@@ -96,8 +96,13 @@ def node_ids(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(sums[edge[1:]] - sums[edge[:-1]] + n.astype(U64)), U64(0)).view(np.int64)
 
 
+def row_key() -> Column:
+    """A row's 64-bit key: doc_ids may be null or shared by several texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), whole_text())
+
+
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, node, n, bitmap a row; the first row of a slice also has its frequent shingles."""
+    """doc_id, key, node, n, bitmap a row; the first row of a slice also has its frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,14 +113,14 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 heavy = [[{"token": t, "rows": c} for t, c in zip(token[often].view(np.int64).tolist(), count[often].tolist())]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column(0), pa.array(node_ids(values, edge)), pa.array(np.diff(edge).astype(np.int32)),
+                        piece.column(0), piece.column(2), pa.array(node_ids(values, edge)), pa.array(np.diff(edge).astype(np.int32)),
                         pa.array([bitmap(values[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
                         pa.array(heavy + [None] * (len(edge) - 2), pa.list_(pa.struct([("token", pa.int64()), ("rows", pa.int32())]))),
                     ],
-                    ["doc_id", "node", "n", "bitmap", "heavy"],
+                    ["doc_id", "key", "node", "n", "bitmap", "heavy"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, bitmap binary, heavy array<struct<token: long, rows: int>>")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, node long, n int, bitmap binary, heavy array<struct<token: long, rows: int>>")
 
 
 def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
@@ -267,7 +272,7 @@ def linked(pairs: DataFrame, docs: DataFrame, holders: DataFrame, width: int, pe
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(holders.join(asked, "node"), "holders")
-    texts = prefilter(docs, wanted, "doc_id").join(wanted.hint("merge"), "doc_id").dropDuplicates(["node"])
+    texts = prefilter(docs, wanted, "key").dropDuplicates(["key"]).join(wanted.hint("merge"), "key")
     held = written(texts.select("node", "text").mapInArrow(sets, "node long, shingles binary"), "sets")
     left = held.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = held.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -275,19 +280,20 @@ def linked(pairs: DataFrame, docs: DataFrame, holders: DataFrame, width: int, pe
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group), node of every document."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the group), node, key, leads of every
+    document. leads: whether it stays for its group, as the first by doc_id (null last) and key."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), row_key().alias("key"))
     signed = written(signatures(docs, width), "signatures")
     often = signed.select(F.inline("heavy")).groupBy("token").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(HEAVY)
     heavy = np.array([r["token"] for r in often.collect()], np.int64).view(U64)  # at most HEAVY numbers
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tile = written(tiles(postings(docs, heavy, width, percent, buckets), percent), "tiles")
-    sets = signed.where("n > 0 and doc_id is not null")
-    nodes = written(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap")), "nodes")
+    sets = signed.where("n > 0")
+    nodes = written(sets.groupBy("node").agg(F.min("key").alias("key"), F.first("bitmap").alias("bitmap")), "nodes")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        return written(linked(written(pairs, "candidates"), docs, nodes.select("node", "doc_id"), width, percent), "links")
+        return written(linked(written(pairs, "candidates"), docs, nodes.select("node", "key"), width, percent), "links")
 
     def still_open(links: DataFrame) -> DataFrame:
         """Rows of the tiles that hold several groups. Two sets have met their leader already."""
@@ -301,7 +307,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links = decided(bounded(star, nodes.select("node", "bitmap"), percent))
     for leaders in (LEADERS, None):
         links = links.unionByName(decided(apart(still_open(links), percent, leaders).distinct()))
-    return named(signed.select("doc_id", "n", "node"), components(links))
+    return named(signed.select("doc_id", "key", "n", "node"), components(links))
 
 
 #: Parts that the rows of a large group are dealt to when they get its name.
@@ -309,16 +315,18 @@ SALTS = 32
 
 
 def named(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows (doc_id, n, node) with the smallest doc_id of their group."""
+    """rows (doc_id, key, n, node) with the smallest doc_id of their group."""
     rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "labelled")
+    rows = written(rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")), "labelled")
     alone, together = rows.where("n = 0"), rows.where("n > 0")
-    least = together.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("node").alias("node"))
-    single = least.where("size = 1").select(F.col("component_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
-    several = least.where("size > 1").select("component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    shared = together.join(several, ["component", "salt"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
-    return single.unionByName(shared).unionByName(alone.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    least = together.groupBy("component").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("node").alias("node"))
+    least = least.select("component", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("lead"), "size", "n", "node")
+    single = least.where("size = 1").select(F.col("component_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id", "node", F.col("lead").alias("key"), F.lit(True).alias("leads"))
+    several = least.where("size > 1").select("component", "component_id", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared = together.join(several, ["component", "salt"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node", "key", (F.col("key") == F.col("lead")).alias("leads"))
+    return single.unionByName(shared).unionByName(alone.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", "key", F.lit(True).alias("leads")))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(documents(spark, sf_dir)).drop("node")
+    return jaccard_groups(documents(spark, sf_dir)).drop("node", "key", "leads")
