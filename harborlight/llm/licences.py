@@ -1,10 +1,10 @@
 """Operator 9: licence scan with sparse TF-IDF and inheritance along directories (DataFrame
 functions only).
 
-Every line of a file that mentions a licence is a sparse vector of its words, weighted by the
-inverse document frequency over the templates (a word that no template has gets the largest
-weight). Its cosine to each template vector is an expression over literal maps, evaluated in the
-row: nothing is shuffled. A file whose best line reaches THRESHOLD has that licence.
+Every line of a file is a sparse vector of its words, weighted by the inverse
+document frequency over the templates (a word that no template has gets the largest weight). Its cosine to each template vector is an expression over literal maps, evaluated in the
+row: nothing is shuffled. Lines that no template can match, by a bound on the words they share,
+are left out before. A file whose best line reaches THRESHOLD has that licence.
 
 Licence files speak for their directory and all below it; of several in a directory the most
 common licence wins, then the better score, then the name. A file without a licence of its own
@@ -12,7 +12,7 @@ takes the one of its nearest ancestor. Directories, few against files, find thei
 joins on path prefixes; files then join their directory, salted, since one may hold a third of
 all files.
 
-Defined results: null and empty texts mention nothing; very long texts are scanned whole;
+Defined results: null and empty texts match nothing; very long texts are scanned whole;
 repeated rows are scanned alike; a null path is in the empty directory, where nothing is
 inherited; equal cosines go to the first name; empty tables give no rows; extra columns are
 ignored.
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from harborlight.llm.common import documents
 
 THRESHOLD, SALTS = 0.6, 16
+#: Words of the templates that prose has, too, most common first: the gate goes by others where it can.
+PROSE = tuple("the of to is this by all under version work terms subject general public library 0 2 3 4".split())
+#: Lines that the SQL looks at.
 MENTION = "licen[cs]|copyright|rights reserved|spdx"
 #: Short statements of common licences, a few a licence.
 TEMPLATES = (
@@ -93,18 +96,43 @@ def best_match(line: Column) -> Column:
     return F.when(F.size(words) > 0, F.struct((-low["minus"]).alias("score"), low["name"].alias("name")))
 
 
+def telling(threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every line that reaches the threshold has one.
+
+    By Cauchy-Schwarz a line's cosine to a unit vector is at most the root of the squares' sum over
+    the words that both have. Of each template, words with a sum below the threshold's square are
+    left out, those of prose and light ones first; a line with none but these stays below it.
+    """
+    out, limit = set(), (threshold - 1e-6) ** 2  # scores are rounded to six digits
+    for _, unit in vectors():
+        left = 0.0
+        for w in sorted(unit, key=lambda w: (PROSE.index(w) if w in PROSE else len(PROSE), unit[w], w)):
+            if left + unit[w] ** 2 < limit:
+                left += unit[w] ** 2
+            else:
+                out.add(w)
+    return sorted(out)
+
+
+def can_match(text: Column, threshold: float) -> Column:
+    """False where no line of the text can reach the threshold."""
+    if threshold <= 1e-6:
+        return F.lit(True)
+    return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(telling(threshold))})(?![a-z0-9])")
+
+
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """files (path, text, more columns) plus own (score, name, line): the best licence line."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    mention = F.filter(lines, lambda x: F.lower(x).rlike(MENTION))
-    # the array of lines is made only where the text mentions a licence at all
-    some = F.when(F.lower(F.coalesce("text", F.lit(""))).rlike(MENTION), mention).otherwise(F.array().cast("array<string>"))
+    near = F.filter(lines, lambda x: can_match(x, threshold))
+    # the array of lines is made only where the text has such a word at all
+    some = F.when(can_match(F.coalesce("text", F.lit("")), threshold), near).otherwise(F.array().cast("array<string>"))
     first = F.try_element_at(lines, F.lit(1))
-    rows = files.withColumn("mentions", some).withColumn("first_line", first)
-    rows = rows.withColumn("scored", F.transform("mentions", lambda x: F.struct((-best_match(x)["score"]).alias("minus"), best_match(x)["name"].alias("name"), x.alias("line"))))
+    rows = files.withColumn("candidates", some).withColumn("first_line", first)
+    rows = rows.withColumn("scored", F.transform("candidates", lambda x: F.struct((-best_match(x)["score"]).alias("minus"), best_match(x)["name"].alias("name"), x.alias("line"))))
     low = F.array_min("scored")
     own = F.when(-low["minus"] >= threshold, F.struct((-low["minus"]).alias("score"), low["name"].alias("name"), low["line"].alias("line")))
-    return rows.withColumn("own", own).drop("mentions", "scored")
+    return rows.withColumn("own", own).drop("candidates", "scored")
 
 
 def directory(path: Column) -> Column:
