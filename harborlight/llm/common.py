@@ -9,12 +9,15 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at most, unless a single text is longer.
 SLICE_BYTES = 4 << 20
+#: Bytes of sorted rows that a task gathers before it works on them, unless one group is larger.
+GROUP_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,18 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` once what was made from them is written, too."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        for folder in folders:
+            if "/harborlight/" not in folder:
+                raise ValueError(f"{folder} is not a work folder")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepare(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Settings that the operators' Python workers need.
 
@@ -94,6 +109,41 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         trim()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int, limit: int = GROUP_BYTES) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by column `key`: memory holds about `limit`
+    bytes, or one group if that is larger, and never a whole partition."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= limit:
+            values = batch.column(key).to_numpy()
+            other = np.flatnonzero(values != held[-1].column(key)[-1].as_py())
+            if len(other):
+                yield pa.Table.from_batches([*held, batch.slice(0, other[0])]).combine_chunks()
+                trim()
+                held, batch, size = [], batch.slice(other[0]), 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def dealt(rows: DataFrame, key: str, by: str, block: int) -> DataFrame:
+    """rows (`key`, members, more columns) with part, side and split: the comparison each takes part in.
+
+    Up to `block` members of a key meet in one task. More are dealt to blocks by hash of `by`, and
+    each pair of blocks is a task; the blocks grow with the root of the members, and rows are
+    repeated as often.
+    """
+    blocks = F.when(F.col("members") > block, 2 * F.ceil(F.sqrt(F.col("members") / block))).otherwise(1).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.xxhash64(key, F.least("side", "other"), F.greatest("side", "other"))
+    return rows.withColumn("part", part).withColumn("split", F.col("side") != F.col("other"))
+
+
 #: Words of 64 bits in a prefilter: at most 2 ** 20 rows of 16 bytes are broadcast, at any scale.
 PREFILTER_WORDS = 1 << 20
 

@@ -4,14 +4,19 @@ Sets of word shingles are compared in tiles. A tile holds the sets that share on
 their prefix (two sets with Jaccard t or more share one of the first n - ceil(t n) + 1 shingles
 in any common order), sorted by size, and pairs a set only with the band of sizes that t allows.
 The common order puts frequent shingles last, so that boilerplate seldom makes a tile; the list
-of frequent shingles is a bounded heuristic and does not touch the result.
+of frequent shingles is a bounded heuristic and does not touch the result. Tiles with the same
+members are one tile, whatever shingle made them.
 
-Tiles with the same members are one tile, whatever shingle made them. Every candidate pair is
-first bounded by hashed bitmaps, inside its tile: each bit set in one bitmap only is a shingle
-the other set lacks, which bounds the overlap from above. Survivors alone leave the tile and are
-decided by an exact intersection of sorted arrays. Equal sets are one node, so copies are never
-paired. In a first round tiles pair each set with the tile's leader alone, in a second one with
-LEADERS of its sets; the last round takes the pairs whose groups these left apart.
+1. Inside its tile a pair is bounded by hashed bitmaps: each bit set in one bitmap only is a
+   shingle the other set lacks, which bounds the overlap from above. A tile emits a spanning
+   forest of the pairs that may link, never the pairs, so it has fewer rows than members.
+2. The forests' components are clusters: linked sets are in one cluster. Each set goes to its
+   cluster once, as a sorted array, and pairs there are bounded by bitmaps again and decided by
+   an exact intersection. A cluster emits a spanning forest of its links.
+
+In both steps the sets of a tile or cluster are taken in order of size, and each is compared with
+the larger ones of its band that no link connects with it yet. Large tiles and clusters are dealt
+in blocks, a task a pair of blocks. Equal sets are one node, so copies are never paired.
 
 Shingles are 64-bit hashes. Defined results: null and empty texts, and texts of white space,
 have no shingles and stay alone; fewer words than the width make one shingle; very long texts
@@ -22,14 +27,14 @@ like any other but never names a group unless all its members are null; empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import documents, prefilter, slices, whole_text, written
+from harborlight.llm.common import dealt, discard, documents, prefilter, slices, whole_groups, whole_text, written
 from harborlight.llm.components import components
 from harborlight.llm.kernels import U64, mix, shingle_sets, utf8
 
@@ -38,8 +43,10 @@ WIDTH, PERCENT = 5, 75
 HEAVY, HEAVY_ROWS = 1 << 16, 4
 #: Bits of a bitmap: eight a shingle up to 2048, two a shingle beyond, at most 65536.
 BITS = (64, 2048, 1 << 16)
-#: Sets of a tile that all others meet before the others meet each other.
-LEADERS = 8
+#: Members of a tile or cluster beyond which it is dealt in blocks.
+BLOCK = 1024
+#: Shingles of one bucket of postings, about.
+BUCKET = 1 << 22
 
 
 def need(a, b, percent: int = PERCENT):
@@ -56,28 +63,31 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def bit_rows(bitmaps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By width in words: which bitmaps have it, and their matrix."""
-    words = np.array([len(b) // 8 for b in bitmaps])
-    return {int(w): (at := np.flatnonzero(words == w), np.frombuffer(b"".join([bitmaps[i] for i in at]), np.uint64).reshape(len(at), w)) for w in np.unique(words)}
-
-
-def most_overlap(bitmaps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """An upper bound of the overlap of the sets i[k] and j[k], from their bitmaps and sizes.
-
-    The wider bitmap of a pair is folded to the narrower one's width.
-    """
-    tables, place = bit_rows(bitmaps), np.zeros(len(bitmaps), np.int64)
-    words = np.array([len(b) // 8 for b in bitmaps])
-    for at, _ in tables.values():
-        place[at] = np.arange(len(at))
-    out = np.minimum(n[i], n[j]).astype(np.int64)
-    for wi in tables:
-        for wj in tables:
-            pairs = np.flatnonzero((words[i] == wi) & (words[j] == wj))
-            step = max(1, (1 << 21) // max(wi, wj))
+class Bitmaps:
+    """Bitmaps as a matrix for each width, so that many pairs are bounded at once."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        words = np.array([len(b) // 8 for b in bitmaps], np.int64)
+        self.widths, self.kind = np.unique(words, return_inverse=True)
+        self.place, self.rows = np.zeros(len(words), np.int64), []
+        for k, w in enumerate(self.widths):
+            at = np.flatnonzero(self.kind == k)
+            self.place[at] = np.arange(len(at))
+            self.rows.append(np.frombuffer(b"".join([bitmaps[i] for i in at]), np.uint64).reshape(len(at), w))
+
+    def most_overlap(self, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """An upper bound of the overlap of the sets i[k] and j[k], from their bitmaps and sizes.
+
+        The wider bitmap of a pair is folded to the narrower one's width.
+        """
+        out = np.minimum(n[i], n[j]).astype(np.int64)
+        both = self.kind[i] * len(self.widths) + self.kind[j]
+        for kinds in np.unique(both):
+            ki, kj = divmod(int(kinds), len(self.widths))
+            pairs = np.flatnonzero(both == kinds)
+            step = max(1, (1 << 21) // int(max(self.widths[ki], self.widths[kj])))
             for part in (pairs[k : k + step] for k in range(0, len(pairs), step)):
-                x, y = tables[wi][1][place[i[part]]], tables[wj][1][place[j[part]]]
+                x, y = self.rows[ki][self.place[i[part]]], self.rows[kj][self.place[j[part]]]
                 while x.shape[1] > y.shape[1]:
                     x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
                 while y.shape[1] > x.shape[1]:
@@ -85,7 +95,7 @@ def most_overlap(bitmaps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarr
                 only_x = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
                 only_y = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
                 out[part] = np.minimum(n[i[part]] - only_x, n[j[part]] - only_y)
-    return out
+        return out
 
 
 def node_ids(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -157,126 +167,140 @@ def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, bucke
 
 
 def tiles(packed: DataFrame, percent: int) -> DataFrame:
-    """tile, members, node, n, leader, leader_n of every tile with two sets whose sizes fit.
+    """tile, members, node, n of every tile with two sets whose sizes fit.
 
     tile is a hash of the members, so that tiles with the same members are one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[bytes]] = [[], [], []]
-        for batch in batches:
-            for held, column in zip(parts, batch.columns[1:]):
-                held += column.to_pylist()
-        token, node, n = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, ("<u8", "<i8", "<i4")))
-        del parts
-        order = np.lexsort((node, n, token))
-        token, node, n = token[order], node[order], n[order]
-        if not len(token):
-            return
-        new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        token, node, n = token[new], node[new], n[new]
-        same = token[1:] == token[:-1]
-        near = same & (percent * n[1:].astype(np.int64) <= 100 * n[:-1].astype(np.int64))
-        fits = np.append(near, False) | np.append(False, near)
-        token, node, n = token[fits], node[fits], n[fits]
-        if not len(token):
-            return
-        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        tile = np.add.reduceat(mix(node.view(U64)), start)
-        count = np.diff(np.append(start, len(token)))
-        low = np.lexsort((node, token))[start]
-        _, once = np.unique(tile, return_index=True)
-        rows = np.concatenate([np.arange(a, a + c) for a, c in zip(start[once], count[once])])
-        of = np.repeat(once, count[once])
-        for i in range(0, len(rows), 1 << 17):
-            r, t = rows[i : i + (1 << 17)], of[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tile[t].view(np.int64)), pa.array(count[t].astype(np.int32)), pa.array(node[r]), pa.array(n[r]), pa.array(node[low[t]]), pa.array(n[low[t]])],
-                ["tile", "members", "node", "n", "leader", "leader_n"],
-            )
-
-    rows = packed.repartition("bucket").mapInArrow(run, "tile long, members int, node long, n int, leader long, leader_n int")
+        for held in whole_groups(batches, 0):
+            token, node, n = (np.frombuffer(b"".join(held.column(k).to_pylist()), t) for k, t in ((1, "<u8"), (2, "<i8"), (3, "<i4")))
+            order = np.lexsort((node, n, token))
+            token, node, n = token[order], node[order], n[order]
+            new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+            token, node, n = token[new], node[new], n[new]
+            same = token[1:] == token[:-1]
+            near = same & (percent * n[1:].astype(np.int64) <= 100 * n[:-1].astype(np.int64))
+            fits = np.append(near, False) | np.append(False, near)
+            token, node, n = token[fits], node[fits], n[fits]
+            if not len(token):
+                continue
+            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            tile = np.add.reduceat(mix(node.view(U64)), start)
+            count = np.diff(np.append(start, len(token)))
+            _, once = np.unique(tile, return_index=True)
+            rows = np.concatenate([np.arange(a, a + c) for a, c in zip(start[once], count[once])])
+            of = np.repeat(once, count[once])
+            for i in range(0, len(rows), 1 << 17):
+                r, t = rows[i : i + (1 << 17)], of[i : i + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(tile[t].view(np.int64)), pa.array(count[t].astype(np.int32)), pa.array(node[r]), pa.array(n[r])], ["tile", "members", "node", "n"])
+
+    rows = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "tile long, members int, node long, n int")
     return rows.dropDuplicates(["tile", "node"])
 
 
-def apart(rows: DataFrame, percent: int, leaders: int | None = None) -> DataFrame:
-    """Pairs a < b of one tile in different groups whose bitmaps allow a link.
+def spanning(part: np.ndarray, n: np.ndarray, side: np.ndarray, split: np.ndarray, percent: int, close: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that span every part's components under `close`, for rows sorted by part and n.
 
-    rows: tile, node, n, component, bitmap. A tile is sorted by size; a set meets the band of
-    sizes that may link with it, and blocks of rows bound the pairs in memory. leaders: only
-    pairs with one of so many sets of the tile, picked by hash.
+    Round r takes the r-th row of every part and compares it with the later ones in the band of
+    its size that are not connected with it yet; parts that are connected drop out. So any two
+    rows that are never compared are connected already.
+    """
+    start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(part))))
+    component, most = np.arange(len(part)), 100 * n // percent
+    left, right = [], []
+    at, turn = np.arange(len(part)), start.copy()  # rows still in play; the row whose turn it is
+    while True:
+        # rows from their part's turn on, of parts with several components left
+        at = at[at >= turn[group[at]]]
+        if not len(at):
+            break
+        head = np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1]))
+        several = np.minimum.reduceat(component[at], head) < np.maximum.reduceat(component[at], head)
+        at = at[np.repeat(several, np.diff(np.append(head, len(at))))]
+        first = turn[group[at]]
+        meet = (at > first) & (n[at] <= most[first]) & (component[at] != component[first]) & (~split[at] | (side[at] != side[first]))
+        i, j = first[meet], at[meet]
+        hit = close(i, j)
+        i, j = i[hit], j[hit]
+        if len(i):
+            old, once = np.unique(component[j], return_index=True)
+            left.append(i[once])
+            right.append(j[once])
+            # a component lies in one part, so each joins one row's component
+            spot = np.minimum(np.searchsorted(old, component[at]), len(old) - 1)
+            component[at] = np.where(old[spot] == component[at], component[i[once]][spot], component[at])
+        turn += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def forest(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Edges a < b that span the groups of every part. rows: part, n, node, side, split, content.
+
+    content is a bitmap, and edges are pairs it allows; or, if exact, a sorted array of
+    shingles, and edges are links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held).combine_chunks().sort_by([("tile", "ascending"), ("n", "ascending")])
-        tile, node, n, group = (table.column(k).to_numpy() for k in range(4))
-        n = n.astype(np.int64)
-        start = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-        for a, b in zip(start, np.append(start[1:], len(tile))):
-            bitmaps, size = table.column(4).slice(a, b - a).to_pylist(), n[a:b]
-            count = np.searchsorted(size, 100 * size // percent, side="right") - np.arange(b - a) - 1
-            picked = np.argsort(mix(node[a:b].view(U64) ^ U64(0xA5A5)), kind="stable")[:leaders] if leaders else None
-            total, at = np.append(0, np.cumsum(count)), 0
-            while at < b - a:
-                to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 18), side="right")) - 1)
-                i = np.repeat(np.arange(at, to), count[at:to])
-                j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], count[at:to])
-                keep = group[a + i] != group[a + j]
-                if leaders:
-                    keep &= np.isin(i, picked) | np.isin(j, picked)
-                i, j, at = i[keep], j[keep], to
-                keep = most_overlap(bitmaps, size, i, j) >= need(size[i], size[j], percent)
-                i, j = a + i[keep], a + j[keep]
-                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
-
-    return rows.repartition("tile").mapInArrow(run, "a long, b long")
-
-
-def bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps allow the overlap that a link needs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            maps, at = batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.arange(batch.num_rows)
-            keep = most_overlap(maps, np.concatenate((na, nb)), at, at + len(at)) >= need(na, nb, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    left = bitmaps.select(F.col("node").alias("a"), F.col("bitmap").alias("x"))
-    right = bitmaps.select(F.col("node").alias("b"), F.col("bitmap").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+        for held in whole_groups(batches, 0):
+            part, n, node, side, split = (held.column(k).to_numpy() for k in range(5))
+            n, content = n.astype(np.int64), held.column(5).to_pylist()
+            sets = [np.frombuffer(x, "<u8") for x in content] if exact else []
+            maps = Bitmaps([bitmap(s) for s in sets] if exact else content)
+
+            def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                out = maps.most_overlap(n, i, j) >= need(n[i], n[j], percent)
+                if exact:
+                    ask = np.flatnonzero(out)
+                    out[ask] = overlaps(sets, i[ask], j[ask]) >= need(n[i[ask]], n[j[ask]], percent)
+                return out
+
+            i, j = spanning(part, n, side, split, percent, close)
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = rows.select("part", "n", "node", "side", "split", "content")
+    return rows.repartition("part").sortWithinPartitions("part", "n", "node").mapInArrow(run, "a long, b long")
+
+
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of the sorted arrays i[k] and j[k], for ascending i."""
+    out = np.zeros(len(i), np.int64)
+    edge = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i)) if len(i) else [0]
+    for a, b in zip(edge, edge[1:]):
+        one, at = sets[i[a]], int(a)
+        while at < b:  # at most a million shingles at once, unless one set has more
+            size = np.cumsum([len(sets[k]) for k in j[at:b]])
+            to = at + max(1, int(np.searchsorted(size, 1 << 20, side="right")))
+            others = np.concatenate([sets[k] for k in j[at:to]])
+            found = one[np.minimum(np.searchsorted(one, others), len(one) - 1)] == others
+            out[at:to] = np.add.reduceat(found, np.append(0, size[: to - at - 1]))
+            at = to
+    return out
 
 
-def linked(pairs: DataFrame, docs: DataFrame, holders: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose exact overlap is enough. Texts of the sets in `pairs` alone are moved."""
+def arrays(docs: DataFrame, holders: DataFrame, width: int) -> DataFrame:
+    """holders (key, node, cluster, members) with n and content: the sorted shingles of each node."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                values, edge = shingle_sets(*utf8(piece.column(1)), width)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([values[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], ["node", "shingles"])
+                values, edge = shingle_sets(*utf8(piece.column(0)), width)
+                content = pa.array([values[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*piece.columns[1:], pa.array(np.diff(edge).astype(np.int32)), content], ["node", "cluster", "members", "n", "content"])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(holders.join(asked, "node"), "holders")
-    texts = prefilter(docs, wanted, "key").dropDuplicates(["key"]).join(wanted.hint("merge"), "key")
-    held = written(texts.select("node", "text").mapInArrow(sets, "node long, shingles binary"), "sets")
-    left = held.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = held.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    texts = prefilter(docs, holders, "key").dropDuplicates(["key"]).join(holders.hint("merge"), "key")
+    return texts.select("text", "node", "cluster", "members").mapInArrow(run, "node long, cluster long, members long, n int, content binary")
+
+
+def with_members(clusters: DataFrame) -> DataFrame:
+    """clusters (node, component) as node, cluster, members; only the size of large ones is joined."""
+    large = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK)
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = clusters.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(large, ["component", "salt"], "left")
+    return rows.select("node", F.col("component").alias("cluster"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -287,27 +311,19 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     signed = written(signatures(docs, width), "signatures")
     often = signed.select(F.inline("heavy")).groupBy("token").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(HEAVY)
     heavy = np.array([r["token"] for r in often.collect()], np.int64).view(U64)  # at most HEAVY numbers
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = signed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # one number
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)
     tile = written(tiles(postings(docs, heavy, width, percent, buckets), percent), "tiles")
-    sets = signed.where("n > 0")
-    nodes = written(sets.groupBy("node").agg(F.min("key").alias("key"), F.first("bitmap").alias("bitmap")), "nodes")
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        return written(linked(written(pairs, "candidates"), docs, nodes.select("node", "key"), width, percent), "links")
-
-    def still_open(links: DataFrame) -> DataFrame:
-        """Rows of the tiles that hold several groups. Two sets have met their leader already."""
-        rows = tile.where("members > 2").select("tile", "node", "n").join(components(links), "node", "left")
-        rows = written(rows.select("tile", "node", "n", F.coalesce("component", "node").alias("component")), "tile-groups")
-        several = rows.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tile")
-        return rows.join(several, "tile").join(nodes.select("node", "bitmap"), "node").select("tile", "node", "n", "component", "bitmap")
-
-    star = tile.where("node <> leader").where(f"least(n, leader_n) * 100L >= greatest(n, leader_n) * {percent}L")
-    star = star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).distinct()
-    links = decided(bounded(star, nodes.select("node", "bitmap"), percent))
-    for leaders in (LEADERS, None):
-        links = links.unionByName(decided(apart(still_open(links), percent, leaders).distinct()))
-    return named(signed.select("doc_id", "key", "n", "node"), components(links))
+    nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("bitmap").alias("bitmap")), "nodes")
+    rows = signed.select("doc_id", "key", "n", "node")
+    near = written(forest(dealt(tile.join(nodes.select("node", F.col("bitmap").alias("content")), "node"), "tile", "node", BLOCK), percent, exact=False), "candidates")
+    discard(tile)
+    clusters = components(near)
+    holders = written(with_members(clusters).join(nodes.select("node", "key"), "node"), "holders")
+    links = written(forest(dealt(arrays(docs, holders, width), "cluster", "node", BLOCK), percent, exact=True), "links")
+    discard(nodes, near, clusters, holders)
+    groups = components(links)
+    return named(rows, groups)
 
 
 #: Parts that the rows of a large group are dealt to when they get its name.
