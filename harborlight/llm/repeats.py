@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import documents, maybe_in, prefilter, slices, trim, whole_text, written
-from harborlight.llm.kernels import BYTE_CODE, U64, gram_hashes, mix, powers, sliding_min, utf8
+from harborlight.llm.common import dealt, discard, documents, maybe_in, prefilter, slices, trim, whole_groups, whole_text, written
+from harborlight.llm.kernels import U64, gram_hashes, mix, powers, sliding_min, utf8
 from harborlight.llm.runindex import RunIndex
 
 LENGTH, GRAM = 100, 32
 #: Bytes of segments in one index, and of texts in one numpy pass.
 BLOCK, SLICE = 1 << 20, 2 << 20
+#: Segments of an anchor beyond which it is dealt in blocks, and bytes of text for each bucket.
+SHARED, BUCKET = 2048, 16 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _PLACE = U64((1 << 36) - 1)
@@ -63,10 +65,12 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
         windows.append(np.diff(np.append(at, len(least))))
         anchor.append(own[(least[at] & _PLACE).astype(np.int64)])
     row, start, windows, anchor = map(np.concatenate, (row, start, windows, anchor))
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum(BYTE_CODE[raw] * powers(_BASE, len(raw)), out=sums[1:])
+    # a segment's digest is taken from the mixed hashes of its grams, which no two byte strings
+    # share by their algebra alone
+    sums = np.zeros(len(grams) + 1, U64)
+    np.cumsum(grams * powers(_BASE, len(grams)), out=sums[1:])
     a = off[row] + start
-    digest = mix((sums[a + windows + length - 1] - sums[a]) * powers(_BACK, len(raw))[a] + windows.astype(U64) * U64(0xD6E8FEB86659FD93))
+    digest = mix((sums[a + windows + length - GRAM] - sums[a]) * powers(_BACK, len(grams))[a] + windows.astype(U64) * U64(0xD6E8FEB86659FD93))
     return row, start, windows, anchor, digest
 
 
@@ -129,92 +133,85 @@ def fresh(*columns: np.ndarray) -> np.ndarray:
 
 def fold(packed: DataFrame) -> DataFrame:
     """MARKS with anchor: null for later copies of a segment; set for the earliest copies of the
-    different segments of an anchor, which the index has to compare."""
+    different segments of an anchor (members of them), which the index has to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[bytes]] = [[] for _ in range(5)]
-        for batch in batches:
-            for held, column in zip(parts, batch.columns[1:]):
-                held += column.to_pylist()
-        anchor, digest, ids, start, windows = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, ("<u8", "<u8", "<i8", "<i4", "<i2")))
-        del parts
-        if not len(anchor):
-            return
-        order = np.lexsort((start, ids, digest, anchor))
-        anchor, digest, ids, start, windows = (x[order] for x in (anchor, digest, ids, start, windows))
-        new = fresh(anchor, digest)
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        copy = ~new & ((ids != ids[head]) | (start != start[head]))
-        group = np.cumsum(fresh(anchor)) - 1
-        ask = new & (np.bincount(group, weights=new)[group] >= 2)
-        for keep, named in ((copy, False), (ask, True)):
-            at = np.flatnonzero(keep)
-            for i in range(0, len(at), 1 << 17):
-                part = at[i : i + (1 << 17)]
-                key = pa.array(anchor[part].view(np.int64)) if named else pa.nulls(len(part), pa.int64())
-                yield pa.RecordBatch.from_arrays([*marks(ids[part], start[part], windows[part]).columns, key], ["doc_id", "start", "windows", "anchor"])
-
-    return packed.repartition("bucket").mapInArrow(run, MARKS + ", anchor long")
+        for held in whole_groups(batches, 0):
+            anchor, digest, ids, start, windows = (np.frombuffer(b"".join(c.to_pylist()), t) for c, t in zip(held.columns[1:], ("<u8", "<u8", "<i8", "<i4", "<i2")))
+            order = np.lexsort((start, ids, digest, anchor))
+            anchor, digest, ids, start, windows = (x[order] for x in (anchor, digest, ids, start, windows))
+            new = fresh(anchor, digest)
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            copy = ~new & ((ids != ids[head]) | (start != start[head]))
+            group = np.cumsum(fresh(anchor)) - 1
+            members = np.bincount(group, weights=new)[group].astype(np.int64)
+            for keep, named in ((copy, False), (new & (members >= 2), True)):
+                at = np.flatnonzero(keep)
+                for i in range(0, len(at), 1 << 17):
+                    part = at[i : i + (1 << 17)]
+                    key = pa.array(anchor[part].view(np.int64)) if named else pa.nulls(len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*marks(ids[part], start[part], windows[part]).columns, key, pa.array(members[part])], ["doc_id", "start", "windows", "anchor", "members"])
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, MARKS + ", anchor long, members long")
 
 
 def texts_of(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """anchor, doc_id, start, bytes of every asked segment."""
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("segments"))
+    """anchor, members, doc_id, start, bytes of every asked segment."""
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "members")).alias("segments"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode()
                 rows = batch.column(2)[i].values
-                anchor, start, windows = (rows.field(k) for k in range(3))
+                anchor, start, windows, members = (rows.field(k) for k in range(4))
                 cut = [text[a : a + w + length - 1] for a, w in zip(start.to_pylist(), windows.to_pylist())]
-                yield pa.RecordBatch.from_arrays([anchor, pa.array([doc] * len(cut), pa.int64()), start, pa.array(cut, pa.binary())], ["anchor", "doc_id", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([anchor, members, pa.array([doc] * len(cut), pa.int64()), start, pa.array(cut, pa.binary())], ["anchor", "members", "doc_id", "start", "bytes"])
 
     rows = prefilter(docs, asked, "doc_id").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    return rows.select("doc_id", "text", "segments").mapInArrow(run, "anchor long, doc_id long, start int, bytes binary")
+    return rows.select("doc_id", "text", "segments").mapInArrow(run, "anchor long, members long, doc_id long, start int, bytes binary")
 
 
 def compare(rows: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     """Marks of the windows of the asked segments that start earlier in another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held).combine_chunks().sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
-        anchor, doc, start = (table.column(k).to_numpy() for k in range(3))
-        _, place = np.unique(doc, return_inverse=True)
-        key = (place.astype(np.int64) << 32) + start
-        size = np.cumsum([0, *(len(x.as_py()) for x in table.column(3))])
-        edge = np.append(np.flatnonzero(fresh(anchor)), len(anchor))
-        at = 0
-        while at < len(edge) - 1:
-            to = max(at + 1, int(np.searchsorted(size[edge], size[edge[at]] + block, side="right")) - 1)
-            a, b, at = edge[at], edge[to], to
-            cuts = [a]  # one group of anchors, or one anchor in several blocks
-            while cuts[-1] < b:
-                cuts.append(min(b, max(cuts[-1] + 1, int(np.searchsorted(size, size[cuts[-1]] + block, side="right")) - 1)))
-            for i, j in zip(cuts, cuts[1:]):
-                index = RunIndex(table.column(3).slice(i, j - i).to_pylist(), key[i:j], length)
-                for m, n in [(i, j)] + [(m, n) for m, n in zip(cuts, cuts[1:]) if m > i]:
-                    pattern, offset, earliest = index.stream(table.column(3).slice(m, n - m).to_pylist())
-                    later = earliest < key[m + pattern] + offset
-                    pattern, offset = pattern[later] + m, offset[later]
-                    order = np.lexsort((offset, pattern))
-                    pattern, offset = pattern[order], offset[order]
-                    new = np.flatnonzero(fresh(pattern, offset - np.arange(len(offset))))
-                    if len(new):
-                        yield marks(doc[pattern[new]], start[pattern[new]] + offset[new], np.diff(np.append(new, len(offset))))
-                del index
-                trim()
-
-    return rows.repartition("anchor").mapInArrow(run, MARKS)
+        for table in whole_groups(batches, 0):
+            part, doc, start = (table.column(k).to_numpy() for k in range(3))
+            _, place = np.unique(doc, return_inverse=True)
+            key = (place.astype(np.int64) << 32) + start
+            size = np.cumsum([0, *(len(x.as_py()) for x in table.column(3))])
+            edge = np.append(np.flatnonzero(fresh(part)), len(part))
+            at = 0
+            while at < len(edge) - 1:
+                to = max(at + 1, int(np.searchsorted(size[edge], size[edge[at]] + block, side="right")) - 1)
+                a, b, at = edge[at], edge[to], to
+                cuts = [a]  # one run of parts, or one part in several blocks
+                while cuts[-1] < b:
+                    cuts.append(min(b, max(cuts[-1] + 1, int(np.searchsorted(size, size[cuts[-1]] + block, side="right")) - 1)))
+                for i, j in zip(cuts, cuts[1:]):
+                    index = RunIndex(table.column(3).slice(i, j - i).to_pylist(), key[i:j], length)
+                    for m, n in [(i, j)] + [(m, n) for m, n in zip(cuts, cuts[1:]) if m > i]:
+                        pattern, offset, earliest = index.stream(table.column(3).slice(m, n - m).to_pylist())
+                        later = earliest < key[m + pattern] + offset
+                        pattern, offset = pattern[later] + m, offset[later]
+                        order = np.lexsort((offset, pattern))
+                        pattern, offset = pattern[order], offset[order]
+                        new = np.flatnonzero(fresh(pattern, offset - np.arange(len(offset))))
+                        if len(new):
+                            yield marks(doc[pattern[new]], start[pattern[new]] + offset[new], np.diff(np.append(new, len(offset))))
+                    del index
+                    trim()
+
+    rows = dealt(rows.withColumn("place", F.xxhash64("doc_id", "start")), "anchor", "place", SHARED)
+    return rows.select("part", "doc_id", "start", "bytes").repartition("part").sortWithinPartitions("part", "doc_id", "start").mapInArrow(run, MARKS)
 
 
 def marked_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """MARKS of all windows that start earlier, too. docs: doc_id (unique, not null) and text."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]  # one number
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
     found = written(fold(entries(docs, length, buckets)), "folded")
     asked = found.where("anchor is not null")
     edges = written(compare(texts_of(docs, asked, length), length), "compared")

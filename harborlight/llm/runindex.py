@@ -4,7 +4,8 @@ The Burrows-Wheeler transform of the joined strings is kept as runs: head byte,
 the text positions sampled at both ends of every run. Patterns are streamed from right to left,
 all in lockstep: a byte that equals the current run's head moves by the LF mapping, any other
 byte repositions at the end of the run of that byte above or the start of the one below,
-whichever matches longer. That gives, for every pattern position, the length of the longest
+whichever matches longer. Beside the runs the index keeps the bytes themselves, one a symbol,
+which tell how long the match is at a sampled position. That gives, for every pattern position, the length of the longest
 match and a row it ends in.
 
 Rows whose suffixes share their first `depth` bytes form a class. The index keeps the first row
@@ -17,10 +18,6 @@ from __future__ import annotations
 import numpy as np
 
 
-#: x below STEPS[k] has its first difference k symbols from the end of a word or later.
-STEPS = np.int64(1) << (9 * np.arange(7, dtype=np.int64))
-
-
 def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols 1 to 256 for bytes and 0 behind every string, and where each string starts."""
     size = np.array([len(s) for s in strings], np.int64)
@@ -38,7 +35,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(7):
         key <<= 9
-        key[: n - k] |= text[k:].astype(np.int64)
+        if k < n:
+            key[: n - k] |= text[k:].astype(np.int64)
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     first = np.append(True, sorted_key[1:] != sorted_key[:-1]) if n else np.zeros(0, bool)
@@ -66,19 +64,32 @@ def packed_words(text: np.ndarray) -> np.ndarray:
     out = np.zeros(len(text) + 512, np.int64)
     for k in range(7):
         out <<= 9
-        out[: len(text) - k] |= text[k:].astype(np.int64)
+        if k < len(text):
+            out[: len(text) - k] |= text[k:].astype(np.int64)
     return out
 
 
+def byte_words(text: np.ndarray) -> np.ndarray:
+    """The eight symbols from each position as one word, without a copy for each; all have to be
+    below 256, which the bytes of UTF-8 are (0xF8 and more do not occur in it)."""
+    if len(text) and int(text.max()) > 255:
+        raise ValueError("not UTF-8")
+    raw = np.zeros(len(text) + 520, np.uint8)
+    raw[: len(text)] = text
+    return np.ndarray((len(text) + 512,), "<u8", raw, strides=(1,))
+
+
 def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, counted up to `most`."""
     out = np.minimum(most, 0)
     live = np.flatnonzero(most > 0)
+    one = np.uint64(1)
     while len(live):
         x = words[a[live] + out[live]] ^ words[b[live] + out[live]]
-        equal = 7 - np.searchsorted(STEPS, x, side="right")
+        # zero bits below the lowest set one, all 64 if there is none
+        equal = (np.bitwise_count(~x & (x - one)) >> 3).astype(np.int64)
         out[live] += equal
-        live = live[(equal == 7) & (out[live] < most[live])]
+        live = live[(equal == 8) & (out[live] < most[live])]
     return np.minimum(out, most)
 
 
@@ -88,7 +99,7 @@ class RunIndex:
         text, start = joined(strings)
         n, self.depth = len(text), depth
         rows = suffix_array(text)
-        self.words = packed_words(text)
+        self.words = byte_words(text)
         bwt = text[rows - 1]
         head = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
         self.first = head

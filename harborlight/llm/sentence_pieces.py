@@ -4,9 +4,11 @@ The model file's pieces are matched, not its library: the texts of a batch are c
 piece can reach across (in front of a run of spaces), and the distinct strings that result are
 joined and indexed by a suffix array. Every piece is binary-searched for its range of
 occurrences; the ranges give edges (position, length, piece), which are sorted by position.
-Relaxation then joins, in every string at once, the adjacent pair whose edge has the best score,
-leftmost first, until no edge fits: the merge order of a byte-pair model. Strings that the worker
-has met before are remembered (REMEMBERED at most) and not indexed again.
+Relaxation then joins, in every string, the adjacent pair whose edge has the best score, leftmost
+first, until no edge fits: the merge order of a byte-pair model. Short strings take a step each
+at the same time; a string of more than TOGETHER characters keeps its pairs in a heap, over the
+same edges. Strings that the worker has met before are remembered (REMEMBERED bytes at most) and
+not indexed again.
 
 Defined results: a null or empty text has no ids; characters outside the vocabulary become byte
 pieces, so decoding gives every text back (but for the mark U+2581, which the format reads as a
@@ -32,10 +34,10 @@ from harborlight.llm.common import documents, slices, whole_text
 from harborlight.llm.runindex import joined, packed_words, suffix_array
 
 SPACE = "▁"
-#: Strings up to this many characters are relaxed together; longer ones one by one with a heap.
+#: Strings up to this many characters are relaxed in step; longer ones with a heap each.
 TOGETHER = 64
-#: Strings that a worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes of strings and ids that a worker remembers, OVERHEAD bytes a string counted in.
+REMEMBERED, OVERHEAD = 160 << 20, 200
 
 
 class Pieces:
@@ -60,9 +62,10 @@ class Pieces:
         levels = sorted({-s for _, _, s in normal})
         place = {s: k for k, s in enumerate(levels)}
         self.level = np.array([place[-s] for _, _, s in normal], np.int64)  # smaller is better
-        self.find = {n: k for k, n in enumerate(self.names)}
         self.size = np.array([len(n) for n in self.names], np.int64)
+        self.span = int(self.size.max()) + 1  # edges are keyed by position * span + length
         self.known: dict[str, bytes] = {}  # strings encoded before in this process
+        self.held = 0  # their bytes
         text, start = joined(self.names)
         words = packed_words(text)
         # piece bytes in words of seven symbols, and what masks the rest of a suffix's word
@@ -107,25 +110,24 @@ class Pieces:
             low[live] = np.where(below, middle + 1, low[live])
             high[live] = np.where(below, high[live], middle)
 
-    def encode_strings(self, strings: list[str]) -> list[bytes]:
-        """Ids of each string as little-endian unsigned 16-bit values, as the model's merges give."""
-        raw = [s.encode() for s in strings]
-        short = [i for i, s in enumerate(strings) if len(s) <= TOGETHER]
-        out: list[bytes] = [b""] * len(strings)
-        for i, x in enumerate(strings):
-            if len(x) > TOGETHER:
-                out[i] = self.one(x)
-        if short:
-            for i, ids in zip(short, self.relax([raw[i] for i in short])):
-                out[i] = ids
-        return out
+    def remembered(self, strings: list[str]) -> dict[str, bytes]:
+        """Ids of the strings, of which new ones alone are encoded."""
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.held = 0
+        new = [s for s in dict.fromkeys(strings) if s not in self.known]
+        ids = self.relax([s.encode() for s in new])
+        self.held += sum(len(s) + len(i) for s, i in zip(new, ids)) + OVERHEAD * len(new)
+        self.known.update(zip(new, ids))
+        return self.known
 
     def relax(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of each string as little-endian unsigned 16-bit values, as the model's merges give."""
+        if not raw:
+            return []
         text, start = joined(raw)
         at, length, piece = self.edges(text)
-        key = at * 64 + np.minimum(length, 63)
-        fits = length < 64
-        key, piece = key[fits], piece[fits]
+        key = at * self.span + length
         # symbols: their first bytes, the string they are in; the end is where the next one begins
         is_first = (text > 0) & ~((text > 128) & (text <= 192))
         a = np.flatnonzero(is_first)
@@ -134,12 +136,21 @@ class Pieces:
         worst = np.int64(1) << 40
 
         def rank(left: np.ndarray, right_end: np.ndarray) -> np.ndarray:
-            k = left * 64 + (right_end - left)
+            if not len(key):
+                return np.full(len(left), worst)
+            k = left * self.span + (right_end - left)
             i = np.minimum(np.searchsorted(key, k), len(key) - 1)
-            good = (right_end - left < 64) & (key[i] == k) if len(key) else np.zeros(len(k), bool)
-            return np.where(good, self.level[piece[i]] if len(key) else 0, worst)
+            return np.where((right_end - left < self.span) & (key[i] == k), self.level[piece[i]], worst)
 
         final_a, final_owner = [], []
+        long = np.bincount(owner, minlength=len(raw)) > TOGETHER
+        for o in np.flatnonzero(long):
+            lo, hi = np.searchsorted(key, (start[o] * self.span, (stop[o] + 1) * self.span))
+            mine = slice(*np.searchsorted(owner, (o, o + 1)))
+            left = self.one(a[mine].tolist(), int(stop[o]), dict(zip(key[lo:hi].tolist(), self.level[piece[lo:hi]].tolist())))
+            final_a.append(left)
+            final_owner.append(np.full(len(left), o))
+        a, owner = a[~long[owner]], owner[~long[owner]]
         while len(a):
             last = np.append(owner[1:] != owner[:-1], True)
             end = np.where(last, stop[owner], np.append(a[1:], 0))
@@ -164,9 +175,9 @@ class Pieces:
         a, owner = a[order], owner[order]
         last = np.append(owner[1:] != owner[:-1], True) if len(a) else np.zeros(0, bool)
         end = np.where(last, stop[owner], np.append(a[1:], 0)) if len(a) else a
-        k = a * 64 + np.minimum(end - a, 63)
+        k = a * self.span + (end - a)
         i = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
-        known = (key[i] == k) & (end - a < 64) if len(key) else np.zeros(len(a), bool)
+        known = (key[i] == k) & (end - a < self.span) if len(key) else np.zeros(len(a), bool)
         size = np.where(known, 1, end - a)  # byte pieces for what the vocabulary lacks
         ids = np.repeat(self.ids[piece[i]] if len(key) else np.zeros(len(a), np.int64), size)
         spot = np.repeat(a, size) + np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
@@ -177,37 +188,30 @@ class Pieces:
         whole = ids.astype("<u2").tobytes()
         return [whole[2 * x : 2 * y] for x, y in zip(edge, edge[1:])]
 
-    def one(self, string: str) -> bytes:
-        """The same merges for one long string, with a heap."""
-        parts: list[bytes | None] = [c.encode() for c in string]
-        following, before = list(range(1, len(parts))) + [-1], list(range(-1, len(parts) - 1))
-        heap: list[tuple[int, int, bytes, bytes]] = []
+    def one(self, first: list[int], stop: int, levels: dict[int, int]) -> np.ndarray:
+        """Where the symbols of one string start in the end. first: where its characters start;
+        levels: the level of each of its edges. The heap holds (level, left start, right end)."""
+        end = dict(zip(first, [*first[1:], stop]))  # of the symbol that starts there
+        begin = {e: f for f, e in end.items()}  # of the symbol that ends there
+        heap: list[tuple[int, int, int, int]] = []
 
-        def push(i: int) -> None:
-            j = following[i]
-            if j >= 0 and (k := self.find.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (int(self.level[k]), i, parts[i], parts[j]))
+        def push(left: int, middle: int) -> None:
+            right = end.get(middle)
+            if right is not None and right - left < self.span and (level := levels.get(left * self.span + right - left)) is not None:
+                heapq.heappush(heap, (level, left, middle, right))
 
-        for i in range(len(parts) - 1):
-            push(i)
+        for f in first:
+            push(f, end[f])
         while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = following[i] if parts[i] is not None else -1
-            if j < 0 or parts[i] != x or parts[j] != y:
+            _, left, middle, right = heapq.heappop(heap)
+            if end.get(left) != middle or end.get(middle) != right:
                 continue
-            parts[i], parts[j] = x + y, None
-            following[i] = following[j]
-            if following[j] >= 0:
-                before[following[j]] = i
-            if before[i] >= 0:
-                push(before[i])
-            push(i)
-        ids = []
-        for p in parts:
-            if p is not None:
-                k = self.find.get(p)
-                ids += [int(self.ids[k])] if k is not None else [self.bytes_id[b] for b in p]
-        return np.array(ids, "<u2").tobytes()
+            del end[middle], begin[middle]
+            end[left], begin[right] = right, left
+            if (before := begin.get(left)) is not None:
+                push(before, left)
+            push(left, right)
+        return np.array(list(end), np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.raw[i] for i in ids.tolist()]).decode(errors="replace").replace(SPACE, " ")
@@ -237,14 +241,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        known = pieces.known
         for batch in batches:
             for piece in slices(batch):
                 cut = [strings_of(t) for t in piece.column(1).to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = [s for s in dict.fromkeys(s for c in cut for s in c) if s not in known]
-                known.update(zip(new, pieces.encode_strings(new)))
+                known = pieces.remembered([s for c in cut for s in c])
                 ids = [b"".join([known[s] for s in c]) for c in cut]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
 
