@@ -101,13 +101,13 @@ def resolve(rows: DataFrame, groups: DataFrame) -> DataFrame:
     holders = hits.where(F.col("doc_id").cast("string").eqNullSafe(F.col("locator")))
     holders = holders.groupBy("digest").agg(F.max("text").alias("held"))
     holders = holders.join(hits.select("digest", "salt").distinct(), "digest")  # to the parts that have rows
-    checked = hits.join(holders, ["digest", "salt"]).select("digest", "doc_id", "text_sha256", "keep_id", "group_size", (F.col("text") == F.col("held")).alias("same"))
+    checked = hits.join(holders, ["digest", "salt"]).select("digest", "salt", "doc_id", "text_sha256", "keep_id", "group_size", (F.col("text") == F.col("held")).alias("same"))
     checked = written(checked, "hits")
-    mixed = checked.where("not same").select("digest").distinct()
-    sound = checked.join(mixed, "digest", "left_anti").select(*result())
-    apart = hits.select("digest", "doc_id", "text", "text_sha256").join(mixed, "digest", "left_semi")
+    mixed = checked.where("not same").select("digest").distinct().select("digest", parts)
+    sound = checked.join(mixed, ["digest", "salt"], "left_anti").select(*result())
+    apart = hits.select("digest", "salt", "doc_id", "text", "text_sha256").join(mixed, ["digest", "salt"], "left_semi")
     by_text = apart.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return sound.unionByName(apart.join(by_text, "text").select(*result()))
+    return sound.unionByName(apart.join(by_text.select("*", parts), ["text", "salt"]).select(*result()))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,16 @@
 store() turns each text's bytes into a track of fixed-size 8-bit samples inside an ISO media
 file (ftyp, mdat, moov with the full tree of nested boxes and sample tables). probe() is a
 reader for any such file: it walks nested boxes (32-bit, 64-bit and to-end sizes), decodes the
-sample tables (stts, stsc, stsz, stco or co64, stss) and returns codec, duration, dimensions
-and the byte range of every keyframe, without touching the payload. payload() reads the samples
-back through those tables.
+sample tables (stts, stsc, stsz, stco or co64, stss; trex, tfhd and trun of fragmented files) and
+returns codec, duration, dimensions and the byte range of every keyframe of every track, without
+touching the payload. payload() reads the samples back through those tables.
 
 The stored form depends on the bytes alone (no clock, no random ids), so equal texts give equal
 files. Defined results: a null or empty text is stored as one sample of spaces; very long texts
 take a 64-bit media box from 4 GiB on; repeated rows are stored alike; a null doc_id stays
-null; bytes that are no ISO media file are reported in `error` with null columns; extra columns
-are ignored.
+null; bytes that are no ISO media file, or whose tables do not fit their boxes or the file, are
+reported in `error` with null columns, before anything of the size they claim is allocated; store()
+ignores extra columns, probe() and read_back() keep all but those they make themselves.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from harborlight.llm.common import documents, whole_text
+from harborlight.llm.common import documents, whole_text, written
 
 SAMPLE, RATE, CHUNK, KEY_EVERY = 192, 48, 16, 12  # bytes a sample, samples a second, samples a chunk, samples between keyframes
 WIDTH, HEIGHT = 16, 12
 CODEC = b"raw "
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+DEEPEST = 32  # boxes inside each other; the format's own go 6 deep
 UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -77,10 +79,13 @@ def encode(data: bytes) -> bytes:
     return head + media + box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path of box types, start of body, end of body) of every box, depth first."""
-    end = len(data) if end is None else end
-    while start < end:
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("a box header is cut off")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -92,10 +97,12 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
         stop = end if size == 0 else start + size
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} leaves its parent")
-        yield (*path, kind), body, stop
+        todo.append((stop, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+            if len(path) >= DEEPEST:
+                raise ValueError("boxes are nested too deep")
+            todo.append((body, stop, (*path, kind)))
+        yield (*path, kind), body, stop
 
 
 @dataclass(frozen=True)
@@ -113,10 +120,12 @@ class Track:
 
 
 def table(data: memoryview, at: int, end: int, kind: str, columns: int = 1, head: int = 4) -> np.ndarray:
+    if at + head + 4 > end:
+        raise ValueError("a sample table is cut off")
     (n,) = struct.unpack_from(">I", data, at + head)
-    rows = np.frombuffer(data, kind, n * columns, at + head + 4).astype(np.int64)
     if at + head + 4 + n * columns * np.dtype(kind).itemsize > end:
         raise ValueError("a sample table leaves its box")
+    rows = np.frombuffer(data, kind, n * columns, at + head + 4).astype(np.int64)
     return rows.reshape(n, columns) if columns > 1 else rows
 
 
@@ -124,33 +133,52 @@ def tracks(raw: bytes) -> list[Track]:
     """The tracks of an ISO media file; ValueError for anything else."""
     data = memoryview(raw)
     found: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, ...]] = {}
+    fragments: list[dict] = []
+    moof = 0
     try:
         for path, at, end in walk(data):
             if path == (b"moov", b"trak"):
                 found.append({})
             elif path[:2] == (b"moov", b"trak") and found:
                 found[-1].setdefault(path[-1], (at, end))
+            elif path == (b"moov", b"mvex", b"trex"):
+                track_id, *rest = struct.unpack_from(">5I", data, at + 4)
+                defaults[track_id] = tuple(rest[1:])  # duration, size, flags
+            elif path == (b"moof",):
+                moof = at - 8
+            elif path == (b"moof", b"traf"):
+                fragments.append({"moof": moof, "runs": []})
+            elif path == (b"moof", b"traf", b"tfhd"):
+                fragments[-1]["head"] = (at, end)
+            elif path == (b"moof", b"traf", b"trun"):
+                fragments[-1]["runs"].append((at, end))
         if not found:
             raise ValueError("no track")
-        return [track(data, boxes) for boxes in found]
-    except (struct.error, KeyError, IndexError) as e:
+        return [track(data, boxes, fragments, defaults) for boxes in found]
+    except (struct.error, KeyError, IndexError, OverflowError) as e:
         raise ValueError(f"not an ISO media file: {e}") from e
 
 
-def track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> Track:
+def track(data: memoryview, boxes: dict[bytes, tuple[int, int]], fragments: list[dict] = (), defaults: dict[int, tuple[int, ...]] | None = None) -> Track:
     at, _ = boxes[b"mdhd"]
     rate, ticks = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    at, _ = boxes[b"stsd"]
+    at, end = boxes[b"stsd"]
+    if at + 44 > end:
+        raise ValueError("no sample entry")
     codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
     width, height = struct.unpack_from(">HH", data, at + 40)
     at, end = boxes[b"stsz"]
     fixed, n = struct.unpack_from(">II", data, at + 4)
+    if fixed and n * fixed > len(data):
+        raise ValueError("more samples than bytes")
     sizes = np.full(n, fixed, np.int64) if fixed else table(data, at, end, ">u4", head=8)
     chunk_at = table(data, *boxes[b"stco"], ">u4") if b"stco" in boxes else table(data, *boxes[b"co64"], ">u8")
     runs = table(data, *boxes[b"stsc"], ">u4", 3)
-    per = np.zeros(len(chunk_at), np.int64)
-    for i, (first, each, _) in enumerate(runs):
-        per[first - 1 : runs[i + 1][0] - 1 if i + 1 < len(runs) else None] = each
+    starts = runs[:, 0] - 1
+    if len(runs) and (starts[0] != 0 or (np.diff(starts) <= 0).any() or starts[-1] >= len(chunk_at)):
+        raise ValueError("the runs of chunks are out of order")
+    per = np.repeat(runs[:, 1], np.diff(np.append(starts, len(chunk_at)))) if len(runs) else np.zeros(len(chunk_at), np.int64)
     if per.sum() != n:
         raise ValueError("the chunks hold another number of samples")
     before = np.cumsum(sizes) - sizes
@@ -158,9 +186,57 @@ def track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> Track:
     held = per > 0
     offsets = np.repeat(chunk_at[held] - before[first[held]], per[held]) + before
     keys = table(data, *boxes[b"stss"], ">u4") - 1 if b"stss" in boxes else np.arange(n)
-    times = table(data, *boxes[b"stts"], ">u4", 2)
-    ticks = int((times[:, 0] * times[:, 1]).sum()) or ticks
-    return Track(codec, ticks / rate if rate else 0.0, width, height, offsets, sizes, keys)
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a keyframe is no sample")
+    times = table(data, *boxes[b"stts"], ">u4", 2).tolist()
+    length = sum(a * b for a, b in times)
+    at, _ = boxes[b"tkhd"]
+    (track_id,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+    for f in fragments:
+        if struct.unpack_from(">I", data, f["head"][0] + 4)[0] == track_id:
+            more_at, more, spans, sync = fragment(data, f, (defaults or {}).get(track_id, (0, 0, 0)))
+            keys = np.append(keys, len(sizes) + np.flatnonzero(sync))
+            offsets, sizes, length = np.append(offsets, more_at), np.append(sizes, more), length + sum(spans)
+    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("a sample leaves the file")
+    return Track(codec, (length or ticks) / rate if rate else 0.0, width, height, offsets, sizes, keys)
+
+
+def fragment(data: memoryview, traf: dict, default: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """offset, size, ticks and whether it is a keyframe, of the samples of one track fragment."""
+    at, _ = traf["head"]
+    flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
+    spot, base, own = at + 8, traf["moof"], list(default)
+    if flags & 1:
+        (base,), spot = struct.unpack_from(">Q", data, spot), spot + 8
+    spot += 4 if flags & 2 else 0
+    for k, bit in enumerate((8, 16, 32)):
+        if flags & bit:
+            (own[k],), spot = struct.unpack_from(">I", data, spot), spot + 4
+    offsets, sizes, spans, sync, where = [], [], [], [], base
+    for at, end in traf["runs"]:
+        flags, n = struct.unpack_from(">II", data, at)
+        flags, spot = flags & 0xFFFFFF, at + 8
+        if flags & 1:
+            where, spot = base + struct.unpack_from(">i", data, spot)[0], spot + 4
+        first = None
+        if flags & 4:
+            (first,), spot = struct.unpack_from(">I", data, spot), spot + 4
+        held = [k for k, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
+        if spot + 4 * n * len(held) > end or (not held and n * max(1, own[1]) > len(data)):
+            raise ValueError("a run of samples leaves its box")
+        cells = np.frombuffer(data, ">u4", n * len(held), spot).astype(np.int64).reshape(n, len(held))
+        columns = [cells[:, held.index(k)] if k in held else np.full(n, own[k], np.int64) for k in range(3)]
+        if first is not None and n and 2 not in held:
+            columns[2] = np.append(first, columns[2][1:])
+        ends = where + np.cumsum(columns[1])
+        offsets.append(ends - columns[1])
+        sizes.append(columns[1])
+        spans += columns[0].tolist()
+        sync.append(columns[2] & 0x10000 == 0)
+        where = int(ends[-1]) if n else where
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *offsets]), np.concatenate([none, *sizes]), spans, np.concatenate([np.zeros(0, bool), *sync])
 
 
 def payload(raw: bytes, t: Track) -> bytes:
@@ -185,9 +261,9 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def each_media(media: DataFrame, schema: str, row: Callable[[bytes | None], tuple]) -> DataFrame:
-    """The columns of `media` but the bytes, and what row() makes of the bytes."""
-    kept = [c for c in media.columns if c != "media"]
+    """The columns of `media` but the bytes and the names in schema, and what row() makes of the bytes."""
     added = StructType.fromDDL(schema)
+    kept = [c for c in media.columns if c != "media" and c not in added.names]
     types = [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,31 +276,45 @@ def each_media(media: DataFrame, schema: str, row: Callable[[bytes | None], tupl
     return media.select(*kept, "media").mapInArrow(run, out)
 
 
+RANGES = "array<struct<offset: bigint, size: bigint>>"
+
+
+def keyframes(t: Track) -> list[dict]:
+    return [{"offset": a, "size": b} for a, b in t.ranges()]
+
+
 def probe(media: DataFrame) -> DataFrame:
-    """codec, seconds, width, height, samples, keyframes (offset, size), error; no payload is read."""
+    """tracks (codec, duration, width, height, samples, keyframes as offset and size) and error; no
+    payload is read."""
 
     def row(raw: bytes | None) -> tuple:
         try:
-            t = tracks(raw or b"")[0]
+            found = tracks(raw or b"")
         except ValueError as e:
-            return None, None, None, None, None, None, str(e)
-        return t.codec, t.seconds, t.width, t.height, len(t.sizes), [{"offset": a, "size": b} for a, b in t.ranges()], None
+            return None, str(e)
+        return [{"codec": t.codec, "duration": t.seconds, "width": t.width, "height": t.height, "samples": len(t.sizes), "keyframes": keyframes(t)} for t in found], None
 
-    return each_media(media, "codec string, seconds double, width int, height int, samples long, keyframes array<struct<offset: bigint, size: bigint>>, error string", row)
+    return each_media(media, f"tracks array<struct<codec: string, duration: double, width: int, height: int, samples: bigint, keyframes: {RANGES}>>, error string", row)
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Digests of the payload and of the stored form, and a feature line of the first track."""
+    """codec, duration and keyframes of the first track, digests of its payload and of the stored
+    form, and a feature line. Bytes that are no ISO media file give nulls."""
 
-    def row(raw: bytes) -> tuple:
-        t = tracks(raw)[0]
+    def row(raw: bytes | None) -> tuple:
+        try:
+            t = tracks(raw or b"")[0]
+        except ValueError:
+            return (None,) * 9
         data = payload(raw, t)
         ranges = t.ranges()
-        feature = f"codec={t.codec.strip()};seconds={t.seconds:.6f};size={t.width}x{t.height};samples={len(t.sizes)};keyframes={len(ranges)};first={ranges[0][0]}+{ranges[0][1]};last={ranges[-1][0]}+{ranges[-1][1]};mean={np.frombuffer(data, np.uint8).mean():.4f}"
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
+        ends = f"first={ranges[0][0]}+{ranges[0][1]};last={ranges[-1][0]}+{ranges[-1][1]}" if ranges else "first=;last="
+        mean = f"{np.frombuffer(data, np.uint8).mean():.4f}" if data else ""
+        feature = f"codec={t.codec.strip()};seconds={t.seconds:.6f};size={t.width}x{t.height};samples={len(t.sizes)};keyframes={len(ranges)};{ends};mean={mean}"
+        return t.codec, t.seconds, keyframes(t), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
 
-    return each_media(media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", row)
+    return each_media(media, f"codec string, duration double, keyframes {RANGES}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", row)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(store(documents(spark, sf_dir)))
+    return read_back(written(store(documents(spark, sf_dir)), "media", "zstd"))

@@ -66,10 +66,10 @@ def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", "ids", "global_start").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, encode_special_tokens: bool = False) -> DataFrame:
     """Pieces with their ids. Sequences are gapless from offset 0; only the last is not full."""
     return cut(global_offsets(written(tokenise(docs, vocabulary, encode_special_tokens=encode_special_tokens), "tokens", "zstd")), length)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), encode_special_tokens=False).drop("ids")
+    return pack(documents(spark, sf_dir)).drop("ids")

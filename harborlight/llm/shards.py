@@ -3,8 +3,8 @@
 Packed sequences get a global slot each: a keyed Feistel network over the next power of four,
 walked along its cycles until it lands below the number of sequences, is a permutation that any
 task can compute for itself. Sequences are dealt to contiguous slot ranges and written as shards
-of fixed-stride records, so that slot s lies at byte (s mod PER_SHARD) * stride of shard
-s div PER_SHARD: readers go through shards in order and resume at any slot without an index.
+of fixed-stride records, so that slot s lies at byte (s mod per_shard) * stride of shard
+s div per_shard: readers go through shards in order and resume at any slot without an index.
 
 Null texts count as empty (one closing id); empty tables give no shard; a null doc_id stays null
 in the lists of documents; repeated rows are separate documents; a text of any length spans as
@@ -51,8 +51,11 @@ def feistel(x: np.ndarray, size: int, key: int = KEY, inverse: bool = False) ->
 SHARD = "shard long, first_slot long, stride int, payload binary, crc32 long, records array<struct<slot: long, sequence_id: long, n_tokens: int, doc_ids: array<long>>>"
 
 
-def write_shards(pieces: DataFrame, sequences: int, path: str, length: int = LENGTH, key: int = KEY, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write the shards of packed pieces as a table under path: one row a shard."""
+def write_shards(pieces: DataFrame, sequences: int, path: str, length: int = LENGTH, key: int = KEY, per_shard: int = PER_SHARD, compression: str = "zstd") -> DataFrame:
+    """Write the shards of packed pieces as a table under path: one row a shard.
+
+    compression: of the table's files; with "none" a shard's bytes lie in its file as they are.
+    """
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +95,7 @@ def write_shards(pieces: DataFrame, sequences: int, path: str, length: int = LEN
     placed = pieces.select("doc_id", "sequence_id", "offset", "ids").mapInArrow(slots, "doc_id long, sequence_id long, offset long, ids binary, slot long")
     dealt = placed.repartitionById(parts, F.expr(f"cast(slot div {each} as int)")).sortWithinPartitions("slot", "offset")
     out = dealt.select("doc_id", "sequence_id", "slot", "ids").mapInArrow(assemble, SHARD)
-    out.write.option("compression", "zstd").parquet(path)
+    out.write.option("compression", compression).parquet(path)
     return pieces.sparkSession.read.schema(SHARD).parquet(path)
 
 
@@ -112,16 +115,16 @@ def read_slots(shards: DataFrame, first: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("slot", pa.int64()), ("sequence_id", pa.int64()), ("shard", pa.int64()), ("byte_offset", pa.int64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
-    rows = shards.where(F.col("shard") >= first // PER_SHARD).select("shard", "stride", "payload", "crc32", "records")
+    rows = shards.where(F.col("first_slot") + F.size("records") > first).select("shard", "stride", "payload", "crc32", "records")
     return rows.mapInArrow(run, "slot long, sequence_id long, shard long, byte_offset long, n_tokens int, ids_crc32 long, doc_ids array<long>").where(F.col("slot") >= first)
 
 
-def materialise(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
+def materialise(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str | None = None, encode_special_tokens: bool = False, per_shard: int = PER_SHARD) -> DataFrame:
     """The written shards of docs (doc_id, text), a row each."""
     tokens = written(tokenise(docs, vocabulary, encode_special_tokens=encode_special_tokens), "tokens", "zstd")
     total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]  # one number
-    return write_shards(cut(global_offsets(tokens), length), -(-total // length), work_path(docs.sparkSession, "shards"), length, key)
+    return write_shards(cut(global_offsets(tokens), length), -(-total // length), work_path(docs.sparkSession, "shards"), length, key, per_shard)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_slots(materialise(documents(spark, sf_dir), encode_special_tokens=False))
+    return read_slots(materialise(documents(spark, sf_dir)))

@@ -24,20 +24,20 @@ def default_vocabulary() -> str:
 
 
 @cache
-def encoder(path: str, encode_special_tokens: bool = True):
+def encoder(path: str, encode_special_tokens: bool = False):
     """text -> list of ids, equal to tokenizers.Tokenizer.from_file(path) with add_special_tokens=False.
 
     The merges of a byte-level BPE file are ranks in id order, so tiktoken can run the same
     vocabulary; it takes about a fifth of the time here. encode_special_tokens is the library's
-    setting of that name: True takes strings of added tokens as ordinary text; False, which the
-    library has when a file is loaded, gives each its id. Then texts that hold one go through the
-    library itself.
+    setting of that name: False, which a loaded file has, gives strings of added tokens their id,
+    so texts that hold one go through the library itself; True takes them as ordinary text.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    # fixed values: the bytes that byte-level vocabularies show as themselves
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(printable))}
     raw = {c: b for b, c in shown.items()}
@@ -56,7 +56,7 @@ def encoder(path: str, encode_special_tokens: bool = True):
     return encode
 
 
-def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, encode_special_tokens: bool = True) -> DataFrame:
+def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, encode_special_tokens: bool = False) -> DataFrame:
     """One row per document: its ids as little-endian unsigned 16-bit values, then end_id.
 
     part is the task that read the row and local_start the number of ids before the row in

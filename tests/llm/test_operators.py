@@ -116,7 +116,7 @@ def test_bitmaps_bound_from_above():
     for na, nb, both in ((30, 40, 20), (400, 500, 390), (3000, 2800, 10), (5, 5, 5)):
         pool = rnd.integers(1, 1 << 62, na + nb - both, dtype=np.uint64)
         a, b = np.sort(pool[:na]), np.sort(pool[na - both :])
-        bound = jaccard_join.most_overlap([jaccard_join.bitmap(a), jaccard_join.bitmap(b)], np.array([na, nb]), np.array([0]), np.array([1]))[0]
+        bound = jaccard_join.Bitmaps([jaccard_join.bitmap(a), jaccard_join.bitmap(b)]).most_overlap(np.array([na, nb]), np.array([0]), np.array([1]))[0]
         assert both <= bound <= min(na, nb)
 
 
@@ -185,7 +185,6 @@ def test_packing(awkward):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     rows = packing.pack(awkward, length=64).collect()
     ids = {}
     for i, text in ROWS:
@@ -227,6 +226,18 @@ def test_shards_hold_every_sequence(spark, awkward):
     assert shards.read_slots(written, first=n - 3).count() == 3
 
 
+@pytest.mark.parametrize("per_shard", [1, 7, 600])
+def test_shards_resume_at_any_slot(awkward, per_shard):
+    written = shards.materialise(awkward, length=16, per_shard=per_shard)
+    n = shards.read_slots(written).count()
+    assert n > 700
+    for first in (0, 1, 599, 600, 601, n - 1, n):
+        assert sorted(r.slot for r in shards.read_slots(written, first).select("slot").collect()) == list(range(first, n))
+    for s in written.collect():
+        assert s.first_slot == s.shard * per_shard and len(s.payload) == s.stride * len(s.records)
+        assert [r.slot for r in s.records] == list(range(s.first_slot, s.first_slot + len(s.records)))
+
+
 def test_sentence_pieces_equal_the_library(awkward):
     import sentencepiece
 
@@ -245,7 +256,16 @@ def test_media_round_trip(awkward):
         assert data.rstrip(b" ") == raw.rstrip(b" ") and len(data) % 192 == 0 and data.startswith(raw) and r.n_bytes == len(raw)
         assert [data[k * 192 : (k + 1) * 192] == bytes(r.media)[a : a + n] for k, (a, n) in zip(track.keys, track.ranges())].count(False) == 0
     probed = media.probe(media.store(awkward)).collect()
-    assert all(p.codec == "raw " and p.error is None and len(p.keyframes) == -(-p.samples // 12) for p in probed)
+    assert all(p.error is None and [(t.codec, len(t.keyframes)) for t in p.tracks] == [("raw ", -(-p.tracks[0].samples // 12))] for p in probed)
+    back = {(r.doc_id, r.payload_bytes): r for r in media.read_back(media.store(awkward)).collect()}
+    for i, t in ROWS:
+        data = (t or "").encode()
+        data = data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
+        r, stored = back[i, len(data)], media.encode((t or "").encode())
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.codec, r.duration) == ("raw ", len(data) / 192 / 48)
+        assert [data[k * 192 * 12 : k * 192 * 12 + 192] for k in range(len(r.keyframes))] == [stored[x.offset : x.offset + x.size] for x in r.keyframes]
 
 
 def test_media_reports_damaged_files(spark):
