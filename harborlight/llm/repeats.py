@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import dealt, discard, documents, maybe_in, prefilter, slices, trim, whole_groups, whole_text, written
+from harborlight.llm.common import dealt, documents, maybe_in, prefilter, slices, trim, whole_groups, whole_text, written
 from harborlight.llm.kernels import U64, gram_hashes, mix, powers, sliding_min, utf8
 from harborlight.llm.runindex import RunIndex
 
@@ -283,22 +283,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (doc_id, text, n_chars, more columns) with the repeated bytes cut out of text.
+    """docs (doc_id, text, more columns of any name) with the repeated bytes cut out of text.
 
     Characters that lose some of their bytes go whole, and n_chars counts what is left. Rows
     without repeats stay as they are, null texts included.
     """
     names = docs.columns
-    work = docs.select(*[F.col(c) for c in names if c != "text"], F.col("text").alias("own"), whole_text().alias("text"))
-    marked, whole = with_marks(work, length)
+    others = [c for c in names if c not in ("doc_id", "text")]
+    row = F.struct(F.col("text").isNull().alias("no_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    marked, whole = with_marks(docs.select("doc_id", whole_text().alias("text"), row.alias("row")), length)
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, marks: pd.Series) -> pd.Series:
         return pd.Series([kept_bytes(t.encode(), m, length)[0].decode(errors="ignore") for t, m in zip(text, marks)], dtype=object)
 
-    changed = marked.withColumn("text", rest("text", F.transform("marks", lambda m: F.array(m["start"], m["windows"]))))
-    changed = changed.withColumn("n_chars", F.length("text").cast("long"))
-    return changed.select(*names).unionByName(whole.withColumn("text", F.col("own")).select(*names))
+    def columns(n_chars: Column | None) -> list[Column]:
+        held = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("row.no_text"), F.col("text"))}
+        held |= {c: F.col(f"row.c{i}") for i, c in enumerate(others)}
+        if n_chars is not None and "n_chars" in held:
+            held["n_chars"] = n_chars
+        return [held[c].alias(c) for c in names]
+
+    changed = marked.select("doc_id", "row", rest("text", F.transform("marks", lambda m: F.array(m["start"], m["windows"]))).alias("text"))
+    return changed.select(*columns(F.length("text").cast("long"))).unionByName(whole.select(*columns(None)))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

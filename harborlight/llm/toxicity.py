@@ -158,7 +158,9 @@ def score(docs: DataFrame, model: SentenceModel, offending: float = THRESHOLD) -
 
 
 def flag(docs: DataFrame, model: SentenceModel, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with all columns and `toxic`: its score reaches the threshold. No join is needed."""
+    """docs with all columns and `toxic` (its own is replaced): the score reaches the threshold. No
+    join is needed."""
+    docs = docs.drop("toxic")
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
