@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.llm import exact_dedup, jaccard_join, packing, repeats, toxicity
-from harborlight.llm.common import prepare, whole_text, without, written
+from harborlight.llm.common import discard, prepare, whole_text, without, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,7 +59,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
     prepare(spark)
-    return packing.pack(docs, encode_special_tokens=False).drop("ids")
+    return packing.pack(docs).drop("ids")
 
 
 STAGES = [
@@ -75,6 +75,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
