@@ -1,4 +1,4 @@
-"""Retrieval as joins: structural chunks, BM25 over postings, vector distances, fusion, filters."""
+"""Retrieval as joins: BM25 over postings, vector distances in blocks, fusion, filters."""
 
 from __future__ import annotations
 
@@ -6,147 +6,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one block of the distance scan holds; the vectors pass once for every block.
-QUERY_BLOCK = 512
+#: Vectors that one task holds while the queries stream past, and queries in one matrix product.
+SLICE, QUERY_BLOCK = 50_000, 256
 
 
-def chunks(docs: DataFrame, flush: int = 40, most: int = 400, least: int = 10) -> DataFrame:
-    """doc_id, chunk_no, text of paragraph chunks.
-
-    Blocks between blank lines; a block whose first line starts with '#' sets the section (its
-    other lines are text); blocks under `least` characters go; text is gathered until `flush`
-    characters; longer pieces are cut at sentence ends, or hard at `most`.
-    """
-
-    def cut(text: str) -> list[str]:
-        out, held = [], ""
-        for sentence in split_sentences(text):
-            while len(sentence) > most:
-                if held:
-                    out.append(held)
-                    held = ""
-                out.append(sentence[:most])
-                sentence = sentence[most:]
-            if len(held) + len(sentence) > most:
-                out.append(held)
-                held = ""
-            held += sentence
-        return [*out, held] if held else out
-
-    def pieces(text: str) -> list[str]:
-        section, held, out = "", "", []
-
-        def flush_held() -> None:
-            nonlocal held
-            if held:
-                out.extend((f"[{section[:40]}] " if section else "") + c for c in cut(held))
-            held = ""
-
-        for block in text.split("\n\n"):
-            block = block.strip()
-            if block.startswith("#"):
-                flush_held()
-                head, _, block = block.partition("\n")
-                section = head.lstrip("# ").strip()
-                block = block.strip()
-            if len(block) < least:
-                continue
-            held = f"{held}\n{block}" if held else block
-            if len(held) >= flush:
-                flush_held()
-        flush_held()
-        return [c for c in out if len(c) >= least]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, i, c) for d, t in zip(*(x.to_pylist() for x in batch.columns)) for i, c in enumerate(pieces(t or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "chunk_no", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_no int, text string")
-
-
-def split_sentences(text: str) -> list[str]:
-    """The text cut behind sentence marks; nothing is lost."""
-    out, start = [], 0
-    for i, c in enumerate(text):
-        if c in ".!?;。！？；":
-            out.append(text[start : i + 1])
-            start = i + 1
-    return [*out, text[start:]] if start < len(text) else out
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf, n_terms."""
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("words"))
-    terms = words.select("doc_id", F.size("words").alias("n_terms"), F.explode("words").alias("term"))
-    return terms.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("n_terms").alias("n_terms"))
+def terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score: Okapi BM25 with idf ln((N - n + 0.5) / (n + 0.5)), floored at 0.
 
-    Only terms that a query has leave the postings; the statistics are one row.
+    Only terms that a query has are grouped, lengths are counted in the row, and terms that half
+    of the documents hold (idf 0) never meet the queries; the statistics are one row.
     """
-    post = postings(docs)
-    size = docs.agg(F.count(F.lit(1)).alias("docs"))
-    mean = post.groupBy("doc_id").agg(F.first("n_terms").alias("n")).agg(F.sum("n").alias("all_terms"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("term"))
-    used = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = asked.join(used.join(df, "term"), "term").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(mean))
-    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))).alias("all_terms"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    words = docs.select("doc_id", terms(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("n_terms"), F.explode("words").alias("term"))
+    held = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("n_terms").alias("n_terms"))
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size)).where("2 * df < docs")
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") * F.col("docs") / F.col("all_terms")))
-    return rows.groupBy("query_id", "doc_id").agg(F.sum(idf * tf).alias("score")).where("score > 0")
+    weighed = held.join(df, "term").select("term", "doc_id", (idf * tf).alias("weight"))
+    return asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score")).where("score > 0")
+
+
+def strongest(scores: DataFrame, most: int, share: float = 0.7) -> DataFrame:
+    """query_id, id, score: the `most` best hits of each query, down to a share of its best score."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    rows = scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    return rows.withColumn("top", top).where(F.col("score") >= share * F.col("top") - 1e-9).select("query_id", F.col("doc_id").alias("id"), "score")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, distance: the k nearest vectors (L2) of each query, ties to the smaller id.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, slice_rows: int = SLICE) -> DataFrame:
+    """query_id, id, distance, rank: the k nearest vectors (L2) of each query, ties to the smaller id.
 
-    The queries are a stated set, taken to the vectors in blocks: every task keeps k candidates a
-    query, so a block shuffles tasks x QUERY_BLOCK x k small rows, whatever the vectors' number.
+    Vectors are dealt to slices by hash and the queries to every slice; a task holds a slice and
+    streams the queries past it in blocks, one matrix product each, so neither side is ever
+    whole in one place. k candidates a query and slice are left for the last sort. The product
+    only selects: candidates' distances are computed from the differences. Null vectors are
+    left out; all others have one length.
     """
-    ordered = queries.select("query_id", "embedding").orderBy("query_id")
-    rows = ordered.collect()  # a stated query set
-    out = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = np.array([r["query_id"] for r in block], np.int64)
-        asked = np.array([r["embedding"] for r in block], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-            for batch in batches:
-                held = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None]
-                if not held or not len(ids):
-                    continue
-                own = batch.column(0).to_numpy()[held]
-                x = np.array([batch.column(1)[i].as_py() for i in held], np.float64)
-                for q in range(len(ids)):
-                    distance = np.append(best[q][0], np.sqrt(((x - asked[q]) ** 2).sum(1)))
-                    both = np.append(best[q][1], own)
-                    order = np.lexsort((both, distance))[:k]
-                    best[q] = distance[order], both[order]
-            if len(ids):
-                count = [len(b[1]) for b in best]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], ["query_id", "id", "distance"])
-
-        part = vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, distance double")
-        out = part if out is None else out.unionByName(part)
+    slices = vectors.count() // slice_rows + 1
+    own = vectors.select(F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.lit(0).alias("kind"), "id", "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "embedding")
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def best(ids: np.ndarray, x: np.ndarray, asked_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        near = (x**2).sum(1) - 2 * q @ x.T  # squared distance but for the query's own square
+        keep = min(k, len(ids))
+        limit = np.partition(near, keep - 1, axis=1)[:, keep - 1] + 1e-6 * (1 + np.abs(near).max(1))
+        out = []
+        for i in range(len(q)):
+            at = np.flatnonzero(near[i] <= limit[i])
+            distance = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
+            order = np.lexsort((ids[at], distance))[:keep]
+            out.append((np.full(len(order), asked_ids[i]), ids[at][order], distance[order]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "id", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, held = None, [], []
+        for batch in batches:
+            slice_of, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.append(True, (slice_of[1:] != slice_of[:-1]) | (kind[1:] != kind[:-1]))) if batch.num_rows else []
+            for a, b in zip(edges, [*edges[1:], batch.num_rows]):
+                if slice_of[a] != at:
+                    at, ids, held = slice_of[a], [], []
+                part_ids, part = batch.column(2).slice(a, b - a).to_numpy(), matrix(batch.column(3).slice(a, b - a))
+                if kind[a] == 0:
+                    ids.append(part_ids)
+                    held.append(part)
+                elif held:
+                    if len(held) > 1:
+                        ids, held = [np.concatenate(ids)], [np.concatenate(held)]
+                    for i in range(0, len(part), QUERY_BLOCK):
+                        yield best(ids[0], held[0], part_ids[i : i + QUERY_BLOCK], part[i : i + QUERY_BLOCK])
+
+    rows = own.union(asked).where("embedding is not null").repartition("slice").sortWithinPartitions("slice", "kind", "id")
+    out = rows.mapInArrow(run, "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(vector: DataFrame, lexical: DataFrame, threshold: float, strong: float = 0.7, gain: float = 0.03) -> DataFrame:
-    """query_id, id, distance, origin: vector hits that are strong lexical hits, too, come nearer
-    by `gain`; strong lexical hits alone enter just inside the threshold."""
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    good = lexical.withColumn("top", top).where(F.col("score") >= strong * F.col("top")).select("query_id", "id", F.lit(True).alias("lexical"))
-    rows = vector.select("query_id", "id", "distance").join(good, ["query_id", "id"], "full_outer")
-    distance = F.when(F.col("distance").isNull(), threshold - gain).when(F.col("lexical"), F.col("distance") - gain).otherwise(F.col("distance"))
-    origin = F.when(F.col("distance").isNull(), "lexical").when(F.col("lexical"), "both").otherwise("vector")
+def fuse(vector: DataFrame, lexical: DataFrame, threshold: float, gain: float = 0.03, boost: float = 0.05) -> DataFrame:
+    """query_id, id, distance, origin of vector hits (query_id, id, distance, boosted) and strong
+    lexical hits (query_id, id): what both found comes nearer by `gain`, vector hits with a
+    boosting word by `boost`; lexical hits alone enter just inside the threshold."""
+    rows = vector.join(lexical.select("query_id", "id", F.lit(True).alias("lexical")), ["query_id", "id"], "full_outer")
+    alone, both = F.col("distance").isNull(), F.col("lexical").isNotNull()
+    nearer = F.col("distance") - F.when(both, gain).otherwise(0.0) - F.when(F.col("boosted"), boost).otherwise(0.0)
+    distance = F.when(alone, threshold - gain).otherwise(nearer)
+    origin = F.when(alone, "lexical").when(both, "both").otherwise("vector")
     return rows.select("query_id", "id", distance.alias("distance"), origin.alias("origin"))
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from harborlight.operators import curation as C
 from harborlight.operators import retrieval as R
+from harborlight.functions import chunks as K
 from harborlight.functions import text as T
 from harborlight.plans.registry import query
+from harborlight.sources import readers
 from harborlight.sources.tables import table
 
 
@@ -44,20 +46,49 @@ def ded03(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(T.shingles(F.coalesce("text", F.lit("")), 4)).cast("long").alias("n"))
 
 
-@query("DED06_near_duplicates", """WITH t AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS x FROM documents),
-  s AS (SELECT id, CASE WHEN len(x) >= 4 THEN list_distinct(list_transform(range(1, len(x) - 2), lambda i: substr(x, i, 4))) ELSE [x] END AS g FROM t WHERE x <> ''),
+_SETS = """t AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS x FROM documents),
+  s AS (SELECT id, CASE WHEN len(x) >= 4 THEN list_distinct(list_transform(range(1, len(x) - 2), lambda i: substr(x, i, 4))) ELSE [x] END AS g FROM t WHERE x <> '')"""
+
+
+@query("DED06_near_duplicates", f"""WITH {_SETS},
   p AS (SELECT b.id, len(a.g) AS na, len(b.g) AS nb, len(list_intersect(a.g, b.g)) AS k FROM s a JOIN s b ON a.id < b.id AND len(a.g) * 10 >= len(b.g) * 8 AND len(b.g) * 10 >= len(a.g) * 8)
   SELECT DISTINCT id FROM p WHERE k >= 0.8::DOUBLE * (na + nb - k)""")
 def ded06(spark, d):
     return C.near_duplicates(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text")))
 
 
+@query("DED04_minhash_signature")
+def ded04(spark, d):
+    """id, n, signature (128 minima) of every text with n-grams."""
+    return C.minhash(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text")))
+
+
+@query("DED05_band_candidates")
+def ded05(spark, d):
+    """id, earlier: for every band of a text the first text that has the band, too, if earlier."""
+    return C.band_candidates(C.minhash(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))))
+
+
+def places(rows, group, digest):
+    """rows plus place (1 and on, in the order of a hex digest, then doc_id) and n of their group.
+
+    No group is sorted in one task: rows are counted by the digest's first three digits, which
+    cut a group into 4096 equal parts, and ranked inside their part behind the parts before.
+    """
+    rows = rows.withColumn("order_key", digest).withColumn("digits", F.substring(digest, 1, 3))
+    counts = rows.groupBy(group, "digits").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(group)
+    upto = w.orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "digits", F.coalesce(F.sum("k").over(upto), F.lit(0)).alias("before"), F.sum("k").over(w).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(group, "digits").orderBy("order_key", "doc_id"))
+    return rows.withColumn("inside", inside).join(counts, [group, "digits"]).withColumn("place", F.col("before") + F.col("inside"))
+
+
 @query("SMP01_stratified_sample", """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
   WHERE r <= least(n, greatest(5, round_even(n * 0.1::DOUBLE, 0)))""")
 def smp01(spark, d):
-    w = Window.partitionBy("lang")
-    rows = docs(spark, d).select("doc_id", F.row_number().over(w.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return rows.where(F.col("r") <= F.least(F.col("n"), F.greatest(F.lit(5), F.bround(F.col("n") * F.lit(0.1), 0)))).select("doc_id")
+    rows = places(docs(spark, d).select("doc_id", "lang"), "lang", F.md5(F.col("doc_id").cast("string")))
+    return rows.where(F.col("place") <= F.least(F.col("n"), F.greatest(F.lit(5), F.bround(F.col("n") * F.lit(0.1), 0)))).select("doc_id")
 
 
 @query("WIN08_quota_fill", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE n_chars > 500) WHERE r <= 7")
@@ -69,7 +100,8 @@ def win08(spark, d):
 @query("WIN09_round_robin", """SELECT doc_id, row_number() OVER (ORDER BY r, source, lang) AS place FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents)
   ORDER BY r, source, lang LIMIT 60""")
 def win09(spark, d):
-    rows = docs(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")))
+    # 60 rows need at most 60 of a group, which the rank finds before the shuffle
+    rows = docs(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))).where("r <= 60")
     top = rows.orderBy("r", "source", "lang").limit(60).select("doc_id", "r", "source", "lang")
     return top.select("doc_id", F.row_number().over(Window.orderBy("r", "source", "lang")).alias("place"))
 
@@ -81,8 +113,7 @@ def win10(spark, d):
 
 @query("SRT07_seeded_shuffle", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents")
 def srt07(spark, d):
-    w = Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id")
-    return docs(spark, d).select("doc_id", F.row_number().over(w).alias("place"))
+    return places(docs(spark, d).select("doc_id", "lang"), "lang", F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")))).select("doc_id", "place")
 
 
 @query("SRT06_most_common", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10")
@@ -124,9 +155,12 @@ def agg18(spark, d):
 
 @query("AGG19_length_summary", "WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, min(n_chars) AS low, max(n_chars) FILTER (k = n // 2 + 1) AS middle, max(n_chars) AS high FROM r GROUP BY lang")
 def agg19(spark, d):
+    # counts by length first: the window runs over lengths, not documents
+    counts = docs(spark, d).groupBy("lang", "n_chars").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("lang")
-    rows = docs(spark, d).select("lang", "n_chars", F.row_number().over(w.orderBy("n_chars")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    return rows.groupBy("lang").agg(F.min("n_chars").alias("low"), F.max(F.when(F.expr("k = n div 2 + 1"), F.col("n_chars"))).alias("middle"), F.max("n_chars").alias("high"))
+    rows = counts.withColumn("upto", F.sum("c").over(w.orderBy("n_chars"))).withColumn("n", F.sum("c").over(w))
+    middle = F.expr("upto - c < n div 2 + 1 and n div 2 + 1 <= upto")
+    return rows.groupBy("lang").agg(F.min("n_chars").alias("low"), F.max(F.when(middle, F.col("n_chars"))).alias("middle"), F.max("n_chars").alias("high"))
 
 
 @query("AGG20_score_histogram", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
@@ -153,23 +187,44 @@ def agg27(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("n"), good.alias("agreed"), F.round(good / F.count(F.lit(1)), 6).alias("ratio"))
 
 
-@query("WIN11_run_transition", """WITH o AS (SELECT doc_id, quality = 1 AS p FROM labels WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, toxic = 0 AS p FROM labels WHERE doc_id % 10 <> 7)
+@query("WIN11_run_transition", """WITH o AS (SELECT doc_id, quality = 1 AS p FROM labels), n AS (SELECT doc_id, toxic = 0 AS p FROM labels)
   SELECT CASE WHEN NOT o.p AND n.p THEN 'fixed' WHEN o.p AND NOT n.p THEN 'regressed' WHEN o.p THEN 'both_pass' ELSE 'both_fail' END AS change, count(*) AS n FROM o JOIN n USING (doc_id) GROUP BY 1""")
 def win11(spark, d):
     rows = table(spark, d, "labels")
-    old, new = rows.where("doc_id % 10 <> 3").selectExpr("doc_id", "quality = 1 as o"), rows.where("doc_id % 10 <> 7").selectExpr("doc_id", "toxic = 0 as p")
+    return transitions(rows.selectExpr("doc_id", "quality = 1 as p"), rows.selectExpr("doc_id", "toxic = 0 as p"))
+
+
+def transitions(old, new):
+    """change, n of the cases (doc_id, p) that both runs have."""
     change = F.expr("case when not o and p then 'fixed' when o and not p then 'regressed' when o then 'both_pass' else 'both_fail' end")
-    return old.join(new, "doc_id").groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
+    return old.withColumnRenamed("p", "o").join(new, "doc_id").groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("RET02_sentences", r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?;])', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS n FROM documents""")
+@query("RET02_long_splitter", f"SELECT doc_id, len(parts) AS n, list_transform(parts, lambda p: length(p)) AS sizes FROM (SELECT doc_id, {K.split_long_sql('x')} AS parts FROM (SELECT doc_id, coalesce(translate(text, chr(1) || chr(2) || chr(3), ''), '') AS x FROM documents))")
 def ret02(spark, d):
-    return docs(spark, d).select("doc_id", F.size(F.filter(F.split("text", r"(?<=[.!?;])"), lambda x: x != "")).cast("long").alias("n"))
+    parts = K.split_long(F.translate("text", "\x01\x02\x03", ""))
+    return docs(spark, d).select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").cast("long").alias("n"), F.transform("parts", lambda p: F.length(p).cast("long")).alias("sizes"))
 
 
-@query("RET01_chunks")
+@query("RET01_chunks", f"SELECT doc_id, unnest(range(0, len(c))) AS chunk_no, unnest(c) AS text FROM (SELECT doc_id, {K.chunks_sql('text')} AS c FROM documents)")
 def ret01(spark, d):
-    return R.chunks(docs(spark, d))
+    return docs(spark, d).select("doc_id", F.posexplode(K.chunks(F.col("text"))).alias("chunk_no", "text")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+_STRIPPED = "array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT contains(x, 'License')), chr(10))"
+_TAG = "coalesce(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(x, 'License'))[-1], '')"
+
+
+@query("SRC03_corpus", f"SELECT source || '/' || doc_id || '#' || unnest(range(0, len(c))) AS id, source, tag, unnest(c) AS text FROM (SELECT doc_id, source, {_TAG} AS tag, {K.chunks_sql(_STRIPPED)} AS c FROM documents)")
+def src03(spark, d):
+    """Chunks of the corpus with their ids; metadata lines are stripped first and give the tag."""
+    return readers.chunked(docs(spark, d).withColumn("file", F.concat_ws("/", "source", F.col("doc_id").cast("string"))), ".*License.*", "file").select("id", "source", "tag", "text")
+
+
+@query("SRC09_chunk_scan", f"SELECT source, tag, count(*) AS chunks, sum(length(text)) AS chars FROM (SELECT source, tag, unnest(c) AS text FROM (SELECT source, {_TAG} AS tag, {K.chunks_sql(_STRIPPED)} AS c FROM documents)) GROUP BY ALL")
+def src09(spark, d):
+    """Scan of the whole chunk table, as the lexical index reads it."""
+    return src03(spark, d).groupBy("source", "tag").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("FLT11_metadata_lines", "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, 'License'))[-1] AS tag, len(list_filter(string_split(text, chr(10)), lambda x: NOT contains(x, 'License'))) AS lines FROM documents")
@@ -181,13 +236,13 @@ def flt11(spark, d):
 _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _BM25 = f"""p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
   n AS (SELECT doc_id, sum(tf) AS n_terms FROM p GROUP BY doc_id), g AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(n_terms) FROM n) AS all_terms),
-  q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id < 20), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
   s AS (SELECT query_id, p.doc_id, sum(greatest(ln((docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 0) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_terms * docs / all_terms))) AS score
     FROM q JOIN p ON q.term = p.term JOIN df ON df.term = p.term JOIN n ON n.doc_id = p.doc_id CROSS JOIN g GROUP BY ALL)"""
 
 
 def lexical(spark, d):
-    asked = table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return R.bm25(asked, docs(spark, d))
 
 
@@ -217,22 +272,61 @@ def near(spark, d, k):
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+@query("RET06_threshold", f"""WITH {_NEAR}, m AS (SELECT 'local' AS model, 1.1::DOUBLE AS threshold UNION ALL SELECT 'cloud', 1.25::DOUBLE)
+  SELECT model, query_id, count(*) FILTER (distance <= threshold) AS passed FROM k CROSS JOIN m WHERE rank <= 9 GROUP BY ALL""")
+def ret06(spark, d):
+    """Hits inside the distance that goes with each embedding model (two, as a literal map)."""
+    limits = F.explode(F.create_map(F.lit("local"), F.lit(1.1), F.lit("cloud"), F.lit(1.25))).alias("model", "threshold")
+    return near(spark, d, 9).select("query_id", "distance", limits).groupBy("model", "query_id").agg(F.count_if(F.col("distance") <= F.col("threshold")).alias("passed"))
+
+
 @query("RET05_vector_top_k", f"WITH {_NEAR} SELECT query_id, id, round(distance, 5) AS distance, rank FROM k WHERE rank <= 9")
 def ret05(spark, d):
     return near(spark, d, 9).select("query_id", "id", F.round("distance", 5).alias("distance"), "rank")
 
 
-@query("RET09_first_per_source", f"""WITH {_NEAR}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY distance, id) AS r FROM k WHERE rank <= 9 AND distance <= 1.25::DOUBLE),
-  p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM f WHERE r = 1) SELECT query_id, id, source, place FROM p WHERE place <= 3""")
+#: Sources that only queries with a signal word may see, and which queries have one.
+TAGGED, SIGNAL = "source = 3", "query_id % 100 = 0"
+_POST = f"""{_NEAR}, c AS (SELECT *, CASE WHEN distance > 1.25::DOUBLE THEN 'threshold' WHEN {TAGGED} AND NOT ({SIGNAL}) THEN 'tag' END AS dropped FROM k WHERE rank <= 9),
+  f AS (SELECT *, CASE WHEN dropped IS NULL AND row_number() OVER (PARTITION BY query_id, source, dropped ORDER BY distance, id) > 1 THEN 'source' ELSE dropped END AS cause FROM c),
+  p AS (SELECT *, count(*) FILTER (cause IS NULL) OVER (PARTITION BY query_id ORDER BY distance, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept FROM f)"""
+
+
+def filtered(spark, d, k=3):
+    """Near hits with the cause for which each is dropped (null: it stays) and how many stayed
+    before it; the visit of a query ends with its k-th hit."""
+    rows = near(spark, d, 9)
+    rows = rows.withColumn("dropped", F.when(F.col("distance") > 1.25, "threshold").when(F.expr(f"{TAGGED} and not ({SIGNAL})"), "tag"))
+    again = F.row_number().over(Window.partitionBy("query_id", "source", "dropped").orderBy("distance", "id")) > 1
+    rows = rows.withColumn("cause", F.when(F.col("dropped").isNull() & again, "source").otherwise(F.col("dropped")))
+    before = Window.partitionBy("query_id").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("kept", F.count_if(F.col("cause").isNull()).over(before)).where(F.col("kept") < k)
+
+
+@query("RET09_post_filter", f"WITH {_POST} SELECT query_id, id, source, kept + 1 AS place FROM p WHERE kept < 3 AND cause IS NULL")
 def ret09(spark, d):
-    return R.first_per_source(near(spark, d, 9), 1.25, 3).select("query_id", "id", "source", "place")
+    return filtered(spark, d).where("cause is null").select("query_id", "id", "source", (F.col("kept") + 1).alias("place"))
 
 
-@query("AGG28_zero_hit_causes", f"""WITH {_NEAR}, f AS (SELECT * FROM k WHERE rank <= 9) SELECT query_id, count(*) FILTER (distance > 1.2::DOUBLE) AS by_threshold, count(*) - count(*) FILTER (distance > 1.2::DOUBLE) - count(DISTINCT source) FILTER (distance <= 1.2::DOUBLE) AS by_source FROM f GROUP BY query_id""")
+@query("AGG28_zero_hit_causes", f"WITH {_POST} SELECT query_id, count(*) FILTER (cause = 'threshold') AS by_threshold, count(*) FILTER (cause = 'tag') AS by_tag, count(*) FILTER (cause = 'source') AS by_source FROM p WHERE kept < 3 GROUP BY query_id")
 def agg28(spark, d):
-    far = F.col("distance") > 1.2
-    rows = near(spark, d, 9).groupBy("query_id")
-    return rows.agg(F.count_if(far).alias("by_threshold"), (F.count(F.lit(1)) - F.count_if(far) - F.count_distinct(F.when(~far, F.col("source")))).alias("by_source"))
+    causes = {"by_threshold": "threshold", "by_tag": "tag", "by_source": "source"}
+    return filtered(spark, d).groupBy("query_id").agg(*[F.count_if(F.col("cause") == c).alias(n) for n, c in causes.items()])
+
+
+@query("AGG14b_per_file", f"""WITH {_NEAR}, e AS (SELECT vec_id AS query_id, label AS expected FROM embeddings WHERE vec_id % 20 = 0),
+  h AS (SELECT e.query_id, expected, coalesce(bool_or(k.source = expected), false) AS hit FROM e LEFT JOIN k ON k.query_id = e.query_id AND rank <= 9 GROUP BY ALL),
+  t AS (SELECT expected AS source, count(*) AS total, count(*) FILTER (hit) AS hits FROM h GROUP BY expected)
+  SELECT s.source, coalesce(total, 0) AS total, coalesce(hits, 0) AS hits, total IS NOT NULL AS covered FROM (SELECT DISTINCT label AS source FROM embeddings) s LEFT JOIN t ON t.source = s.source""")
+def agg14b(spark, d):
+    """Totals and hits of every expected source, and the sources that no query expects."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("expected"))
+    hits = near(spark, d, 9).groupBy("query_id").agg(F.collect_set("source").alias("found"))
+    rows = own.where("query_id % 20 = 0").join(hits, "query_id", "left")
+    rows = rows.groupBy("expected").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.array_contains("found", F.col("expected"))).alias("hits"))
+    all_sources = own.select(F.col("expected").alias("source")).distinct()
+    out = all_sources.join(rows.withColumnRenamed("expected", "source"), "source", "left")
+    return out.select("source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("hits", F.lit(0)).alias("hits"), F.col("total").isNotNull().alias("covered"))
 
 
 @query("AGG14_retrieval_metrics", f"""WITH {_NEAR}, r AS (SELECT e.vec_id AS query_id, min(rank) FILTER (k.source = e.label) AS rank FROM embeddings e JOIN k ON k.query_id = e.vec_id AND rank <= 9 GROUP BY e.vec_id)
@@ -244,13 +338,24 @@ def agg14(spark, d):
     return rows.agg(F.bround(F.avg((hit == 1).cast("int")), 4).alias("hit1"), F.bround(F.avg((hit <= 3).cast("int")), 4).alias("recall3"), F.bround(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
 
 
-@query("RET07_fusion", f"""WITH {_NEAR}, h AS (SELECT query_id, id, distance FROM k WHERE rank <= 9),
-  l AS (SELECT vec_id * 20 AS query_id, vec_id + label AS id, 1.0::DOUBLE + vec_id % 4 AS score FROM embeddings WHERE vec_id < 20), g AS (SELECT query_id, id FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM l) WHERE score >= 0.7::DOUBLE * top)
-  SELECT coalesce(h.query_id, g.query_id) AS query_id, coalesce(h.id, g.id) AS id, round(CASE WHEN h.id IS NULL THEN 1.2::DOUBLE - 0.03::DOUBLE WHEN g.id IS NOT NULL THEN distance - 0.03::DOUBLE ELSE distance END, 5) AS distance,
-    CASE WHEN h.id IS NULL THEN 'lexical' WHEN g.id IS NOT NULL THEN 'both' ELSE 'vector' END AS origin FROM h FULL OUTER JOIN g ON h.query_id = g.query_id AND h.id = g.id""")
+_FUSED = _BM25.replace("SELECT DISTINCT item_id AS query_id,", "SELECT DISTINCT item_id * 20 AS query_id,")
+
+
+@query("RET07_fusion", f"""WITH {_NEAR}, {_FUSED}, h AS (SELECT query_id, id, distance, coalesce(contains(text, 'ention'), false) AS boosted FROM k LEFT JOIN documents ON doc_id = id WHERE rank <= 9),
+  l AS (SELECT query_id, doc_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s WHERE score > 0 AND query_id IN (SELECT vec_id FROM embeddings) AND doc_id IN (SELECT vec_id FROM embeddings)),
+  st AS (SELECT query_id, id FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM l WHERE r <= 9) WHERE score >= 0.7::DOUBLE * top - 1e-9)
+  SELECT coalesce(h.query_id, st.query_id) AS query_id, coalesce(h.id, st.id) AS id,
+    round(CASE WHEN h.id IS NULL THEN 1.2::DOUBLE - 0.03::DOUBLE ELSE distance - CASE WHEN st.id IS NOT NULL THEN 0.03::DOUBLE ELSE 0 END - CASE WHEN boosted THEN 0.05::DOUBLE ELSE 0 END END, 5) AS distance,
+    CASE WHEN h.id IS NULL THEN 'lexical' WHEN st.id IS NOT NULL THEN 'both' ELSE 'vector' END AS origin FROM h FULL OUTER JOIN st ON h.query_id = st.query_id AND h.id = st.id""")
 def ret07(spark, d):
-    lex = table(spark, d, "embeddings").where("vec_id < 20").selectExpr("vec_id * 20 as query_id", "vec_id + label as id", "1.0D + vec_id % 4 as score")
-    return R.fuse(near(spark, d, 9), lex, 1.2).select("query_id", "id", F.round("distance", 5).alias("distance"), "origin")
+    """Query 20 k has the vector of that id and the text of benchmark item k; documents with a
+    vector are what both searches look through, BM25 with the statistics of all documents."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    asked = table(spark, d, "benchmark").select((F.col("item_id") * 20).alias("query_id"), "text").join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left_semi")
+    scores = R.bm25(asked, docs(spark, d)).join(vectors.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    texts = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").contains("ention").alias("boosted"))
+    hits = near(spark, d, 9).join(texts, "id", "left").select("query_id", "id", "distance", F.coalesce("boosted", F.lit(False)).alias("boosted"))
+    return R.fuse(hits, R.strongest(scores, 9), 1.2).select("query_id", "id", F.round("distance", 5).alias("distance"), "origin")
 
 
 @query("RET12_context", f"""WITH {_NEAR} SELECT query_id, string_agg('[' || rank || '] ' || source || '/' || id, chr(10) ORDER BY rank) AS context FROM k WHERE rank <= 3 GROUP BY query_id""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborlight.functions.chunks import chunks
+
 # fixed values: accepted roster headers
 ALIASES = {
     "student_no": ("student_no", "学号"),
@@ -51,10 +53,28 @@ def event_log(spark: SparkSession, path: str, callers: tuple[str, ...] = ("inter
 
 def text_folder(spark: SparkSession, path: str) -> DataFrame:
     """source, text of every .txt and .md file."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source"), F.col("value").alias("text"))
 
 
+def chunked(files: DataFrame, metadata: str, file: str = "file") -> DataFrame:
+    """files (`file`, text, more columns) as chunks: id (`file#n`), tag, text and the other columns.
+
+    Lines that match `metadata` leave the text first; the last one is the tag ('' without any).
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = files.withColumn("tag", F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.rlike(metadata)), F.lit(-1)), F.lit("")))
+    rows = rows.withColumn("chunk", chunks(F.array_join(F.filter(lines, lambda x: ~x.rlike(metadata)), "\n")))
+    rows = rows.select(*[c for c in rows.columns if c not in ("text", "chunk")], F.posexplode("chunk").alias("n", "text"))
+    return rows.withColumn("id", F.concat(F.col(file), F.lit("#"), F.col("n").cast("string"))).drop("n")
+
+
+def corpus_folder(spark: SparkSession, path: str, metadata: str = "^#{0,6}\\s*(source|来源)[:：].*") -> DataFrame:
+    """id, source, tag, text of the chunks of every .txt and .md file under path."""
+    files = text_folder(spark, path)
+    return chunked(files, metadata, "source").select("id", "source", "tag", "text")
+
+
 def outer_json(text: Column) -> Column:
     """The text between the first { and the last }, code fences or not."""
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local session without it gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="harborlight-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from harborlight.sources.folders import work_path
 
 
 def weekly_topics(events: DataFrame, lateness: str = "14 days") -> DataFrame:
@@ -28,7 +16,7 @@ def weekly_topics(events: DataFrame, lateness: str = "14 days") -> DataFrame:
 
 def run_once(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Take all that the stream has now and return the latest count of every (week, topic)."""
-    path = f"{shared_dir(spark)}/harborlight/topics-{uuid.uuid4().hex}"
+    path = work_path(spark, "topics")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")

@@ -1,13 +1,19 @@
 """Rule operators with the domain's own words, readers, sinks and streams."""
 
 import json
+import math
+import random
 from datetime import datetime, timedelta
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from harborlight.operators import curation, retrieval
+from harborlight.functions import chunks
 from harborlight.functions import text as T
+from harborlight.plans.corpus import transitions
 from harborlight.sources import readers, sinks
 from harborlight.streaming.limiter import admitted, admitted_stream, decide
 from harborlight.streaming.topics import run_once
@@ -36,9 +42,107 @@ def test_clean_lines(spark):
 
 
 def test_chunks(spark):
-    text = "# Head\n\n" + "a" * 45 + "\n\n" + "short.\n\n" + "b" * 25 + "\n\n" + "c" * 30 + "\n\n" + "d" * 900
-    rows = retrieval.chunks(spark.createDataFrame([(1, text), (2, None), (3, "tiny")], "doc_id long, text string")).orderBy("doc_id", "chunk_no").collect()
-    assert [r.text for r in rows] == ["[Head] " + "a" * 45, "[Head] " + "b" * 25 + "\n" + "c" * 30, "[Head] " + "d" * 400, "[Head] " + "d" * 400, "[Head] " + "d" * 100]
+    text = "# Head\n\n" + "a" * 45 + "\n\n" + "short.\n\n" + "b" * 25 + "\n \n" + "c" * 30 + "\n\n" + "d" * 900
+    more = "front matter of some length\n\n## One\n\nbody of the first section\n\n### Two\n\n" + "e. " * 200 + "\n\n#no header, but text"
+    rows = [(1, text), (2, None), (3, "tiny"), (4, more)]
+    got = {}
+    for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.posexplode(chunks.chunks(F.col("text"))).alias("n", "c")).orderBy("doc_id", "n").collect():
+        got.setdefault(r.doc_id, []).append(r.c)
+    assert got[1] == ["[Head] " + "a" * 45, "[Head] " + "b" * 25 + "\n" + "c" * 30, "[Head] " + "d" * 400, "[Head] " + "d" * 400, "[Head] " + "d" * 100]
+    assert set(got) == {1, 4} and got[4][:2] == ["front matter of some length", "[One] body of the first section"]
+    assert all(c.startswith("[Two] ") for c in got[4][2:]) and all(len(c) <= 406 for c in got[4]) and got[4][-1] == "[Two] #no header, but text"
+    c = duckdb.connect()
+    want = c.execute(f"SELECT {chunks.chunks_sql('t')} FROM (SELECT unnest(?) AS t, unnest(range({len(rows)})) AS i) ORDER BY i", [[t for _, t in rows]]).fetchall()
+    assert [w[0] for w in want] == [got.get(i, []) for i, _ in rows]
+
+
+def test_corpus_folder(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("source: x\n" + "first part that is long enough to be a chunk of its own\n\n" + "second part that is long enough to be another chunk\n")
+    (tmp_path / "b.md").write_text("## 来源：y\n# T\n\nthe only part of this file")
+    (tmp_path / "c.csv").write_text("no")
+    got = sorted((r.id, r.source, r.tag, r.text) for r in readers.corpus_folder(spark, str(tmp_path)).collect())
+    assert [g[:3] for g in got] == [("a.txt#0", "a.txt", "source: x"), ("a.txt#1", "a.txt", "source: x"), ("b.md#0", "b.md", "## 来源：y")]
+    assert got[2][3] == "[T] the only part of this file"
+
+
+@pytest.mark.parametrize("slice_rows", [7, 1000])
+def test_nearest_against_all_pairs(spark, slice_rows):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(60, 8)).astype(np.float32)
+    x[10] = x[20] = x[30]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(60)] + [(99, None)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    got = {}
+    for r in retrieval.nearest(asked, vectors, 5, slice_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, round(r.distance, 9)))
+    for q in (0, 20, 40):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        want = sorted((d[i], i) for i in range(60))[:5]
+        assert got[q] == [(i, round(v, 9)) for v, i in want]
+    assert retrieval.nearest(asked, vectors.limit(0), 5).count() == 0
+
+
+def test_bm25_against_plain_loops(spark):
+    texts = ["a b c", "a a d", "b d e f", "x", None, "c c c a"]
+    docs = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "A c zz"), (2, "e"), (3, "")], "query_id long, text string")
+    words = [(t or "").split() for t in texts]
+    mean = sum(map(len, words)) / len(words)
+    want = {}
+    for q, terms in ((1, ["a", "c", "zz"]), (2, ["e"])):
+        for i, w in enumerate(words):
+            score = 0
+            for t in terms:
+                df = sum(t in x for x in words)
+                idf = max(0, math.log((len(words) - df + 0.5) / (df + 0.5)))
+                score += idf * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean))
+            if score > 0:
+                want[q, i] = round(score, 9)
+    assert {(r.query_id, r.doc_id): round(r.score, 9) for r in retrieval.bm25(asked, docs).collect()} == want
+
+
+def test_fusion(spark):
+    hits = spark.createDataFrame([(1, 10, 0.5, False), (1, 11, 0.6, True), (1, 12, 0.7, True)], "query_id long, id long, distance double, boosted boolean")
+    strong = spark.createDataFrame([(1, 11), (1, 13)], "query_id long, id long")
+    got = {r.id: (round(r.distance, 6), r.origin) for r in retrieval.fuse(hits, strong, 1.2).collect()}
+    assert got == {10: (0.5, "vector"), 11: (0.52, "both"), 12: (0.65, "vector"), 13: (1.17, "lexical")}
+
+
+def test_run_transitions(spark):
+    old = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False), (5, True)], "doc_id long, p boolean")
+    new = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False), (6, True)], "doc_id long, p boolean")
+    assert {r.change: r.n for r in transitions(old, new).collect()} == {"both_pass": 1, "fixed": 1, "regressed": 1, "both_fail": 1}
+
+
+def test_minhash_and_bands(spark):
+    texts = ["the quick brown fox jumps over the lazy dog again and again", "the quick brown fox jumps over the lazy dog again and again!", "wholly different words stand in this line of text", "ab"]
+    rows = curation.minhash(spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "id long, text string"))
+    got = {r.id: r for r in rows.collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for i, t in enumerate(texts):
+        grams = {t[k : k + 4] for k in range(max(1, len(t) - 3))}
+        assert got[i].n == len(grams) == len(got[i].grams)
+        want = [min((g * a + b & M) ^ ((g * a + b & M) >> 29) for g in (x % (1 << 64) for x in got[i].grams)) for a, b in zip(*(d.tolist() for d in curation.DRAW))]
+        assert [x % (1 << 64) for x in got[i].signature] == want
+    assert [tuple(r) for r in curation.band_candidates(rows).collect()] == [(1, 0)]
+
+
+M = (1 << 64) - 1
+
+
+def test_near_duplicates_of_large_families(spark):
+    rnd = random.Random(6)
+    words = [f"{rnd.choice('bcdfg')}{rnd.choice('aeiou')}{rnd.choice('lmnrst')}{i % 10}" for i in range(300)]
+    base, texts = [rnd.choice(words) for _ in range(60)], []
+    for _ in range(80):
+        own = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            own[rnd.randrange(60)] = rnd.choice(words)
+        texts.append(" ".join(own))
+    got = {r.id for r in curation.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    sets = [{t[i : i + 4] for i in range(len(t) - 3)} for t in texts]
+    assert got == {j for j in range(80) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(j))}
 
 
 def test_near_duplicates_against_all_pairs(spark):
@@ -98,5 +202,5 @@ def test_readers_and_sinks(spark, tmp_path):
 
 
 def test_longest_overlap():
-    assert T.longest_overlap("say hello to the whole world now", ["x hello to the whole y", "the whole world now!"]) == "hello to the whole "
+    assert T.longest_overlap("say hello to the whole world now", ["x hello to the whole y", "the whole world now!"]) == " hello to the whole "
     assert T.longest_overlap("short", ["short"]) == "" and T.longest_overlap("", []) == ""
