@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from harborlight.functions import text as T
 from harborlight.plans.registry import query
 from harborlight.sources.tables import table
+from harborlight.streaming.windows import rolling
 
 KEYWORDS, NEGATORS = ("reau", "tion", "thth", "ment"), ("le", "de", "an")
 CATEGORIES = {"first": ("thion", "tionth"), "second": ("reau", "eaux"), "third": ("schei", "lich"), "fourth": ("ciónll",)}
@@ -40,26 +41,35 @@ ROUTES = (("service", "ß|üb"), ("method", "tion[^.]{0,10}(the|de)"), ("knowled
 METHOD_LEN, KNOWLEDGE_LEN = 200, 120
 
 
+def _greeting_sql(t: str) -> str:
+    parts = f"list_filter(regexp_split_to_array({t}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"(len({t}) BETWEEN 1 AND 30 AND ({t} IN {GREETINGS} OR (len({parts}) > 0 AND len(list_filter({parts}, lambda x: x NOT IN {GREETINGS})) = 0)))"
+
+
+def greeting(t):
+    """Whether a stripped lower-case text is a greeting, or nothing but greetings' words."""
+    parts = F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    known = (F.size(parts) > 0) & F.forall(parts, lambda x: x.isin(*GREETINGS))
+    return F.length(t).between(1, 30) & (t.isin(*GREETINGS) | known)
+
+
 @query("TXT02_greeting", f"""WITH {TURNS}, s AS (SELECT conv_id, turn, trim(lower(split_part(text, '.', 1)), {_WS}) AS t FROM turns)
-  SELECT conv_id, turn, len(t) BETWEEN 1 AND 30 AND (t IN {GREETINGS} OR (len(list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) > 0
-    AND len(list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN {GREETINGS})) = 0)) AS greeting FROM s""")
+  SELECT conv_id, turn, {_greeting_sql('t')} AS greeting FROM s""")
 def txt02(spark, d):
     t = T.strip(F.lower(F.split_part("text", F.lit("."), F.lit(1))))
-    parts = F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    known = (F.size(parts) > 0) & F.forall(parts, lambda x: x.isin(*GREETINGS))
-    return turns(spark, d).select("conv_id", "turn", (F.length(t).between(1, 30) & (t.isin(*GREETINGS) | known)).alias("greeting"))
+    return turns(spark, d).select("conv_id", "turn", greeting(t).alias("greeting"))
 
 
 _ROUTE = " ".join(f"WHEN {'len(t) BETWEEN 1 AND ' + str(m) + ' AND ' if m else ''}regexp_matches(t, '{p}') THEN '{n}'" for (n, p), m in zip(ROUTES, (0, METHOD_LEN, KNOWLEDGE_LEN, 0, 0)))
 
 
 @query("TXT06_intent", f"""WITH {TURNS}, s AS (SELECT conv_id, turn, trim(lower(text), {_WS}) AS t FROM turns)
-  SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'error|worthless') THEN 'crisis' {_ROUTE} ELSE 'vent' END AS intent FROM s""")
+  SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'error|worthless') AND NOT regexp_matches(t, '(le|de|an)[ \\t\\n]*(error|worthless)') THEN 'crisis' WHEN {_greeting_sql('t')} THEN 'greeting' {_ROUTE} ELSE 'vent' END AS intent FROM s""")
 def txt06(spark, d):
     t = T.strip(F.lower(F.col("text")))
     p = dict(ROUTES)
     rules = (
-        ("crisis", t.rlike("error|worthless")), ("service", t.rlike(p["service"])), ("method", T.short(t, p["method"], METHOD_LEN)),
+        ("crisis", t.rlike("error|worthless") & ~t.rlike("(le|de|an)[ \\t\\n]*(error|worthless)")), ("greeting", greeting(t)), ("service", t.rlike(p["service"])), ("method", T.short(t, p["method"], METHOD_LEN)),
         ("knowledge", T.short(t, p["knowledge"], KNOWLEDGE_LEN)), ("channel", t.rlike(p["channel"])), ("plea", t.rlike(p["plea"])),
     )
     return turns(spark, d).select("conv_id", "turn", T.first_match(rules, "vent").alias("intent"))
@@ -163,15 +173,22 @@ _OVERLAP = f"""g AS (SELECT DISTINCT conv_id, turn, role, substr(text, i, {GRAM}
 
 
 def grams(rows):
-    return rows.where("role = 'assistant'").select("conv_id", "turn", F.explode(T.shingles(F.col("text"), GRAM)).alias("gram")).where(F.length("gram") == GRAM)
+    """conv_id, turn, gram: the replies' n-grams as 64-bit hashes, once a reply."""
+    width = F.transform(F.filter(T.shingles(F.col("text"), GRAM), lambda g: F.length(g) == GRAM), lambda g: F.xxhash64(g))
+    return rows.where("role = 'assistant'").select("conv_id", "turn", F.explode(width).alias("gram"))
 
 
 def repeated(rows):
-    """Replies that share GRAM characters with an earlier reply of their conversation: an
-    equi-join on n-grams, reduced to the first turn of each, instead of substring scans."""
-    g = grams(rows)
-    first = g.groupBy("conv_id", "gram").agg(F.min("turn").alias("first"))
-    return g.join(first, ["conv_id", "gram"]).where("first < turn").select("conv_id", "turn").distinct()
+    """Replies that share GRAM characters with an earlier reply of their conversation.
+
+    Hashes of n-grams meet in one shuffle, which gives every reply the first turn that has one of
+    its n-grams, too; the two texts then confirm it.
+    """
+    first = F.min("turn").over(Window.partitionBy("conv_id", "gram"))
+    hits = grams(rows).withColumn("first", first).where("first < turn").select("conv_id", "turn", "first").distinct()
+    texts = rows.where("role = 'assistant'").select("conv_id", "turn", "text")
+    both = hits.join(texts, ["conv_id", "turn"]).join(texts.withColumnsRenamed({"turn": "first", "text": "earlier"}), ["conv_id", "first"])
+    return both.where(F.exists(T.shingles(F.col("text"), GRAM), lambda g: F.col("earlier").contains(g))).select("conv_id", "turn").distinct()
 
 
 @query("JOIN10_verbatim_overlap", f"WITH {TURNS}, {_OVERLAP} SELECT * FROM o")
@@ -179,12 +196,37 @@ def join10(spark, d):
     return repeated(turns(spark, d))
 
 
-_GATE = f"""WITH {TURNS}, {_OVERLAP}, w AS (SELECT *, {_CATS} AS cats, last_value(CASE WHEN role = 'assistant' THEN {_CATS} END IGNORE NULLS) OVER
+_CLAIM = r"que ([^,.\s]{4,20})"
+_CLAIMS = f"""u AS (SELECT a.conv_id, a.turn, coalesce(string_agg(h.text, ' ' ORDER BY h.turn), '') AS said FROM turns a LEFT JOIN turns h ON h.conv_id = a.conv_id AND h.turn < a.turn AND h.role = 'user' WHERE a.role = 'assistant' GROUP BY ALL),
+  c AS (SELECT a.conv_id, a.turn, len(list_filter(regexp_extract_all(a.text, '{_CLAIM}', 1), lambda x: NOT contains(u.said, x) AND len(list_filter(range(1, len(x) - 2), lambda i: contains(u.said, substr(x, i, 4)))) = 0)) AS claims
+    FROM turns a JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn)"""
+
+
+def claims(rows):
+    """conv_id, turn, claims of every reply: phrases behind the claim word of which no four
+    characters occur in what the user said before (an equi-join on 4-grams with the first turn
+    that has each)."""
+    four = lambda x: F.filter(T.shingles(x, 4), lambda g: F.length(g) == 4)
+    replies = rows.where("role = 'assistant'").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(_CLAIM), F.lit(1)).alias("found"))
+    asked = replies.select("conv_id", "turn", F.posexplode("found").alias("place", "claim"))
+    asked = asked.select("conv_id", "turn", "place", F.explode(four(F.col("claim"))).alias("gram"))
+    said = rows.where("role = 'user'").select("conv_id", "turn", F.explode(four(F.col("text"))).alias("gram")).groupBy("conv_id", "gram").agg(F.min("turn").alias("first"))
+    known = asked.join(said, ["conv_id", "gram"]).where("first < turn").select("conv_id", "turn", "place").distinct().groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("known"))
+    return replies.join(known, ["conv_id", "turn"], "left").select("conv_id", "turn", (F.size("found") - F.coalesce("known", F.lit(0))).cast("long").alias("claims"))
+
+
+@query("QC05_unsupported_claims", f"WITH {TURNS}, {_CLAIMS} SELECT * FROM c")
+def qc05(spark, d):
+    return claims(turns(spark, d))
+
+
+_GATE = f"""WITH {TURNS}, {_OVERLAP}, {_CLAIMS}, w AS (SELECT *, {_CATS} AS cats, last_value(CASE WHEN role = 'assistant' THEN {_CATS} END IGNORE NULLS) OVER
     (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM turns),
   q AS (SELECT w.conv_id, w.turn, list_filter([CASE WHEN trim(text, {_WS}) = '' THEN 'empty' END, CASE WHEN regexp_matches(text, '(ant|ist)[.]') THEN 'closed_question' END,
     CASE WHEN len(text) - len(replace(text, ',', '')) > 9 THEN 'many_questions' END, CASE WHEN len(trim(text, {_WS})) > 600 THEN 'long' END, CASE WHEN len(cats) < 1 THEN 'few_methods' END,
-    CASE WHEN len(list_intersect(cats, coalesce(before, []))) > 0 THEN 'same_method' END, CASE WHEN o.turn IS NOT NULL THEN 'verbatim' END], lambda x: x IS NOT NULL) AS issues
-  FROM w LEFT JOIN o ON o.conv_id = w.conv_id AND o.turn = w.turn WHERE role = 'assistant')"""
+    CASE WHEN len(list_intersect(cats, coalesce(before, []))) > 0 THEN 'same_method' END, CASE WHEN o.turn IS NOT NULL THEN 'verbatim' END,
+    CASE WHEN len(trim(text, {_WS})) BETWEEN 1 AND 24 THEN 'short' END, CASE WHEN c.claims > 0 THEN 'unsupported' END], lambda x: x IS NOT NULL) AS issues
+  FROM w LEFT JOIN o ON o.conv_id = w.conv_id AND o.turn = w.turn LEFT JOIN c ON c.conv_id = w.conv_id AND c.turn = w.turn WHERE role = 'assistant')"""
 
 
 def issues(spark, d):
@@ -192,11 +234,13 @@ def issues(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.last(F.when(F.col("role") == "assistant", F.col("cats")), ignorenulls=True).over(w)).where("role = 'assistant'")
     rows = rows.join(repeated(turns(spark, d)).withColumn("verbatim", F.lit(True)), ["conv_id", "turn"], "left")
+    rows = rows.join(claims(turns(spark, d)), ["conv_id", "turn"], "left")
     text = T.strip(F.col("text"))
     tests = {
         "empty": text == "", "closed_question": F.col("text").rlike("(ant|ist)[.]"), "many_questions": F.regexp_count("text", F.lit(",")) > 9,
         "long": F.length(text) > 600, "few_methods": F.size("cats") < 1,
         "same_method": F.size(F.array_intersect("cats", F.coalesce("before", F.array().cast("array<string>")))) > 0, "verbatim": F.col("verbatim"),
+        "short": F.length(text).between(1, 24), "unsupported": F.col("claims") > 0,
     }
     return rows.select("conv_id", "turn", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])).alias("issues"))
 
@@ -266,23 +310,80 @@ def src07(spark, d):
     return rows.where("u > 0 and a > 0").select("conv_id", "human", "reply")
 
 
-@query("QC03_longest_overlap")
+_PLACES = f"""pl AS (SELECT conv_id, turn, i, substr(text, i, {GRAM}) AS gram FROM (SELECT conv_id, turn, text, unnest(range(1, len(text) - {GRAM - 2})) AS i FROM turns WHERE role = 'assistant')),
+  d AS (SELECT a.conv_id, a.turn, b.turn AS other, a.i - b.i AS shift, a.i, a.i - row_number() OVER (PARTITION BY a.conv_id, a.turn, b.turn, a.i - b.i ORDER BY a.i) AS run
+    FROM pl a JOIN pl b ON a.conv_id = b.conv_id AND a.gram = b.gram AND b.turn < a.turn),
+  m AS (SELECT conv_id, turn, min(i) AS start, count(*) + {GRAM - 1} AS size FROM d GROUP BY conv_id, turn, other, shift, run),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY size DESC, start) AS r FROM m) WHERE r = 1)"""
+
+
+def overlaps(rows):
+    """conv_id, turn, overlap: the first longest piece of GRAM characters or more that one earlier
+    reply of the conversation has, too.
+
+    Places of equal n-grams lie on a diagonal (the difference of their positions); neighbours on
+    one are one match. Of equal replies only the first is looked through.
+    """
+    replies = rows.where("role = 'assistant'").select("conv_id", "turn", "text")
+    places = F.transform(F.sequence(F.lit(1), F.length("text") - GRAM + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.substring("text", i, F.lit(GRAM))).alias("gram")))
+    own = replies.where(F.length("text") >= GRAM).select("conv_id", "turn", F.inline(places))
+    first = replies.groupBy("conv_id", F.xxhash64("text").alias("digest"), F.length("text").alias("n")).agg(F.min("turn").alias("turn")).select("conv_id", "turn")
+    earlier = own.join(first, ["conv_id", "turn"], "left_semi").select("conv_id", "gram", F.col("turn").alias("other"), F.col("i").alias("j"))
+    hits = own.join(earlier, ["conv_id", "gram"]).where("other < turn").withColumn("shift", F.expr("i - j"))
+    run = F.col("i") - F.row_number().over(Window.partitionBy("conv_id", "turn", "other", "shift").orderBy("i"))
+    found = hits.withColumn("run", run).groupBy("conv_id", "turn", "other", "shift", "run").agg(F.min("i").alias("start"), (F.count(F.lit(1)) + GRAM - 1).cast("int").alias("size"))
+    best = found.groupBy("conv_id", "turn").agg(F.max_by(F.struct("start", "size"), F.struct("size", (-F.col("start")).alias("first"))).alias("m"))
+    return replies.join(best, ["conv_id", "turn"]).select("conv_id", "turn", F.substring("text", F.col("m.start"), F.col("m.size")).alias("overlap"))
+
+
+@query("QC03_longest_overlap", f"WITH {TURNS}, {_PLACES} SELECT t.conv_id, t.turn, substr(text, start, size) AS overlap FROM best JOIN turns t ON t.conv_id = best.conv_id AND t.turn = best.turn")
 def qc03(spark, d):
-    """conv_id, turn, overlap of the replies that repeat an earlier one; only conversations in
-    which the n-gram join finds a repetition reach Python."""
-    import pandas as pd
+    return overlaps(turns(spark, d))
+
+
+FORMULA = "en[a-z]?tion"
+_EXEMPT = f"turns AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '{FORMULA}', '·', 'g') AS text FROM conversations)"
+
+
+@query("QC04_formula_exemption", f"WITH {_EXEMPT}, {_OVERLAP} SELECT * FROM o")
+def qc04(spark, d):
+    """Verbatim overlap once an allowed formula is taken out of all replies."""
+    return repeated(turns(spark, d).withColumn("text", F.regexp_replace("text", FORMULA, "·")))
+
+
+LABELS = {"first": "the first kind", "second": "the second kind", "third": "the third kind", "fourth": "the fourth kind"}
+HINT = "Please answer again in other words."
+
+
+@query("QC06_retry_hint", f"""WITH {TURNS}, {_PLACES}, w AS (SELECT *, {_CATS} AS cats, last_value(CASE WHEN role = 'assistant' THEN {_CATS} END IGNORE NULLS) OVER
+    (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM turns),
+  b AS (SELECT w.conv_id, w.turn, CASE WHEN best.turn IS NOT NULL THEN 'do not repeat "' || substr(w.text, start, least(size, 60)) || '"' END AS verbatim, list_sort(list_intersect(cats, coalesce(before, []))) AS same
+    FROM w LEFT JOIN best ON best.conv_id = w.conv_id AND best.turn = w.turn WHERE role = 'assistant')
+  SELECT conv_id, turn, '{HINT}' || CASE WHEN verbatim IS NULL AND len(same) = 0 THEN '' ELSE ' Bans: ' || concat_ws('; ', verbatim,
+    CASE WHEN len(same) > 0 THEN 'do not suggest ' || array_to_string(list_transform(same, lambda x: 'the ' || x || ' kind'), ', ') || ' again' END) || '.' END AS hint FROM b""")
+def qc06(spark, d):
+    """The correction that a reply's retry gets: a general hint and what this reply must not do again."""
+    rows = turns(spark, d).withColumn("cats", T.categories(F.col("text"), CATEGORIES))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.last(F.when(F.col("role") == "assistant", F.col("cats")), ignorenulls=True).over(w)).where("role = 'assistant'")
+    rows = rows.join(overlaps(turns(spark, d)), ["conv_id", "turn"], "left")
+    names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    same = F.sort_array(F.array_intersect("cats", F.coalesce("before", F.array().cast("array<string>"))))
+    verbatim = F.concat(F.lit('do not repeat "'), F.substring("overlap", 1, 60), F.lit('"'))
+    again = F.when(F.size(same) > 0, F.concat(F.lit("do not suggest "), F.array_join(F.transform(same, lambda x: names[x]), ", "), F.lit(" again")))
+    bans = F.concat_ws("; ", verbatim, again)
+    return rows.select("conv_id", "turn", F.concat(F.lit(HINT), F.when(bans == "", "").otherwise(F.concat(F.lit(" Bans: "), bans, F.lit(".")))).alias("hint"))
+
 
-    hits = repeated(turns(spark, d)).select("conv_id").distinct()
-    rows = turns(spark, d).where("role = 'assistant'").join(hits, "conv_id", "left_semi").select("conv_id", "turn", "text")
+KEEP, EVERY = 4, 2
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("turn")
-        texts = part["text"].tolist()
-        found = [T.longest_overlap(t, texts[:i]) for i, t in enumerate(texts)]
-        out = pd.DataFrame({"conv_id": part["conv_id"], "turn": part["turn"], "overlap": found})
-        return out[out["overlap"] != ""]
 
-    return rows.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, overlap string")
+@query("STR03_rolling_window", f"""WITH {TURNS}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM turns)
+  SELECT conv_id, turn, greatest(n - {KEEP}, 0) // {EVERY} * {EVERY} AS summary_upto, n - greatest(n - {KEEP}, 0) // {EVERY} * {EVERY} AS held FROM k""")
+def str03(spark, d):
+    """How many turns of a conversation its summary covers after each turn, and how many are held
+    whole: the last KEEP, and up to EVERY - 1 that wait. The stream form keeps them as state."""
+    return rolling(turns(spark, d), KEEP, EVERY)
 
 
 @query("QC07_turn_judge", f"""WITH {TURNS} SELECT conv_id, turn, list_filter([CASE WHEN NOT len(text) BETWEEN 25 AND 600 THEN 'length' END, CASE WHEN regexp_matches(text, '^(The|Der|La|Le) ') THEN 'opening' END,

@@ -24,9 +24,9 @@ def src02(spark, d):
     return readers.roster(raw)
 
 
-@query("SRC10_fenced_json", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE event_id % 3 = 0")
+@query("SRC10_fenced_json", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def src10(spark, d):
-    rows = table(spark, d, "events").where("event_id % 3 = 0").withColumn("reply", F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone.")))
+    rows = table(spark, d, "events").withColumn("reply", F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone.")))
     return rows.select("event_id", F.from_json(readers.outer_json(F.col("reply")), "k bigint")["k"].alias("k"))
 
 
@@ -37,9 +37,9 @@ def src11(spark, d):
     return table(spark, d, "customer").select("c_custkey", f["summary"].alias("summary"), f["body"].alias("body"))
 
 
-@query("SRC12_event_stream_blocks", "SELECT event_id, unnest(['agent', event_type]) AS event, unnest([user_id::VARCHAR, props]) AS data FROM events WHERE event_id % 5 = 0")
+@query("SRC12_event_stream_blocks", "SELECT event_id, unnest(['agent', event_type]) AS event, unnest([user_id::VARCHAR, props]) AS data FROM events")
 def src12(spark, d):
-    rows = table(spark, d, "events").where("event_id % 5 = 0")
+    rows = table(spark, d, "events")
     stream = F.concat(F.lit("event: agent\ndata: "), F.col("user_id").cast("string"), F.lit("\n\nevent: "), "event_type", F.lit("\ndata: "), "props", F.lit("\n\n"))
     return rows.select("event_id", F.inline(readers.sse_blocks(stream)))
 
@@ -83,10 +83,12 @@ def join08(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "quality")
 
 
-@query("AGG11_miss_clusters", "SELECT lang AS topic, count(*) AS n, list(doc_id ORDER BY doc_id) AS missed FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY lang")
+@query("AGG11_miss_clusters", "SELECT lang AS topic, doc_id AS missed, count(*) OVER (PARTITION BY lang) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
 def agg11(spark, d):
+    """One row a missed case with the size of its cluster; sizes are counted before the join."""
     rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").where("quality = 0"), "doc_id")
-    return rows.groupBy(F.col("lang").alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("missed"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(sizes, "lang").select(F.col("lang").alias("topic"), F.col("doc_id").alias("missed"), "n")
 
 
 _CHECKS = {"has_text": "length(text) > 0", "two_lines": "text like '%' || chr(10) || '%'", "short": "n_chars < 5000", "ends": "text like '%.'"}
@@ -110,26 +112,6 @@ def txt12(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.try_element_at(names, F.col("role")), F.lit("default")).alias("persona"))
 
 
-@query("QC04_formula_exemption", f"WITH {TURNS} SELECT conv_id, turn, len(regexp_replace(text, 'en[a-z]?tion', '·', 'g')) AS chars FROM turns WHERE role = 'assistant'")
-def qc04(spark, d):
-    return turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.length(F.regexp_replace("text", "en[a-z]?tion", "·")).cast("long").alias("chars"))
-
-
-_CLAIMS = r"regexp_extract_all(a.text, 'que ([^,.\s]{4,20})', 1)"
-
-
-@query("QC05_unsupported_claims", f"""WITH {TURNS}, u AS (SELECT a.conv_id, a.turn, coalesce(string_agg(h.text, ' ' ORDER BY h.turn), '') AS said FROM turns a LEFT JOIN turns h ON h.conv_id = a.conv_id AND h.turn < a.turn AND h.role = 'user' WHERE a.role = 'assistant' GROUP BY ALL)
-  SELECT a.conv_id, a.turn, len(list_filter({_CLAIMS}, lambda x: NOT contains(u.said, x) AND len(list_filter(range(1, len(x) - 2), lambda i: contains(u.said, substr(x, i, 4)))) = 0)) AS claims
-  FROM turns a JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn""")
-def qc05(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    said = F.array_join(F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(w), " ")
-    rows = turns(spark, d).withColumn("said", said).where("role = 'assistant'")
-    rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(r"que ([^,.\s]{4,20})"), F.lit(1)))
-    test = "size(filter(found, x -> not contains(said, x) and not exists(sequence(1, length(x) - 3), i -> contains(said, substring(x, i, 4)))))"
-    return rows.select("conv_id", "turn", F.expr(test).cast("long").alias("claims"))
-
-
 @query("QC08_dataset_rules", f"""WITH {TURNS} SELECT conv_id, count(*) FILTER (role = 'assistant' AND NOT len(text) BETWEEN 50 AND 800) AS bad_length, count(*) FILTER (role = 'assistant' AND regexp_matches(text, '(ant|ist)[.]')) AS closed,
   bool_or(regexp_matches(text, 'lich')) AS banned FROM turns GROUP BY conv_id""")
 def qc08(spark, d):
