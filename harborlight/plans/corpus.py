@@ -287,7 +287,7 @@ def ret05(spark, d):
 
 #: Sources that only queries with a signal word may see, and which queries have one.
 TAGGED, SIGNAL = "source = 3", "query_id % 100 = 0"
-_POST = f"""{_NEAR}, c AS (SELECT *, CASE WHEN distance > 1.25::DOUBLE THEN 'threshold' WHEN {TAGGED} AND NOT ({SIGNAL}) THEN 'tag' END AS dropped FROM k WHERE rank <= 9),
+_POST = f"""{_NEAR}, c AS (SELECT *, CASE WHEN distance > 1.15::DOUBLE THEN 'threshold' WHEN {TAGGED} AND NOT ({SIGNAL}) THEN 'tag' END AS dropped FROM k WHERE rank <= 9),
   f AS (SELECT *, CASE WHEN dropped IS NULL AND row_number() OVER (PARTITION BY query_id, source, dropped ORDER BY distance, id) > 1 THEN 'source' ELSE dropped END AS cause FROM c),
   p AS (SELECT *, count(*) FILTER (cause IS NULL) OVER (PARTITION BY query_id ORDER BY distance, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept FROM f)"""
 
@@ -296,7 +296,7 @@ def filtered(spark, d, k=3):
     """Near hits with the cause for which each is dropped (null: it stays) and how many stayed
     before it; the visit of a query ends with its k-th hit."""
     rows = near(spark, d, 9)
-    rows = rows.withColumn("dropped", F.when(F.col("distance") > 1.25, "threshold").when(F.expr(f"{TAGGED} and not ({SIGNAL})"), "tag"))
+    rows = rows.withColumn("dropped", F.when(F.col("distance") > 1.15, "threshold").when(F.expr(f"{TAGGED} and not ({SIGNAL})"), "tag"))
     again = F.row_number().over(Window.partitionBy("query_id", "source", "dropped").orderBy("distance", "id")) > 1
     rows = rows.withColumn("cause", F.when(F.col("dropped").isNull() & again, "source").otherwise(F.col("dropped")))
     before = Window.partitionBy("query_id").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from harborlight.operators import alerts as A
 from harborlight.plans.registry import query
 from harborlight.sources.tables import table
-from harborlight.streaming.limiter import admitted
+from harborlight.streaming.limiter import admitted, last_admitted
 
 BUCKETS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 
@@ -44,11 +45,18 @@ def flt07(spark, d):
 
 
 @query("AGG10_weekly_topics", """SELECT strftime(ts, '%G-W%V') AS week, event_type AS topic, count(*) AS n, count(*) >= 300 AS flagged,
-  list_sort(list_distinct(list(user_id % 7))) AS modes, list_sort(list_distinct(list(round(value, 0)::INTEGER)))[:5] AS firsts FROM events GROUP BY ALL""")
+  list_sort(list_distinct(list(user_id % 7))) AS modes, list_sort(list_distinct(list(round(value, 0)::INTEGER)))[:5] AS firsts,
+  list_sort(list_transform(map_entries(histogram(user_id % 7)), lambda e: e.key || ':' || e.value)) AS frequencies FROM events GROUP BY ALL""")
 def agg10(spark, d):
     week = F.concat(F.extract(F.lit("YEAROFWEEK"), "ts").cast("string"), F.lit("-W"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
-    rows = events(spark, d).groupBy(week.alias("week"), F.col("event_type").alias("topic"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= 300).alias("flagged"), F.sort_array(F.collect_set(F.expr("user_id % 7"))).alias("modes"), F.slice(F.sort_array(F.collect_set(F.round("value", 0).cast("int"))), 1, 5).alias("firsts"))
+    # counted by mode first, so that a topic's frequencies are a row a mode
+    rows = events(spark, d).groupBy(week.alias("week"), F.col("event_type").alias("topic"), F.expr("user_id % 7").alias("mode"))
+    rows = rows.agg(F.count(F.lit(1)).alias("k"), F.collect_set(F.round("value", 0).cast("int")).alias("values")).groupBy("week", "topic")
+    line = F.transform(F.collect_list(F.struct("mode", "k")), lambda x: F.concat_ws(":", x["mode"].cast("string"), x["k"].cast("string")))
+    return rows.agg(
+        F.sum("k").alias("n"), (F.sum("k") >= 300).alias("flagged"), F.sort_array(F.collect_list("mode")).alias("modes"),
+        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("values")))), 1, 5).alias("firsts"), F.sort_array(line).alias("frequencies"),
+    )
 
 
 @query("AGG12_action_items", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 5")
@@ -56,28 +64,39 @@ def agg12(spark, d):
     return events(spark, d).groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
 
 
+def ranked(spark, d):
+    """event_type, value, upto and c: how many events have up to this value, and this one. Equal
+    values are counted before the window, which sees each once."""
+    counts = events(spark, d).groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("event_type")
+    return counts.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+
+
+def ranks(place: str):
+    """The value whose events take the places that include `place` (from 1, an SQL expression of n)."""
+    return F.max(F.expr(f"case when upto - c < {place} and {place} <= upto then value end"))
+
+
 @query("AGG22a_percentiles", """SELECT event_type, round(median(value), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""")
 def agg22a(spark, d):
-    return events(spark, d).groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    # the value at (n - 1) q, between its two neighbours; q as twentieths keeps the place exact
+    at = {n: (f"({q} * (n - 1) div 20 + 1)", f"least(n, {q} * (n - 1) div 20 + 2)", f"({q} * (n - 1) % 20) / 20") for n, q in (("p50", 10), ("p95", 19))}
+    rows = ranked(spark, d).groupBy("event_type").agg(F.max("n").alias("n"), *[ranks(p).alias(f"{n}_{k}") for n, places in at.items() for k, p in zip(("lo", "hi"), places)])
+    return rows.select("event_type", *[F.round(F.expr(f"{n}_lo + ({n}_hi - {n}_lo) * {places[2]}"), 6).alias(n) for n, places in at.items()])
 
 
 _RANKED = "r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
 
 
-def ranked(spark, d):
-    w = Window.partitionBy("event_type")
-    return events(spark, d).select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-
-
 @query("AGG22b_nearest_rank", f"WITH {_RANKED} SELECT event_type, max(value) FILTER (k = n // 2 + 1) AS p50, max(value) FILTER (k = floor(0.95::DOUBLE * n) + 1) AS p95 FROM r GROUP BY event_type")
 def agg22b(spark, d):
-    return ranked(spark, d).groupBy("event_type").agg(F.max(F.when(F.expr("k = n div 2 + 1"), F.col("value"))).alias("p50"), F.max(F.when(F.expr("k = floor(0.95D * n) + 1"), F.col("value"))).alias("p95"))
+    return ranked(spark, d).groupBy("event_type").agg(ranks("(n div 2 + 1)").alias("p50"), ranks("(floor(0.95D * n) + 1)").alias("p95"))
 
 
 @query("AGG22c_exclusive_quantile", f"""WITH {_RANKED}, q AS (SELECT event_type, any_value(n) AS n, max(value) FILTER (k = 19 * (n + 1) // 20) AS lo, max(value) FILTER (k = 19 * (n + 1) // 20 + 1) AS hi FROM r GROUP BY event_type)
   SELECT event_type, round(lo + (hi - lo) * (19 * (n + 1) % 20) / 20, 6) AS p95 FROM q""")
 def agg22c(spark, d):
-    rows = ranked(spark, d).groupBy("event_type").agg(F.max("n").alias("n"), F.max(F.expr("case when k = 19 * (n + 1) div 20 then value end")).alias("lo"), F.max(F.expr("case when k = 19 * (n + 1) div 20 + 1 then value end")).alias("hi"))
+    rows = ranked(spark, d).groupBy("event_type").agg(F.max("n").alias("n"), ranks("(19 * (n + 1) div 20)").alias("lo"), ranks("(19 * (n + 1) div 20 + 1)").alias("hi"))
     return rows.select("event_type", F.round(F.expr("lo + (hi - lo) * (19 * (n + 1) % 20) / 20"), 6).alias("p95"))
 
 
@@ -110,32 +129,72 @@ def agg26(spark, d):
     return histogram(events(spark, d), "event_type").select("event_type", "le", "n")
 
 
-@query("MET03_histogram_quantile", f"""WITH h AS ({_HIST}), l AS (SELECT *, lag(n, 1, 0) OVER w AS below, lag(edge, 1, 0::DOUBLE) OVER w AS low, max(n) OVER (PARTITION BY event_type) AS total
-    FROM h WINDOW w AS (PARTITION BY event_type ORDER BY edge NULLS LAST))
-  SELECT event_type, round(CASE WHEN edge IS NULL THEN low ELSE low + (edge - low) * (0.95 * total - below) / (n - below) END, 6) AS p95
-  FROM l WHERE n >= 0.95 * total AND below < 0.95 * total""")
+def histogram_quantiles(rows, qs, *keys):
+    """keys, q, value: quantiles from cumulative buckets, linear inside a bucket; the open bucket
+    gives its lower edge."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("edge"))
+    cells = histogram(rows, *keys).withColumn("below", F.lag("n", 1, 0).over(w)).withColumn("low", F.lag("edge", 1, 0.0).over(w))
+    cells = cells.withColumn("total", F.max("n").over(Window.partitionBy(*keys))).withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    value = F.expr("case when edge is null then low else low + (edge - low) * (q * total - below) / (n - below) end")
+    return cells.where("n >= q * total and below < q * total").select(*keys, "q", F.round(value, 6).alias("value"))
+
+
+def _quantiles_sql(key: str, qs, where: str = "true") -> str:
+    hist = " UNION ALL ".join([f"SELECT {key} AS key, {b}::DOUBLE AS edge, count(*) FILTER (value <= {b}) AS n FROM events WHERE {where} GROUP BY 1" for b in BUCKETS] + [f"SELECT {key}, NULL, count(*) FROM events WHERE {where} GROUP BY 1"])
+    return f"""(WITH h AS ({hist}), l AS (SELECT *, lag(n, 1, 0) OVER w AS below, lag(edge, 1, 0::DOUBLE) OVER w AS low, max(n) OVER (PARTITION BY key) AS total
+    FROM h WINDOW w AS (PARTITION BY key ORDER BY edge NULLS LAST)), x AS (SELECT *, unnest([{', '.join(f'{q}::DOUBLE' for q in qs)}]) AS q FROM l)
+  SELECT key, q, round(CASE WHEN edge IS NULL THEN low ELSE low + (edge - low) * (q * total - below) / (n - below) END, 6) AS value FROM x WHERE n >= q * total AND below < q * total)"""
+
+
+@query("MET03_histogram_quantile", f"SELECT key AS event_type, value AS p95 FROM {_quantiles_sql('event_type', (0.95,))}")
 def met03(spark, d):
-    w = Window.partitionBy("event_type").orderBy(F.asc_nulls_last("edge"))
-    rows = histogram(events(spark, d), "event_type").withColumn("below", F.lag("n", 1, 0).over(w)).withColumn("low", F.lag("edge", 1, 0.0).over(w))
-    rows = rows.withColumn("total", F.max("n").over(Window.partitionBy("event_type"))).where("n >= 0.95 * total and below < 0.95 * total")
-    return rows.select("event_type", F.round(F.expr("case when edge is null then low else low + (edge - low) * (0.95D * total - below) / (n - below) end"), 6).alias("p95"))
+    return histogram_quantiles(events(spark, d), (0.95,), "event_type").select("event_type", F.col("value").alias("p95"))
+
+
+@query("MET09_role_quantiles", f"SELECT key AS role, q, value FROM {_quantiles_sql('user_id % 3', (0.5, 0.95))}")
+def met09(spark, d):
+    """p50 and p95 of the latency by role."""
+    return histogram_quantiles(events(spark, d).withColumn("role", F.expr("user_id % 3")), (0.5, 0.95), "role")
 
 
-@query("MET02_error_ratio", """SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS ratio FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') / count(*) > 0.2""")
-def met02(spark, d):
-    rows = events(spark, d).groupBy(F.window("ts", "6 hours")["start"].cast("timestamp_ntz").alias("start")).agg((F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).alias("r"))
-    return rows.where("r > 0.2D").select("start", F.round("r", 6).alias("ratio"))
+@query("MET09b_distance_quantiles", "SELECT q, value FROM " + _quantiles_sql("0", (0.5, 0.95), "event_type = 'view'"))
+def met09b(spark, d):
+    """p50 and p95 of the distance that searches record."""
+    return histogram_quantiles(events(spark, d).where("event_type = 'view'").withColumn("whole", F.lit(0)), (0.5, 0.95), "whole").select("q", "value")
 
 
-@query("MET04_fallback_ratio", "SELECT user_id % 3 AS role, round(count(*) FILTER (event_type = 'signup') / count(*), 6) AS ratio FROM events WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY 1")
-def met04(spark, d):
-    rows = events(spark, d).where("ts >= timestamp'2024-01-05'").groupBy(F.expr("user_id % 3").alias("role"))
-    return rows.agg(F.round(F.count_if(F.col("event_type") == "signup") / F.count(F.lit(1)), 6).alias("ratio"))
+HOUR = 3600
 
 
-@query("MET05_zero_hit_ratio", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, round(avg((value < 1)::INTEGER), 6) AS ratio FROM events GROUP BY 1")
-def met05(spark, d):
-    return events(spark, d).groupBy(F.window("ts", "1 day")["start"].cast("timestamp_ntz").alias("start")).agg(F.round(F.avg((F.col("value") < 1).cast("int")), 6).alias("ratio"))
+def ratio_alert(spark, d, part: str, window: int, above: float, hold: int, name: str):
+    """Stretches in which the share of events that satisfy `part` stays above a limit."""
+    rows = A.evaluations(events(spark, d), window, HOUR, part=F.count_if(F.expr(part)), n=F.count(F.lit(1)))
+    return A.held(rows.where(f"part > {above}D * n"), HOUR, hold).select(F.lit(name).alias("alert"), "start", "fires", "end")
+
+
+def _ratio_sql(part: str, window: int, above: float, hold: int, name: str) -> str:
+    values = f"count(*) FILTER ({part}) AS part, count(*) AS n"
+    bad = f"(SELECT k FROM ({A.evaluations_sql(window, HOUR, values)}) WHERE part > {above}::DOUBLE * n)"
+    return f"SELECT '{name}' AS alert, * FROM ({A.held_sql(bad, HOUR, hold)})"
+
+
+#: condition, window, limit, hold, name: one rule or several a query; an hour here is 30 s of the service.
+_RATIOS = {
+    "MET02_error_ratio": [("event_type = 'error'", 6 * HOUR, 0.2, 3 * HOUR, "errors")],
+    "MET04_model_ratios": [("event_type = 'error'", 6 * HOUR, 0.25, 6 * HOUR, "model errors"), ("event_type = 'signup'", 12 * HOUR, 0.22, 12 * HOUR, "fallback")],
+    "MET05_zero_hit_ratio": [("value < 5", 15 * HOUR, 0.1, 15 * HOUR, "zero hits")],
+}
+for _name, _rules in _RATIOS.items():
+
+    @query(_name, " UNION ALL ".join(_ratio_sql(*r) for r in _rules))
+    def ratios(spark, d, rules=_rules):
+        out = [ratio_alert(spark, d, *r) for r in rules]
+        return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+@query("MET05b_hit_ratio", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, round(avg((value >= 1)::INTEGER), 6) AS ratio FROM events GROUP BY 1")
+def met05b(spark, d):
+    return events(spark, d).groupBy(F.window("ts", "1 day")["start"].cast("timestamp_ntz").alias("start")).agg(F.round(F.avg((F.col("value") >= 1).cast("int")), 6).alias("ratio"))
 
 
 @query("MET06_crisis_increase", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events WHERE event_type = 'error' AND value > 40 GROUP BY 1")
@@ -143,28 +202,35 @@ def met06(spark, d):
     return events(spark, d).where("event_type = 'error' and value > 40").groupBy(F.window("ts", "1 hour")["start"].cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("MET07_idle_hours", """WITH h AS (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM events), (SELECT date_trunc('hour', max(ts)) FROM events), INTERVAL 1 HOUR)) AS hour)
-  SELECT hour FROM h WHERE hour NOT IN (SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'purchase')""")
+_TURNS = A.evaluations_sql(2 * HOUR, HOUR, "count(*) FILTER (event_type = 'purchase' AND value > 45) AS n")
+
+
+@query("MET07_turns_drop", "SELECT * FROM (" + A.held_sql(f"(SELECT g.k FROM (SELECT unnest(range((SELECT min(k) FROM ({_TURNS})), (SELECT max(k) FROM ({_TURNS})) + 1)) AS k) g LEFT JOIN ({_TURNS}) e ON e.k = g.k WHERE coalesce(e.n, 0) < 1)", HOUR, 2 * HOUR) + ")")
 def met07(spark, d):
-    rows = events(spark, d)
-    # one row of bounds, then one row an hour
-    hours = rows.agg(F.date_trunc("hour", F.min("ts")).alias("a"), F.date_trunc("hour", F.max("ts")).alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour"))
-    busy = rows.where("event_type = 'purchase'").select(F.date_trunc("hour", "ts").alias("hour")).distinct()
-    return hours.join(busy, "hour", "left_anti").select(F.col("hour").cast("timestamp_ntz").alias("hour"))
+    """Stretches in which hardly any turn is seen; times without any event count as well."""
+    rows = A.evaluations(events(spark, d), 2 * HOUR, HOUR, n=F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 45)))
+    return A.held(A.gap_filled(rows, "n").where("n < 1"), HOUR, 2 * HOUR)
+
 
+_PANELS = {"type": "event_type", "role": "(user_id % 3)", "host": "(user_id % 10)", "status": "(CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END)"}
 
-@query("MET08_rates", "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, round(count(*) / 86400, 9) AS per_second FROM events GROUP BY ALL")
+
+@query("MET08_rates", "SELECT panel, label, start, round(n / 86400, 9) AS per_second, n AS increase FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS panel, {e}::VARCHAR AS label, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY ALL" for p, e in _PANELS.items()) + ")")
 def met08(spark, d):
-    return events(spark, d).groupBy("event_type", F.window("ts", "1 day")["start"].cast("timestamp_ntz").alias("start")).agg(F.round(F.count(F.lit(1)) / 86400, 9).alias("per_second"))
+    """Daily rate and increase of four panels in one pass over the events."""
+    labels = F.inline(F.array(*[F.struct(F.lit(p).alias("panel"), F.expr(e).cast("string").alias("label")) for p, e in _PANELS.items()]))
+    rows = events(spark, d).select("ts", labels).groupBy("panel", "label", F.window("ts", "1 day")["start"].cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("increase"))
+    return rows.select("panel", "label", "start", F.round(F.col("increase") / 86400, 9).alias("per_second"), "increase")
 
 
 @query("MET01_down_islands", """WITH u AS (SELECT user_id, ts, event_id, event_type = 'error' AS down FROM events), s AS (SELECT *, sum((NOT down)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM u)
-  SELECT user_id, min(ts) AS start, count(*) AS samples FROM s WHERE down GROUP BY user_id, island HAVING count(*) >= 3""")
+  SELECT user_id, min(ts) AS start, count(*) AS samples FROM s WHERE down GROUP BY user_id, island HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= 21600000000""")
 def met01(spark, d):
+    """Instances that every sample of six hours or more finds down."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = events(spark, d).withColumn("down", F.col("event_type") == "error").withColumn("island", F.sum((~F.col("down")).cast("int")).over(w))
-    out = rows.where("down").groupBy("user_id", "island").agg(F.min("ts").cast("timestamp_ntz").alias("start"), F.count(F.lit(1)).alias("samples"))
-    return out.where("samples >= 3").select("user_id", "start", "samples")
+    out = rows.where("down").groupBy("user_id", "island").agg(F.min("ts").cast("timestamp_ntz").alias("start"), F.count(F.lit(1)).alias("samples"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span"))
+    return out.where("span >= 21600000000").select("user_id", "start", "samples")
 
 
 @query("AB01_assignment", "SELECT user_id, CASE WHEN ('0x' || right(md5(user_id::VARCHAR), 1))::INTEGER % 2 = 0 THEN 'treatment' ELSE 'control' END AS variant FROM (SELECT DISTINCT user_id FROM events)")
@@ -186,24 +252,34 @@ def agg24(spark, d):
     return events(spark, d).withColumn("k", F.expr("event_id % 3 + 1")).groupBy(F.expr("user_id % 4").alias("experiment")).agg(F.bround(F.expr("sum((event_id % 5 + 1) * k) / sum(k)"), 2).alias("mean"))
 
 
-@query("STR01_rate_limit", """WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+_ADMITTED = """WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
   s AS (SELECT user_id, k, event_id, [t] AS held, true AS admitted FROM r WHERE k = 1
     UNION ALL SELECT r.user_id, r.k, r.event_id,
       CASE WHEN len(list_filter(s.held, lambda x: r.t - x <= 21600000000)) < 2 THEN list_append(list_filter(s.held, lambda x: r.t - x <= 21600000000), r.t) ELSE list_filter(s.held, lambda x: r.t - x <= 21600000000) END,
       len(list_filter(s.held, lambda x: r.t - x <= 21600000000)) < 2 FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)
-  SELECT event_id, admitted FROM s""")
+  """
+
+
+@query("STR01_rate_limit", f"{_ADMITTED} SELECT event_id, admitted FROM s")
 def str01(spark, d):
     return admitted(events(spark, d).select(F.col("user_id").alias("key"), "ts", "event_id"), limit=2, seconds=6 * 3600)
 
 
+@query("STR02_state_cleanup", f"""{_ADMITTED}, l AS (SELECT r.user_id AS key, max(t) AS last FROM s JOIN r ON r.event_id = s.event_id WHERE admitted GROUP BY 1)
+  SELECT key, make_timestamp(last) AS last FROM l WHERE (SELECT count(*) FROM l) <= 50 OR (SELECT max(epoch_us(ts)) FROM events) - last <= 21600000000""")
+def str02(spark, d):
+    """Keys that still have state after the last event: idle ones go once there are over 50."""
+    return last_admitted(events(spark, d).select(F.col("user_id").alias("key"), "ts", "event_id"), limit=2, seconds=6 * 3600, most=50)
+
+
 @query("STR05_first_event_latency", "SELECT user_id, round(epoch(min(ts) FILTER (event_type = 'purchase')) - epoch(min(ts)), 3) AS seconds FROM events GROUP BY user_id")
 def str05(spark, d):
     first = F.min(F.when(F.col("event_type") == "purchase", F.unix_micros("ts")))
     return events(spark, d).groupBy("user_id").agg(F.round((first - F.min(F.unix_micros("ts"))) / 1e6, 3).alias("seconds"))
 
 
-@query("WIN12_increase", "SELECT user_id, round(sum(greatest(value - before, 0)), 6) AS increase FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")
+@query("WIN12_increase", "SELECT user_id, round(sum(CASE WHEN value < before THEN value ELSE value - before END), 6) AS increase FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")
 def win12(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = events(spark, d).withColumn("before", F.lag("value").over(w))
-    return rows.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("before").isNotNull(), F.greatest(F.col("value") - F.col("before"), F.lit(0.0)))), 6).alias("increase"))
+    return rows.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("value") < F.col("before"), F.col("value")).otherwise(F.col("value") - F.col("before"))), 6).alias("increase"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from harborlight.operators import curation as C
 from harborlight.plans.dialogue import TURNS, turns
-from harborlight.plans.registry import query
+from harborlight.plans import screening  # noqa: F401  (the report is made of one of its queries)
+from harborlight.plans.registry import ORACLES, QUERIES, query
 from harborlight.sources import readers, sinks
+from harborlight.sources.folders import work_path
 from harborlight.sources.tables import RECORDS, SESSIONS, records, sessions, table
 from harborlight.streaming.topics import run_once
 
@@ -44,6 +46,58 @@ def src12(spark, d):
     return rows.select("event_id", F.inline(readers.sse_blocks(stream)))
 
 
+@query("SNK01_daily_json", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def snk01(spark, d):
+    """Events streamed into daily JSON lines, read back."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    out = work_path(spark, "daily")
+    sinks.stream_daily_json(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), f"{out}/rows", f"{out}/state")
+    rows = spark.read.schema("event_id long, ts timestamp, event_type string, day string").option("basePath", f"{out}/rows").json(f"{out}/rows")
+    return rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SNK02_dual_sink", "SELECT copy, event_type, count(*) AS n FROM events, (SELECT unnest(['json', 'table']) AS copy) GROUP BY ALL")
+def snk02(spark, d):
+    """Every micro-batch as JSON lines and as a table, read back from both."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").select("event_id", "event_type")
+    out = work_path(spark, "dual")
+    stream.writeStream.foreachBatch(sinks.dual_sink(f"{out}/json", f"{out}/table")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = "event_id long, event_type string"
+    parts = (("json", spark.read.schema(schema).json(f"{out}/json/*")), ("table", spark.read.schema(schema).parquet(f"{out}/table/*")))
+    first, second = (rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("copy"), "event_type", "n") for name, rows in parts)
+    return first.unionByName(second)
+
+
+@query("SNK03_report_csv", f"SELECT session_id::VARCHAR AS session_id, {', '.join(f'{k}_{c}::VARCHAR AS {k}_{c}' for k in ('phq_a', 'scared', 'sdq', 'mht') for c in ('total', 'severity'))}, any_crisis::VARCHAR AS any_crisis FROM ({ORACLES['AGG09_pivoted_summary']})")
+def snk03(spark, d):
+    """The pivoted summary as CSV with a byte order mark and a header that follows the scales, read
+    back as text."""
+    out = work_path(spark, "report")
+    sinks.write_report_csv(QUERIES["AGG09_pivoted_summary"](spark, d), out)
+    rows = spark.read.option("header", True).csv(out)
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
+
+
+@query("SNK04_namespace_reset", "SELECT lang AS namespace, count(*) AS n, max(version) AS version FROM (SELECT lang, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS version, doc_id FROM documents WHERE lang <> 'en' OR doc_id % 2 = 0) GROUP BY lang")
+def snk04(spark, d):
+    """An index of all namespaces, of which one is built anew."""
+    out = work_path(spark, "index")
+    rows = table(spark, d, "documents").select(F.col("lang").alias("namespace"), "doc_id")
+    sinks.reset_namespace(rows.withColumn("version", F.lit(1)), out)
+    sinks.reset_namespace(rows.where("namespace = 'en' and doc_id % 2 = 0").withColumn("version", F.lit(2)), out)
+    return spark.read.schema("doc_id long, version int, namespace string").parquet(out).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("version"))
+
+
+@query("SNK07_aligned_outputs", """SELECT 'samples' AS output, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE n_chars BETWEEN 50 AND 5000
+  UNION ALL SELECT 'provenance', count(*), sum(doc_id)::BIGINT FROM documents WHERE n_chars BETWEEN 50 AND 5000 UNION ALL SELECT 'rejected', count(*), sum(doc_id)::BIGINT FROM documents WHERE NOT n_chars BETWEEN 50 AND 5000""")
+def snk07(spark, d):
+    out = work_path(spark, "aligned")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
+    sinks.write_aligned(rows, out, ["text"], ["lang", "source", "n_chars"], "not n_chars between 50 and 5000")
+    parts = [spark.read.schema("id long").json(f"{out}/{name}").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).select(F.lit(name).alias("output"), "n", "ids") for name in ("samples", "provenance", "rejected")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SNK05_upsert", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 4 <> 1 UNION ALL SELECT c_custkey, c_acctbal + 1 FROM customer WHERE c_custkey % 4 = 1")
 def snk05(spark, d):
     old = table(spark, d, "customer").select("c_custkey", "c_acctbal")

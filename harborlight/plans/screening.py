@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlight.operators import scoring as S
 from harborlight.plans.registry import query
+from harborlight.sources.folders import written
 from harborlight.sources.tables import RANK, RECORDS, SCALES, SESSIONS, STUDENTS, answers, answers_sql, records, sessions, students, table
 
 
@@ -156,14 +157,20 @@ def sco13(spark, d):
     return spark.range(120).select(F.col("id").alias("idx"), F.expr("element_at(array('vent', 'method', 'crisis'), cast(id % 3 + 1 as int))").alias("kind"), F.expr("element_at(array('exam', 'sleep', 'family', 'friends'), cast(id % 4 + 1 as int))").alias("theme"), F.expr("id div 4 % 5").alias("question"))
 
 
-@query("AGG02_severity_distribution", f"""WITH {STUDENTS}, {answers_sql('phq_a')}, {PHQ_SQL}, bands AS (SELECT unnest({list(RANK)}) AS severity)
-  SELECT b.batch_id, s.severity, count(p.student_no) AS n FROM (SELECT DISTINCT batch_id FROM students) b CROSS JOIN bands s
-  LEFT JOIN (SELECT batch_id, student_no, severity FROM students JOIN phq USING (student_no) WHERE completed) p ON p.batch_id = b.batch_id AND p.severity = s.severity GROUP BY ALL""")
+_SCORED = f"""{answers_sql('phq_a')}, {answers_sql('scared', 'scared_answers')}, {PHQ_SQL},
+  scored AS (SELECT 'phq_a' AS scale_id, student_no, severity FROM phq UNION ALL SELECT 'scared', student_no, {case('sum(value)', S.SCARED_BANDS)} FROM scared_answers GROUP BY student_no)"""
+
+
+@query("AGG02_severity_distribution", f"""WITH {STUDENTS}, {_SCORED}, bands AS (SELECT unnest({list(RANK)}) AS severity)
+  SELECT b.batch_id, c.scale_id, s.severity, count(p.student_no) AS n FROM (SELECT DISTINCT batch_id FROM students) b CROSS JOIN (SELECT unnest(['phq_a', 'scared']) AS scale_id) c CROSS JOIN bands s
+  LEFT JOIN (SELECT batch_id, scale_id, student_no, severity FROM students JOIN scored USING (student_no) WHERE completed) p ON p.batch_id = b.batch_id AND p.scale_id = c.scale_id AND p.severity = s.severity GROUP BY ALL""")
 def agg02(spark, d):
     who = students(spark, d)
-    scored = S.phq(answers(spark, d, "phq_a")).join(who.where("completed"), "student_no").groupBy("batch_id", "severity").agg(F.count(F.lit(1)).alias("n"))
-    frame = who.select("batch_id").distinct().withColumn("severity", F.explode(F.array(*map(F.lit, RANK))))
-    return frame.join(scored, ["batch_id", "severity"], "left").fillna(0, ["n"])
+    scored = {"phq_a": S.phq(answers(spark, d, "phq_a")), "scared": S.scared(answers(spark, d, "scared"))}
+    phq, scared = (rows.select("student_no", F.lit(scale).alias("scale_id"), "severity") for scale, rows in scored.items())
+    counts = phq.unionByName(scared).join(who.where("completed"), "student_no").groupBy("batch_id", "scale_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    frame = who.select("batch_id").distinct().withColumn("scale_id", F.explode(F.array(*map(F.lit, scored)))).withColumn("severity", F.explode(F.array(*map(F.lit, RANK))))
+    return frame.join(counts, ["batch_id", "scale_id", "severity"], "left").fillna(0, ["n"])
 
 
 @query("AGG01_batch_progress", f"WITH {STUDENTS} SELECT batch_id, count(*) AS total, count(*) FILTER (completed) AS completed FROM students GROUP BY batch_id")
@@ -218,9 +225,9 @@ def agg09(spark, d):
     return wide.join(flags, "session_id")
 
 
-@query("JOIN01_account_records", f"WITH {RECORDS}, {SESSIONS} SELECT account_id, count(*) AS records, max(total) AS top FROM records JOIN sessions USING (session_id) WHERE account_id < 500 GROUP BY account_id")
+@query("JOIN01_account_records", f"WITH {RECORDS}, {SESSIONS} SELECT account_id, count(*) AS records, max(total) AS top FROM records JOIN sessions USING (session_id) WHERE account_id IS NOT NULL GROUP BY account_id")
 def join01(spark, d):
-    return records(spark, d).join(sessions(spark, d).where("account_id < 500").select("session_id", "account_id"), "session_id").groupBy("account_id").agg(F.count(F.lit(1)).alias("records"), F.max("total").alias("top"))
+    return records(spark, d).join(sessions(spark, d).where("account_id is not null").select("session_id", "account_id"), "session_id").groupBy("account_id").agg(F.count(F.lit(1)).alias("records"), F.max("total").alias("top"))
 
 
 @query("JOIN02_sessions_with_records", f"WITH {RECORDS}, {SESSIONS} SELECT session_id, account_id FROM sessions WHERE EXISTS (SELECT 1 FROM records r WHERE r.session_id = sessions.session_id AND r.severity = 'severe')")
@@ -249,17 +256,21 @@ def join05(spark, d):
     return records(spark, d).groupBy("severity").agg(F.count(F.lit(1)).alias("n")).select("severity", rank().alias("rank"), "n")
 
 
-@query("WIN01_latest_record", f"""WITH {RECORDS}, {SESSIONS}, s AS (SELECT session_id, account_id FROM sessions WHERE session_id % 5 <> 4),
-  r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, record_no DESC) AS k FROM records WHERE session_id % 3 <> 0),
+@query("WIN01_latest_record", f"""WITH {RECORDS}, {SESSIONS},
+  r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, record_no DESC) AS k FROM records),
   a AS (SELECT account_id, r.session_id, record_no, row_number() OVER (PARTITION BY account_id ORDER BY r.created_at DESC, r.session_id DESC, record_no DESC) AS k FROM r JOIN sessions x ON x.session_id = r.session_id WHERE account_id IS NOT NULL)
   SELECT s.session_id, coalesce(r.session_id, a.session_id) AS record_session, coalesce(r.record_no, a.record_no) AS record_no
-  FROM s LEFT JOIN r ON r.session_id = s.session_id AND r.k = 1 LEFT JOIN a ON a.account_id = s.account_id AND a.k = 1""")
+  FROM sessions s LEFT JOIN r ON r.session_id = s.session_id AND r.k = 1 LEFT JOIN a ON a.account_id = s.account_id AND a.k = 1""")
 def win01(spark, d):
-    own = sessions(spark, d).select("session_id", "account_id")
-    rows = records(spark, d).where("session_id % 3 <> 0")
+    return latest_records(sessions(spark, d), records(spark, d))
+
+
+def latest_records(own, rows):
+    """The latest record of every session, or else the latest one of its account."""
+    own = own.select("session_id", "account_id")
     last = rows.groupBy("session_id").agg(F.max(F.struct("created_at", "session_id", "record_no")).alias("r"))
     by_account = last.join(own.where("account_id is not null"), "session_id").groupBy("account_id").agg(F.max("r").alias("a"))
-    out = own.where("session_id % 5 <> 4").join(last, "session_id", "left").join(by_account, "account_id", "left")
+    out = own.join(last, "session_id", "left").join(by_account, "account_id", "left")
     return out.select("session_id", F.coalesce("r.session_id", "a.session_id").alias("record_session"), F.coalesce("r.record_no", "a.record_no").alias("record_no"))
 
 
@@ -269,11 +280,25 @@ def srt01(spark, d):
     return sessions(spark, d).where("account_id is not null").select("session_id", F.row_number().over(w).alias("place"))
 
 
-@query("SRT02_keyset_page", f"""WITH {SESSIONS} SELECT session_id, account_id, created_at FROM sessions WHERE account_id IS NULL AND (created_at, session_id) < (TIMESTAMP '1999-06-01', 0)
-  ORDER BY created_at DESC, session_id DESC LIMIT 51""")
+#: Largest page, and the largest one of a visitor without an account.
+PAGE, PAGE_ANONYMOUS = 100, 50
+
+
+def page(rows, asked: int, anonymous: bool):
+    """The first `asked` rows (clamped) by created_at and session_id, newest first, with next_cursor:
+    the last row's created_at on every row if more follow. One row more than the page is read."""
+    size = max(1, min(asked, PAGE_ANONYMOUS if anonymous else PAGE))
+    w = Window.orderBy(F.desc("created_at"), F.desc("session_id"))
+    top = rows.orderBy(F.desc("created_at"), F.desc("session_id")).limit(size + 1).withColumn("r", F.row_number().over(w))
+    shown = top.withColumn("more", F.max("r").over(Window.partitionBy()) > size).where(F.col("r") <= size)
+    return shown.withColumn("next_cursor", F.when(F.col("more"), F.min("created_at").over(Window.partitionBy()))).drop("r", "more")
+
+
+@query("SRT02_keyset_page", f"""WITH {SESSIONS}, t AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, session_id DESC) AS r FROM sessions WHERE account_id IS NULL AND created_at < TIMESTAMP '1999-06-01' ORDER BY r LIMIT 51)
+  SELECT session_id, account_id, created_at, CASE WHEN (SELECT count(*) FROM t) > 50 THEN (SELECT min(created_at) FROM t WHERE r <= 50) END AS next_cursor FROM t WHERE r <= 50""")
 def srt02(spark, d):
-    rows = sessions(spark, d).where("account_id is null and created_at < timestamp'1999-06-01'")
-    return rows.orderBy(F.desc("created_at"), F.desc("session_id")).limit(51).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    rows = page(sessions(spark, d).where("account_id is null and created_at < timestamp'1999-06-01'"), 80, anonymous=True)
+    return rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).withColumn("next_cursor", F.col("next_cursor").cast("timestamp_ntz"))
 
 
 @query("FLT01_owned_batches", f"WITH {STUDENTS} SELECT batch_id, student_no FROM students WHERE batch_id = 2")
@@ -292,15 +317,28 @@ def flt03(spark, d):
     return table(spark, d, "customer").where(F.upper("c_name") == F.upper(F.trim(F.lit("  customer#000000042 ")))).select("c_custkey", "c_name")
 
 
-@query("FLT12_roster_validation", f"""WITH {STUDENTS}, r AS (SELECT student_no, student_no % 37 AS code, CASE WHEN student_no % 41 = 0 THEN ' ' ELSE grade END AS name FROM students),
-  v AS (SELECT student_no, 'blank' AS problem FROM r WHERE nullif(trim(name), '') IS NULL
-    UNION ALL SELECT student_no, 'duplicate' FROM (SELECT student_no, row_number() OVER (PARTITION BY code ORDER BY student_no) AS k FROM r) WHERE k = 2)
-  SELECT * FROM v""")
+_ROSTER = f"""{STUDENTS}, r AS (SELECT student_no, batch_id, student_no % 37 AS code, CASE WHEN student_no % 41 = 0 THEN ' ' ELSE grade END AS name FROM students),
+  v AS (SELECT batch_id, student_no, 'blank' AS problem FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY student_no) AS k FROM r WHERE nullif(trim(name), '') IS NULL) WHERE k <= 10
+    UNION ALL SELECT batch_id, min(student_no), 'duplicate' FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, code ORDER BY student_no) AS k FROM r) WHERE k = 2 GROUP BY batch_id
+    UNION ALL SELECT batch_id, NULL, 'too many rows' FROM r GROUP BY batch_id HAVING count(*) > 500)"""
+
+
+@query("FLT12_roster_validation", f"WITH {_ROSTER} SELECT * FROM v")
 def flt12(spark, d):
-    rows = students(spark, d).select("student_no", F.expr("student_no % 37").alias("code"), F.expr("case when student_no % 41 = 0 then ' ' else grade end").alias("name"))
-    blank = rows.where(F.expr("nullif(trim(name), '') is null")).select("student_no", F.lit("blank").alias("problem"))
-    again = rows.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("student_no"))).where("k = 2")
-    return blank.unionByName(again.select("student_no", F.lit("duplicate").alias("problem")))
+    rows = students(spark, d).select("student_no", "batch_id", F.expr("student_no % 37").alias("code"), F.expr("case when student_no % 41 = 0 then ' ' else grade end").alias("name"))
+    return roster_problems(rows)
+
+
+def roster_problems(rows):
+    """batch_id, student_no, problem of rosters (student_no, batch_id, code, name): the first ten
+    blank cells, the first code that occurs again, and rosters of more than 500 rows."""
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("student_no"))
+    blank = rows.where(F.expr("nullif(trim(name), '') is null")).withColumn("k", rank("batch_id")).where("k <= 10")
+    again = rows.withColumn("k", rank("batch_id", "code")).where("k = 2").groupBy("batch_id").agg(F.min("student_no").alias("student_no"))
+    large = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).where("n > 500").select("batch_id", F.lit(None).cast("long").alias("student_no"))
+    found = {"blank": blank, "duplicate": again, "too many rows": large}
+    parts = [v.select("batch_id", "student_no", F.lit(k).alias("problem")) for k, v in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("FLT13_scale_set", f"""WITH {RECORDS}, s AS (SELECT session_id, list_distinct(list(scale_id)) AS held FROM records GROUP BY session_id)
@@ -320,9 +358,15 @@ def flt14(spark, d):
     return asked.join(who, asked.code == who.student_no, "left").select("code", F.expr("case when student_no is null then 'invalid' when batch_id = 4 then 'closed' when completed then 'done' else 'open' end").alias("state"))
 
 
-@query("DML03_close_batch", f"WITH {STUDENTS} SELECT student_no, batch_id, CASE WHEN batch_id = 3 THEN 'closed' ELSE 'active' END AS status FROM students")
+@query("DML03_change_batch", f"""WITH {STUDENTS}, b AS (SELECT DISTINCT batch_id, 'batch ' || batch_id AS name, CASE WHEN batch_id % 2 = 0 THEN 'closed' ELSE 'active' END AS status FROM students)
+  SELECT batch_id, CASE WHEN batch_id = 1 THEN 'renamed' ELSE name END AS name, CASE WHEN batch_id = 3 THEN 'closed' WHEN batch_id = 2 THEN 'active' ELSE status END AS status FROM b""")
 def dml03(spark, d):
-    return students(spark, d).select("student_no", "batch_id", F.when(F.col("batch_id") == 3, "closed").otherwise("active").alias("status"))
+    """Close, reopen and rename by a table of changes, null where a column stays."""
+    rows = students(spark, d).select("batch_id").distinct()
+    rows = rows.select("batch_id", F.concat(F.lit("batch "), F.col("batch_id").cast("string")).alias("name"), F.expr("if(batch_id % 2 = 0, 'closed', 'active')").alias("status"))
+    changes = spark.createDataFrame([(3, None, "closed"), (2, None, "active"), (1, "renamed", None)], "batch_id long, new_name string, new_status string")
+    out = rows.join(F.broadcast(changes), "batch_id", "left")
+    return out.select("batch_id", F.coalesce("new_name", "name").alias("name"), F.coalesce("new_status", "status").alias("status"))
 
 
 @query("DML04_delete_batch", f"WITH {STUDENTS}, {SESSIONS} SELECT session_id, account_id, s.batch_id FROM sessions LEFT JOIN (SELECT * FROM students WHERE batch_id <> 1) s ON s.student_no = account_id")
@@ -341,12 +385,33 @@ def dml05(spark, d):
 _CODE = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 
 
-@query("DML06_entry_codes", f"""WITH c AS (SELECT c_custkey AS student_no, md5(c_custkey::VARCHAR) AS h FROM customer)
-  SELECT student_no, array_to_string(list_transform(range(0, 6), lambda i: substr('{_CODE}', ('0x' || substr(h, (2 * i + 1)::INTEGER, 2))::INTEGER % 32 + 1, 1)), '') AS code FROM c""")
+def _code_sql(h: str) -> str:
+    return f"array_to_string(list_transform(range(0, 6), lambda i: substr('{_CODE}', ('0x' || substr({h}, (2 * i + 1)::INTEGER, 2))::INTEGER % 32 + 1, 1)), '')"
+
+
+@query("DML06_entry_codes", f"""WITH RECURSIVE t AS (SELECT c_custkey AS student_no, 0 AS try, {_code_sql("md5(c_custkey::VARCHAR || ':0')")} AS code, false AS done FROM customer
+    UNION ALL SELECT student_no, try + 1, CASE WHEN k = 1 THEN code ELSE {_code_sql("md5(student_no::VARCHAR || ':' || (try + 1))")} END, k = 1 FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY done DESC, student_no) AS k FROM t) WHERE try < 20)
+  SELECT student_no, code FROM t WHERE try = 20""")
 def dml06(spark, d):
-    h = F.md5(F.col("c_custkey").cast("string"))
-    chars = [F.substring(F.lit(_CODE), F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") % 32 + 1, F.lit(1)) for i in range(6)]
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("student_no"), F.concat(*chars).alias("code"))
+    return unique_codes(table(spark, d, "customer").select(F.col("c_custkey").alias("student_no")))
+
+
+def unique_codes(rows, tries: int = 20):
+    """student_no, code: six characters from the key's hash. Of rows with one code all but the first
+    try the next; codes that stood the round before win. Rounds end when no code is shared, which
+    is a count of groups, and after `tries` at the latest."""
+
+    def code(n: int):
+        h = F.md5(F.concat(F.col("student_no").cast("string"), F.lit(f":{n}")))
+        return F.concat(*[F.substring(F.lit(_CODE), F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") % 32 + 1, F.lit(1)) for i in range(6)])
+
+    held = written(rows.select("student_no", code(0).alias("code"), F.lit(False).alias("done")), "codes")
+    for n in range(1, tries + 1):
+        if held.groupBy("code").count().where("count > 1").isEmpty():
+            break
+        first = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("done"), "student_no")) == 1
+        held = written(held.withColumn("done", first).select("student_no", F.when(F.col("done"), F.col("code")).otherwise(code(n)).alias("code"), "done"), "codes")
+    return held.select("student_no", "code")
 
 
 @query("DQ01_constraints", """SELECT 'orders_customer_fk' AS name, count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)

@@ -1,4 +1,5 @@
-"""Sinks: daily JSON lines, CSV with a byte order mark, upserts by key, dual writes."""
+"""Sinks: daily JSON lines in batch and stream, CSV with a byte order mark, upserts by key, namespace
+resets, aligned outputs, dual writes."""
 
 from __future__ import annotations
 
@@ -16,6 +17,29 @@ def write_daily_json(rows: DataFrame, path: str, ts: str = "ts") -> None:
     rows.withColumn("day", F.date_format(ts, "yyyy-MM-dd")).write.mode("append").partitionBy("day").json(path)
 
 
+def stream_daily_json(rows: DataFrame, path: str, checkpoint: str, ts: str = "ts"):
+    """The same for a stream: takes all that is there now and returns the finished query. The sink's
+    log keeps a batch that runs again from appending twice."""
+    days = rows.withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
+    run = days.writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return run
+
+
+def reset_namespace(rows: DataFrame, path: str, namespace: str = "namespace") -> None:
+    """Replace the rows of the namespaces that `rows` has; others stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(namespace).parquet(path)
+
+
+def write_aligned(rows: DataFrame, path: str, sample: list[str], provenance: list[str], rejected: str) -> None:
+    """samples, provenance and rejected as JSON lines under path, of rows with an id column. `rejected`
+    is a condition; the first two have the same ids, the third all others."""
+    bad = F.coalesce(F.expr(rejected), F.lit(False))
+    kept = rows.where(~bad)
+    for name, part in (("samples", kept.select("id", *sample)), ("provenance", kept.select("id", *provenance)), ("rejected", rows.where(bad).select("id", *sample, *provenance))):
+        part.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def write_report_csv(rows: DataFrame, path: str) -> None:
     """CSV whose header starts with a byte order mark, for spreadsheet programs."""
     first, *rest = rows.columns

@@ -1,7 +1,7 @@
 """Sliding-window rate limiter that records admitted requests only.
 
 Because a rejected request leaves no trace, a window count over all requests gives another
-answer; the batch form folds each key's requests in time order, and the streaming form keeps the
+answer; the batch form walks each key's requests in time order, and the streaming form keeps the
 same list of admitted times as state.
 """
 
@@ -10,8 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
 
 def decide(times: list[int], held: list[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
     """Decisions for ascending times and the admitted times that are still in the window."""
@@ -24,20 +27,42 @@ def decide(times: list[int], held: list[int], limit: int, window: int) -> tuple[
     return out, held
 
 
-def admitted(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """event_id, admitted of every request (key, ts, event_id). Rows without a key are exempt.
+def decisions(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """key, t (microseconds), event_id, admitted of the requests with a key.
 
-    Keys are sessions of people: their lists are short, and a grouped map keeps one in memory.
+    Each task walks its sorted rows and holds the admitted times of the key it is at, `limit` at
+    most, however many requests a key has.
     """
     window = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            out = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != at:
+                    at, held = key, []
+                done, held = decide([t], held, limit, window)
+                out += done
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], ["key", "t", "event_id", "admitted"])
+
+    rows = requests.where("key is not null").select("key", F.unix_micros("ts").alias("t"), "event_id").repartition("key").sortWithinPartitions("key", "t", "event_id")
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("admitted", BooleanType())]))
+
+
+def admitted(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """event_id, admitted of every request (key, ts, event_id). Rows without a key are exempt."""
     free = requests.where("key is null").select("event_id", F.lit(True).alias("admitted"))
+    return decisions(requests, limit, seconds).select("event_id", "admitted").unionByName(free)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        return pd.DataFrame({"event_id": rows["event_id"], "admitted": decide(rows["t"].tolist(), [], limit, window)[0]})
 
-    rows = requests.where("key is not null").select("key", F.unix_micros("ts").alias("t"), "event_id")
-    return rows.groupBy("key").applyInPandas(run, "event_id long, admitted boolean").unionByName(free)
+def last_admitted(requests: DataFrame, limit: int, seconds: int, most: int) -> DataFrame:
+    """key, last: the keys that have state after the last request, with their last admitted time.
+    Beyond `most` keys, those whose window is over are purged."""
+    last = decisions(requests, limit, seconds).where("admitted").groupBy("key").agg(F.max("t").alias("last"))
+    now = requests.agg(F.max(F.unix_micros("ts")).alias("now"))  # one row, as the next
+    rows = last.join(F.broadcast(now)).join(F.broadcast(last.agg(F.count(F.lit(1)).alias("keys"))))
+    return rows.where((F.col("keys") <= most) | (F.col("now") - F.col("last") <= seconds * 1_000_000)).select("key", F.timestamp_micros("last").cast("timestamp_ntz").alias("last"))
 
 
 def admitted_stream(requests: DataFrame, limit: int, seconds: int, forget: bool = True) -> DataFrame:

@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from harborlight.operators import curation, retrieval
 from harborlight.functions import chunks
 from harborlight.functions import text as T
+from harborlight.operators import alerts
+from harborlight.plans import screening
 from harborlight.plans.corpus import transitions
+from harborlight.plans.events import histogram_quantiles
+from harborlight.plans.screening import latest_records, page, roster_problems
 from harborlight.sources import readers, sinks
 from harborlight.streaming.limiter import admitted, admitted_stream, decide
 from harborlight.streaming.topics import run_once
+from harborlight.streaming.windows import rolling, rolling_stream
+
 
 def at(seconds):
     return datetime(2024, 1, 1) + timedelta(seconds=seconds)
@@ -201,6 +207,60 @@ def test_readers_and_sinks(spark, tmp_path):
         readers.roster(spark.createDataFrame([(1,)], "x int"))
 
 
+def test_latest_record_falls_back_to_the_account(spark):
+    own = spark.createDataFrame([(1, 7), (2, 7), (3, None), (4, 8), (5, None)], "session_id long, account_id long")
+    rows = spark.createDataFrame([(1, at(0), 1), (1, at(9), 2), (3, at(5), 1), (2, at(3), 4)], "session_id long, created_at timestamp, record_no long").where("session_id <> 2")
+    got = {r.session_id: (r.record_session, r.record_no) for r in latest_records(own, rows).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (None, None), 5: (None, None)}
+
+
+def test_page_and_cursor(spark):
+    rows = spark.createDataFrame([(i, at(i // 2)) for i in range(130)], "session_id long, created_at timestamp")
+    for asked, anonymous, size in ((0, False, 1), (30, False, 30), (400, False, 100), (400, True, 50)):
+        got = page(rows, asked, anonymous).collect()
+        assert sorted((r.session_id for r in got), reverse=True) == list(range(129, 129 - size, -1)) and {r.next_cursor for r in got} == {at((130 - size) // 2)}
+    assert {r.next_cursor for r in page(rows.where("session_id < 5"), 5, False).collect()} == {None}
+
+
+def test_roster_problems(spark):
+    rows = [(i, 1, i, " " if i % 2 else "x") for i in range(40)] + [(100, 2, 5, "a"), (101, 2, 5, "a"), (102, 2, 5, "a"), (103, 2, 6, "a"), (104, 2, 6, None)] + [(1000 + i, 3, i, "x") for i in range(501)]
+    got = sorted(map(tuple, roster_problems(spark.createDataFrame(rows, "student_no long, batch_id long, code long, name string")).collect()), key=str)
+    assert got == sorted([(1, i, "blank") for i in range(1, 20, 2)] + [(2, 104, "blank"), (2, 101, "duplicate"), (3, None, "too many rows")], key=str)
+
+
+def test_codes_are_unique(spark, monkeypatch):
+    monkeypatch.setattr(screening, "_CODE", "AB" * 16)  # 64 codes only
+    got = [r.code for r in screening.unique_codes(spark.range(50).withColumnRenamed("id", "student_no")).collect()]
+    assert len(got) == 50 and len(set(got)) >= 49
+
+
+def test_rolling_stream_equals_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(c, t, f"{c}:{t}") for c in range(3) for t in range(4 + 5 * c)], "conv_id long, turn long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    q = rolling_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 4, 2).writeStream.format("memory").queryName("rolled").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = spark.table("rolled")
+    assert {tuple(r) for r in got.drop("left").collect()} == {tuple(r) for r in rolling(rows, 4, 2).collect()}
+    assert [x for r in got.where("conv_id = 2").orderBy("turn").collect() for x in r.left] == [f"2:{t}" for t in range(10)]
+
+
+def test_alerts(spark):
+    times = [3600 * h + 10 for h in (0, 1, 2, 3, 4, 5, 9, 10)]
+    rows = spark.createDataFrame([(at(t), True) for t in times] + [(at(3600 * 2 + 20), False)], "ts timestamp, bad boolean")
+    every = alerts.evaluations(rows, 7200, 3600, bad=F.count_if("bad"), n=F.count(F.lit(1)))
+    base = int(datetime(2024, 1, 1).timestamp()) // 3600
+    assert {r.k - base: (r.bad, r.n) for r in every.collect()} == {1: (1, 1), 2: (2, 2), 3: (2, 3), 4: (2, 3), 5: (2, 2), 6: (2, 2), 7: (1, 1), 10: (1, 1), 11: (2, 2), 12: (1, 1)}
+    assert {r.k - base: r.bad for r in alerts.gap_filled(every, "bad").where("bad = 0").collect()} == {8: 0, 9: 0}
+    got = [tuple(r) for r in alerts.held(every.where("bad = n"), 3600, 7200).orderBy("start").collect()]
+    assert got == [(at(3600 * 5), at(3600 * 7), at(3600 * 7)), (at(3600 * 10), at(3600 * 12), at(3600 * 12))]
+
+
+def test_histogram_quantiles(spark):
+    rows = spark.createDataFrame([("a", v) for v in (0.5, 1.5, 1.5, 4.0)] + [("b", 99.0)], "k string, value double")
+    got = {(r.k, r.q): r.value for r in histogram_quantiles(rows, (0.5, 0.95), "k").collect()}
+    assert got == {("a", 0.5): 1.5, ("a", 0.95): 4.4, ("b", 0.5): 50.0, ("b", 0.95): 50.0}
+
+
 def test_longest_overlap():
     assert T.longest_overlap("say hello to the whole world now", ["x hello to the whole y", "the whole world now!"]) == " hello to the whole "
     assert T.longest_overlap("short", ["short"]) == "" and T.longest_overlap("", []) == ""
