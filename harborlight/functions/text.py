@@ -69,17 +69,29 @@ def normal_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 
-def masked(text: Column) -> Column:
-    """Runs of six digits or more become a placeholder."""
-    return F.regexp_replace(text, "[0-9]{6,}", "<number>")
+def key_latin_han(text: Column) -> Column:
+    """Digits, a-z and Han characters of the lower-cased text."""
+    return F.regexp_replace(F.lower(text), "[^0-9a-z\u4e00-\u9fff]", "")
+
+
+def without_punctuation(text: Column, marks: str = ".,;:!?") -> Column:
+    return F.translate(text, marks, "")
+
 
+def without_titles(text: Column) -> Column:
+    """No blanks, and no titles in angle quotes."""
+    return F.regexp_replace(F.regexp_replace(text, "《[^》]*》", ""), "[ \t\r\n]+", "")
 
-def longest_overlap(reply: str, history: list[str], least: int = 12) -> str:
-    """The first longest piece of reply, `least` characters or more, that one earlier text holds."""
-    best = ""
-    for i in range(len(reply) - least + 1):
-        n = max(least, len(best) + 1)
-        while i + n <= len(reply) and any(reply[i : i + n] in h for h in history):
-            best = reply[i : i + n]
-            n += 1
-    return best
+
+def md5_long(text: Column) -> Column:
+    """The first eight bytes of the MD5 digest as a little-endian unsigned number, in decimal."""
+    digest = F.md5(text)
+    return F.conv(F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)]), 16, 10)
+
+
+def masked(text: Column, surnames: tuple[str, ...] = (), titles: tuple[str, ...] = ()) -> Column:
+    """Names (a surname, one to three letters, a title) and runs of six digits or more become
+    placeholders."""
+    if surnames:
+        text = F.regexp_replace(text, f"({'|'.join(surnames)})[\\p{{L}}]{{1,3}}({'|'.join(titles)})", "<name>")
+    return F.regexp_replace(text, "[0-9]{6,}", "<number>")

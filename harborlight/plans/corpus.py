@@ -146,11 +146,13 @@ def set05(spark, d):
     return docs(spark, d).select(F.col("lang").alias("kind")).union(table(spark, d, "conversations").select("role")).distinct()
 
 
-@query("AGG18_pass_rate", """SELECT lang, count(*) FILTER (quality = 1) AS kept, count(*) FILTER (quality = 0) AS rejected, round(count(*) FILTER (quality = 1) / count(*), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+@query("AGG18_pass_rate", """WITH l AS (SELECT lang, quality FROM documents LEFT JOIN labels USING (doc_id))
+  SELECT lang, count(*) FILTER (quality = 1) AS kept, count(*) FILTER (quality = 0) AS rejected, round(count(*) FILTER (quality = 1) / nullif(count(*) FILTER (quality IN (0, 1)), 0), 6) AS rate FROM l GROUP BY lang""")
 def agg18(spark, d):
-    good = F.count_if(F.col("quality") == 1)
-    rows = docs(spark, d).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id").groupBy("lang")
-    return rows.agg(good.alias("kept"), F.count_if(F.col("quality") == 0).alias("rejected"), F.round(good / F.count(F.lit(1)), 6).alias("rate"))
+    """All kinds, those without any label, too (rate null)."""
+    good, bad = F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)
+    rows = docs(spark, d).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left").groupBy("lang")
+    return rows.agg(good.alias("kept"), bad.alias("rejected"), F.round(good / F.nullif(good + bad, F.lit(0)), 6).alias("rate"))
 
 
 @query("AGG19_length_summary", "WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, min(n_chars) AS low, max(n_chars) FILTER (k = n // 2 + 1) AS middle, max(n_chars) AS high FROM r GROUP BY lang")
@@ -179,12 +181,23 @@ def agg13(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("total"), right.alias("correct"), F.bround(right / F.count(F.lit(1)), 4).alias("accuracy"))
 
 
-@query("AGG27_label_counters", f"SELECT count(*) AS n, count(*) FILTER (quality = ({_GUESS})) AS agreed, round(count(*) FILTER (quality = ({_GUESS})) / count(*), 6) AS ratio FROM documents JOIN labels USING (doc_id)")
+_COUNTERS = {
+    "label:0": "quality = 0", "label:1": "quality = 1", "bucket:short": "n_chars < 500", "bucket:middle": "n_chars >= 500 and n_chars < 5000", "bucket:long": "n_chars >= 5000",
+    "dropped:unlabelled": "quality is null", "dropped:empty": "coalesce(text, '') = ''", "judged": "quality is not null", "agreed": "quality = guess",
+}
+
+
+@query("AGG27_counters", f"""WITH r AS (SELECT d.*, quality, {_GUESS} AS guess FROM documents d LEFT JOIN labels USING (doc_id))
+  {" UNION ALL ".join(f"SELECT '{n}' AS counter, (SELECT count(*) FROM r WHERE {c}) AS n, NULL::DOUBLE AS ratio" for n, c in _COUNTERS.items())}
+  UNION ALL SELECT 'agreement', (SELECT count(*) FROM r WHERE quality IS NOT NULL), (SELECT round(avg((quality = guess)::INTEGER), 6) FROM r WHERE quality IS NOT NULL)""")
 def agg27(spark, d):
+    """Label, bucket and drop counters and the judge's agreement, in one pass."""
     guess = F.when(F.col("text").rlike("[$#%&]{3}|!!| [|] "), 0).otherwise(1)
-    rows = docs(spark, d).select("doc_id", guess.alias("guess")).join(table(spark, d, "labels"), "doc_id")
-    good = F.count_if(F.col("guess") == F.col("quality"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), good.alias("agreed"), F.round(good / F.count(F.lit(1)), 6).alias("ratio"))
+    rows = docs(spark, d).withColumn("guess", guess).join(table(spark, d, "labels"), "doc_id", "left")
+    sums = rows.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in _COUNTERS.items()])
+    cells = [F.struct(F.lit(n).alias("counter"), F.col(f"`{n}`").alias("n"), F.lit(None).cast("double").alias("ratio")) for n in _COUNTERS]
+    ratio = F.struct(F.lit("agreement").alias("counter"), F.col("judged").alias("n"), F.round(F.col("agreed") / F.nullif(F.col("judged"), F.lit(0)), 6).alias("ratio"))
+    return sums.select(F.inline(F.array(*cells, ratio)))
 
 
 @query("WIN11_run_transition", """WITH o AS (SELECT doc_id, quality = 1 AS p FROM labels), n AS (SELECT doc_id, toxic = 0 AS p FROM labels)
@@ -358,11 +371,22 @@ def ret07(spark, d):
     return R.fuse(hits, R.strongest(scores, 9), 1.2).select("query_id", "id", F.round("distance", 5).alias("distance"), "origin")
 
 
-@query("RET12_context", f"""WITH {_NEAR} SELECT query_id, string_agg('[' || rank || '] ' || source || '/' || id, chr(10) ORDER BY rank) AS context FROM k WHERE rank <= 3 GROUP BY query_id""")
+@query("WIN05_first_expected_rank", f"WITH {_NEAR} SELECT e.vec_id AS query_id, min(rank) FILTER (k.source IN (e.label, (e.label + 1) % 10)) AS first_rank FROM embeddings e JOIN k ON k.query_id = e.vec_id AND rank <= 9 GROUP BY e.vec_id")
+def win05(spark, d):
+    """The rank of the first hit whose source is one of the query's two expected ones."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.array(F.col("label"), F.expr("(label + 1) % 10")).alias("expected"))
+    return near(spark, d, 9).join(own, "query_id").groupBy("query_id").agg(F.min(F.when(F.expr("array_contains(expected, source)"), F.col("rank"))).alias("first_rank"))
+
+
+@query("RET12_context", f"""WITH {_NEAR} SELECT query_id, string_agg('[' || rank || '] ' || CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '...' ELSE t END, chr(10) ORDER BY rank) AS context
+  FROM (SELECT k.*, coalesce(text, '') AS t FROM k LEFT JOIN documents ON doc_id = id WHERE rank <= 3) GROUP BY query_id""")
 def ret12(spark, d):
-    rows = near(spark, d, 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "id"))).alias("h"))
-    line = F.transform("h", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["source"].cast("string"), F.lit("/"), x["id"].cast("string")))
-    return rows.select("query_id", F.array_join(line, "\n").alias("context"))
+    """The three nearest documents' texts, numbered and clipped."""
+    text = F.coalesce("text", F.lit(""))
+    clipped = F.when(F.length(text) > 80, F.concat(F.substring(text, 1, 80), F.lit("..."))).otherwise(text)
+    rows = near(spark, d, 3).join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id", "left").select("query_id", "rank", clipped.alias("clip"))
+    rows = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "clip"))).alias("h"))
+    return rows.select("query_id", F.array_join(F.transform("h", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["clip"])), "\n").alias("context"))
 
 
 @query("RET10_trace", f"""WITH {_NEAR}, r AS (SELECT * FROM k WHERE rank <= 3) SELECT query_id, count(*) AS results, round(min(distance), 4) AS top1, min(distance) <= 1.2::DOUBLE AS passed,

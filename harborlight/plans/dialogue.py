@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from harborlight.functions import text as T
 from harborlight.plans.registry import query
+from harborlight.sources import readers
 from harborlight.sources.tables import table
 from harborlight.streaming.windows import rolling
 
@@ -37,20 +38,24 @@ def txt01(spark, d):
 
 
 GREETINGS = ("et", "la", "der", "the", "el", "in", "de la")
+COURTESY, PARTICLE = "^(se|un|an|que) ", " (con|mit|for)$"
 ROUTES = (("service", "ß|üb"), ("method", "tion[^.]{0,10}(the|de)"), ("knowledge", "(est|ist|is) (la|der|the)"), ("channel", "qu"), ("plea", "ciónes"))
 METHOD_LEN, KNOWLEDGE_LEN = 200, 120
 
 
 def _greeting_sql(t: str) -> str:
     parts = f"list_filter(regexp_split_to_array({t}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-    return f"(len({t}) BETWEEN 1 AND 30 AND ({t} IN {GREETINGS} OR (len({parts}) > 0 AND len(list_filter({parts}, lambda x: x NOT IN {GREETINGS})) = 0)))"
+    bare = f"regexp_replace({t}, '{COURTESY}', '')"
+    return f"(len({t}) BETWEEN 1 AND 30 AND ({t} IN {GREETINGS} OR {bare} IN {GREETINGS} OR regexp_replace({bare}, '{PARTICLE}', '') IN {GREETINGS} OR (len({parts}) > 0 AND len(list_filter({parts}, lambda x: x NOT IN {GREETINGS})) = 0)))"
 
 
 def greeting(t):
-    """Whether a stripped lower-case text is a greeting, or nothing but greetings' words."""
+    """Whether a stripped lower-case text is a greeting, one behind a courtesy, one with a particle
+    after it, or nothing but greetings' words."""
+    bare = F.regexp_replace(t, COURTESY, "")
     parts = F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda x: x != "")
     known = (F.size(parts) > 0) & F.forall(parts, lambda x: x.isin(*GREETINGS))
-    return F.length(t).between(1, 30) & (t.isin(*GREETINGS) | known)
+    return F.length(t).between(1, 30) & (t.isin(*GREETINGS) | bare.isin(*GREETINGS) | F.regexp_replace(bare, PARTICLE, "").isin(*GREETINGS) | known)
 
 
 @query("TXT02_greeting", f"""WITH {TURNS}, s AS (SELECT conv_id, turn, trim(lower(split_part(text, '.', 1)), {_WS}) AS t FROM turns)
@@ -120,10 +125,13 @@ def txt10(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clean_lines(padded)).alias("digest"))
 
 
-@query("PRJ01_masking", "SELECT doc_id, md5(regexp_replace(text, '[0-9]{6,}', '<number>', 'g')) AS digest FROM documents WHERE regexp_matches(text, '[0-9]{6,}')")
+SURNAMES, TITLES = ("Que", "The", "Der"), (" de", " la", " the", " und")
+_NAME = f"({'|'.join(SURNAMES)})[\\p{{L}}]{{1,3}}({'|'.join(TITLES)})"
+
+
+@query("PRJ01_masking", f"SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '{_NAME}', '<name>', 'g'), '[0-9]{{6,}}', '<number>', 'g')) AS digest FROM documents")
 def prj01(spark, d):
-    rows = table(spark, d, "documents").where(F.col("text").rlike("[0-9]{6,}"))
-    return rows.select("doc_id", F.md5(T.masked(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.masked(F.coalesce("text", F.lit("")), SURNAMES, TITLES)).alias("digest"))
 
 
 @query("PRJ02_question_rewrite", f"""WITH {TURNS} SELECT conv_id, turn, regexp_replace(text, 'tion\\.', (['tion, how?', 'tion, what?', 'tion, where?'])[(conv_id * 31 + turn) % 3 + 1]) AS text FROM turns WHERE contains(text, 'tion.')""")
@@ -260,10 +268,22 @@ def agg16(spark, d):
     return issues(spark, d).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("AGG15_scenario_pass", f"{_GATE} SELECT conv_id, count(*) AS turns, count(*) FILTER (NOT list_contains(issues, 'long')) AS passed, bool_and(NOT list_contains(issues, 'long')) AS scenario_pass FROM q GROUP BY conv_id")
+_METHODS = f"m AS (SELECT conv_id, bool_and(len(t) BETWEEN 1 AND 200 AND regexp_matches(t, '{ROUTES[1][1]}')) FILTER (role = 'user') AS asked, len(list_distinct(flatten(list({_CATS}) FILTER (role = 'assistant')))) AS methods FROM (SELECT *, trim(text, {_WS}) AS t FROM turns) GROUP BY conv_id)"
+
+
+@query("AGG15_scenario_pass", f"""{_GATE}, {_METHODS} SELECT q.conv_id, count(*) AS turns, count(*) FILTER (NOT list_contains(issues, 'long')) AS passed,
+  bool_and(NOT list_contains(issues, 'long')) AND (any_value(methods) >= 3 OR NOT coalesce(any_value(asked), false)) AS scenario_pass FROM q JOIN m ON m.conv_id = q.conv_id GROUP BY q.conv_id""")
 def agg15(spark, d):
+    """A scenario passes with all its turns; if every user turn asks for a method, its replies need
+    three kinds of them."""
+    rows = turns(spark, d).withColumn("cats", T.categories(F.col("text"), CATEGORIES))
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    asked = F.bool_and(F.when(user, T.short(F.col("text"), ROUTES[1][1], METHOD_LEN)))
+    methods = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(reply, F.col("cats"))))))
+    kinds = rows.groupBy("conv_id").agg(F.coalesce(asked, F.lit(False)).alias("asked"), methods.alias("methods"))
     ok = ~F.array_contains("issues", "long")
-    return issues(spark, d).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(ok).alias("passed"), F.bool_and(ok).alias("scenario_pass"))
+    out = issues(spark, d).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(ok).alias("passed"), F.bool_and(ok).alias("all")).join(kinds, "conv_id")
+    return out.select("conv_id", "turns", "passed", (F.col("all") & ((F.col("methods") >= 3) | ~F.col("asked"))).alias("scenario_pass"))
 
 
 @query("SET04_scenario_categories", f"WITH {TURNS} SELECT conv_id, list_sort(list_distinct(flatten(list({_CATS})))) AS categories FROM turns GROUP BY conv_id")
@@ -292,14 +312,18 @@ def flt09(spark, d):
 
 @query("SRC05_sample_validation", """SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id HAVING count(*) >= 2 AND bool_and(role IN ('user', 'assistant')) AND bool_and(trim(coalesce(text, '')) <> '')""")
 def src05(spark, d):
-    rows = turns(spark, d).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.bool_and(F.col("role").isin("user", "assistant") & (F.trim("text") != "")).alias("good"))
-    return rows.where("turns >= 2 and good").select("conv_id", "turns")
+    """Conversations as lines of JSON, read back and validated."""
+    turn = F.struct(F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role")).alias("from"), F.col("text").alias("value"))
+    rows = turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("t"))
+    lines = rows.select("conv_id", F.to_json(F.transform("t", lambda x: x["t"])).alias("line"))
+    return readers.valid_samples(lines, "line").select("conv_id", F.size("sample").cast("long").alias("turns"))
 
 
-@query("SRC06_alternation", f"""WITH {TURNS}, k AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM turns WHERE role IN ('user', 'assistant') GROUP BY conv_id)
+@query("SRC06_alternation", f"""WITH {TURNS}, k AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM turns WHERE role IN ('user', 'assistant') AND trim(text, {_WS}) <> '' GROUP BY conv_id)
   SELECT conv_id FROM k WHERE len(roles) >= 2 AND len(list_filter(range(1, len(roles) + 1), lambda i: roles[i] <> CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) = 0""")
 def src06(spark, d):
-    rows = turns(spark, d).where(F.col("role").isin("user", "assistant")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    """Empty turns and unknown roles are dropped first; what is left has to alternate."""
+    rows = turns(spark, d).where(F.col("role").isin("user", "assistant") & (T.strip(F.col("text")) != "")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
     return rows.where("size(t) >= 2 and forall(sequence(1, size(t)), i -> element_at(t, i).role = if(i % 2 = 1, 'user', 'assistant'))").select("conv_id")
 
 
@@ -386,11 +410,21 @@ def str03(spark, d):
     return rolling(turns(spark, d), KEEP, EVERY)
 
 
-@query("QC07_turn_judge", f"""WITH {TURNS} SELECT conv_id, turn, list_filter([CASE WHEN NOT len(text) BETWEEN 25 AND 600 THEN 'length' END, CASE WHEN regexp_matches(text, '^(The|Der|La|Le) ') THEN 'opening' END,
-  CASE WHEN regexp_matches(text, '(ant|ist)[.]') THEN 'closed' END], lambda x: x IS NOT NULL) AS failed FROM turns WHERE role = 'assistant'""")
+@query("QC07_turn_judge", f"""WITH {TURNS}, p AS (SELECT *, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS said FROM turns)
+  SELECT conv_id, turn, list_filter([CASE WHEN NOT len(text) BETWEEN 25 AND 600 THEN 'length' END, CASE WHEN regexp_matches(text, '^(The|Der|La|Le) ') THEN 'opening' END,
+  CASE WHEN regexp_matches(text, '(ant|ist)[.]') THEN 'closed' END, CASE WHEN regexp_matches(said, 'tion') AND NOT regexp_matches(text, 'the|la') THEN 'crisis' END,
+  CASE WHEN regexp_matches(said, 'qu') AND NOT regexp_matches(text, 'qu') THEN 'help_topic' END,
+  CASE WHEN len(list_filter(range(1, len(text) - 18), lambda i: contains(said, substr(text, i, 20)))) > 0 THEN 'copy' END], lambda x: x IS NOT NULL) AS failed FROM p WHERE role = 'assistant'""")
 def qc07(spark, d):
-    tests = {"length": ~F.length("text").between(25, 600), "opening": F.col("text").rlike("^(The|Der|La|Le) "), "closed": F.col("text").rlike("(ant|ist)[.]")}
-    return turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])).alias("failed"))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    said = F.coalesce(F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w), F.lit(""))
+    copied = F.exists(T.shingles(F.col("text"), 20), lambda g: (F.length(g) == 20) & F.col("said").contains(g))
+    tests = {
+        "length": ~F.length("text").between(25, 600), "opening": F.col("text").rlike("^(The|Der|La|Le) "), "closed": F.col("text").rlike("(ant|ist)[.]"),
+        "crisis": F.col("said").rlike("tion") & ~F.col("text").rlike("the|la"), "help_topic": F.col("said").rlike("qu") & ~F.col("text").rlike("qu"), "copy": copied,
+    }
+    rows = turns(spark, d).withColumn("said", said).where("role = 'assistant'")
+    return rows.select("conv_id", "turn", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])).alias("failed"))
 
 
 @query("QC10_smoke", f"""WITH {TURNS} SELECT conv_id, turn, regexp_matches(text, '(ant|ist)[.]') AS closed, regexp_matches(text, 'que ') AND turn <= 1 AS unsupported FROM turns WHERE role = 'assistant'

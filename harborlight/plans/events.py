@@ -272,10 +272,18 @@ def str02(spark, d):
     return last_admitted(events(spark, d).select(F.col("user_id").alias("key"), "ts", "event_id"), limit=2, seconds=6 * 3600, most=50)
 
 
-@query("STR05_first_event_latency", "SELECT user_id, round(epoch(min(ts) FILTER (event_type = 'purchase')) - epoch(min(ts)), 3) AS seconds FROM events GROUP BY user_id")
+ORDER = ("signup", "view", "click", "purchase")
+
+
+@query("STR05_event_sequence", f"""WITH f AS (SELECT user_id, min(ts) AS start, {', '.join(f"min(ts) FILTER (event_type = '{t}') AS {t}" for t in ORDER)}, min(ts) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id)
+  SELECT user_id, round(epoch(purchase) - epoch(start), 3) AS seconds, CASE WHEN {' AND '.join(f'{a} <= {b}' for a, b in zip(ORDER, ORDER[1:]))} THEN 'in order' WHEN error = start THEN 'cut short' ELSE 'out of order' END AS sequence FROM f""")
 def str05(spark, d):
-    first = F.min(F.when(F.col("event_type") == "purchase", F.unix_micros("ts")))
-    return events(spark, d).groupBy("user_id").agg(F.round((first - F.min(F.unix_micros("ts"))) / 1e6, 3).alias("seconds"))
+    """Seconds to the first purchase, and whether the first events of each kind came in order."""
+    at = lambda t: F.min(F.when(F.col("event_type") == t, F.unix_micros("ts")))
+    rows = events(spark, d).groupBy("user_id").agg(F.min(F.unix_micros("ts")).alias("start"), *[at(t).alias(t) for t in (*ORDER, "error")])
+    ordered = F.expr(" and ".join(f"{a} <= {b}" for a, b in zip(ORDER, ORDER[1:])))
+    sequence = F.when(ordered, "in order").when(F.col("error") == F.col("start"), "cut short").otherwise("out of order")
+    return rows.select("user_id", F.round((F.col("purchase") - F.col("start")) / 1e6, 3).alias("seconds"), sequence.alias("sequence"))
 
 
 @query("WIN12_increase", "SELECT user_id, round(sum(CASE WHEN value < before THEN value ELSE value - before END), 6) AS increase FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from harborlight.functions import text as T
 from harborlight.operators import curation as C
 from harborlight.plans.dialogue import TURNS, turns
 from harborlight.plans import screening  # noqa: F401  (the report is made of one of its queries)
@@ -154,6 +155,45 @@ def agg17(spark, d):
     return rows.select("lang", "total", F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("passed")) for k in _CHECKS])))
 
 
+_REPORT = _CHECKS | {
+    "not_long": "n_chars < 20000", "not_blank": "length(trim(text)) > 0", "starts_upper": "upper(substr(text, 1, 1)) = substr(text, 1, 1)", "no_bars": "not contains(text, '|')", "no_money": "not contains(text, '$')",
+    "no_shouting": "not contains(text, '!!')", "has_comma": "contains(text, ',')", "has_stop": "contains(text, '.')", "no_address": "not contains(text, '@')", "no_link": "not contains(text, 'http')", "known_language": "lang in ('en', 'de', 'fr', 'es')",
+}
+
+
+@query("AGG17b_failed_checks", f"""WITH r AS (SELECT doc_id, coalesce(text, '') AS text, lang, n_chars FROM documents), f AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN NOT ({v}) THEN '{k}' END" for k, v in _REPORT.items())}], lambda x: x IS NOT NULL) AS failed FROM r)
+  SELECT doc_id, {len(_REPORT)} - len(failed) AS passed, round(({len(_REPORT)} - len(failed)) / {len(_REPORT)}, 4) AS rate, failed FROM f""")
+def agg17b(spark, d):
+    """Fifteen checks a document: how many pass, and the names of those that fail."""
+    rows = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    failed = F.array_compact(F.array(*[F.when(~F.expr(v), F.lit(k)) for k, v in _REPORT.items()]))
+    passed = (F.lit(len(_REPORT)) - F.size("failed")).cast("long")
+    return rows.select("doc_id", failed.alias("failed")).select("doc_id", passed.alias("passed"), F.round(passed / len(_REPORT), 4).alias("rate"), "failed")
+
+
+@query("FN01_text_keys", f"""SELECT doc_id, md5(regexp_replace(lower(t), '[^0-9a-z\u4e00-\u9fff]', '', 'g')) AS latin_han, md5(translate(t, '.,;:!?', '')) AS unpunctuated,
+  md5(regexp_replace(regexp_replace(t, '《[^》]*》', '', 'g'), '[ \\t\\r\\n]+', '', 'g')) AS untitled,
+  ('0x' || array_to_string(list_transform([7, 6, 5, 4, 3, 2, 1, 0], lambda i: substr(md5(t), 2 * i + 1, 2)), ''))::UBIGINT::VARCHAR AS hash FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def fn01(spark, d):
+    """The other normalisation rules and the digest number."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.key_latin_han(t)).alias("latin_han"), F.md5(T.without_punctuation(t)).alias("unpunctuated"), F.md5(T.without_titles(t)).alias("untitled"), T.md5_long(t).alias("hash"))
+
+
+@query("FN02_times_maps_json", """SELECT event_id, ts + INTERVAL 8 HOUR AS local, ts >= TIMESTAMP '2024-01-25' - INTERVAL 7 DAY AND ts < TIMESTAMP '2024-01-25' AS recent, date_diff('day', ts::DATE, DATE '2024-02-01') AS days_left,
+  json_extract(props, '$.k')::BIGINT + 1 AS shifted, '{"id":' || event_id || ',"type":"' || event_type || '","tags":["a","b"]}' AS line, 3 AS keys FROM events""")
+def fn02(spark, d):
+    """Time zones, days before an as-of date, maps with cast keys and merges, and JSON both ways."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    numbered = F.map_from_entries(F.transform(F.map_entries(F.create_map(F.lit("1"), F.lit("x"), F.lit("2"), F.lit("y"))), lambda e: F.struct(e["key"].cast("int"), e["value"])))
+    merged = F.map_concat(numbered, F.create_map(F.lit(3), F.lit("z")))
+    line = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.array(F.lit("a"), F.lit("b")).alias("tags")))
+    return rows.select(
+        "event_id", F.from_utc_timestamp("ts", "Asia/Shanghai").cast("timestamp_ntz").alias("local"), F.expr("ts >= timestamp'2024-01-25' - interval 7 day and ts < timestamp'2024-01-25'").alias("recent"),
+        F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")).cast("long").alias("days_left"), (F.from_json("props", "k bigint")["k"] + 1).alias("shifted"), line.alias("line"), F.size(merged).alias("keys"),
+    )
+
+
 @query("TXT11_label_audit", f"""WITH {TURNS} SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'drop:system' WHEN len(text) < 60 THEN 'drop:short' WHEN regexp_matches(text, '[ß]') AND role = 'user' THEN 'reroute:help' ELSE 'keep' END AS verdict FROM turns""")
 def txt11(spark, d):
     v = F.when(F.col("role") == "system", "drop:system").when(F.length("text") < 60, "drop:short").when(F.col("text").rlike("[ß]") & (F.col("role") == "user"), "reroute:help").otherwise("keep")

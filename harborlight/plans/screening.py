@@ -126,7 +126,8 @@ def sco08(spark, d):
 
 
 @query("SCO09_radar", f"""{_PROFILE} SELECT student_no, string_agg(round_even(100 + 80 * raw / max * cos(2 * pi() * ordinal / 4 - pi() / 2), 1)::DECIMAL(6,1) || ',' ||
-  round_even(100 + 80 * raw / max * sin(2 * pi() * ordinal / 4 - pi() / 2), 1)::DECIMAL(6,1), ' ' ORDER BY ordinal) AS points FROM p GROUP BY student_no""")
+  round_even(100 + 80 * raw / max * sin(2 * pi() * ordinal / 4 - pi() / 2), 1)::DECIMAL(6,1), ' ' ORDER BY ordinal) AS points,
+  string_agg(CASE WHEN cos(2 * pi() * ordinal / 4 - pi() / 2) > 0.35 THEN 'start' WHEN cos(2 * pi() * ordinal / 4 - pi() / 2) < -0.35 THEN 'end' ELSE 'middle' END, ' ' ORDER BY ordinal) AS anchors FROM p GROUP BY student_no""")
 def sco09(spark, d):
     rows = S.profile(answers(spark, d, "phq_a"), PHQ_DIMENSIONS, 3)
     angle = 2 * F.pi() * F.col("ordinal") / 4 - F.pi() / 2
@@ -135,8 +136,9 @@ def sco09(spark, d):
         return F.bround(100 + 80 * F.col("raw") / F.col("max") * turn, 1).cast("decimal(6,1)").cast("string")
 
     rows = rows.withColumn("point", F.concat_ws(",", at(F.cos(angle)), at(F.sin(angle))))
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "point")))
-    return rows.groupBy("student_no").agg(F.array_join(F.transform(ordered, lambda x: x["point"]), " ").alias("points"))
+    rows = rows.withColumn("anchor", F.when(F.cos(angle) > 0.35, "start").when(F.cos(angle) < -0.35, "end").otherwise("middle"))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "point", "anchor")))
+    return rows.groupBy("student_no").agg(*[F.array_join(ordered[c], " ").alias(f"{c}s") for c in ("point", "anchor")])
 
 
 @query("SCO10_registry", "SELECT * FROM (VALUES ('phq_a', 9, 3, 27), ('scared', 41, 2, 82), ('sdq', 25, 2, 50), ('mht', 100, 1, 100)) t(scale_id, item_count, max_option, max_score)")
@@ -144,12 +146,18 @@ def sco10(spark, d):
     return spark.createDataFrame([(k, n, m, n * m) for k, (n, m) in SCALES.items()], "scale_id string, item_count int, max_option int, max_score int")
 
 
-@query("SCO12_scenario_matrix", """SELECT s AS scale_id, v AS severity, i AS ordinal, (['home', 'class', 'peers'])[i % 3 + 1] AS focus
-  FROM (SELECT unnest(['phq_a', 'scared', 'sdq', 'mht']) AS s) CROSS JOIN (SELECT unnest(['none', 'mild', 'moderate', 'severe']) AS v) CROSS JOIN range(0, 6) r(i)""")
+@query("SCO12_scenario_matrix", """SELECT 'plain' AS kind, s AS scale_id, v AS severity, i AS ordinal, (['home', 'class', 'peers'])[i % 3 + 1] AS focus
+  FROM (SELECT unnest(['phq_a', 'scared', 'sdq', 'mht']) AS s) CROSS JOIN (SELECT unnest(['none', 'mild', 'moderate', 'severe']) AS v) CROSS JOIN range(0, 6) r(i)
+  UNION ALL SELECT 'crisis', (['phq_a', 'mht'])[i % 2 + 1], 'severe', i, (['home', 'class', 'peers'])[i % 3 + 1] FROM range(0, 10) r(i)
+  UNION ALL SELECT 'combination', a || '+' || b, 'moderate', i, (['home', 'class', 'peers'])[i % 3 + 1] FROM (VALUES ('phq_a', 'scared'), ('phq_a', 'sdq'), ('scared', 'mht')) t(a, b) CROSS JOIN range(0, 4) r(i)""")
 def sco12(spark, d):
-    # a fixed matrix: 4 scales x 4 severities x 6
-    rows = spark.range(96).select(F.expr("element_at(array('phq_a', 'scared', 'sdq', 'mht'), cast(id div 24 + 1 as int))").alias("scale_id"), F.expr("element_at(array('none', 'mild', 'moderate', 'severe'), cast(id div 6 % 4 + 1 as int))").alias("severity"), F.expr("id % 6").alias("ordinal"))
-    return rows.withColumn("focus", F.expr("element_at(array('home', 'class', 'peers'), cast(ordinal % 3 + 1 as int))"))
+    # a fixed matrix: 4 scales x 4 severities x 6, 10 crisis cases, 3 combinations x 4
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    i = F.col("id")
+    plain = spark.range(96).select(F.lit("plain").alias("kind"), pick(("phq_a", "scared", "sdq", "mht"), F.floor(i / 24)).alias("scale_id"), pick(("none", "mild", "moderate", "severe"), F.floor(i / 6) % 4).alias("severity"), (i % 6).alias("ordinal"))
+    crisis = spark.range(10).select(F.lit("crisis"), pick(("phq_a", "mht"), i % 2), F.lit("severe"), i)
+    pairs = spark.range(12).select(F.lit("combination"), pick(("phq_a+scared", "phq_a+sdq", "scared+mht"), F.floor(i / 4)), F.lit("moderate"), i % 4)
+    return plain.union(crisis).union(pairs).withColumn("focus", pick(("home", "class", "peers"), F.col("ordinal") % 3))
 
 
 @query("SCO13_dialog_matrix", """SELECT i AS idx, (['vent', 'method', 'crisis'])[i % 3 + 1] AS kind, (['exam', 'sleep', 'family', 'friends'])[i % 4 + 1] AS theme, i // 4 % 5 AS question FROM range(0, 120) r(i)""")

@@ -75,6 +75,14 @@ def corpus_folder(spark: SparkSession, path: str, metadata: str = "^#{0,6}\\s*(s
     return chunked(files, metadata, "source").select("id", "source", "tag", "text")
 
 
+def valid_samples(lines: DataFrame, line: str) -> DataFrame:
+    """lines with `sample` (array of from, value) instead of the JSON text in column `line`: legal
+    JSON, two turns or more, all of them from human or gpt and with a value."""
+    rows = lines.withColumn("sample", F.from_json(line, "array<struct<from: string, value: string>>")).drop(line)
+    turn = lambda t: t["from"].isin("human", "gpt") & (F.btrim(F.coalesce(t["value"], F.lit("")), F.lit(" \t\r\n")) != "")
+    return rows.where((F.size("sample") >= 2) & F.forall("sample", lambda t: F.coalesce(turn(t), F.lit(False))))
+
+
 def outer_json(text: Column) -> Column:
     """The text between the first { and the last }, code fences or not."""
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)

@@ -14,7 +14,7 @@ from harborlight.operators import curation, retrieval
 from harborlight.functions import chunks
 from harborlight.functions import text as T
 from harborlight.operators import alerts
-from harborlight.plans import screening
+from harborlight.plans import dialogue, screening
 from harborlight.plans.corpus import transitions
 from harborlight.plans.events import histogram_quantiles
 from harborlight.plans.screening import latest_records, page, roster_problems
@@ -261,6 +261,44 @@ def test_histogram_quantiles(spark):
     assert got == {("a", 0.5): 1.5, ("a", 0.95): 4.4, ("b", 0.5): 50.0, ("b", 0.95): 50.0}
 
 
-def test_longest_overlap():
-    assert T.longest_overlap("say hello to the whole world now", ["x hello to the whole y", "the whole world now!"]) == " hello to the whole "
-    assert T.longest_overlap("short", ["short"]) == "" and T.longest_overlap("", []) == ""
+@pytest.mark.parametrize("replies,want", [
+    (["x hello to the whole y", "the whole world now!", "say hello to the whole world now"], [None, None, " hello to the whole "]),
+    (["short", "short"], [None, None]), (["", ""], [None, None]), (["exactly12chr", "exactly12chr"], [None, "exactly12chr"]),
+    (["abcabcabcabcabcabc", "zabcabcabcabcabcabcabc"], [None, "abcabcabcabcabcabc"]), (["aaaaaaaaaaaaaaaa", "bbbbbbbbbbbbbb", "aaaaaaaaaaaaabbbbbbbbbbbbbb"], [None, None, "bbbbbbbbbbbbbb"]),
+])
+def test_longest_overlap(spark, replies, want):
+    rows = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(replies)] + [(2, 0, "assistant", replies[-1]), (1, 90, "user", replies[-1])], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.overlap for r in dialogue.overlaps(rows).where("conv_id = 1").collect()}
+    assert [got.get(i) for i in range(len(replies))] == want
+    assert {r.turn for r in dialogue.repeated(rows).where("conv_id = 1").collect()} == {i for i, w in enumerate(want) if w}
+
+
+def test_sample_lines(spark):
+    good = '[{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]'
+    lines = [good, good[:-1], "", None, "[]", good.replace("gpt", "bot"), good.replace('"b"', '" "'), '[{"from": "human", "value": "a"}]', good.replace('"b"', "null")]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    assert [r.id for r in readers.valid_samples(rows, "line").collect()] == [0]
+
+
+def test_masks_and_keys(spark):
+    rows = spark.createDataFrame([("王小明老师电话13800138000，李老师好",), ("《书名》 A-b！1",)], "t string")
+    got = [tuple(r) for r in rows.select(T.masked(F.col("t"), ("王", "李"), ("老师", "同学")), T.key_latin_han(F.col("t")), T.without_titles(F.col("t"))).collect()]
+    assert got[0][0] == "<name>电话<number>，李老师好" and got[1][1:] == ("书名ab1", "A-b！1")
+
+
+def test_aligned_outputs_and_namespaces(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "x", 5), (2, "b", "y", 50), (3, "c", None, None)], "id long, text string, origin string, n long")
+    sinks.write_aligned(rows, str(tmp_path / "out"), ["text"], ["origin"], "n < 10")
+    ids = {k: sorted(r.id for r in spark.read.schema("id long").json(f"{tmp_path}/out/{k}").collect()) for k in ("samples", "provenance", "rejected")}
+    assert ids == {"samples": [2, 3], "provenance": [2, 3], "rejected": [1]}
+    sinks.reset_namespace(spark.createDataFrame([("a", 1), ("b", 1)], "namespace string, v int"), str(tmp_path / "ns"))
+    sinks.reset_namespace(spark.createDataFrame([("b", 2), ("c", 2)], "namespace string, v int"), str(tmp_path / "ns"))
+    assert sorted((r.namespace, r.v) for r in spark.read.parquet(str(tmp_path / "ns")).collect()) == [("a", 1), ("b", 2), ("c", 2)]
+
+
+def test_daily_json_stream_appends_once(spark, tmp_path):
+    rows = spark.createDataFrame([(at(0), 1), (at(90000), 2)], "ts timestamp, v int")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        sinks.stream_daily_json(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert spark.read.json(f"{tmp_path}/out").count() == 2 and (tmp_path / "out" / "day=2024-01-02").exists()
