@@ -1,51 +1,23 @@
-"""Shared plumbing of the corpus operators: shared work folder, written tables, batch slicing."""
+"""Shared plumbing of the corpus operators: work tables, batch slicing, deals and prefilters."""
 
 from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass takes at most, unless a single text is longer.
-SLICE_BYTES = 4 << 20
-#: Bytes of sorted rows that a task gathers before it works on them, unless one group is larger.
-GROUP_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is missing, a local session gets a temporary folder; any other session
-    has to name one, since its executors could not see the driver's disk.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="harborlight-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from harborlight.sources.batches import whole_groups
+from harborlight.sources.folders import shared_dir, work_path, written
 
+__all__ = ["dealt", "discard", "documents", "maybe_in", "prefilter", "prepare", "shared_dir", "slices", "trim", "whole_groups", "whole_text", "without", "work_path", "written"]
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/harborlight/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one numpy pass takes at most, unless a single text is longer.
+SLICE_BYTES = 4 << 20
 
 
 def discard(*tables: DataFrame) -> None:
@@ -109,27 +81,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         trim()
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: int, limit: int = GROUP_BYTES) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by column `key`: memory holds about `limit`
-    bytes, or one group if that is larger, and never a whole partition."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if size >= limit:
-            values = batch.column(key).to_numpy()
-            other = np.flatnonzero(values != held[-1].column(key)[-1].as_py())
-            if len(other):
-                yield pa.Table.from_batches([*held, batch.slice(0, other[0])]).combine_chunks()
-                trim()
-                held, batch, size = [], batch.slice(other[0]), 0
-        held.append(batch)
-        size += batch.nbytes
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def dealt(rows: DataFrame, key: str, by: str, block: int) -> DataFrame:
     """rows (`key`, members, more columns) with part, side and split: the comparison each takes part in.
 
