@@ -247,7 +247,10 @@ def ded08(spark, d):
     return rows.where("lang = 'en'").select("doc_id", F.lit("human").alias("kind")).unionByName(machine.select("doc_id", F.lit("machine").alias("kind")))
 
 
-@query("DED07_merge")
+@query("DED07_merge", """WITH t AS (SELECT item_id - 1000000 AS id, lower(coalesce(text, '')) AS x FROM benchmark UNION ALL SELECT doc_id, lower(coalesce(text, '')) FROM documents),
+  s AS (SELECT id, CASE WHEN len(x) >= 4 THEN list_distinct(list_transform(range(1, len(x) - 2), lambda i: substr(x, i, 4))) ELSE [x] END AS g FROM t WHERE x <> ''),
+  p AS (SELECT b.id, len(a.g) AS na, len(b.g) AS nb, len(list_intersect(a.g, b.g)) AS k FROM s a JOIN s b ON a.id < b.id AND len(a.g) * 10 >= len(b.g) * 8 AND len(b.g) * 10 >= len(a.g) * 8)
+  SELECT id, md5('42:' || id) AS shuffle_key, 'prompt' AS system FROM t WHERE id NOT IN (SELECT id FROM p WHERE k >= 0.8::DOUBLE * (na + nb - k))""")
 def ded07(spark, d):
     """Two inputs by priority, near-duplicates out, seeded order, one system prompt for all."""
     a = table(spark, d, "benchmark").select((F.col("item_id") - 1_000_000).alias("id"), "text")
