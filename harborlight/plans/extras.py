@@ -12,7 +12,7 @@ from harborlight.plans import screening  # noqa: F401  (the report is made of on
 from harborlight.plans.registry import ORACLES, QUERIES, query
 from harborlight.sources import readers, sinks
 from harborlight.sources.folders import work_path
-from harborlight.sources.tables import RECORDS, SESSIONS, records, sessions, table
+from harborlight.sources.tables import RANK, RECORDS, SESSIONS, records, sessions, table
 from harborlight.streaming.topics import run_once
 
 
@@ -206,11 +206,20 @@ def txt12(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.try_element_at(names, F.col("role")), F.lit("default")).alias("persona"))
 
 
-@query("QC08_dataset_rules", f"""WITH {TURNS} SELECT conv_id, count(*) FILTER (role = 'assistant' AND NOT len(text) BETWEEN 50 AND 800) AS bad_length, count(*) FILTER (role = 'assistant' AND regexp_matches(text, '(ant|ist)[.]')) AS closed,
-  bool_or(regexp_matches(text, 'lich')) AS banned FROM turns GROUP BY conv_id""")
+@query("QC08_dataset_rules", f"""WITH {TURNS}, l AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'assistant') AS last FROM turns GROUP BY conv_id)
+  SELECT conv_id, count(*) FILTER (role = 'assistant' AND NOT len(text) BETWEEN 50 AND 800) AS bad_length, count(*) FILTER (role = 'assistant' AND regexp_matches(text, '(ant|ist)[.]')) AS closed,
+  bool_or(regexp_matches(text, 'lich')) AS banned, bool_or(role = 'user' AND regexp_matches(text, 'tion')) AND NOT regexp_matches(coalesce(any_value(last), ''), 'qu') AS no_help,
+  NOT regexp_matches(coalesce(any_value(last), ''), 'la|the|der|de') AS no_warmth, count(*) FILTER (role = 'assistant' AND NOT contains(text, ',')) AS no_source FROM turns JOIN l USING (conv_id) GROUP BY conv_id""")
 def qc08(spark, d):
-    reply = F.col("role") == "assistant"
-    return turns(spark, d).groupBy("conv_id").agg(F.count_if(reply & ~F.length("text").between(50, 800)).alias("bad_length"), F.count_if(reply & F.col("text").rlike("(ant|ist)[.]")).alias("closed"), F.bool_or(F.col("text").rlike("lich")).alias("banned"))
+    """Rules over whole conversations: lengths, closed questions, banned wording, the last reply's
+    help (where a user's turn asks for it) and warmth, and replies without a source mark."""
+    reply, text = F.col("role") == "assistant", F.col("text")
+    rows = turns(spark, d).groupBy("conv_id").agg(
+        F.count_if(reply & ~F.length(text).between(50, 800)).alias("bad_length"), F.count_if(reply & text.rlike("(ant|ist)[.]")).alias("closed"), F.bool_or(text.rlike("lich")).alias("banned"),
+        F.bool_or((F.col("role") == "user") & text.rlike("tion")).alias("asked"), F.coalesce(F.max_by(text, F.when(reply, F.col("turn"))), F.lit("")).alias("last"), F.count_if(reply & ~text.contains(",")).alias("no_source"), F.count_if(reply).alias("replies"),
+    )
+    last = F.when(F.col("replies") > 0, F.col("last")).otherwise("")
+    return rows.select("conv_id", "bad_length", "closed", "banned", (F.col("asked") & ~last.rlike("qu")).alias("no_help"), (~last.rlike("la|the|der|de")).alias("no_warmth"), "no_source")
 
 
 @query("QC09_side_car", f"""WITH {TURNS}, p AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS reply FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -232,11 +241,26 @@ def flt04(spark, d):
     return sessions(spark, d).where("created_at < timestamp'1996-01-01' and account_id is null").select("session_id")
 
 
-@query("SCO14_narrative_checks", f"""WITH {TURNS} SELECT conv_id, turn, list_filter([CASE WHEN NOT len(text) BETWEEN 300 AND 500 THEN 'length' END, CASE WHEN len(string_split(text, chr(10))) < 2 THEN 'sections' END,
-  CASE WHEN NOT regexp_matches(text, 'tion|ung|ción') THEN 'wording' END], lambda x: x IS NOT NULL) AS failed FROM turns WHERE role = 'assistant'""")
+_RANKS = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RANK.items()) + " END"
+
+
+@query("SCO14_narrative_checks", f"""WITH {TURNS}, {RECORDS}, v AS (SELECT session_id, max({_RANKS}) AS rank FROM records GROUP BY session_id), t AS (SELECT turns.*, coalesce(rank, 0) AS rank FROM turns LEFT JOIN v ON session_id = conv_id WHERE role = 'assistant')
+  SELECT conv_id, turn, list_filter([CASE WHEN NOT len(text) BETWEEN 300 AND 500 THEN 'length' END, CASE WHEN len(string_split(text, chr(10))) < 2 THEN 'sections' END,
+  CASE WHEN NOT regexp_matches(text, 'tion|ung|ción') THEN 'finding' END, CASE WHEN NOT regexp_matches(text, 'que|der|the') THEN 'context' END, CASE WHEN NOT regexp_matches(text, 'en|an') THEN 'outlook' END,
+  CASE WHEN NOT regexp_matches(text, 'ment|lich') THEN 'suggestion' END, CASE WHEN rank >= 3 AND NOT regexp_matches(text, 'reau|schei|thion') THEN 'referral' END,
+  CASE WHEN rank = 0 AND regexp_matches(text, 'lich|eaux') THEN 'alarming' END], lambda x: x IS NOT NULL) AS failed FROM t""")
 def sco14(spark, d):
-    tests = {"length": ~F.length("text").between(300, 500), "sections": F.size(F.split("text", "\n")) < 2, "wording": ~F.col("text").rlike("tion|ung|ción")}
-    return turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])).alias("failed"))
+    """Narratives against their rules; what a severe or an unremarkable result asks for depends on
+    the worst severity of the session with the conversation's number."""
+    rank = F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])
+    worst = records(spark, d).groupBy(F.col("session_id").alias("conv_id")).agg(F.max(rank[F.col("severity")]).alias("rank"))
+    rows = turns(spark, d).where("role = 'assistant'").join(worst, "conv_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    text = F.col("text")
+    tests = {
+        "length": ~F.length(text).between(300, 500), "sections": F.size(F.split(text, "\n")) < 2, "finding": ~text.rlike("tion|ung|ción"), "context": ~text.rlike("que|der|the"), "outlook": ~text.rlike("en|an"),
+        "suggestion": ~text.rlike("ment|lich"), "referral": (F.col("rank") >= 3) & ~text.rlike("reau|schei|thion"), "alarming": (F.col("rank") == 0) & text.rlike("lich|eaux"),
+    }
+    return rows.select("conv_id", "turn", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])).alias("failed"))
 
 
 @query("DED08_cap_and_mix", """WITH m AS (SELECT doc_id FROM documents WHERE lang <> 'en' ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 200)
