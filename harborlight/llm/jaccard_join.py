@@ -134,7 +134,11 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
-    """(shingle, node, n) of every prefix, packed by slice and bucket of the shingle."""
+    """(shingle, node, n) of every prefix, packed by slice and bucket of the shingle.
+
+    Of a shingle's hash 32 bits are kept beside its bucket: two that share them share a tile, which
+    costs a comparison and changes no result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +161,7 @@ def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, bucke
                 token, row, bucket = token[order], row[order], bucket[order]
                 start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 stop = np.append(start[1:], len(bucket))
-                node, size = nodes[row], sizes[row].astype(np.int32)
+                token, node, size = token.astype(np.uint32), nodes[row], sizes[row].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[start].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()) for x in (token, node, size))],
                     ["bucket", "tokens", "nodes", "sizes"],
@@ -174,7 +178,7 @@ def tiles(packed: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in whole_groups(batches, 0):
-            token, node, n = (np.frombuffer(b"".join(held.column(k).to_pylist()), t) for k, t in ((1, "<u8"), (2, "<i8"), (3, "<i4")))
+            token, node, n = (np.frombuffer(b"".join(held.column(k).to_pylist()), t) for k, t in ((1, "<u4"), (2, "<i8"), (3, "<i4")))
             order = np.lexsort((node, n, token))
             token, node, n = token[order], node[order], n[order]
             new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
