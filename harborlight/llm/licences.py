@@ -119,19 +119,19 @@ def scan(files: DataFrame) -> DataFrame:
     row = F.struct(*kept).alias("scan_row") if kept else F.lit(None).alias("scan_row")
     rows = written(files.select(row, F.substring_index(text, "\n", 1).alias("first_line"), some.alias("units"), F.monotonically_increasing_id().alias("scan_id")), "licence-units", "zstd")
 
-    # word, weight, and what each template has of it: at most a row a word of VOCABULARY
-    table = spark.createDataFrame([(w, weight[w], [u.get(w, 0.0) for u in units]) for w in VOCABULARY], "w string, weight double, u array<double>")
+    # word, weight, and the templates that have it: at most a row a word of VOCABULARY
+    held = {w: [(t, u[w]) for t, u in enumerate(units) if w in u] for w in VOCABULARY}
+    table = spark.createDataFrame([(w, weight[w], held[w]) for w in VOCABULARY], "w string, weight double, held array<struct<t: int, u: double>>")
+    named = spark.createDataFrame([(t, name, floor, name == RESERVED) for t, (name, floor, _) in enumerate(TEMPLATES)], "t int, name string, floor double, reserved boolean")
     each = rows.where("size(units) > 0").select("scan_id", F.posexplode("units").alias("unit_no", "line"))
-    counts = each.select("scan_id", "unit_no", F.explode(words(F.col("line"))).alias("w")).groupBy("scan_id", "unit_no", "w").agg(F.count(F.lit(1)).alias("n"))
+    unit = ["scan_id", "unit_no"]
+    counts = each.select(*unit, F.explode(words(F.col("line"))).alias("w")).groupBy(*unit, "w").agg(F.count(F.lit(1)).alias("n"))
     weighed = counts.join(F.broadcast(table), "w", "left").withColumn("x", (1 + F.log("n")) * F.coalesce("weight", F.lit(other)))
-    sums = [F.sum(F.col("x") * F.col("u")[t]).alias(f"dot{t}") for t in range(len(units))]
-    dots = weighed.groupBy("scan_id", "unit_no").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *sums)
-    scores = [
-        F.when((s := F.round(F.col(f"dot{t}") / F.col("norm"), 6)) >= floor, F.struct(F.lit(name == RESERVED).alias("reserved"), (-s).alias("minus"), F.lit(name).alias("name")))
-        for t, (name, floor, _) in enumerate(TEMPLATES)
-    ]
-    found = dots.select("scan_id", "unit_no", F.array_min(F.array(*scores)).alias("m")).where("m is not null")
-    found = found.join(each, ["scan_id", "unit_no"]).groupBy("scan_id").agg(F.min(F.struct("m.reserved", "m.minus", "m.name", "line")).alias("m"))
+    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.select(*unit, "x", F.inline("held")).groupBy(*unit, "t").agg(F.sum(F.col("x") * F.col("u")).alias("dot"))
+    scores = dots.join(norms, unit).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).join(F.broadcast(named), "t").where("score >= floor")
+    found = scores.groupBy(*unit).agg(F.min(F.struct("reserved", (-F.col("score")).alias("minus"), "name")).alias("m"))
+    found = found.join(each, unit).groupBy("scan_id").agg(F.min(F.struct("m.reserved", "m.minus", "m.name", "line")).alias("m"))
     own = F.struct((-F.col("m.minus")).alias("score"), F.col("m.name").alias("name"), F.col("m.line").alias("line"))
     own = found.select("scan_id", own.alias("own"))
     return rows.join(own, "scan_id", "left").select("scan_row.*" if kept else F.lit(None).alias("none"), "first_line", "own")
