@@ -8,6 +8,8 @@ process, so a task that is run again on another executor gives the same values.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -59,7 +61,11 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start) of every run of bytes outside space and 9-13, A-Z lower-cased first."""
+    """(hash, row, start) of every run of bytes outside space and 9-13, A-Z lower-cased first.
+
+    The hash is a polynomial: good for counts and statistics, where strings made to clash do no
+    harm. Whatever must not clash uses `interned`.
+    """
     if not len(raw):
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~IS_SPACE[raw]
@@ -83,6 +89,91 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mix(code + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)), row, start
 
 
+#: Bytes of search terms: ASCII letters and digits, and all of every other character.
+IS_TERM = np.zeros(256, bool)
+IS_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def interned(raw: np.ndarray, off: np.ndarray, solid: np.ndarray = ~IS_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(id, row, length, dictionary) of every run of solid bytes, in order; runs end with their row.
+
+    Ids are places in the dictionary of the batch's distinct runs, so equal ids are equal bytes
+    and nothing rests on a hash. lower: A-Z count as a-z.
+    """
+    inside = solid[raw]
+    n = len(raw)
+    before = np.append(False, inside[:-1])[:n]
+    before[off[:-1][off[:-1] < n]] = False
+    start = np.flatnonzero(inside & ~before)
+    after = np.append(inside[1:], False)[:n]
+    after[off[1:][off[1:] > 0] - 1] = False
+    length = np.flatnonzero(inside & ~after) + 1 - start
+    held = raw[inside]
+    edge = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(length, out=edge[1:])
+    buffers = [None, pa.py_buffer(edge), pa.py_buffer(LOWER[held] if lower else held)]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), buffers).dictionary_encode()
+    row = np.searchsorted(off, start, side="right") - 1
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), row, length, coded.dictionary
+
+
+def lanes(dictionary: pa.Array) -> np.ndarray:
+    """Two 64-bit words per distinct word: its BLAKE2b digest, so no two words are made to share one."""
+    found = b"".join([blake2b(w, digest_size=16).digest() for w in dictionary.to_pylist()])
+    return np.frombuffer(found, "<u8").reshape(-1, 2).astype(U64)
+
+
+def chained(value: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a word sequence with one more word."""
+    return mix(value * U64(0x2545F4914F6CDD1D) + word)
+
+
+def shingle_lanes(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, row offsets) of the distinct word shingles of every row, sorted by first.
+
+    A shingle is 128 bits, `first` and `second`, made from 128 bits of each word. A row with 1
+    to width - 1 words has its whole sequence as its only shingle; a row without words has none.
+    """
+    rows = len(off) - 1
+    code, row, _, dictionary = interned(raw, off)
+    word = lanes(dictionary)[code] if len(code) else np.zeros((0, 2), U64)
+    count = np.bincount(row, minlength=rows)
+    begin = np.zeros(rows + 1, np.int64)
+    np.cumsum(count, out=begin[1:])
+    full = max(0, len(code) - width + 1)
+    value = np.zeros((full, 2), U64)
+    for k in range(width):
+        value = chained(value, word[k : k + full])
+    place = np.maximum(count - width + 1, 0)
+    edge = np.zeros(rows + 1, np.int64)
+    first, second = [np.zeros(0, U64)], [np.zeros(0, U64)]
+    for r in range(rows):
+        if place[r]:
+            own = value[begin[r] : begin[r] + place[r]]
+        elif count[r]:
+            own = np.full((1, 2), count[r], U64)
+            for k in range(begin[r], begin[r + 1]):
+                own = chained(own, word[k])
+        else:
+            edge[r + 1] = edge[r]
+            continue
+        a, b = own[:, 0], own[:, 1]
+        order = np.argsort(a)
+        a, b = a[order], b[order]
+        tied = a[1:] == a[:-1]
+        if tied.any():
+            if (tied & (b[1:] != b[:-1])).any():
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                tied = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            new = np.append(True, ~tied)
+            a, b = a[new], b[new]
+        first.append(a)
+        second.append(b)
+        edge[r + 1] = edge[r] + len(a)
+    return np.concatenate(first), np.concatenate(second), edge
+
+
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the word shingles of every row, concatenated, and row offsets.
 
