@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, jaccard_join, licences, media, packing, periodic, quality, repeats, sentence_pieces, shards, toxicity
+from harborlight.llm import exact_dedup, jaccard_join, licences, media, packing, periodic, quality, repeats, sentence_pieces, shards, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licences": licences.op9,
         "op10_packing": packing.op10,
         "op11_periodic_runs": periodic.op11,
+        "op13_simhash": simhash.op13,
     }
 
 
