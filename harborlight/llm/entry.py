@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, jaccard_join, licences, media, packing, periodic, quality, repeats, sentence_pieces, shards, simhash, toxicity
+from harborlight.llm import exact_dedup, jaccard_join, licences, media, packing, periodic, quality, ranked_search, repeats, sentence_pieces, shards, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licences": licences.op9,
         "op10_packing": packing.op10,
         "op11_periodic_runs": periodic.op11,
+        "op12_ranked_search": ranked_search.op12,
         "op13_simhash": simhash.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op9_licences": licences.sql()}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op9_licences": licences.sql(), "op12_ranked_search": ranked_search.SQL}
