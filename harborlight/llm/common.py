@@ -85,13 +85,14 @@ def dealt(rows: DataFrame, key: str, by: str, block: int) -> DataFrame:
     """rows (`key`, members, more columns) with part, side and split: the comparison each takes part in.
 
     Up to `block` members of a key meet in one task. More are dealt to blocks by hash of `by`, and
-    each pair of blocks is a task; the blocks grow with the root of the members, and rows are
-    repeated as often.
+    each pair of blocks is a task. Blocks grow with the root of the members up to 8 times `block`
+    and no further: from there on the pairs of blocks grow alone, so a task has a bound.
     """
-    blocks = F.when(F.col("members") > block, 2 * F.ceil(F.sqrt(F.col("members") / block))).otherwise(1).cast("int")
+    several = F.greatest(2 * F.ceil(F.sqrt(F.col("members") / block)), F.ceil(F.col("members") / (8 * block)))
+    blocks = F.when(F.col("members") > block, several).otherwise(1).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.xxhash64(key, F.least("side", "other"), F.greatest("side", "other"))
+    part = F.xxhash64(key, "members", F.least("side", "other"), F.greatest("side", "other"))
     return rows.withColumn("part", part).withColumn("split", F.col("side") != F.col("other"))
 
 

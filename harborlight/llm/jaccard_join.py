@@ -18,7 +18,10 @@ In both steps the sets of a tile or cluster are taken in order of size, and each
 the larger ones of its band that no link connects with it yet. Large tiles and clusters are dealt
 in blocks, a task a pair of blocks. Equal sets are one node, so copies are never paired.
 
-Shingles are 64-bit hashes. Defined results: null and empty texts, and texts of white space,
+A shingle is 128 bits, made from 128 bits of the BLAKE2b digest of each of its words, and so are the
+ids of sets (nodes) and rows (keys): no two texts are taken for each other because their words were
+made to clash. Half of a shingle orders prefixes, tiles and bitmaps, where a clash costs a comparison;
+what decides a link is the whole. Defined results: null and empty texts, and texts of white space,
 have no shingles and stay alone; fewer words than the width make one shingle; very long texts
 are one set each, whole; rows repeated with one doc_id are one document when their sets are
 equal and keep a row each; several texts under one doc_id are a document each; a null doc_id links
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from harborlight.llm.common import dealt, discard, documents, prefilter, slices, whole_groups, whole_text, written
 from harborlight.llm.components import components
-from harborlight.llm.kernels import U64, mix, shingle_sets, utf8
+from harborlight.llm.kernels import U64, mix, shingle_lanes, utf8
 
 WIDTH, PERCENT = 5, 75
 #: Frequent shingles that are put last in the common order: at most so many 8-byte hashes.
@@ -98,17 +101,32 @@ class Bitmaps:
         return out
 
 
-def node_ids(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """One 64-bit id per set: equal sets have equal ids; 0 for empty sets."""
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(mix(values ^ U64(0x5851F42D4C957F2D)), out=sums[1:])
+def node_ids(first: np.ndarray, second: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """128 bits per set (two words a row): equal sets have equal ids; zero for empty sets."""
     n = np.diff(edge)
-    return np.where(n > 0, mix(sums[edge[1:]] - sums[edge[:-1]] + n.astype(U64)), U64(0)).view(np.int64)
+    sums = np.zeros((len(first) + 1, 2), U64)
+    np.cumsum(mix(first ^ mix(second)), out=sums[1:, 0])
+    np.cumsum(mix(second + mix(first ^ U64(0x5851F42D4C957F2D))), out=sums[1:, 1])
+    out = mix(sums[edge[1:]] - sums[edge[:-1]] + n.astype(U64)[:, None])
+    out[n == 0] = 0
+    return out
+
+
+NODE = pa.decimal128(38)
+
+
+def numbers(words: np.ndarray) -> pa.Array:
+    """Rows of two words as numbers below 2 ** 126, which fit Spark's decimal(38, 0)."""
+    low_high = np.empty((len(words), 2), U64)
+    low_high[:, 0], low_high[:, 1] = words[:, 0], words[:, 1] >> U64(2)
+    return pa.Array.from_buffers(NODE, len(words), [None, pa.py_buffer(low_high)])
 
 
 def row_key() -> Column:
-    """A row's 64-bit key: doc_ids may be null or shared by several texts."""
-    return F.xxhash64(F.col("doc_id").cast("long"), whole_text())
+    """A row's key of 120 bits: doc_ids may be null or shared by several texts."""
+    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), whole_text()), 256)
+    high, low = (F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16))
+    return (high * F.lit(1 << 60).cast("decimal(38,0)") + low).cast("decimal(38,0)")
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -117,20 +135,20 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                values, edge = shingle_sets(*utf8(piece.column(1)), width)
+                values, others, edge = shingle_lanes(*utf8(piece.column(1)), width)
                 token, count = np.unique(values, return_counts=True)
                 often = count >= HEAVY_ROWS
                 heavy = [[{"token": t, "rows": c} for t, c in zip(token[often].view(np.int64).tolist(), count[often].tolist())]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column(0), piece.column(2), pa.array(node_ids(values, edge)), pa.array(np.diff(edge).astype(np.int32)),
+                        piece.column(0), piece.column(2), numbers(node_ids(values, others, edge)), pa.array(np.diff(edge).astype(np.int32)),
                         pa.array([bitmap(values[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
                         pa.array(heavy + [None] * (len(edge) - 2), pa.list_(pa.struct([("token", pa.int64()), ("rows", pa.int32())]))),
                     ],
                     ["doc_id", "key", "node", "n", "bitmap", "heavy"],
                 )
 
-    return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, node long, n int, bitmap binary, heavy array<struct<token: long, rows: int>>")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key decimal(38,0), node decimal(38,0), n int, bitmap binary, heavy array<struct<token: long, rows: int>>")
 
 
 def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
@@ -143,9 +161,9 @@ def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, bucke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                values, edge = shingle_sets(*utf8(piece.column(0)), width)
-                nodes, sizes = node_ids(values, edge), np.diff(edge)
-                _, once = np.unique(nodes, return_index=True)
+                values, others, edge = shingle_lanes(*utf8(piece.column(0)), width)
+                nodes, sizes = node_ids(values, others, edge), np.diff(edge)
+                _, once = np.unique(nodes, axis=0, return_index=True)
                 last, tokens, rows = np.isin(values, heavy, assume_unique=False), [], []
                 for r in once:
                     if n := int(sizes[r]):
@@ -178,10 +196,11 @@ def tiles(packed: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in whole_groups(batches, 0):
-            token, node, n = (np.frombuffer(b"".join(held.column(k).to_pylist()), t) for k, t in ((1, "<u4"), (2, "<i8"), (3, "<i4")))
-            order = np.lexsort((node, n, token))
+            token, node, n = (np.frombuffer(b"".join(held.column(k).to_pylist()), t) for k, t in ((1, "<u4"), (2, "<u8"), (3, "<i4")))
+            node = node.reshape(-1, 2)
+            order = np.lexsort((node[:, 1], node[:, 0], n, token))
             token, node, n = token[order], node[order], n[order]
-            new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+            new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]).any(1))
             token, node, n = token[new], node[new], n[new]
             same = token[1:] == token[:-1]
             near = same & (percent * n[1:].astype(np.int64) <= 100 * n[:-1].astype(np.int64))
@@ -190,17 +209,17 @@ def tiles(packed: DataFrame, percent: int) -> DataFrame:
             if not len(token):
                 continue
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            tile = np.add.reduceat(mix(node.view(U64)), start)
+            tile = np.add.reduceat(mix(node[:, 0] ^ mix(node[:, 1])), start)
             count = np.diff(np.append(start, len(token)))
             _, once = np.unique(tile, return_index=True)
             rows = np.concatenate([np.arange(a, a + c) for a, c in zip(start[once], count[once])])
             of = np.repeat(once, count[once])
             for i in range(0, len(rows), 1 << 17):
                 r, t = rows[i : i + (1 << 17)], of[i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(tile[t].view(np.int64)), pa.array(count[t].astype(np.int32)), pa.array(node[r]), pa.array(n[r])], ["tile", "members", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(tile[t].view(np.int64)), pa.array(count[t].astype(np.int32)), numbers(node[r]), pa.array(n[r])], ["tile", "members", "node", "n"])
 
-    rows = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "tile long, members int, node long, n int")
-    return rows.dropDuplicates(["tile", "node"])
+    rows = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "tile long, members int, node decimal(38,0), n int")
+    return rows.dropDuplicates(["tile", "members", "node"])
 
 
 def spanning(part: np.ndarray, n: np.ndarray, side: np.ndarray, split: np.ndarray, percent: int, close: Callable) -> tuple[np.ndarray, np.ndarray]:
@@ -243,16 +262,16 @@ def spanning(part: np.ndarray, n: np.ndarray, side: np.ndarray, split: np.ndarra
 def forest(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     """Edges a < b that span the groups of every part. rows: part, n, node, side, split, content.
 
-    content is a bitmap, and edges are pairs it allows; or, if exact, a sorted array of
-    shingles, and edges are links.
+    content is a bitmap, and edges are pairs it allows; or, if exact, the shingles sorted by their
+    first words, and edges are links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in whole_groups(batches, 0):
-            part, n, node, side, split = (held.column(k).to_numpy() for k in range(5))
-            n, content = n.astype(np.int64), held.column(5).to_pylist()
-            sets = [np.frombuffer(x, "<u8") for x in content] if exact else []
-            maps = Bitmaps([bitmap(s) for s in sets] if exact else content)
+            part, n, side, split = (held.column(k).to_numpy() for k in range(4))
+            n, node, content = n.astype(np.int64), held.column(4), held.column(5).to_pylist()
+            sets = [np.frombuffer(x, "<u8").reshape(2, -1) for x in content] if exact else []
+            maps = Bitmaps([bitmap(s[0]) for s in sets] if exact else content)
 
             def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 out = maps.most_overlap(n, i, j) >= need(n[i], n[j], percent)
@@ -262,41 +281,54 @@ def forest(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
                 return out
 
             i, j = spanning(part, n, side, split, percent, close)
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield from pa.table([node.take(pa.array(i)), node.take(pa.array(j))], ["a", "b"]).to_batches()
 
-    rows = rows.select("part", "n", "node", "side", "split", "content")
-    return rows.repartition("part").sortWithinPartitions("part", "n", "node").mapInArrow(run, "a long, b long")
+    rows = rows.select("part", "n", "side", "split", "node", "content")
+    return rows.repartition("part").sortWithinPartitions("part", "n", "node").mapInArrow(run, "a decimal(38,0), b decimal(38,0)")
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact sizes of the intersections of the sorted arrays i[k] and j[k], for ascending i."""
+    """Exact sizes of the intersections of the sets i[k] and j[k], for ascending i.
+
+    A set has a row for each word of its shingles, two here, and is sorted by the first.
+    """
+    sets = [np.atleast_2d(s) for s in sets]
     out = np.zeros(len(i), np.int64)
     edge = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i)) if len(i) else [0]
     for a, b in zip(edge, edge[1:]):
         one, at = sets[i[a]], int(a)
+        same_first = (one[0, 1:] == one[0, :-1]).any()
         while at < b:  # at most a million shingles at once, unless one set has more
-            size = np.cumsum([len(sets[k]) for k in j[at:b]])
+            size = np.cumsum([sets[k].shape[1] for k in j[at:b]])
             to = at + max(1, int(np.searchsorted(size, 1 << 20, side="right")))
-            others = np.concatenate([sets[k] for k in j[at:to]])
-            found = one[np.minimum(np.searchsorted(one, others), len(one) - 1)] == others
+            others = np.concatenate([sets[k] for k in j[at:to]], axis=1)
+            if same_first:  # two shingles of a set share their first word: compare both at once
+                found = np.isin(pairs(others), pairs(one))
+            else:
+                place = np.minimum(np.searchsorted(one[0], others[0]), one.shape[1] - 1)
+                found = (one[0][place] == others[0]) & (one[-1][place] == others[-1])
             out[at:to] = np.add.reduceat(found, np.append(0, size[: to - at - 1]))
             at = to
     return out
 
 
+def pairs(words: np.ndarray) -> np.ndarray:
+    """The columns of two rows of words as one sortable value each."""
+    return np.ascontiguousarray(words.T).astype("<u8").view([("first", "<u8"), ("second", "<u8")]).ravel()
+
+
 def arrays(docs: DataFrame, holders: DataFrame, width: int) -> DataFrame:
     """holders (key, node, cluster, members) with n and content: the sorted shingles of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                values, edge = shingle_sets(*utf8(piece.column(0)), width)
-                content = pa.array([values[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
+                values, others, edge = shingle_lanes(*utf8(piece.column(0)), width)
+                content = pa.array([values[a:b].tobytes() + others[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*piece.columns[1:], pa.array(np.diff(edge).astype(np.int32)), content], ["node", "cluster", "members", "n", "content"])
 
     texts = prefilter(docs, holders, "key").dropDuplicates(["key"]).join(holders.hint("merge"), "key")
-    return texts.select("text", "node", "cluster", "members").mapInArrow(run, "node long, cluster long, members long, n int, content binary")
+    return texts.select("text", "node", "cluster", "members").mapInArrow(run, "node decimal(38,0), cluster decimal(38,0), members long, n int, content binary")
 
 
 def with_members(clusters: DataFrame) -> DataFrame:
@@ -337,7 +369,7 @@ SALTS = 32
 def named(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """rows (doc_id, key, n, node) with the smallest doc_id of their group."""
     rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = written(rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")), "labelled")
+    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "labelled")
     alone, together = rows.where("n = 0"), rows.where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     least = together.groupBy("component").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("node").alias("node"))
@@ -350,3 +382,18 @@ def named(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(documents(spark, sf_dir)).drop("node", "key", "leads")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT o.a, o.b FROM o JOIN s x ON o.a = x.doc_id JOIN s y ON o.b = y.doc_id WHERE 100 * o >= 75 * (len(x.s) + len(y.s) - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id
+FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON s.doc_id = c.a
+"""

@@ -174,45 +174,6 @@ def shingle_lanes(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.
     return np.concatenate(first), np.concatenate(second), edge
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the word shingles of every row, concatenated, and row offsets.
-
-    A row with 1 to width - 1 words has its whole sequence as its only shingle; a row without
-    words has none.
-    """
-    rows = len(off) - 1
-    code, row, _ = words(raw, off)
-    count = np.bincount(row, minlength=rows)
-    first = np.zeros(rows + 1, np.int64)
-    np.cumsum(count, out=first[1:])
-    parts, owner = [], []
-    if len(code) >= width:
-        full = len(code) - width + 1
-        value = np.zeros(full, U64)
-        for k in range(width):
-            value = value * U64(0x2545F4914F6CDD1D) + code[k : k + full]
-        same = row[:full] == row[width - 1 :]
-        parts.append(mix(value[same]))
-        owner.append(row[:full][same])
-    for r in np.flatnonzero((count > 0) & (count < width)):
-        value = np.array([count[r]], U64)
-        for c in code[first[r] : first[r + 1]]:
-            value = value * U64(0x2545F4914F6CDD1D) + c
-        parts.append(mix(value))
-        owner.append(np.array([r], np.int64))
-    value = np.concatenate(parts) if parts else np.zeros(0, U64)
-    who = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-    order = np.argsort(who, kind="stable")
-    value, who = value[order], who[order]
-    edge = np.zeros(rows + 1, np.int64)
-    np.cumsum(np.bincount(who, minlength=rows), out=edge[1:])
-    sets = [np.unique(value[edge[r] : edge[r + 1]]) for r in range(rows)]
-    out = np.zeros(rows + 1, np.int64)
-    if rows:
-        np.cumsum([len(s) for s in sets], out=out[1:])
-    return (np.concatenate(sets) if sets else np.zeros(0, U64)), out
-
-
 def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
     """Hash of the `width` bytes (a power of two) that start at each position."""
     h, step = BYTE_CODE[raw], 1
