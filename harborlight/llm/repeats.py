@@ -18,9 +18,9 @@ the same document further left). Matches never cross documents and are judged on
 
 Defined results: null and empty texts and texts under LENGTH bytes keep all bytes; very long
 texts are one numpy pass; a null doc_id takes no part and keeps its text; rows repeated with
-doc_id and text are one document and all lose the same bytes; of different texts under one
-doc_id only the one with the least SHA-256 takes part; empty tables give no rows; extra columns
-are ignored.
+doc_id and text are one document and all lose the same bytes; different texts under one doc_id
+are documents of their own, in the order of their SHA-256; empty tables give no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harborlight.llm.common import dealt, documents, maybe_in, prefilter, slices, trim, whole_groups, whole_text, written
@@ -248,26 +249,44 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc_id", "text", "marks").mapInArrow(run, RESULT)
 
 
-def clashing(docs: DataFrame) -> DataFrame:
-    """doc_id and digest of the texts that share a doc_id with a text of smaller digest."""
-    seen = docs.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
-    several = seen.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
-    return seen.join(several, "doc_id").where("digest <> least").select("doc_id", "digest").distinct()
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, place of every distinct text of every doc_id, places in that order.
+
+    Rows are dealt by range and counted in their task; the totals, a row a task, get a prefix sum.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            local = np.arange(before, before + batch.num_rows)
+            before += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(local)], ["doc_id", "digest", "part", "local"])
+
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("digest")).distinct()
+    rows = rows.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    rows = written(rows.mapInArrow(run, "doc_id long, digest string, part int, local long"), "numbered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(base), "part").select("doc_id", "digest", (F.col("base") + F.col("local")).alias("place"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with `place`: the doc_id, or a number in the order of doc_id and digest if several texts share one."""
+    ids = docs.select("doc_id", F.sha2("text", 256).alias("digest")).groupBy("doc_id")
+    if ids.agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").isEmpty():
+        return docs.withColumn("place", F.col("doc_id"))
+    places = written(numbered(docs), "places")
+    return docs.withColumn("digest", F.sha2("text", 256)).join(places, ["doc_id", "digest"]).select(*docs.columns, "place")
 
 
 def with_marks(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """docs (with all its columns) in two parts: rows with `marks`, and rows that stay whole."""
-    active, idle = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    out = written(clashing(docs), "clashing")
-    if not out.isEmpty():
-        keyed = active.withColumn("digest", F.sha2("text", 256))
-        idle = idle.unionByName(keyed.join(out, ["doc_id", "digest"], "left_semi").select(*docs.columns))
-        active = keyed.join(out, ["doc_id", "digest"], "left_anti").select(*docs.columns)
-    found = marked_windows(active.select("doc_id", "text"), length)
-    held = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("marks")), "marks")
-    probe = maybe_in(active, held, "doc_id")
-    rows = probe.where("maybe").drop("maybe").join(held.hint("merge"), "doc_id", "left").select(*docs.columns, "marks")
-    whole = rows.where("marks is null").drop("marks").unionByName(probe.where("not maybe").drop("maybe")).unionByName(idle)
+    active, idle = placed(docs.where("doc_id is not null")), docs.where("doc_id is null")
+    found = marked_windows(active.select(F.col("place").alias("doc_id"), "text"), length).withColumnRenamed("doc_id", "place")
+    held = written(found.groupBy("place").agg(F.collect_list(F.struct("start", "windows")).alias("marks")), "marks")
+    probe = maybe_in(active, held, "place")
+    rows = probe.where("maybe").drop("maybe").join(held.hint("merge"), "place", "left").select(*docs.columns, "marks")
+    whole = rows.where("marks is null").drop("marks").unionByName(probe.where("not maybe").select(*docs.columns)).unionByName(idle)
     return rows.where("marks is not null"), whole
 
 

@@ -87,3 +87,30 @@ def test_learning_lowers_the_loss_and_finds_the_words(spark):
     assert loss(model) < 0.2 * loss(X.SentenceModel(-3.0, {}))
     found = X.sentence_scores(rows[0][0], model, {}, 0.3)[1]
     assert [rows[0][0][s["start"] : s["end"]] for s in found] == [" It says vile things"]
+
+
+@pytest.mark.parametrize("toxic", [1, 2, 3, 5])
+def test_few_toxic_labels_still_rank(spark, toxic):
+    rows = [(f"A quiet note number {i} on the garden. Nothing else {i % 7}.", 0, 1.0) for i in range(57)]
+    rows += [(f"A quiet note on the garden. You vile wretch {'abcde'[i]}. Nothing else.", 1, 1.0) for i in range(toxic)]
+    model = X.fit(spark.createDataFrame(rows, "text string, y int, weight double"))
+    scores = [X.sentence_scores(t, model, {}, 0.3)[0] for t, _, _ in rows]
+    assert model.weights and min(scores[57:]) > max(scores[:57]) and all(0 <= s <= 1 for s in scores)
+
+
+def test_without_features_the_class_share_is_the_score(spark):
+    prepare(spark)
+    same = [("the same words", y, 1.0) for y in (0, 0, 0, 1)]
+    for rows, share in ((same, 0.25), (same[:3], 0.0), (same[3:], 1.0), ([], 0.0)):
+        model = X.fit(spark.createDataFrame(rows, "text string, y int, weight double"))
+        docs = spark.createDataFrame([(1, "the same words"), (2, None)], "doc_id long, text string")
+        assert [r.score for r in X.score(docs, model).collect()] == [share, share]
+        assert not any(r.toxic for r in X.flag(docs, model).collect())
+
+
+def test_scores_with_clashing_column_names(spark):
+    prepare(spark)
+    docs = spark.createDataFrame([(1, "you bad thing", 9.0, 8.0, "x")], "doc_id long, text string, score double, spaces double, sentences string")
+    assert X.score(docs, X.SentenceModel(-6.0, {"bad": 9.0})).first().score > 0.9
+    made = Q.RuleModel(0.0, (((("spaces", True, 5.0),), 30.0),))
+    assert Q.statistics(docs.select("doc_id", "text"), ["doc_id"]).select(made.column().alias("s")).first().s == 0.5

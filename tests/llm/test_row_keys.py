@@ -66,3 +66,26 @@ def test_a_copy_leaves_the_other_text_of_its_id(spark):
     assert stays(P.drop_copies, spark, [(1, "a"), (1, "b"), (5, "a")]) == [(1, "b"), (5, "a")]
     rows = [(1, LEFT), (2, BRIDGE), (2, " ".join(OTHER))]
     assert stays(P.drop_near_copies, spark, rows) == sorted([(1, LEFT), (2, " ".join(OTHER))], key=str)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_text_of_a_shared_id_loses_its_repeats(spark, seed):
+    """op7: of texts under one doc_id each is a document, in the order of the digests."""
+    import hashlib
+
+    from harborlight.llm import repeats
+
+    one, two, three = (" ".join(random.Random(k).sample(WORDS, 60)) for k in range(3))
+    rows = [(1, one + " " + two), (1, two + " " + three), (1, three[:150] + one), (2, three), (3, "x" * 99), (3, one[:120]), (1, one + " " + two)]
+    random.Random(seed).shuffle(rows)
+    order = sorted(set(rows), key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest()))
+    seen, want = set(), {}
+    for i, t in order:
+        gone = [False] * len(t)
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = [True] * 100
+            seen.add(t[k : k + 100])
+        want[i, len(t), sum(gone)] = "".join(c for c, g in zip(t, gone) if not g)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in repeats.remove_repeats(table(spark, rows)).collect()]
+    assert len(got) == len(rows) and {g[:3]: g[3] for g in got} == want
