@@ -1,4 +1,4 @@
-"""Retrieval as joins: BM25 over postings, vector distances in blocks, fusion, filters."""
+"""Retrieval: BM25 over an inverted index, vector distances, fusion, filters."""
 
 from __future__ import annotations
 
@@ -6,32 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborlight.operators import inverted
+
 #: Vectors that one task holds while the queries stream past, and queries in one matrix product.
 SLICE, QUERY_BLOCK = 50_000, 256
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score: Okapi BM25 with idf ln((N - n + 0.5) / (n + 0.5)), floored at 0.
-
-    Only terms that a query has are grouped, lengths are counted in the row, and terms that half
-    of the documents hold (idf 0) never meet the queries; the statistics are one row.
-    """
-    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))).alias("all_terms"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    words = docs.select("doc_id", terms(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("n_terms"), F.explode("words").alias("term"))
-    held = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("n_terms").alias("n_terms"))
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size)).where("2 * df < docs")
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") * F.col("docs") / F.col("all_terms")))
-    weighed = held.join(df, "term").select("term", "doc_id", (idf * tf).alias("weight"))
-    return asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score")).where("score > 0")
+    """query_id, doc_id, score of every document with a score: Okapi BM25 with idf
+    ln((N - n + 0.5) / (n + 0.5)), floored at 0. For the best ones alone ask `inverted.best`."""
+    rows = inverted.search(queries, inverted.build(docs, k1, b))
+    return rows.where("doc_id is not null").select("query_id", "doc_id", "score")
 
 
 def strongest(scores: DataFrame, most: int, share: float = 0.7) -> DataFrame:

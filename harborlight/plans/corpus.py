@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harborlight.operators import curation as C
+from harborlight.operators import inverted as I
 from harborlight.operators import retrieval as R
 from harborlight.functions import chunks as K
 from harborlight.functions import text as T
@@ -254,21 +255,18 @@ _BM25 = f"""p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnes
     FROM q JOIN p ON q.term = p.term JOIN df ON df.term = p.term JOIN n ON n.doc_id = p.doc_id CROSS JOIN g GROUP BY ALL)"""
 
 
-def lexical(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(asked, docs(spark, d))
+def items(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("RET04_bm25_top", f"""WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 5""")
 def ret04(spark, d):
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    return lexical(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return I.best(items(spark, d), I.build(docs(spark, d)), 5).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 @query("SRT04_strong_lexical", f"WITH {_BM25} SELECT query_id, count(*) AS n FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM s) WHERE score >= 0.7::DOUBLE * top - 1e-9 AND score > 0 GROUP BY query_id")
 def srt04(spark, d):
-    rows = lexical(spark, d).withColumn("top", F.max("score").over(Window.partitionBy("query_id")))
-    return rows.where("score >= 0.7D * top - 1e-9D").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return I.near_best(items(spark, d), I.build(docs(spark, d)), 0.7).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _NEAR = """v AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label AS source, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS distance
@@ -355,20 +353,19 @@ _FUSED = _BM25.replace("SELECT DISTINCT item_id AS query_id,", "SELECT DISTINCT
 
 
 @query("RET07_fusion", f"""WITH {_NEAR}, {_FUSED}, h AS (SELECT query_id, id, distance, coalesce(contains(text, 'ention'), false) AS boosted FROM k LEFT JOIN documents ON doc_id = id WHERE rank <= 9),
-  l AS (SELECT query_id, doc_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s WHERE score > 0 AND query_id IN (SELECT vec_id FROM embeddings) AND doc_id IN (SELECT vec_id FROM embeddings)),
+  l AS (SELECT query_id, doc_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s WHERE score > 0),
   st AS (SELECT query_id, id FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM l WHERE r <= 9) WHERE score >= 0.7::DOUBLE * top - 1e-9)
   SELECT coalesce(h.query_id, st.query_id) AS query_id, coalesce(h.id, st.id) AS id,
     round(CASE WHEN h.id IS NULL THEN 1.2::DOUBLE - 0.03::DOUBLE ELSE distance - CASE WHEN st.id IS NOT NULL THEN 0.03::DOUBLE ELSE 0 END - CASE WHEN boosted THEN 0.05::DOUBLE ELSE 0 END END, 5) AS distance,
     CASE WHEN h.id IS NULL THEN 'lexical' WHEN st.id IS NOT NULL THEN 'both' ELSE 'vector' END AS origin FROM h FULL OUTER JOIN st ON h.query_id = st.query_id AND h.id = st.id""")
 def ret07(spark, d):
-    """Query 20 k has the vector of that id and the text of benchmark item k; documents with a
-    vector are what both searches look through, BM25 with the statistics of all documents."""
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    asked = table(spark, d, "benchmark").select((F.col("item_id") * 20).alias("query_id"), "text").join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left_semi")
-    scores = R.bm25(asked, docs(spark, d)).join(vectors.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    """Query 20 k has the vector of that id, if there is one, and the text of benchmark item k; the
+    lexical side looks through all documents for all items."""
+    asked = items(spark, d).withColumn("query_id", F.col("query_id") * 20)
     texts = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").contains("ention").alias("boosted"))
     hits = near(spark, d, 9).join(texts, "id", "left").select("query_id", "id", "distance", F.coalesce("boosted", F.lit(False)).alias("boosted"))
-    return R.fuse(hits, R.strongest(scores, 9), 1.2).select("query_id", "id", F.round("distance", 5).alias("distance"), "origin")
+    strong = R.strongest(I.best(asked, I.build(docs(spark, d)), 9).drop("place"), 9)
+    return R.fuse(hits, strong, 1.2).select("query_id", "id", F.round("distance", 5).alias("distance"), "origin")
 
 
 @query("WIN05_first_expected_rank", f"WITH {_NEAR} SELECT e.vec_id AS query_id, min(rank) FILTER (k.source IN (e.label, (e.label + 1) % 10)) AS first_rank FROM embeddings e JOIN k ON k.query_id = e.vec_id AND rank <= 9 GROUP BY e.vec_id")
