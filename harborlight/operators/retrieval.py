@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight.operators import inverted
+from harborlight.operators.neighbours import nearest
 
-#: Vectors that one task holds while the queries stream past, and queries in one matrix product.
-SLICE, QUERY_BLOCK = 50_000, 256
+__all__ = ["bm25", "first_per_source", "fuse", "nearest", "strongest"]
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -30,58 +26,6 @@ def strongest(scores: DataFrame, most: int, share: float = 0.7) -> DataFrame:
     return rows.withColumn("top", top).where(F.col("score") >= share * F.col("top") - 1e-9).select("query_id", F.col("doc_id").alias("id"), "score")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, slice_rows: int = SLICE) -> DataFrame:
-    """query_id, id, distance, rank: the k nearest vectors (L2) of each query, ties to the smaller id.
-
-    Vectors are dealt to slices by hash and the queries to every slice; a task holds a slice and
-    streams the queries past it in blocks, one matrix product each, so neither side is ever
-    whole in one place. k candidates a query and slice are left for the last sort. The product
-    only selects: candidates' distances are computed from the differences. Null vectors are
-    left out; all others have one length.
-    """
-    slices = vectors.count() // slice_rows + 1
-    own = vectors.select(F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.lit(0).alias("kind"), "id", "embedding")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "embedding")
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-    def best(ids: np.ndarray, x: np.ndarray, asked_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        near = (x**2).sum(1) - 2 * q @ x.T  # squared distance but for the query's own square
-        keep = min(k, len(ids))
-        limit = np.partition(near, keep - 1, axis=1)[:, keep - 1] + 1e-6 * (1 + np.abs(near).max(1))
-        out = []
-        for i in range(len(q)):
-            at = np.flatnonzero(near[i] <= limit[i])
-            distance = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-            order = np.lexsort((ids[at], distance))[:keep]
-            out.append((np.full(len(order), asked_ids[i]), ids[at][order], distance[order]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "id", "distance"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, held = None, [], []
-        for batch in batches:
-            slice_of, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.append(True, (slice_of[1:] != slice_of[:-1]) | (kind[1:] != kind[:-1]))) if batch.num_rows else []
-            for a, b in zip(edges, [*edges[1:], batch.num_rows]):
-                if slice_of[a] != at:
-                    at, ids, held = slice_of[a], [], []
-                part_ids, part = batch.column(2).slice(a, b - a).to_numpy(), matrix(batch.column(3).slice(a, b - a))
-                if kind[a] == 0:
-                    ids.append(part_ids)
-                    held.append(part)
-                elif held:
-                    if len(held) > 1:
-                        ids, held = [np.concatenate(ids)], [np.concatenate(held)]
-                    for i in range(0, len(part), QUERY_BLOCK):
-                        yield best(ids[0], held[0], part_ids[i : i + QUERY_BLOCK], part[i : i + QUERY_BLOCK])
-
-    rows = own.union(asked).where("embedding is not null").repartition("slice").sortWithinPartitions("slice", "kind", "id")
-    out = rows.mapInArrow(run, "query_id long, id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def fuse(vector: DataFrame, lexical: DataFrame, threshold: float, gain: float = 0.03, boost: float = 0.05) -> DataFrame:
     """query_id, id, distance, origin of vector hits (query_id, id, distance, boosted) and strong
     lexical hits (query_id, id): what both found comes nearer by `gain`, vector hits with a
