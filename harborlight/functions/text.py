@@ -58,12 +58,18 @@ def clean_lines(text: Column) -> Column:
 
 
 def shingles(text: Column, width: int) -> Column:
-    """Distinct character n-grams; a shorter text is its only one; none without text."""
+    """Distinct character n-grams; a shorter text is its only one; none without text.
+
+    The text is split into characters once, as a lambda's argument, so a gram costs its own width
+    and not the way to its place.
+    """
     n = F.length(text)
-    grams = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.substring(text, i, F.lit(width)))
+    places = F.sequence(F.lit(1), n - width + 1)
+    grams = F.transform(F.array(F.split(text, "")), lambda c: F.transform(places, lambda i: F.array_join(F.slice(c, i, width), "")))[0]
     return F.when(n >= width, F.array_distinct(grams)).when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
+# fixed values: what the two normal forms keep
 def normal_key(text: Column) -> Column:
     """Letters and digits of the lower-cased text."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")

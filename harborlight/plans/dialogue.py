@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harborlight.functions import text as T
+from harborlight.operators import overlap as O
 from harborlight.plans.registry import query
 from harborlight.sources import readers
 from harborlight.sources.tables import table
@@ -180,23 +181,15 @@ _OVERLAP = f"""g AS (SELECT DISTINCT conv_id, turn, role, substr(text, i, {GRAM}
   o AS (SELECT DISTINCT a.conv_id, a.turn FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.gram = b.gram AND b.turn < a.turn)"""
 
 
-def grams(rows):
-    """conv_id, turn, gram: the replies' n-grams as 64-bit hashes, once a reply."""
-    width = F.transform(F.filter(T.shingles(F.col("text"), GRAM), lambda g: F.length(g) == GRAM), lambda g: F.xxhash64(g))
-    return rows.where("role = 'assistant'").select("conv_id", "turn", F.explode(width).alias("gram"))
+def overlaps(rows):
+    """conv_id, turn, overlap: the first longest piece of GRAM characters or more that one earlier
+    reply of the conversation has, too."""
+    return O.overlaps(rows.where("role = 'assistant'"), GRAM)
 
 
 def repeated(rows):
-    """Replies that share GRAM characters with an earlier reply of their conversation.
-
-    Hashes of n-grams meet in one shuffle, which gives every reply the first turn that has one of
-    its n-grams, too; the two texts then confirm it.
-    """
-    first = F.min("turn").over(Window.partitionBy("conv_id", "gram"))
-    hits = grams(rows).withColumn("first", first).where("first < turn").select("conv_id", "turn", "first").distinct()
-    texts = rows.where("role = 'assistant'").select("conv_id", "turn", "text")
-    both = hits.join(texts, ["conv_id", "turn"]).join(texts.withColumnsRenamed({"turn": "first", "text": "earlier"}), ["conv_id", "first"])
-    return both.where(F.exists(T.shingles(F.col("text"), GRAM), lambda g: F.col("earlier").contains(g))).select("conv_id", "turn").distinct()
+    """Replies that share GRAM characters with an earlier reply of their conversation."""
+    return overlaps(rows).select("conv_id", "turn")
 
 
 @query("JOIN10_verbatim_overlap", f"WITH {TURNS}, {_OVERLAP} SELECT * FROM o")
@@ -341,25 +334,6 @@ _PLACES = f"""pl AS (SELECT conv_id, turn, i, substr(text, i, {GRAM}) AS gram FR
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY size DESC, start) AS r FROM m) WHERE r = 1)"""
 
 
-def overlaps(rows):
-    """conv_id, turn, overlap: the first longest piece of GRAM characters or more that one earlier
-    reply of the conversation has, too.
-
-    Places of equal n-grams lie on a diagonal (the difference of their positions); neighbours on
-    one are one match. Of equal replies only the first is looked through.
-    """
-    replies = rows.where("role = 'assistant'").select("conv_id", "turn", "text")
-    places = F.transform(F.sequence(F.lit(1), F.length("text") - GRAM + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.substring("text", i, F.lit(GRAM))).alias("gram")))
-    own = replies.where(F.length("text") >= GRAM).select("conv_id", "turn", F.inline(places))
-    first = replies.groupBy("conv_id", F.xxhash64("text").alias("digest"), F.length("text").alias("n")).agg(F.min("turn").alias("turn")).select("conv_id", "turn")
-    earlier = own.join(first, ["conv_id", "turn"], "left_semi").select("conv_id", "gram", F.col("turn").alias("other"), F.col("i").alias("j"))
-    hits = own.join(earlier, ["conv_id", "gram"]).where("other < turn").withColumn("shift", F.expr("i - j"))
-    run = F.col("i") - F.row_number().over(Window.partitionBy("conv_id", "turn", "other", "shift").orderBy("i"))
-    found = hits.withColumn("run", run).groupBy("conv_id", "turn", "other", "shift", "run").agg(F.min("i").alias("start"), (F.count(F.lit(1)) + GRAM - 1).cast("int").alias("size"))
-    best = found.groupBy("conv_id", "turn").agg(F.max_by(F.struct("start", "size"), F.struct("size", (-F.col("start")).alias("first"))).alias("m"))
-    return replies.join(best, ["conv_id", "turn"]).select("conv_id", "turn", F.substring("text", F.col("m.start"), F.col("m.size")).alias("overlap"))
-
-
 @query("QC03_longest_overlap", f"WITH {TURNS}, {_PLACES} SELECT t.conv_id, t.turn, substr(text, start, size) AS overlap FROM best JOIN turns t ON t.conv_id = best.conv_id AND t.turn = best.turn")
 def qc03(spark, d):
     return overlaps(turns(spark, d))
@@ -418,7 +392,8 @@ def str03(spark, d):
 def qc07(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     said = F.coalesce(F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w), F.lit(""))
-    copied = F.exists(T.shingles(F.col("text"), 20), lambda g: (F.length(g) == 20) & F.col("said").contains(g))
+    twenty = lambda x: F.filter(T.shingles(x, 20), lambda g: F.length(g) == 20)
+    copied = F.arrays_overlap(twenty(F.col("text")), twenty(F.col("said")))
     tests = {
         "length": ~F.length("text").between(25, 600), "opening": F.col("text").rlike("^(The|Der|La|Le) "), "closed": F.col("text").rlike("(ant|ist)[.]"),
         "crisis": F.col("said").rlike("tion") & ~F.col("text").rlike("the|la"), "help_topic": F.col("said").rlike("qu") & ~F.col("text").rlike("qu"), "copy": copied,
