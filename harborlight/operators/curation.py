@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,15 @@ from harborlight.sources.batches import whole_groups
 from harborlight.sources.folders import written
 
 BANDS, ROWS, SEED = 32, 4, 42
+#: The permutations are h -> (a h + b) mod PRIME.
+PRIME = (1 << 61) - 1
+DRAW = np.random.default_rng(SEED).integers(1, PRIME, (2, BANDS * ROWS), dtype=np.uint64)
 #: Share of equal minima from which a pair of a band is decided exactly. At a Jaccard index of 0.8
-#: the share of 128 minima is below it once in a million pairs.
+#: the share of 128 minima is below it once in a million pairs. 0 decides every pair of a band.
 LIKELY = 0.63
-DRAW = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+#: Rows of a band that one task compares; larger bands are dealt to blocks, a task a pair of them.
+BLOCK = 1024
+U = np.uint64
 
 
 def gram_set(text: str, width: int) -> np.ndarray:
@@ -30,9 +36,40 @@ def gram_set(text: str, width: int) -> np.ndarray:
     return np.unique(value)
 
 
-def minima(grams: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of a set of hashes under random linear maps."""
-    return np.array([((x := grams * a + b) ^ (x >> np.uint64(29))).min() for a, b in zip(*DRAW)])
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a b mod PRIME for numbers below PRIME, in halves of 32 bits (2 ** 61 counts as 1)."""
+    low, half = U(0xFFFFFFFF), U(32)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    bottom = a0 * b0
+    total = (a1 * b1 << U(3)) + (middle >> U(29)) + ((middle & U((1 << 29) - 1)) << half) + (bottom & U(PRIME)) + (bottom >> U(61))
+    return folded(total)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def gram_numbers(text: str, width: int) -> np.ndarray:
+    """Distinct n-grams as numbers: code points as digits to base 2 ** 21, modulo PRIME."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    span = min(width, len(codes))
+    value = np.zeros(len(codes) - span + 1 if span else 0, np.uint64)
+    for k in range(span):
+        value = folded(times(value, U(1 << 21)) + codes[k : k + len(value)])
+    return np.unique(value)
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS * ROWS minima of each set of numbers under the permutations; every number of the sets
+    is permuted once."""
+    distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum([0, *(len(s) for s in sets)])[:-1]
+    out = np.empty((len(sets), BANDS * ROWS), U)
+    for k, (a, b) in enumerate(zip(*DRAW)):
+        out[:, k] = np.minimum.reduceat(folded(times(distinct, a) + b)[place], start)
+    return out
 
 
 def minhash(rows: DataFrame, width: int = 4) -> DataFrame:
@@ -40,11 +77,19 @@ def minhash(rows: DataFrame, width: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [gram_set(t, width) for t in batch.column(1).to_pylist()]
-            lists = [[s.view(np.int64) for s in sets], [minima(s).view(np.int64) for s in sets]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["id", "n", "grams", "signature"]
-            )
+            for at in range(0, batch.num_rows, 200):
+                piece = batch.slice(at, 200)
+                texts = piece.column(1).to_pylist()
+                sets = [gram_set(t, width) for t in texts]
+                found = minima([gram_numbers(t, width) for t in texts]).view(np.int64)
+                edge = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BANDS * ROWS)), pa.array(found.ravel())),
+                    ],
+                    ["id", "n", "grams", "signature"],
+                )
 
     return rows.where(F.length("text") > 0).select("id", "text").mapInArrow(run, "id long, n int, grams array<bigint>, signature array<bigint>")
 
@@ -55,8 +100,8 @@ def bands(signatures: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = [np.array(s, np.int64).astype(np.uint8).tobytes() for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.select(["id", "n", "keys"]).columns, pa.array(low, pa.binary())], ["id", "n", "keys", "low"])
+            low = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*batch.select(["id", "n", "keys"]).columns, pa.array([x.tobytes() for x in low], pa.binary())], ["id", "n", "keys", "low"])
 
     rows = signatures.select("id", "n", "signature", keys.alias("keys")).mapInArrow(run, "id long, n int, keys array<bigint>, low binary")
     return rows.select("id", "n", "low", F.explode("keys").alias("key"))
@@ -69,47 +114,77 @@ def band_candidates(signatures: DataFrame) -> DataFrame:
     return rows.join(first, "key").where("earlier < id").select("id", "earlier").distinct()
 
 
-def witnesses(banded: DataFrame, share: float, every: bool) -> DataFrame:
-    """Pairs i < j of a band whose sizes and minima make them likely: for each j and band the
-    likeliest i, or every one. Pairs are compared inside the band's task, as bytes."""
+def leaders(banded: DataFrame, share: float) -> DataFrame:
+    """Pairs i < j of each row and the first rows of its bands with sizes about its own."""
+    size = F.floor(F.log("n") / math.log(1 / share)).cast("int")
+    rows = banded.select("key", "id", size.alias("size"))
+    first = rows.groupBy("key", "size").agg(F.min("id").alias("i"))
+    near = rows.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    return near.join(first, ["key", "size"]).where("i < id").select("i", F.col("id").alias("j")).distinct()
+
+
+def witnesses(banded: DataFrame, share: float, every: bool, likely: float = LIKELY, block: int = BLOCK) -> DataFrame:
+    """Pairs i < j of a band whose sizes and minima make them likely: for each asking j and task the
+    likeliest i, or every one. banded: key, members, id, n, low, ask.
+
+    Rows of a task are in the order of their sizes, so each j meets a stretch of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in whole_groups(batches, 0):
-            key, ids, n, ask = (held.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4))
-            low = np.frombuffer(b"".join(held.column(3).to_pylist()), np.uint8).reshape(len(key), -1)
-            edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            part, ids, n, side, split, ask = (held.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 5))
+            low = np.frombuffer(b"".join(held.column(6).to_pylist()), np.uint8).reshape(len(part), -1)
+            edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            base = group * (int(n.max()) + 1)
             left, right = [], []
-            for a, b in zip(edge, edge[1:]):
-                for j in range(a + 1, b):
-                    if not ask[j]:
-                        continue
-                    i = a + np.flatnonzero(np.minimum(n[a:j], n[j]) >= share * np.maximum(n[a:j], n[j]))
-                    equal = (low[i] == low[j]).mean(1)
-                    at = np.flatnonzero(equal >= LIKELY)
-                    if len(at):
-                        at = at if every else at[[np.argmax(equal[at])]]
-                        left.append(ids[i[at]])
-                        right.append(np.full(len(at), ids[j]))
+            asking = np.flatnonzero(ask)
+            least = np.ceil(n[asking] * share - 1e-9).astype(np.int64)
+            most = np.minimum(np.floor(n[asking] / share + 1e-9).astype(np.int64), int(n.max()))
+            first = np.searchsorted(base + n, base[asking] + least, side="left")
+            last = np.searchsorted(base + n, base[asking] + most, side="right")
+            for at in range(0, len(asking), 256):  # pairs of 256 asking rows at once, in strips of a million bytes or so
+                j = np.repeat(asking[at : at + 256], (last - first)[at : at + 256])
+                i = np.arange(len(j)) - np.repeat(np.cumsum((last - first)[at : at + 256]) - (last - first)[at : at + 256] - first[at : at + 256], (last - first)[at : at + 256])
+                good = (ids[i] < ids[j]) & (~split[j] | (side[i] != side[j]))
+                i, j = i[good], j[good]
+                equal = np.concatenate([np.zeros(0), *((low[i[k : k + 8192]] == low[j[k : k + 8192]]).mean(1) for k in range(0, len(i), 8192))])
+                good = equal >= likely
+                i, j, equal = i[good], j[good], equal[good]
+                if not every and len(i):
+                    order = np.lexsort((-equal, j))
+                    i, j = i[order], j[order]
+                    once = np.append(True, j[1:] != j[:-1])
+                    i, j = i[once], j[once]
+                left.append(ids[i])
+                right.append(ids[j])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["i", "j"])
 
-    rows = banded.select("key", "id", "n", "low", "ask").repartition("key").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(run, "i long, j long").distinct()
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    rows = banded.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))
+    rows = rows.select(part.alias("part"), "id", "n", "side", (F.col("side") != F.col("other")).alias("split"), "ask", "low")
+    return rows.repartition("part").sortWithinPartitions("part", "n").mapInArrow(run, "i long, j long").distinct()
 
 
-def near_duplicates(rows: DataFrame, share: float = 0.8, width: int = 4) -> DataFrame:
+def near_duplicates(rows: DataFrame, share: float = 0.8, width: int = 4, likely: float = LIKELY, block: int = BLOCK) -> DataFrame:
     """Ids of the rows (id, text) that have an earlier one with a Jaccard of `share` or more.
 
-    A row goes even if the earlier one goes, too, so one earlier witness is enough: first each
-    row's likeliest of every band is decided exactly, then every other one of the rows that this
-    left open. Equal texts are one row here. With 32 bands of 4 rows a pair at 0.8 is missed once
-    in 20 million. Texts without n-grams stay.
+    A row goes even if the earlier one goes, too, so one earlier witness is enough. First each row
+    is decided exactly against the first rows of its bands; then those that this left open against
+    their likeliest witnesses; then what is open still against all others. Equal texts are one row
+    here. With 32 bands of 4 rows a pair at 0.8 is missed once in 20 million; `likely` leaves out
+    pairs whose minima differ too often (0: none). Texts without n-grams stay.
     """
     keyed = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     first = keyed.groupBy("digest").agg(F.min("id").alias("id"))
     copies = keyed.where(F.length("text") > 0).select("id", "digest").join(first.withColumnRenamed("id", "first"), "digest").where("id > first").select("id")
     sets = written(minhash(keyed.join(first, ["digest", "id"], "left_semi"), width), "minhash")
     banded = bands(sets)
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    banded = written(banded.join(shared, "key"), "bands")
 
     def decided(pairs: DataFrame) -> DataFrame:
         """The pairs with `near`: whether their sets are alike enough."""
@@ -117,10 +192,19 @@ def near_duplicates(rows: DataFrame, share: float = 0.8, width: int = 4) -> Data
         both = pairs.join(left, "i").join(right, "j").withColumn("both", F.size(F.array_intersect("x", "y")))
         return both.select("i", "j", F.expr(f"both >= {share}D * (size(x) + size(y) - both)").alias("near"))
 
-    likeliest = written(decided(witnesses(banded.withColumn("ask", F.lit(True)), share, every=False)), "witnesses")
-    by_row = likeliest.groupBy(F.col("j").alias("id")).agg(F.bool_or("near").alias("near"))
-    gone, left_open = by_row.where("near").select("id"), by_row.where("not near").select("id", F.lit(True).alias("ask"))
-    asked = banded.join(left_open, "id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    others = witnesses(asked, share, every=True).join(likeliest, ["i", "j"], "left_anti")
+    known, gone = None, None
+    for step in ("first", "likeliest", "all"):
+        if step == "first":
+            pairs = leaders(banded, share)
+        else:
+            # bands in which some row is open
+            open_ = banded.select("id").distinct().join(gone, "id", "left_anti").withColumn("ask", F.lit(True))
+            asked = banded.join(open_, "id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+            asked = asked.join(asked.where("ask").select("key").distinct(), "key", "left_semi")
+            pairs = witnesses(asked, share, step == "all", likely, block).join(known, ["i", "j"], "left_anti")
+        found = written(decided(pairs), "witnesses")
+        known = found.select("i", "j") if known is None else known.unionByName(found.select("i", "j"))
+        hit = found.where("near").select(F.col("j").alias("id")).distinct()
+        gone = hit if gone is None else gone.unionByName(hit)
     # the copies of a first text that goes are later copies themselves
-    return gone.unionByName(decided(others).where("near").select(F.col("j").alias("id"))).unionByName(copies).distinct()
+    return gone.unionByName(copies).distinct()

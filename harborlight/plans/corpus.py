@@ -58,13 +58,23 @@ def ded06(spark, d):
     return C.near_duplicates(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text")))
 
 
-@query("DED04_minhash_signature")
+def _minhash_sql() -> str:
+    """The signatures as rows id, k, v: n-grams as numbers, permuted in wide integers."""
+    draws = ", ".join(f"({k}, {a}::HUGEINT, {b}::HUGEINT)" for k, (a, b) in enumerate(zip(*C.DRAW.tolist())))
+    number = "list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(gram, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: h * 2097152 + c)"
+    return f"""{_SETS}, u AS (SELECT id, unnest(g) AS gram FROM s), h AS (SELECT gram, {number} % {C.PRIME} AS h FROM (SELECT DISTINCT gram FROM u)),
+  d AS (SELECT * FROM (VALUES {draws}) AS t(k, a, b)), p AS (SELECT gram, k, ((a * h + b) % {C.PRIME})::BIGINT AS v FROM h CROSS JOIN d),
+  m AS (SELECT id, k, min(v) AS v FROM u JOIN p USING (gram) GROUP BY id, k)"""
+
+
+@query("DED04_minhash_signature", f"WITH {_minhash_sql()} SELECT id, any_value(len(g)) AS n, list(v ORDER BY k) AS signature FROM m JOIN s USING (id) GROUP BY id")
 def ded04(spark, d):
     """id, n, signature (128 minima) of every text with n-grams."""
-    return C.minhash(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text")))
+    return C.minhash(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))).select("id", F.col("n").cast("long").alias("n"), "signature")
 
 
-@query("DED05_band_candidates")
+@query("DED05_band_candidates", f"""WITH {_minhash_sql()}, b AS (SELECT id, k // {C.ROWS} AS band, list(v ORDER BY k) AS key FROM m GROUP BY ALL),
+  f AS (SELECT id, min(id) OVER (PARTITION BY band, key) AS earlier FROM b) SELECT DISTINCT id, earlier FROM f WHERE earlier < id""")
 def ded05(spark, d):
     """id, earlier: for every band of a text the first text that has the band, too, if earlier."""
     return C.band_candidates(C.minhash(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))))

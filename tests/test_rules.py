@@ -129,14 +129,12 @@ def test_minhash_and_bands(spark):
     for i, t in enumerate(texts):
         grams = {t[k : k + 4] for k in range(max(1, len(t) - 3))}
         assert got[i].n == len(grams) == len(got[i].grams)
-        want = [min((g * a + b & M) ^ ((g * a + b & M) >> 29) for g in (x % (1 << 64) for x in got[i].grams)) for a, b in zip(*(d.tolist() for d in curation.DRAW))]
-        assert [x % (1 << 64) for x in got[i].signature] == want
+        numbers = [sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g)) for g in grams]
+        want = [min((a * h + b) % (2**61 - 1) for h in numbers) for a, b in zip(*(d.tolist() for d in curation.DRAW))]
+        assert got[i].signature == want
     assert [tuple(r) for r in curation.band_candidates(rows).collect()] == [(1, 0)]
 
 
-M = (1 << 64) - 1
-
-
 def test_near_duplicates_of_large_families(spark):
     rnd = random.Random(6)
     words = [f"{rnd.choice('bcdfg')}{rnd.choice('aeiou')}{rnd.choice('lmnrst')}{i % 10}" for i in range(300)]
@@ -151,6 +149,32 @@ def test_near_duplicates_of_large_families(spark):
     assert got == {j for j in range(80) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(j))}
 
 
+@pytest.mark.parametrize("likely,block", [(curation.LIKELY, 1024), (0.0, 16), (curation.LIKELY, 8)])
+def test_near_duplicates_in_split_bands(spark, likely, block):
+    """One band that all rows share, in blocks; families at the limit, far rows, and short texts."""
+    rnd = random.Random(11)
+    texts = []
+    for f in range(6):
+        base = [rnd.choice("abcdefgh") for _ in range(120)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                own[rnd.randrange(120)] = rnd.choice("xyz")
+            texts.append("".join(own))
+    texts += ["ab", "ab", "abc", ""]
+    rnd.shuffle(texts)
+    got = {r.id for r in curation.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), likely=likely, block=block).collect()}
+    sets = [{t[i : i + 4] for i in range(max(1, len(t) - 3))} if t else set() for t in texts]
+    assert got == {j for j in range(len(texts)) if sets[j] and any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(j))}
+
+
+def test_split_bands_propose_what_whole_bands_do(spark):
+    rows = curation.minhash(spark.createDataFrame([(i, "common words " * 3 + f"row {i % 7} {'x' * (i % 5)}") for i in range(60)], "id long, text string"))
+    banded = curation.bands(rows).withColumn("members", F.lit(60)).withColumn("ask", F.col("id") % 2 == 0)
+    whole, split = (sorted(map(tuple, curation.witnesses(banded, 0.8, True, 0.5, block).collect())) for block in (1000, 7))
+    assert whole and whole == split and all(i < j and j % 2 == 0 for i, j in whole)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     base = "the quick brown fox jumps over the lazy dog and runs into the deep dark forest"
     texts = [base, base + "!", base.replace("quick", "slow"), "something else entirely, not alike at all", base, "", None, "ab", "ab"]
