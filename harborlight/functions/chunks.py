@@ -1,70 +1,81 @@
-"""Structural chunks of texts as column expressions: a string of blocks with marks between them.
-
-Blocks between blank lines are joined into one string. A mark says what stands between two of
-them: PIECE where a new piece begins (the piece before has LEAST_PIECE characters or more),
-TITLE and BODY around a section's title. Splitting at the marks gives the pieces; pieces of more
-than MOST characters get more PIECE marks between their sentences in the same way. Texts lose the
-three mark characters first. Each function takes and gives columns; the SQL below gives the same
-rows in DuckDB.
+"""Structural chunks of texts: blocks between blank lines, joined to pieces and cut to a size.
+
+A section begins at a title line. Its blocks are joined to pieces: a piece takes the next block
+while it has under LEAST_PIECE characters. Pieces of more than MOST characters are cut between
+sentences in the same way, a longer sentence hard. Every step depends on the length of what is held
+so far, so a text is one pass that holds a list, and costs its length; built-in folds would copy
+what they hold at every step. The SQL below gives the same rows in DuckDB.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-PIECE, TITLE, BODY = "\x01", "\x02", "\x03"
-# fixed values: lengths in characters
+# fixed values: lengths in characters, ends of sentences, and what a title line looks like
 LEAST_BLOCK, LEAST_PIECE, MOST, TITLE_MOST = 10, 40, 400, 40
 SENTENCE = ".!?;。！？；"
-HEADER = "^#{1,6}[ \\t]+"
-
-
-def after_last(text: Column, *marks: str) -> Column:
-    for mark in marks:
-        text = F.substring_index(text, mark, -1)
-    return text
-
+HEADER = re.compile("#{1,6}[ \\t]+")
+GAP = re.compile("\\n[ \\t\\r\\f\\n]*\\n")
+BLANKS = " \t\r\f\n"
+#: Characters that texts lose first; the SQL uses them as marks.
+MARKS = str.maketrans("", "", "\x01\x02\x03")
 
-def marked_blocks(text: Column) -> Column:
-    """The text's blocks in one string with marks between them."""
-    clean = F.translate(F.coalesce(text, F.lit("")), PIECE + TITLE + BODY, "")
-    blocks = F.transform(F.split(clean, "\\n[ \\t\\r\\f\\n]*\\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\n")))
-    head = lambda x: x.rlike(HEADER)
-    kept = F.filter(blocks, lambda x: head(x) | (F.length(x) >= LEAST_BLOCK))
-    shown = F.transform(kept, lambda x: F.when(head(x), F.concat(F.lit(TITLE), F.btrim(F.regexp_replace(x, HEADER, ""), F.lit(" \t\r\f\n")), F.lit(BODY))).otherwise(x))
 
-    def link(held: Column, block: Column) -> Column:
-        last = after_last(held, BODY, PIECE)
-        between = F.when(block.startswith(TITLE) | (last == ""), "").when(F.length(last) >= LEAST_PIECE, PIECE).otherwise("\n")
-        return F.concat(held, between, block)
-
-    return F.aggregate(shown, F.lit(BODY), link)
-
-
-def split_long(piece: Column) -> Column:
+def parts_of(piece: str) -> list[str]:
     """Parts of at most MOST characters, cut behind sentences; a longer sentence is cut hard."""
-    sentences = F.filter(F.split(piece, f"(?<=[{SENTENCE}])"), lambda x: x != "")
+    if len(piece) <= MOST:
+        return [piece]
+    out = [""]
+    for sentence in filter(None, re.split(f"(?<=[{SENTENCE}])", piece)):
+        if out[-1] and len(out[-1]) + len(sentence) > MOST:
+            out.append("")
+        out[-1] += sentence[:MOST]
+        out += [sentence[i : i + MOST] for i in range(MOST, len(sentence), MOST)]
+    return out
+
+
+def pieces_of(text: str) -> list[tuple[str, str]]:
+    """(title of the section, piece) in order."""
+    out, title, held, size = [], "", [], 0
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            out.append((title, "\n".join(held)))
+        held, size = [], 0
+
+    for block in GAP.split(text.translate(MARKS)):
+        block = block.strip(BLANKS)
+        if head := HEADER.match(block):
+            flush()
+            title = block[head.end() :].strip(BLANKS)
+        elif len(block) >= LEAST_BLOCK:
+            if size >= LEAST_PIECE:
+                flush()
+            size += len(block) + (1 if held else 0)
+            held.append(block)
+    flush()
+    return out
+
+
+def chunks_of(text: str | None) -> list[str]:
+    found = (f"[{title[:TITLE_MOST]}] {part}" if title else part for title, piece in pieces_of(text or "") for part in parts_of(piece))
+    return [c for c in found if len(c) >= LEAST_BLOCK]
 
-    def link(held: Column, sentence: Column) -> Column:
-        last = after_last(held, PIECE)
-        between = F.when((last != "") & (F.length(last) + F.length(sentence) > MOST), PIECE).otherwise("")
-        steps = F.sequence(F.lit(0), ((F.length(sentence) - 1) / MOST).cast("int"))
-        return F.concat(held, between, F.array_join(F.transform(steps, lambda i: F.substring(sentence, i * MOST + 1, F.lit(MOST))), PIECE))
 
-    return F.when(F.length(piece) <= MOST, F.array(piece)).otherwise(F.split(F.aggregate(sentences, F.lit(""), link), PIECE))
+def split_long(piece: Column) -> Column:
+    """array of the parts of a text (null: one empty part)."""
+    return F.pandas_udf(lambda t: pd.Series([parts_of((x or "").translate(MARKS)) for x in t], dtype=object), ArrayType(StringType()))(piece)
 
 
 def chunks(text: Column) -> Column:
     """array of chunks: parts of pieces behind their section's title in brackets; short ones go."""
-
-    def section(x: Column) -> Column:
-        title, body = F.substring_index(x, BODY, 1), F.substring_index(x, BODY, -1)
-        front = F.when(title != "", F.concat(F.lit("["), F.substring(title, 1, TITLE_MOST), F.lit("] "))).otherwise("")
-        parts = F.flatten(F.transform(F.filter(F.split(body, PIECE), lambda p: p != ""), split_long))
-        return F.transform(parts, lambda p: F.concat(front, p))
-
-    return F.filter(F.flatten(F.transform(F.split(marked_blocks(text), TITLE), section)), lambda c: F.length(c) >= LEAST_BLOCK)
+    return F.pandas_udf(lambda t: pd.Series([chunks_of(x) for x in t], dtype=object), ArrayType(StringType()))(text)
 
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"

@@ -114,13 +114,22 @@ def band_candidates(signatures: DataFrame) -> DataFrame:
     return rows.join(first, "key").where("earlier < id").select("id", "earlier").distinct()
 
 
-def leaders(banded: DataFrame, share: float) -> DataFrame:
-    """Pairs i < j of each row and the first rows of its bands with sizes about its own."""
+def leaders(banded: DataFrame, share: float, likely: float = LIKELY) -> DataFrame:
+    """Pairs i < j of each row and the first rows of its bands with sizes about its own, where the
+    minima make them likely."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield batch.select(["i", "j"]).filter(pa.array((low == other).mean(1) >= likely if batch.num_rows else [], pa.bool_()))
+
     size = F.floor(F.log("n") / math.log(1 / share)).cast("int")
-    rows = banded.select("key", "id", size.alias("size"))
-    first = rows.groupBy("key", "size").agg(F.min("id").alias("i"))
+    rows = banded.select("key", "id", "n", "low", size.alias("size"))
+    first = rows.groupBy("key", "size").agg(F.min(F.struct("id", "n", "low")).alias("first"))
     near = rows.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    return near.join(first, ["key", "size"]).where("i < id").select("i", F.col("id").alias("j")).distinct()
+    pairs = near.join(first, ["key", "size"]).where("first.id < id")
+    pairs = pairs.where(F.least("n", "first.n") >= share * F.greatest("n", "first.n") - 1e-9)
+    return pairs.select(F.col("first.id").alias("i"), F.col("id").alias("j"), F.col("first.low").alias("other"), "low").mapInArrow(run, "i long, j long").distinct()
 
 
 def witnesses(banded: DataFrame, share: float, every: bool, likely: float = LIKELY, block: int = BLOCK) -> DataFrame:
@@ -181,21 +190,26 @@ def near_duplicates(rows: DataFrame, share: float = 0.8, width: int = 4, likely:
     keyed = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     first = keyed.groupBy("digest").agg(F.min("id").alias("id"))
     copies = keyed.where(F.length("text") > 0).select("id", "digest").join(first.withColumnRenamed("id", "first"), "digest").where("id > first").select("id")
-    sets = written(minhash(keyed.join(first, ["digest", "id"], "left_semi"), width), "minhash")
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = keyed.join(first, ["digest", "id"], "left_semi").select("id", "text").repartition(tasks, "id")  # a number, or small inputs become one task
+    sets = written(minhash(texts, width), "minhash")
     banded = bands(sets)
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     banded = written(banded.join(shared, "key"), "bands")
 
     def decided(pairs: DataFrame) -> DataFrame:
         """The pairs with `near`: whether their sets are alike enough."""
-        left, right = sets.select(F.col("id").alias("i"), F.col("grams").alias("x")), sets.select(F.col("id").alias("j"), F.col("grams").alias("y"))
+        pairs = written(pairs, "pairs")
+        # the sets of asked rows alone reach the joins
+        left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(g)).join(pairs.select(c).distinct(), c, "left_semi") for c, g in (("i", "x"), ("j", "y")))
         both = pairs.join(left, "i").join(right, "j").withColumn("both", F.size(F.array_intersect("x", "y")))
         return both.select("i", "j", F.expr(f"both >= {share}D * (size(x) + size(y) - both)").alias("near"))
 
     known, gone = None, None
     for step in ("first", "likeliest", "all"):
         if step == "first":
-            pairs = leaders(banded, share)
+            pairs = leaders(banded, share, likely)
         else:
             # bands in which some row is open
             open_ = banded.select("id").distinct().join(gone, "id", "left_anti").withColumn("ask", F.lit(True))

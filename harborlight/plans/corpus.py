@@ -226,7 +226,7 @@ def transitions(old, new):
 
 @query("RET02_long_splitter", f"SELECT doc_id, len(parts) AS n, list_transform(parts, lambda p: length(p)) AS sizes FROM (SELECT doc_id, {K.split_long_sql('x')} AS parts FROM (SELECT doc_id, coalesce(translate(text, chr(1) || chr(2) || chr(3), ''), '') AS x FROM documents))")
 def ret02(spark, d):
-    parts = K.split_long(F.translate("text", "\x01\x02\x03", ""))
+    parts = K.split_long(F.col("text"))
     return docs(spark, d).select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").cast("long").alias("n"), F.transform("parts", lambda p: F.length(p).cast("long")).alias("sizes"))
 
 

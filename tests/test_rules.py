@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import duckdb
@@ -62,6 +63,15 @@ def test_chunks(spark):
     assert [w[0] for w in want] == [got.get(i, []) for i, _ in rows]
 
 
+def test_chunks_of_long_texts_cost_their_length():
+    """10 MB of short blocks and 10 MB without a blank line are both a pass."""
+    block, began = "a line of some length. ", time.time()
+    many = chunks.chunks_of("# T\n\n" + (block + "\n\n") * 400_000)
+    one = chunks.chunks_of(block * 400_000 + "x" * 1_000_100)
+    assert len(many) == 200_000 and all(len(c) <= 404 for c in many) and "".join(one) == block * 400_000 + "x" * 1_000_100
+    assert time.time() - began < 30
+
+
 def test_corpus_folder(spark, tmp_path):
     (tmp_path / "a.txt").write_text("source: x\n" + "first part that is long enough to be a chunk of its own\n\n" + "second part that is long enough to be another chunk\n")
     (tmp_path / "b.md").write_text("## 来源：y\n# T\n\nthe only part of this file")
