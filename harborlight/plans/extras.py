@@ -12,6 +12,7 @@ from harborlight.plans import screening  # noqa: F401  (the report is made of on
 from harborlight.plans.registry import ORACLES, QUERIES, query
 from harborlight.sources import readers, sinks
 from harborlight.sources.folders import work_path
+from harborlight.sources.store import Store
 from harborlight.sources.tables import RANK, RECORDS, SESSIONS, records, sessions, table
 from harborlight.streaming.topics import run_once
 
@@ -101,8 +102,22 @@ def snk07(spark, d):
 
 @query("SNK05_upsert", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 4 <> 1 UNION ALL SELECT c_custkey, c_acctbal + 1 FROM customer WHERE c_custkey % 4 = 1")
 def snk05(spark, d):
-    old = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    return sinks.upsert(old, old.where("c_custkey % 4 = 1").withColumn("c_acctbal", F.col("c_acctbal") + 1), "c_custkey")
+    """An index table of which a quarter is put in again by id, read back."""
+    store = stored(spark, "upsert", customers=(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey"))
+    change = store.change()
+    change.upsert("customers", store.read("customers").where("c_custkey % 4 = 1").withColumn("c_acctbal", F.col("c_acctbal") + 1))
+    change.commit()
+    return store.read("customers")
+
+
+def stored(spark, name, **tables):
+    """A store in the shared folder with tables of (rows, key columns), published at once."""
+    store = Store(spark, work_path(spark, name))
+    change = store.change()
+    for table_name, (rows, *key) in tables.items():
+        change.create(table_name, rows, *key)
+    change.commit()
+    return store
 
 
 @query("SNK08_instruction_export", f"WITH {RECORDS} SELECT session_id, string_agg(scale_id || ': ' || total || ' (' || severity || ')', '; ' ORDER BY record_no, scale_id, total) AS instruction FROM records GROUP BY session_id")
@@ -114,16 +129,31 @@ def snk08(spark, d):
 
 @query("DML01_insert", f"WITH {SESSIONS} SELECT session_id, account_id FROM sessions UNION ALL SELECT session_id + 10000000, account_id FROM sessions WHERE session_id % 100 = 0")
 def dml01(spark, d):
+    """New sessions and a line of the audit table for each are inserted together."""
     rows = sessions(spark, d).select("session_id", "account_id")
-    return rows.unionByName(rows.where("session_id % 100 = 0").withColumn("session_id", F.col("session_id") + 10000000))
+    audit = rows.select("session_id", F.lit("created").alias("action"))
+    store = stored(spark, "insert", sessions=(rows, "session_id"), audit=(audit, "session_id"))
+    new, change = rows.where("session_id % 100 = 0").withColumn("session_id", F.col("session_id") + 10000000), store.change()
+    change.upsert("sessions", new)
+    change.upsert("audit", new.select("session_id", F.lit("created").alias("action")))
+    change.commit()
+    return store.read("sessions").join(store.read("audit").where("action = 'created'"), "session_id").select("session_id", "account_id")
 
 
 @query("DML02_submit", f"""WITH {RECORDS}, {SESSIONS}, n AS (SELECT session_id, count(*) AS records FROM records GROUP BY session_id)
   SELECT s.session_id, coalesce(n.records, 0) AS records, CASE WHEN n.records > 0 THEN 'completed' ELSE 'pending' END AS status FROM sessions s LEFT JOIN n ON n.session_id = s.session_id""")
 def dml02(spark, d):
-    n = records(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("records"))
-    rows = sessions(spark, d).join(n, "session_id", "left")
-    return rows.select("session_id", F.coalesce("records", F.lit(0)).alias("records"), F.when(F.col("records") > 0, "completed").otherwise("pending").alias("status"))
+    """The records of a submission and the status of its sessions change in one commit."""
+    found, open_ = records(spark, d), sessions(spark, d).select("session_id", F.lit("pending").alias("status"))
+    key = ("session_id", "record_no")
+    store = stored(spark, "submit", sessions=(open_, "session_id"), records=(found.limit(0), *key))
+    change = store.change()
+    change.upsert("records", found)
+    done = found.select("session_id").distinct()
+    change.upsert("sessions", change.read("sessions").join(done, "session_id", "left_semi").withColumn("status", F.lit("completed")))
+    change.commit()
+    n = store.read("records").groupBy("session_id").agg(F.count(F.lit(1)).alias("records"))
+    return store.read("sessions").join(n, "session_id", "left").select("session_id", F.coalesce("records", F.lit(0)).alias("records"), "status")
 
 
 @query("JOIN07_run_alignment", "SELECT c.conv_id, c.turn, c.role AS old_role, n.role AS new_role FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id + 1 AND n.turn = c.turn")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from harborlight.operators import scoring as S
 from harborlight.plans.registry import query
-from harborlight.sources.folders import written
+from harborlight.sources.folders import work_path, written
+from harborlight.sources.store import Store
 from harborlight.sources.tables import RANK, RECORDS, SCALES, SESSIONS, STUDENTS, answers, answers_sql, records, sessions, students, table
 
 
@@ -369,27 +370,53 @@ def flt14(spark, d):
 @query("DML03_change_batch", f"""WITH {STUDENTS}, b AS (SELECT DISTINCT batch_id, 'batch ' || batch_id AS name, CASE WHEN batch_id % 2 = 0 THEN 'closed' ELSE 'active' END AS status FROM students)
   SELECT batch_id, CASE WHEN batch_id = 1 THEN 'renamed' ELSE name END AS name, CASE WHEN batch_id = 3 THEN 'closed' WHEN batch_id = 2 THEN 'active' ELSE status END AS status FROM b""")
 def dml03(spark, d):
-    """Close, reopen and rename by a table of changes, null where a column stays."""
+    """Close, reopen and rename in a stored table: a commit each, read back."""
     rows = students(spark, d).select("batch_id").distinct()
     rows = rows.select("batch_id", F.concat(F.lit("batch "), F.col("batch_id").cast("string")).alias("name"), F.expr("if(batch_id % 2 = 0, 'closed', 'active')").alias("status"))
-    changes = spark.createDataFrame([(3, None, "closed"), (2, None, "active"), (1, "renamed", None)], "batch_id long, new_name string, new_status string")
-    out = rows.join(F.broadcast(changes), "batch_id", "left")
-    return out.select("batch_id", F.coalesce("new_name", "name").alias("name"), F.coalesce("new_status", "status").alias("status"))
+    store = Store(spark, work_path(spark, "batches"))
+    change = store.change()
+    change.create("batches", rows, "batch_id")
+    change.commit()
+    for batch, column, value in ((3, "status", "closed"), (2, "status", "active"), (1, "name", "renamed")):
+        change = store.change()
+        change.update("batches", F.col("batch_id") == batch, **{column: F.lit(value)})
+        change.commit()
+    return store.read("batches")
 
 
 @query("DML04_delete_batch", f"WITH {STUDENTS}, {SESSIONS} SELECT session_id, account_id, s.batch_id FROM sessions LEFT JOIN (SELECT * FROM students WHERE batch_id <> 1) s ON s.student_no = account_id")
 def dml04(spark, d):
-    gone = students(spark, d).where("batch_id = 1").select("batch_id").distinct()
-    left = students(spark, d).join(gone, "batch_id", "left_anti")
-    rows = sessions(spark, d)
-    return rows.join(left, rows.account_id == left.student_no, "left").select("session_id", "account_id", "batch_id")
+    """A batch is deleted: its entries go, the sessions made through it stay without a batch."""
+    entries = students(spark, d).select("student_no", "batch_id")
+    rows = sessions(spark, d).join(entries, F.col("account_id") == F.col("student_no"), "left").select("session_id", "account_id", "batch_id")
+    store = Store(spark, work_path(spark, "cascade"))
+    change = store.change()
+    change.create("entries", entries, "student_no")
+    change.create("sessions", rows, "session_id")
+    change.commit()
+    change = store.change()
+    change.delete("entries", F.col("batch_id") == 1)
+    change.update("sessions", F.col("batch_id") == 1, batch_id=F.lit(None))
+    change.commit()
+    left = store.read("entries").select(F.col("student_no").alias("account_id"), F.lit(True).alias("entered"))
+    # what a session names exists
+    return store.read("sessions").join(left, "account_id", "left").select("session_id", "account_id", F.when(F.col("entered"), F.col("batch_id")).alias("batch_id"))
 
 
 @query("DML05_delete_history", "SELECT (SELECT count(*) FROM conversations WHERE conv_id % 4 = 0) AS deleted, (SELECT count(*) FROM conversations WHERE conv_id % 4 <> 0) AS kept")
 def dml05(spark, d):
-    return table(spark, d, "conversations").agg(F.count_if(F.expr("conv_id % 4 = 0")).alias("deleted"), F.count_if(F.expr("conv_id % 4 <> 0")).alias("kept"))
-
-
+    """A quarter of the conversations is deleted; how many turns went, and how many are left."""
+    store = Store(spark, work_path(spark, "history"))
+    change = store.change()
+    change.create("turns", table(spark, d, "conversations"), "conv_id", "turn")
+    change.commit()
+    change = store.change()
+    deleted = change.delete("turns", F.col("conv_id") % 4 == 0)
+    change.commit()
+    return store.read("turns").agg(F.lit(deleted).cast("long").alias("deleted"), F.count(F.lit(1)).alias("kept"))
+
+
+# fixed value: the letters and digits that codes are made of
 _CODE = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 
 
