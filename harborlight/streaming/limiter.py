@@ -1,48 +1,66 @@
 """Sliding-window rate limiter that records admitted requests only.
 
-Because a rejected request leaves no trace, a window count over all requests gives another
-answer; the batch form walks each key's requests in time order, and the streaming form keeps the
-same list of admitted times as state.
+Because a rejected request leaves no trace, a window count over all requests gives another answer:
+a request is admitted unless the `limit`-th last admitted one of its key is still in the window. The
+batch form walks each key's requests in time order, from one admitted request to the next.
+
+`timed_stream` decides in event time, so that it gives the batch form's answer whatever the order in which
+micro-batches bring the requests: a request waits in the state until a timer at its time fires,
+which is when the watermark has passed it. Keys are dealt to shards; a shard's state holds the
+waiting requests (a list) and the admitted times of its keys (a map). Once it has more than `most`
+keys, those whose window is over are purged. `admitted_stream` decides at once instead, for input
+that is in order.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def decide(times: list[int], held: list[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
-    """Decisions for ascending times and the admitted times that are still in the window."""
-    out = []
-    for t in times:
-        held = [x for x in held if t - x <= window]
-        out.append(len(held) < limit)
-        if out[-1]:
-            held.append(t)
-    return out, held
+    """Decisions for ascending times, and the last admitted times, `limit` at most.
+
+    From one admitted request to the next is one search, however many are rejected between them.
+    """
+    out, held, i = [False] * len(times), list(held), 0
+    while i < len(times):
+        if len(held) >= limit and times[i] - held[-limit] <= window:
+            i = bisect_right(times, held[-limit] + window, i)
+            continue
+        out[i] = True
+        held.append(times[i])
+        i += 1
+    return out, held[-limit:]
 
 
 def decisions(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """key, t (microseconds), event_id, admitted of the requests with a key.
 
-    Each task walks its sorted rows and holds the admitted times of the key it is at, `limit` at
-    most, however many requests a key has.
+    Each task walks its sorted rows and holds the last admitted times of the key it is at, `limit`
+    at most, however many requests a key has.
     """
     window = seconds * 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            out = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys = batch.column(0).dictionary_encode()
+            code, times, out = keys.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy().tolist(), []
+            edge = [*np.flatnonzero(np.append(True, code[1:] != code[:-1])).tolist(), len(code)] if len(code) else []
+            for a, b in zip(edge, edge[1:]):
+                key = keys.dictionary[int(code[a])].as_py()
                 if key != at:
                     at, held = key, []
-                done, held = decide([t], held, limit, window)
+                done, held = decide(times[a:b], held, limit, window)
                 out += done
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], ["key", "t", "event_id", "admitted"])
 
@@ -65,6 +83,75 @@ def last_admitted(requests: DataFrame, limit: int, seconds: int, most: int) -> D
     return rows.where((F.col("keys") <= most) | (F.col("now") - F.col("last") <= seconds * 1_000_000)).select("key", F.timestamp_micros("last").cast("timestamp_ntz").alias("last"))
 
 
+class Limiter(StatefulProcessor):
+    """Of a shard: `waiting` requests, and `held`, the last admitted times by key."""
+
+    def __init__(self, limit: int, seconds: int, most: int):
+        self.limit, self.window, self.most = limit, seconds * 1_000_000, most
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "key string, t long, event_id long")
+        self.held = handle.getMapState("held", "key string", "times array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            if len(part):
+                self.waiting.appendList(list(zip(part["key"].tolist(), part["t"].tolist(), part["event_id"].tolist())))
+                for at in {int(t) // 1000 + 1 for t in part["t"]}:  # timers have milliseconds
+                    self.handle.registerTimer(at)
+        yield pd.DataFrame({"event_id": [], "admitted": [], "keys": []}).astype({"event_id": "int64", "admitted": "bool", "keys": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        rows = sorted(((r[1], r[2], r[0]) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] < now]
+        if due:
+            left = [(k, t, i) for t, i, k in rows if t >= now]
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+        by_key: dict[str, list[tuple[int, int]]] = {}
+        for t, i, k in due:
+            by_key.setdefault(k, []).append((t, i))
+        ids, out = [], []
+        for k, own in by_key.items():
+            before = list(self.held.getValue((k,))[0]) if self.held.containsKey((k,)) else []
+            done, held = decide([t for t, _ in own], before, self.limit, self.window)
+            self.held.updateValue((k,), (held,))
+            ids += [i for _, i in own]
+            out += done
+        n = self.purge(now) if due else 0
+        yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "admitted": pd.Series(out, dtype="bool"), "keys": pd.Series([n] * len(ids), dtype="int64")})
+
+    def purge(self, now: int) -> int:
+        """The number of keys with state, after a purge if there are over `most`."""
+        last = {k[0]: v[0][-1] for k, v in self.held.iterator()}
+        if len(last) > self.most:
+            for k, t in list(last.items()):
+                if now - 1000 - t > self.window:
+                    self.held.removeKey((k,))
+                    del last[k]
+        return len(last)
+
+    def close(self) -> None:
+        pass
+
+
+def timed_stream(requests: DataFrame, limit: int, seconds: int, lateness: str = "10 minutes", shards: int = 64, most: int = 10_000) -> DataFrame:
+    """event_id, admitted, keys (with state in the shard, then) of a stream of (key, ts, event_id).
+
+    A request is decided once the watermark, `lateness` behind the latest, has passed it; one that
+    comes later than that is dropped, as by any operator of the stream. `most` keys a shard may
+    stay idle. Rows without a key are exempt; add them to what this returns, they need no state.
+    """
+    rows = requests.where("key is not null").withWatermark("ts", lateness)
+    rows = rows.select("ts", F.col("key").cast("string").alias("key"), F.unix_micros("ts").alias("t"), F.col("event_id").cast("long").alias("event_id"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    return rows.groupBy("shard").transformWithStateInPandas(Limiter(limit, seconds, most), "event_id long, admitted boolean, keys long", "append", "EventTime")
+
+
 def admitted_stream(requests: DataFrame, limit: int, seconds: int, forget: bool = True) -> DataFrame:
     """The same for a stream of (key, ts, event_id).
 
