@@ -3,6 +3,9 @@ condition has held.
 
 An event at ts counts at every evaluation time t with t - window < ts <= t; times are multiples of
 the step, as numbers of steps since 1970. Windows are multiples of the step.
+
+Events are counted once, by the pane (the step) that they fall in; only panes, a row a step and key,
+are spread over the evaluation times whose window holds them.
 """
 
 from __future__ import annotations
@@ -12,11 +15,12 @@ from pyspark.sql import functions as F
 
 
 def evaluations(events: DataFrame, window: int, step: int, *keys: str, **values: Column) -> DataFrame:
-    """keys, k (evaluation time in steps) and the aggregates `values`; times without events have no
-    row. window and step in seconds."""
+    """keys, k (evaluation time in steps) and the aggregates `values`, counts or sums; times without
+    events have no row. window and step in seconds."""
     first = F.ceil(F.unix_micros("ts") / (step * 1_000_000))
-    rows = events.withColumn("k", F.explode(F.sequence(first, first + window // step - 1)))
-    return rows.groupBy(*keys, "k").agg(*[v.alias(n) for n, v in values.items()])
+    panes = events.withColumn("pane", first).groupBy(*keys, "pane").agg(*[v.alias(n) for n, v in values.items()])
+    spread = panes.withColumn("k", F.explode(F.sequence("pane", F.col("pane") + (window // step - 1))))
+    return spread.groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in values])
 
 
 def gap_filled(evaluated: DataFrame, value: str) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harborlight.operators import alerts as A
+from harborlight.operators.order_statistics import nth_values
 from harborlight.plans.registry import query
 from harborlight.sources.tables import table
 from harborlight.streaming.limiter import admitted, last_admitted
+from harborlight.streaming.log import weekly_report
 
 BUCKETS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 
@@ -45,18 +47,12 @@ def flt07(spark, d):
 
 
 @query("AGG10_weekly_topics", """SELECT strftime(ts, '%G-W%V') AS week, event_type AS topic, count(*) AS n, count(*) >= 300 AS flagged,
-  list_sort(list_distinct(list(user_id % 7))) AS modes, list_sort(list_distinct(list(round(value, 0)::INTEGER)))[:5] AS firsts,
+  list_sort(list_distinct(list(user_id % 7))) AS modes, list(round(value, 2) ORDER BY ts, event_id)[:5] AS firsts,
   list_sort(list_transform(map_entries(histogram(user_id % 7)), lambda e: e.key || ':' || e.value)) AS frequencies FROM events GROUP BY ALL""")
 def agg10(spark, d):
-    week = F.concat(F.extract(F.lit("YEAROFWEEK"), "ts").cast("string"), F.lit("-W"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
-    # counted by mode first, so that a topic's frequencies are a row a mode
-    rows = events(spark, d).groupBy(week.alias("week"), F.col("event_type").alias("topic"), F.expr("user_id % 7").alias("mode"))
-    rows = rows.agg(F.count(F.lit(1)).alias("k"), F.collect_set(F.round("value", 0).cast("int")).alias("values")).groupBy("week", "topic")
-    line = F.transform(F.collect_list(F.struct("mode", "k")), lambda x: F.concat_ws(":", x["mode"].cast("string"), x["k"].cast("string")))
-    return rows.agg(
-        F.sum("k").alias("n"), (F.sum("k") >= 300).alias("flagged"), F.sort_array(F.collect_list("mode")).alias("modes"),
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("values")))), 1, 5).alias("firsts"), F.sort_array(line).alias("frequencies"),
-    )
+    """A week's topics with their count, modes and how often each is, and the first five distances in
+    the order of their events."""
+    return weekly_report(events(spark, d).select("ts", "event_id", F.col("event_type").alias("topic"), F.expr("user_id % 7").alias("mode"), F.round("value", 2).alias("distance")), 300)
 
 
 @query("AGG12_action_items", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 5")
@@ -64,24 +60,11 @@ def agg12(spark, d):
     return events(spark, d).groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
 
 
-def ranked(spark, d):
-    """event_type, value, upto and c: how many events have up to this value, and this one. Equal
-    values are counted before the window, which sees each once."""
-    counts = events(spark, d).groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("event_type")
-    return counts.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
-
-
-def ranks(place: str):
-    """The value whose events take the places that include `place` (from 1, an SQL expression of n)."""
-    return F.max(F.expr(f"case when upto - c < {place} and {place} <= upto then value end"))
-
-
 @query("AGG22a_percentiles", """SELECT event_type, round(median(value), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""")
 def agg22a(spark, d):
     # the value at (n - 1) q, between its two neighbours; q as twentieths keeps the place exact
-    at = {n: (f"({q} * (n - 1) div 20 + 1)", f"least(n, {q} * (n - 1) div 20 + 2)", f"({q} * (n - 1) % 20) / 20") for n, q in (("p50", 10), ("p95", 19))}
-    rows = ranked(spark, d).groupBy("event_type").agg(F.max("n").alias("n"), *[ranks(p).alias(f"{n}_{k}") for n, places in at.items() for k, p in zip(("lo", "hi"), places)])
+    at = {n: (f"{q} * (n - 1) div 20 + 1", f"least(n, {q} * (n - 1) div 20 + 2)", f"({q} * (n - 1) % 20) / 20") for n, q in (("p50", 10), ("p95", 19))}
+    rows = nth_values(events(spark, d), "event_type", "value", {f"{n}_{k}": p for n, places in at.items() for k, p in zip(("lo", "hi"), places)})
     return rows.select("event_type", *[F.round(F.expr(f"{n}_lo + ({n}_hi - {n}_lo) * {places[2]}"), 6).alias(n) for n, places in at.items()])
 
 
@@ -90,13 +73,13 @@ _RANKED = "r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event
 
 @query("AGG22b_nearest_rank", f"WITH {_RANKED} SELECT event_type, max(value) FILTER (k = n // 2 + 1) AS p50, max(value) FILTER (k = floor(0.95::DOUBLE * n) + 1) AS p95 FROM r GROUP BY event_type")
 def agg22b(spark, d):
-    return ranked(spark, d).groupBy("event_type").agg(ranks("(n div 2 + 1)").alias("p50"), ranks("(floor(0.95D * n) + 1)").alias("p95"))
+    return nth_values(events(spark, d), "event_type", "value", {"p50": "n div 2 + 1", "p95": "floor(0.95D * n) + 1"}).drop("n")
 
 
 @query("AGG22c_exclusive_quantile", f"""WITH {_RANKED}, q AS (SELECT event_type, any_value(n) AS n, max(value) FILTER (k = 19 * (n + 1) // 20) AS lo, max(value) FILTER (k = 19 * (n + 1) // 20 + 1) AS hi FROM r GROUP BY event_type)
   SELECT event_type, round(lo + (hi - lo) * (19 * (n + 1) % 20) / 20, 6) AS p95 FROM q""")
 def agg22c(spark, d):
-    rows = ranked(spark, d).groupBy("event_type").agg(F.max("n").alias("n"), ranks("(19 * (n + 1) div 20)").alias("lo"), ranks("(19 * (n + 1) div 20 + 1)").alias("hi"))
+    rows = nth_values(events(spark, d), "event_type", "value", {"lo": "19 * (n + 1) div 20", "hi": "19 * (n + 1) div 20 + 1"})
     return rows.select("event_type", F.round(F.expr("lo + (hi - lo) * (19 * (n + 1) % 20) / 20"), 6).alias("p95"))
 
 
@@ -151,6 +134,28 @@ def met03(spark, d):
     return histogram_quantiles(events(spark, d), (0.95,), "event_type").select("event_type", F.col("value").alias("p95"))
 
 
+def _row_quantile(q: float) -> str:
+    """A quantile of the cumulative counts b0, b1 ... n of one row, for both SQL dialects."""
+    cases, low, below = [], "cast(0 AS double)", "0"
+    for i, edge in enumerate(BUCKETS):
+        cases.append(f"WHEN b{i} >= cast({q} AS double) * n THEN {low} + (cast({edge} AS double) - {low}) * (cast({q} AS double) * n - {below}) / (b{i} - {below})")
+        low, below = f"cast({edge} AS double)", f"b{i}"
+    return f"CASE {' '.join(cases)} ELSE {low} END"
+
+
+#: Window, limit and hold of the latency rule; an hour here is 30 s of the service.
+SLOW = (10 * 3600, 30.0, 10 * 3600)
+_SLOW_VALUES = ", ".join(f"count(*) FILTER (value <= {b}) AS b{i}" for i, b in enumerate(BUCKETS)) + ", count(*) AS n"
+
+
+@query("MET03b_latency_alert", A.held_sql(f"(SELECT k FROM ({A.evaluations_sql(SLOW[0], 3600, _SLOW_VALUES)}) WHERE {_row_quantile(0.95)} > {SLOW[1]})", 3600, SLOW[2]))
+def met03b(spark, d):
+    """Stretches in which the 95th percentile of a sliding histogram stays above the limit."""
+    counts = {f"b{i}": F.count_if(F.col("value") <= b) for i, b in enumerate(BUCKETS)}
+    rows = A.evaluations(events(spark, d), SLOW[0], 3600, **counts, n=F.count(F.lit(1)))
+    return A.held(rows.where(F.expr(_row_quantile(0.95)) > SLOW[1]), 3600, SLOW[2])
+
+
 @query("MET09_role_quantiles", f"SELECT key AS role, q, value FROM {_quantiles_sql('user_id % 3', (0.5, 0.95))}")
 def met09(spark, d):
     """p50 and p95 of the latency by role."""
@@ -197,9 +202,15 @@ def met05b(spark, d):
     return events(spark, d).groupBy(F.window("ts", "1 day")["start"].cast("timestamp_ntz").alias("start")).agg(F.round(F.avg((F.col("value") >= 1).cast("int")), 6).alias("ratio"))
 
 
-@query("MET06_crisis_increase", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events WHERE event_type = 'error' AND value > 40 GROUP BY 1")
+_CRISIS = "event_type = 'error' AND value > 40"
+
+
+@query("MET06_crisis_increase", f"SELECT make_timestamp(k * {HOUR} * 1000000) AS fires, n FROM ({A.evaluations_sql(10 * HOUR, HOUR, 'count(*) AS n', where=_CRISIS)}) WHERE n > 0")
 def met06(spark, d):
-    return events(spark, d).where("event_type = 'error' and value > 40").groupBy(F.window("ts", "1 hour")["start"].cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    """Evaluation times at which the window of ten steps (five minutes of the service) has seen an
+    increase; the rule has no hold."""
+    rows = A.evaluations(events(spark, d).where(_CRISIS), 10 * HOUR, HOUR, n=F.count(F.lit(1))).where("n > 0")
+    return rows.select(F.timestamp_seconds(F.col("k") * HOUR).cast("timestamp_ntz").alias("fires"), "n")
 
 
 _TURNS = A.evaluations_sql(2 * HOUR, HOUR, "count(*) FILTER (event_type = 'purchase' AND value > 45) AS n")
@@ -233,10 +244,23 @@ def met01(spark, d):
     return out.where("span >= 21600000000").select("user_id", "start", "samples")
 
 
-@query("AB01_assignment", "SELECT user_id, CASE WHEN ('0x' || right(md5(user_id::VARCHAR), 1))::INTEGER % 2 = 0 THEN 'treatment' ELSE 'control' END AS variant FROM (SELECT DISTINCT user_id FROM events)")
+_AB_ID = "CASE WHEN user_id % 11 = 0 THEN '' WHEN user_id % 13 = 0 THEN NULL ELSE user_id::VARCHAR END"
+
+
+@query("AB01_assignment", f"""WITH u AS (SELECT DISTINCT user_id, {_AB_ID} AS id FROM events), e AS (SELECT unnest(['on', 'off']) AS experiment)
+  SELECT experiment, user_id, CASE WHEN experiment = 'off' OR coalesce(id, '') = '' THEN 'control' WHEN ('0x' || right(md5(id), 1))::INTEGER % 2 = 0 THEN 'treatment' ELSE 'control' END AS variant FROM u CROSS JOIN e""")
 def ab01(spark, d):
-    even = F.conv(F.right(F.md5(F.col("user_id").cast("string")), F.lit(1)), 16, 10).cast("int") % 2 == 0
-    return events(spark, d).select("user_id").distinct().select("user_id", F.when(even, "treatment").otherwise("control").alias("variant"))
+    """Variants of two experiments, of which one is switched off; some users have no id."""
+    rows = events(spark, d).select("user_id").distinct()
+    rows = rows.withColumn("id", F.expr("case when user_id % 11 = 0 then '' when user_id % 13 = 0 then null else cast(user_id as string) end"))
+    each = F.explode(F.create_map(F.lit("on"), F.lit(True), F.lit("off"), F.lit(False))).alias("experiment", "enabled")
+    return rows.select("user_id", "id", each).select("experiment", "user_id", variant(F.col("id"), F.col("enabled")).alias("variant"))
+
+
+def variant(id, enabled):
+    """The parity of the id's hash; control without an id and where the experiment is off."""
+    even = F.conv(F.right(F.md5(id), F.lit(1)), 16, 10).cast("int") % 2 == 0
+    return F.when(enabled & (F.coalesce(id, F.lit("")) != "") & even, "treatment").otherwise("control")
 
 
 @query("AB02_feedback", """WITH f AS (SELECT CASE WHEN ('0x' || right(md5(user_id::VARCHAR), 1))::INTEGER % 2 = 0 THEN 'treatment' ELSE 'control' END AS variant, (event_id % 5 + 1) AS score FROM events WHERE event_type = 'click')

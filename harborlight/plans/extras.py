@@ -14,6 +14,7 @@ from harborlight.sources import readers, sinks
 from harborlight.sources.folders import work_path
 from harborlight.sources.store import Store
 from harborlight.sources.tables import RANK, RECORDS, SESSIONS, records, sessions, table
+from harborlight.streaming.log import LogReport
 from harborlight.streaming.topics import run_once
 
 
@@ -24,8 +25,11 @@ def src01(spark, d):
 
 @query("SRC02_roster", "SELECT c_custkey::VARCHAR AS student_no, c_name AS student_name, nullif(trim(CASE WHEN c_custkey % 9 = 0 THEN '  ' ELSE c_mktsegment END), '') AS grade, NULL::VARCHAR AS klass FROM customer")
 def src02(spark, d):
+    """A roster file with a byte order mark and odd headers, written and read through the CSV reader."""
     raw = table(spark, d, "customer").selectExpr("concat(' ', c_custkey, ' ') as `﻿学号`", "concat(c_name, '\\t') as `姓名`", "case when c_custkey % 9 = 0 then '  ' else c_mktsegment end as `Grade`")
-    return readers.roster(raw)
+    out = work_path(spark, "roster")
+    raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out)
+    return readers.roster_csv(spark, out)
 
 
 @query("SRC10_fenced_json", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
@@ -320,3 +324,36 @@ def str06(spark, d):
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("topic"))
     return run_once(spark, rows).withColumn("week", F.col("week").cast("timestamp_ntz"))
+
+
+#: Lines of the log: broken ones, lines without a time, and two files, of which the second one has old lines.
+_LOG = """l AS (SELECT *, event_id % 97 = 0 AS broken, event_id % 89 = 0 AS untimed, event_id % 3 = 0 AS second FROM events),
+  g AS (SELECT * FROM l WHERE NOT broken AND NOT untimed), f AS (SELECT max(ts) AS latest FROM g WHERE NOT second),
+  k AS (SELECT g.*, second AND ts <= latest - INTERVAL 14 DAY AS late FROM g, f)"""
+_LOG_REPORT = """SELECT strftime(ts, '%G-W%V') AS week, event_type AS topic, count(*) AS n, count(*) >= 200 AS flagged, list_sort(list_distinct(list(user_id % 7))) AS modes,
+  list(round(value, 2) ORDER BY ts, event_id)[:5] AS firsts, list_sort(list_transform(map_entries(histogram(user_id % 7)), lambda e: e.key || ':' || e.value)) AS frequencies FROM k WHERE NOT late GROUP BY ALL"""
+
+
+def logged(spark, d):
+    """The events as two files of JSON lines, streamed into a weekly report one after the other."""
+    out, rows = work_path(spark, "log"), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    time = F.when(F.col("event_id") % 89 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    line = F.when(F.col("event_id") % 97 == 0, F.expr("left(line, 20)")).otherwise(F.col("line"))
+    rows = rows.withColumn("line", F.to_json(F.struct(time.alias("ts"), "event_id", F.col("event_type").alias("topic"), F.expr("user_id % 7").alias("mode"), F.round("value", 2).alias("distance"))))
+    report = LogReport(spark, f"{out}/report")
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0"):
+        rows.where(part).select(line.alias("value")).write.mode("append").text(f"{out}/lines")
+        report.absorb(spark.readStream.text(f"{out}/lines"))
+    return report
+
+
+@query("STR06b_log_report", f"WITH {_LOG} {_LOG_REPORT}")
+def str06b(spark, d):
+    """The weekly report of a log that grew between two runs; late lines are left out."""
+    return logged(spark, d).rows(200)
+
+
+@query("SRC04b_log_lines", f"WITH {_LOG} SELECT (SELECT count(*) FROM l) AS lines, (SELECT count(*) FROM l WHERE broken OR untimed) AS bad, (SELECT count(*) FROM k WHERE late) AS late")
+def src04b(spark, d):
+    """How many lines the log has, and how many of them are bad or late."""
+    return logged(spark, d).totals()
