@@ -79,7 +79,7 @@ def encode(data: bytes) -> bytes:
     return head + media + box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
 
-def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
     """(path of box types, start of body, end of body) of every box, depth first."""
     todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
     while todo:
@@ -102,7 +102,7 @@ def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
             if len(path) >= DEEPEST:
                 raise ValueError("boxes are nested too deep")
             todo.append((body, stop, (*path, kind)))
-        yield (*path, kind), body, stop
+        yield (*path, kind), start, body, stop
 
 
 @dataclass(frozen=True)
@@ -137,16 +137,17 @@ def tracks(raw: bytes) -> list[Track]:
     fragments: list[dict] = []
     moof = 0
     try:
-        for path, at, end in walk(data):
+        for path, start, at, end in walk(data):
             if path == (b"moov", b"trak"):
                 found.append({})
             elif path[:2] == (b"moov", b"trak") and found:
-                found[-1].setdefault(path[-1], (at, end))
+                if path[-1] != b"hdlr" or path[-2] == b"mdia":  # a handler of data comes in minf, too
+                    found[-1].setdefault(path[-1], (at, end))
             elif path == (b"moov", b"mvex", b"trex"):
                 track_id, *rest = struct.unpack_from(">5I", data, at + 4)
                 defaults[track_id] = tuple(rest[1:])  # duration, size, flags
             elif path == (b"moof",):
-                moof = at - 8
+                moof = start
             elif path == (b"moof", b"traf"):
                 fragments.append({"moof": moof, "runs": []})
             elif path == (b"moof", b"traf", b"tfhd"):
@@ -155,19 +156,46 @@ def tracks(raw: bytes) -> list[Track]:
                 fragments[-1]["runs"].append((at, end))
         if not found:
             raise ValueError("no track")
-        return [track(data, boxes, fragments, defaults) for boxes in found]
+        return [track(data, boxes, parsed(data, fragments, defaults)) for boxes in found]
     except (struct.error, KeyError, IndexError, OverflowError) as e:
         raise ValueError(f"not an ISO media file: {e}") from e
 
 
-def track(data: memoryview, boxes: dict[bytes, tuple[int, int]], fragments: list[dict] = (), defaults: dict[int, tuple[int, ...]] | None = None) -> Track:
+def parsed(data: memoryview, fragments: list[dict], defaults: dict[int, tuple[int, ...]]) -> list[tuple]:
+    """(track id, offsets, sizes, ticks, keyframes) of each track fragment.
+
+    Offsets count from where the fragment says, or from its moof, or, behind another track's fragment in
+    the same moof, from the end of that one's data.
+    """
+    out, moof, end = [], None, 0
+    for f in fragments:
+        if f["moof"] != moof:
+            moof = end = f["moof"]
+        head = f["head"][0]
+        flags, number = struct.unpack_from(">II", data, head)
+        base = moof if flags & 0x20000 else end
+        offsets, sizes, spans, sync, end = fragment(data, f, base, defaults.get(number, (0, 0, 0)))
+        out.append((number, offsets, sizes, spans, sync))
+    return out
+
+
+def dimensions(data: memoryview, boxes: dict[bytes, tuple[int, int]], entry: int) -> tuple[int, int]:
+    """Of a video track (or one without a handler) its sample entry's; of any other the track header's."""
+    if b"hdlr" not in boxes or bytes(data[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12]) == b"vide":
+        return struct.unpack_from(">HH", data, entry + 32)
+    at, end = boxes[b"tkhd"]
+    spot = at + (88 if data[at] == 1 else 76)
+    return tuple(x >> 16 for x in struct.unpack_from(">II", data, spot)) if spot + 8 <= end else (0, 0)
+
+
+def track(data: memoryview, boxes: dict[bytes, tuple[int, int]], fragments: list[tuple] = ()) -> Track:
     at, _ = boxes[b"mdhd"]
     rate, ticks = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
     at, end = boxes[b"stsd"]
     if at + 44 > end:
         raise ValueError("no sample entry")
     codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
-    width, height = struct.unpack_from(">HH", data, at + 40)
+    width, height = dimensions(data, boxes, at + 8)
     at, end = boxes[b"stsz"]
     fixed, n = struct.unpack_from(">II", data, at + 4)
     if fixed and n * fixed > len(data):
@@ -192,9 +220,8 @@ def track(data: memoryview, boxes: dict[bytes, tuple[int, int]], fragments: list
     length = sum(a * b for a, b in times)
     at, _ = boxes[b"tkhd"]
     (track_id,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
-    for f in fragments:
-        if struct.unpack_from(">I", data, f["head"][0] + 4)[0] == track_id:
-            more_at, more, spans, sync = fragment(data, f, (defaults or {}).get(track_id, (0, 0, 0)))
+    for number, more_at, more, spans, sync in fragments:
+        if number == track_id:
             keys = np.append(keys, len(sizes) + np.flatnonzero(sync))
             offsets, sizes, length = np.append(offsets, more_at), np.append(sizes, more), length + sum(spans)
     if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
@@ -202,11 +229,12 @@ def track(data: memoryview, boxes: dict[bytes, tuple[int, int]], fragments: list
     return Track(codec, (length or ticks) / rate if rate else 0.0, width, height, offsets, sizes, keys)
 
 
-def fragment(data: memoryview, traf: dict, default: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
-    """offset, size, ticks and whether it is a keyframe, of the samples of one track fragment."""
+def fragment(data: memoryview, traf: dict, base: int, default: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray, int]:
+    """offset, size, ticks and whether it is a keyframe, of the samples of one track fragment, and
+    where its data ends."""
     at, _ = traf["head"]
     flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
-    spot, base, own = at + 8, traf["moof"], list(default)
+    spot, own = at + 8, list(default)
     if flags & 1:
         (base,), spot = struct.unpack_from(">Q", data, spot), spot + 8
     spot += 4 if flags & 2 else 0
@@ -236,7 +264,7 @@ def fragment(data: memoryview, traf: dict, default: tuple[int, ...]) -> tuple[np
         sync.append(columns[2] & 0x10000 == 0)
         where = int(ends[-1]) if n else where
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *offsets]), np.concatenate([none, *sizes]), spans, np.concatenate([np.zeros(0, bool), *sync])
+    return np.concatenate([none, *offsets]), np.concatenate([none, *sizes]), spans, np.concatenate([np.zeros(0, bool), *sync]), where
 
 
 def payload(raw: bytes, t: Track) -> bytes:

@@ -104,3 +104,40 @@ def test_hostile_rows_and_clashing_columns(spark):
     assert len(probed) == len(rows) and probed[0].error is None and all(r.error and r.tracks is None for i, r in probed.items() if i)
     back = {r.doc_id: r for r in M.read_back(table).collect()}
     assert back[0].codec == "raw " and all(r.payload_bytes is None for i, r in back.items() if i)
+
+
+def handled(number, codec, handler, entry, width, height, sizes, chunks):
+    """A track with a handler, a track header with dimensions, and a given sample entry."""
+    n = len(sizes)
+    tables = [M.full(b"stsd", u4(1), entry), M.full(b"stts", u4(1), u4(n, 100)), M.full(b"stsc", u4(1), u4(1, n, 1)), M.full(b"stsz", u4(0, n), u4(*sizes)), M.full(b"stco", u4(1), u4(*chunks))]
+    data_handler = M.full(b"hdlr", u4(0), b"url ", bytes(13))
+    mdia = M.box(b"mdia", M.full(b"mdhd", u4(0, 0, 44100, 7, 0)), M.full(b"hdlr", u4(0), handler, bytes(13)), M.box(b"minf", data_handler, M.box(b"stbl", *tables)))
+    return M.box(b"trak", M.full(b"tkhd", u4(0, 0, number, 0, 0), bytes(52), u4(width << 16, height << 16)), mdia)
+
+
+def test_dimensions_are_of_pictures():
+    sound = M.box(b"mp4a", bytes(6), struct.pack(">H", 1), bytes(8), struct.pack(">HHHH", 2, 16, 0, 0), u4(44100 << 16))
+    video = M.box(b"avc1", bytes(6), struct.pack(">H", 1), bytes(16), struct.pack(">HH", 640, 360), bytes(50))
+    head, media = M.box(b"ftyp", b"isom", u4(0)), M.box(b"mdat", DATA)
+    at = len(head) + 8
+    raw = head + media + M.box(b"moov", handled(1, b"mp4a", b"soun", sound, 0, 0, [9], [at]), handled(2, b"avc1", b"vide", video, 320, 180, [9], [at]), handled(3, b"text", b"text", sound, 200, 40, [9], [at]))
+    assert [(t.codec, t.width, t.height) for t in M.tracks(raw)] == [("mp4a", 0, 0), ("avc1", 640, 360), ("mp4a", 200, 40)]
+
+
+def test_long_moof_and_fragments_of_two_tracks():
+    """A moof with a 64-bit size; the second track's data follows the first one's where nothing else is said."""
+    moov = M.box(b"moov", trak(1, b"avc1", 10, [], [], [], []), trak(2, b"mp4a", 10, [], [], [], []), M.box(b"mvex", M.full(b"trex", u4(1, 1, 5, 7, 0)), M.full(b"trex", u4(2, 1, 5, 3, 0))))
+    head = M.box(b"ftyp", b"isom", u4(0)) + moov
+
+    def moof(first):
+        one = M.box(b"traf", M.full(b"tfhd", u4(1)), M.full(b"trun", u4(2, first), flags=1))
+        two = M.box(b"traf", M.full(b"tfhd", u4(2)), M.full(b"trun", u4(4)))
+        body = M.full(b"mfhd", u4(1)) + one + two
+        return struct.pack(">I4sQ", 1, b"moof", 16 + len(body)) + body
+
+    size = len(moof(0))
+    raw = head + moof(size + 8) + M.box(b"mdat", DATA)
+    video, sound = M.tracks(raw)
+    at = len(head) + size + 8
+    assert video.offsets.tolist() == [at, at + 7] and M.payload(raw, video) == DATA[:14]
+    assert sound.offsets.tolist() == [at + 14, at + 17, at + 20, at + 23] and M.payload(raw, sound) == DATA[14:26]
