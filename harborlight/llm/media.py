@@ -80,7 +80,7 @@ def encode(data: bytes) -> bytes:
 
 
 def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
-    """(path of box types, start of body, end of body) of every box, depth first."""
+    """(path of box types, start, start of body, end) of every box, depth first."""
     todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
     while todo:
         start, end, path = todo.pop()
