@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id; of rows repeated with both, one."""
     prepare(spark)
-    found = written(exact_dedup.exact_dedup(docs), "dedup")
+    found = written(exact_dedup.exact_dedup(docs, in_files=True), "dedup")  # a stage's input is a table
     # a doc_id may be null or shared by several texts, which all stay
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias("key")
     keyed = docs.withColumn("text_sha256", F.sha2(whole_text(), 256)).select(*COLUMNS, key)
