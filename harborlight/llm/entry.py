@@ -28,4 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard": jaccard_join.SQL, "op9_licences": licences.sql(), "op12_ranked_search": ranked_search.SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard": jaccard_join.SQL, "op7_repeats": repeats.SQL,
+        "op9_licences": licences.sql(), "op12_ranked_search": ranked_search.SQL,
+    }

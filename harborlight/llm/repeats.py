@@ -329,3 +329,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+#: For unique doc_ids: every window's first place by its digest, and the bytes outside all later ones.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+b AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS new FROM m),
+n AS (SELECT doc_id, i, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY doc_id, span),
+e AS (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d),
+k AS (SELECT doc_id, a, b, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e),
+t AS (SELECT k.doc_id, string_agg(substring(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY a, b NULLS LAST) AS kept, sum(coalesce(b - a, 0))::BIGINT AS n_removed, count(b) AS n_spans FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT t.doc_id, length(h) // 2 AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t JOIN d ON d.doc_id = t.doc_id
+"""
