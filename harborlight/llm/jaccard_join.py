@@ -48,8 +48,9 @@ HEAVY, HEAVY_ROWS = 1 << 16, 4
 BITS = (64, 2048, 1 << 16)
 #: Members of a tile or cluster beyond which it is dealt in blocks.
 BLOCK = 1024
-#: Shingles of one bucket of postings, about.
-BUCKET = 1 << 22
+#: Shingles of one bucket of postings, about, and rows of a shingle beyond which its postings are not
+#: gathered: each becomes a row of the shingle's tile where it is.
+BUCKET, HOT = 1 << 22, 1 << 20
 
 
 def need(a, b, percent: int = PERCENT):
@@ -151,12 +152,14 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key decimal(38,0), node decimal(38,0), n int, bitmap binary, heavy array<struct<token: long, rows: int>>")
 
 
-def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """(shingle, node, n) of every prefix, packed by slice and bucket of the shingle.
 
     Of a shingle's hash 32 bits are kept beside its bucket: two that share them share a tile, which
-    costs a comparison and changes no result.
+    costs a comparison and changes no result. Postings of hot shingles are dealt to as many further
+    buckets by their node.
     """
+    hot = np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,6 +178,9 @@ def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, bucke
                     continue
                 token, row = np.concatenate(tokens), np.concatenate(rows)
                 bucket = (mix(token) % U64(buckets)).astype(np.int64)
+                if len(hot):
+                    far = np.isin(token, hot)
+                    bucket[far] = buckets + (nodes[row[far], 0] % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 token, row, bucket = token[order], row[order], bucket[order]
                 start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -188,16 +194,30 @@ def postings(docs: DataFrame, heavy: np.ndarray, width: int, percent: int, bucke
     return docs.select("text").mapInArrow(run, "bucket int, tokens binary, nodes binary, sizes binary")
 
 
-def tiles(packed: DataFrame, percent: int) -> DataFrame:
+def tiles(packed: DataFrame, percent: int, buckets: int, hot: dict[int, int]) -> DataFrame:
     """tile, members, node, n of every tile with two sets whose sizes fit.
 
-    tile is a hash of the members, so that tiles with the same members are one.
+    tile is a hash of the members, so that tiles with the same members are one. hot: about how many
+    rows each hot shingle has, by the 32 bits of its postings; its tile is named by these.
     """
+    hot_tokens = np.array(sorted(hot), np.uint32)
+    hot_rows = np.array([hot[t] for t in sorted(hot)], np.int32)
+
+    def apart(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = hot_rows[np.searchsorted(hot_tokens, token)]
+        tile = mix(token.astype(U64) + U64(0xA24BAED4963EE407))
+        for i in range(0, len(token), 1 << 17):
+            part = slice(i, i + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(tile[part].view(np.int64)), pa.array(rows[part]), numbers(node[part]), pa.array(n[part])], ["tile", "members", "node", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in whole_groups(batches, 0):
             token, node, n = (np.frombuffer(b"".join(held.column(k).to_pylist()), t) for k, t in ((1, "<u4"), (2, "<u8"), (3, "<i4")))
             node = node.reshape(-1, 2)
+            if len(hot_tokens):
+                far = np.repeat(held.column(0).to_numpy() >= buckets, [len(x) // 4 for x in held.column(1).to_pylist()])
+                yield from apart(token[far], node[far], n[far])
+                token, node, n = token[~far], node[~far], n[~far]
             order = np.lexsort((node[:, 1], node[:, 0], n, token))
             token, node, n = token[order], node[order], n[order]
             new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]).any(1))
@@ -339,17 +359,20 @@ def with_members(clusters: DataFrame) -> DataFrame:
     return rows.select("node", F.col("component").alias("cluster"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
 
 
-def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), node, key, leads of every
     document. leads: whether it stays for its group, as the first by doc_id (null last) and key."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), row_key().alias("key"))
     signed = written(signatures(docs, width), "signatures")
     often = signed.select(F.inline("heavy")).groupBy("token").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(HEAVY)
-    heavy = np.array([r["token"] for r in often.collect()], np.int64).view(U64)  # at most HEAVY numbers
+    often = [(r["token"], r["rows"]) for r in often.collect()]  # at most HEAVY pairs of numbers
+    heavy = np.array([t for t, _ in often], np.int64).view(U64)
+    hottest = {int(t) & 0xFFFFFFFF: min(n, 2**31 - 1) for t, n in often if n > hot}
+    far = np.array([t for t, n in often if n > hot], np.int64).view(U64)
     total = signed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # one number
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)
-    tile = written(tiles(postings(docs, heavy, width, percent, buckets), percent), "tiles")
+    tile = written(tiles(postings(docs, heavy, width, percent, buckets, far), percent, buckets, hottest), "tiles")
     nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("bitmap").alias("bitmap")), "nodes")
     rows = signed.select("doc_id", "key", "n", "node")
     near = written(forest(dealt(tile.join(nodes.select("node", F.col("bitmap").alias("content")), "node"), "tile", "node", BLOCK), percent, exact=False), "candidates")

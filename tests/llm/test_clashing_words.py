@@ -46,3 +46,20 @@ def test_equal_sets_share_a_node_and_others_do_not():
     ids = jaccard_join.node_ids(first, second, np.array([0, 3, 6, 9, 9]))
     assert (ids[0] == ids[1]).all() and (ids[0] != ids[2]).all() and not ids[3].any()
     assert jaccard_join.numbers(ids).to_pylist()[3] == 0 and all(0 <= x < 1 << 126 for x in jaccard_join.numbers(ids).to_pylist())
+
+
+@pytest.mark.parametrize("hot", [jaccard_join.HOT, 3])
+def test_hot_shingles_are_not_gathered(spark, hot):
+    """A passage that most documents share is most of their short texts: its shingles are in prefixes."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join(passage[: rnd.choice((12, 20, 30))] + [f"own{i % 40}x{k}" for k in range(rnd.randrange(9))])) for i in range(400)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(table(spark, rows), hot=hot).collect()}
+    sets = [{tuple(t.split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)} for _, t in rows]
+    label = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert got == {i: (len(sets[i]), label[i]) for i in range(400)} and len(set(label)) > 3
