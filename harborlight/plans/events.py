@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from harborlight.operators import alerts as A
 from harborlight.operators.order_statistics import nth_values
 from harborlight.plans.registry import query
+from harborlight.sources.folders import work_path
 from harborlight.sources.tables import table
-from harborlight.streaming.limiter import admitted, last_admitted
+from harborlight.streaming.limiter import admitted, decided_stream, last_admitted
 from harborlight.streaming.log import weekly_report
 
 BUCKETS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
@@ -289,6 +290,20 @@ def str01(spark, d):
     return admitted(events(spark, d).select(F.col("user_id").alias("key"), "ts", "event_id"), limit=2, seconds=6 * 3600)
 
 
+@query("STR01b_limiter_stream", f"{_ADMITTED} SELECT event_id, admitted FROM s")
+def str01b(spark, d):
+    """The limiter as a stream: the events arrive as files in any order, and a last one, a year on,
+    moves the watermark past them all."""
+    out = work_path(spark, "limiter")
+    rows = events(spark, d).select(F.col("user_id").cast("string").alias("key"), "ts", "event_id")
+    rows.write.parquet(f"{out}/in")
+    feed = lambda: spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+    how = {"limit": 2, "seconds": 6 * 3600, "lateness": "400 days", "shards": int(spark.conf.get("spark.sql.shuffle.partitions")), "tick": 24 * 3600}
+    decided_stream(spark, feed(), out, **how)
+    rows.agg(F.max("ts").alias("ts")).where("ts is not null").select(F.lit("end").alias("key"), F.expr("ts + interval 1000 days").alias("ts"), F.lit(-1).cast("long").alias("event_id")).write.mode("append").parquet(f"{out}/in")
+    return decided_stream(spark, feed(), out, **how).where("event_id >= 0")
+
+
 @query("STR02_state_cleanup", f"""{_ADMITTED}, l AS (SELECT r.user_id AS key, max(t) AS last FROM s JOIN r ON r.event_id = s.event_id WHERE admitted GROUP BY 1)
   SELECT key, make_timestamp(last) AS last FROM l WHERE (SELECT count(*) FROM l) <= 50 OR (SELECT max(epoch_us(ts)) FROM events) - last <= 21600000000""")
 def str02(spark, d):

@@ -5,8 +5,8 @@ a request is admitted unless the `limit`-th last admitted one of its key is stil
 batch form walks each key's requests in time order, from one admitted request to the next.
 
 `timed_stream` decides in event time, so that it gives the batch form's answer whatever the order in which
-micro-batches bring the requests: a request waits in the state until a timer at its time fires,
-which is when the watermark has passed it. Keys are dealt to shards; a shard's state holds the
+micro-batches bring the requests: a request waits in the state until the watermark has passed it,
+which a timer tells, one for every `tick` of a shard that has requests. Keys are dealt to shards; a shard's state holds the
 waiting requests (a list) and the admitted times of its keys (a map). Once it has more than `most`
 keys, those whose window is over are purged. `admitted_stream` decides at once instead, for input
 that is in order.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -83,11 +83,28 @@ def last_admitted(requests: DataFrame, limit: int, seconds: int, most: int) -> D
     return rows.where((F.col("keys") <= most) | (F.col("now") - F.col("last") <= seconds * 1_000_000)).select("key", F.timestamp_micros("last").cast("timestamp_ntz").alias("last"))
 
 
+def decided_stream(spark: SparkSession, feed: DataFrame, path: str, **how) -> DataFrame:
+    """Run `timed_stream` over all that the feed has now, with its state in path; event_id and
+    admitted of every request that it has decided so far. The state has to be in RocksDB."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select("event_id", "admitted").write.mode("overwrite").parquet(f"{path}/decided/batch={number}")
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        timed_stream(feed, **how).writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema("event_id long, admitted boolean").parquet(f"{path}/decided/*")
+
+
 class Limiter(StatefulProcessor):
     """Of a shard: `waiting` requests, and `held`, the last admitted times by key."""
 
-    def __init__(self, limit: int, seconds: int, most: int):
-        self.limit, self.window, self.most = limit, seconds * 1_000_000, most
+    def __init__(self, limit: int, seconds: int, most: int, tick: int):
+        self.limit, self.window, self.most, self.tick = limit, seconds * 1_000_000, most, tick * 1_000_000
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -98,12 +115,13 @@ class Limiter(StatefulProcessor):
         for part in rows:
             if len(part):
                 self.waiting.appendList(list(zip(part["key"].tolist(), part["t"].tolist(), part["event_id"].tolist())))
-                for at in {int(t) // 1000 + 1 for t in part["t"]}:  # timers have milliseconds
-                    self.handle.registerTimer(at)
+                for tick in (part["t"] // self.tick + 1).unique().tolist():
+                    self.handle.registerTimer(tick * self.tick // 1000)  # timers have milliseconds
         yield pd.DataFrame({"event_id": [], "admitted": [], "keys": []}).astype({"event_id": "int64", "admitted": "bool", "keys": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # all that the watermark has passed is due, so of the timers that fire together one has work
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(((r[1], r[2], r[0]) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
         due = [r for r in rows if r[0] < now]
         if due:
@@ -130,7 +148,7 @@ class Limiter(StatefulProcessor):
         last = {k[0]: v[0][-1] for k, v in self.held.iterator()}
         if len(last) > self.most:
             for k, t in list(last.items()):
-                if now - 1000 - t > self.window:
+                if now - t > self.window:
                     self.held.removeKey((k,))
                     del last[k]
         return len(last)
@@ -139,17 +157,18 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def timed_stream(requests: DataFrame, limit: int, seconds: int, lateness: str = "10 minutes", shards: int = 64, most: int = 10_000) -> DataFrame:
+def timed_stream(requests: DataFrame, limit: int, seconds: int, lateness: str = "10 minutes", shards: int = 64, most: int = 10_000, tick: int = 1) -> DataFrame:
     """event_id, admitted, keys (with state in the shard, then) of a stream of (key, ts, event_id).
 
-    A request is decided once the watermark, `lateness` behind the latest, has passed it; one that
+    A request is decided once the watermark, `lateness` behind the latest, has passed the end of its
+    `tick` (seconds); one that
     comes later than that is dropped, as by any operator of the stream. `most` keys a shard may
     stay idle. Rows without a key are exempt; add them to what this returns, they need no state.
     """
     rows = requests.where("key is not null").withWatermark("ts", lateness)
     rows = rows.select("ts", F.col("key").cast("string").alias("key"), F.unix_micros("ts").alias("t"), F.col("event_id").cast("long").alias("event_id"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    return rows.groupBy("shard").transformWithStateInPandas(Limiter(limit, seconds, most), "event_id long, admitted boolean, keys long", "append", "EventTime")
+    return rows.groupBy("shard").transformWithStateInPandas(Limiter(limit, seconds, most, tick), "event_id long, admitted boolean, keys long", "append", "EventTime")
 
 
 def admitted_stream(requests: DataFrame, limit: int, seconds: int, forget: bool = True) -> DataFrame:
