@@ -80,12 +80,14 @@ def sdq(answers: DataFrame) -> DataFrame:
 def mht(answers: DataFrame) -> DataFrame:
     rows = answers.groupBy("student_no").agg(*[sum_of(i).alias(n) for n, i in MHT_FACTORS.items()], sum_of(MHT_VALIDITY).alias("validity"), sum_of(MHT_CRISIS).alias("risk"))
     rows = rows.withColumn("total", sum((F.col(n) for n in MHT_FACTORS), F.lit(0))).withColumn("top", F.greatest(*MHT_FACTORS))
+    # fixed values: limits of the total and of the highest factor, here and for the validity items below
     level = F.when(F.col("total") >= 65, "severe").when(F.col("top") >= 8, "moderate").when(F.col("top") >= 4, "mild").otherwise("none")
     return rows.select("student_no", *MHT_FACTORS, "validity", "total", level.alias("severity"), (F.col("validity") >= 7).alias("doubtful"), F.when(F.col("risk") > 0, "elevated").otherwise("safe").alias("crisis_level"))
 
 
 def share_band(share: Column) -> Column:
     """Severity of a sub-dimension by the share of its largest score."""
+    # fixed values: limits of the bands
     return F.when(share < 0.30, "none").when(share < 0.50, "mild").when(share < 0.70, "moderate").when(share < 0.85, "moderately_severe").otherwise("severe")
 
 
