@@ -70,14 +70,14 @@ def _minhash_sql() -> str:
 @query("DED04_minhash_signature", f"WITH {_minhash_sql()} SELECT id, any_value(len(g)) AS n, list(v ORDER BY k) AS signature FROM m JOIN s USING (id) GROUP BY id")
 def ded04(spark, d):
     """id, n, signature (128 minima) of every text with n-grams."""
-    return C.minhash(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))).select("id", F.col("n").cast("long").alias("n"), "signature")
+    return C.signatures(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))).select("id", F.col("n").cast("long").alias("n"), "signature")
 
 
 @query("DED05_band_candidates", f"""WITH {_minhash_sql()}, b AS (SELECT id, k // {C.ROWS} AS band, list(v ORDER BY k) AS key FROM m GROUP BY ALL),
   f AS (SELECT id, min(id) OVER (PARTITION BY band, key) AS earlier FROM b) SELECT DISTINCT id, earlier FROM f WHERE earlier < id""")
 def ded05(spark, d):
     """id, earlier: for every band of a text the first text that has the band, too, if earlier."""
-    return C.band_candidates(C.minhash(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))))
+    return C.band_candidates(C.signatures(docs(spark, d).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))))
 
 
 def places(rows, group, digest):

@@ -6,11 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of sorted rows that a task gathers before it works on them, unless one group is larger.
 GROUP_BYTES = 8 << 20
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Arrow batches of at most so many rows and about so many bytes, whatever the length of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: int, limit: int = GROUP_BYTES) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by column `key`: memory holds about `limit`
     bytes, or one group if that is larger, and never a whole partition."""

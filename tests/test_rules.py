@@ -178,6 +178,44 @@ def test_near_duplicates_in_split_bands(spark, likely, block):
     assert got == {j for j in range(len(texts)) if sets[j] and any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(j))}
 
 
+def test_open_rows_in_tiles_move_no_set_twice_a_pair(spark, tmp_path, monkeypatch):
+    """A dense family just below the limit: its pairs are decided inside tasks, and no table holds them."""
+    rnd = random.Random(3)
+    base, texts = [rnd.choice("abcdefgh") for _ in range(300)], []
+    for _ in range(150):
+        own = list(base)
+        for k in rnd.sample(range(300), 7):
+            own[k] = rnd.choice("xyz")
+        texts.append("".join(own))
+    texts += [texts[70][:-2] + "pq", texts[20]]
+    sizes = {}
+
+    def counted(df, name, *a):
+        out = written(df, name, *a)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    from harborlight.sources.folders import written
+
+    monkeypatch.setattr(curation, "written", counted)
+    got = {r.id for r in curation.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    sets = [{t[i : i + 4] for i in range(len(t) - 3)} for t in texts]
+    assert got == {j for j in range(len(texts)) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(j))}
+    assert max(sizes.values()) <= len(texts), sizes
+
+
+@pytest.mark.parametrize("tile", [5, 1000])
+def test_tiles_decide_exactly(spark, tile):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(20, 60))) for _ in range(12)]
+    texts = [(t[:k] + "z" + t[k:]) * (1 + f % 2) for f in range(4) for k, t in enumerate(texts)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    docs = curation.sketches(curation.signatures(rows)).select("id", "n", "low", (F.col("id") % 3 != 0).alias("ask"))
+    got = {r.j for r in curation.near_in_tiles(docs, len(texts), rows, 0.8, 4, 0.0, tile).collect()}
+    sets = [{t[i : i + 4] for i in range(len(t) - 3)} for t in texts]
+    assert got == {j for j in range(len(texts)) if j % 3 and any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(j))}
+
+
 def test_split_bands_propose_what_whole_bands_do(spark):
     rows = curation.minhash(spark.createDataFrame([(i, "common words " * 3 + f"row {i % 7} {'x' * (i % 5)}") for i in range(60)], "id long, text string"))
     banded = curation.bands(rows).withColumn("members", F.lit(60)).withColumn("ask", F.col("id") % 2 == 0)
