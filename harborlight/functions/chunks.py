@@ -10,18 +10,23 @@ what they hold at every step. The SQL below gives the same rows in DuckDB.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from harborlight.sources.batches import small_batches
+
 # fixed values: lengths in characters, ends of sentences, and what a title line looks like
 LEAST_BLOCK, LEAST_PIECE, MOST, TITLE_MOST = 10, 40, 400, 40
 SENTENCE = ".!?;。！？；"
 HEADER = re.compile("#{1,6}[ \\t]+")
 GAP = re.compile("\\n[ \\t\\r\\f\\n]*\\n")
 BLANKS = " \t\r\f\n"
+#: Texts whose parts are Python strings at once.
+SLICE = 50
 #: Characters that texts lose first; the SQL uses them as marks.
 MARKS = str.maketrans("", "", "\x01\x02\x03")
 
@@ -70,12 +75,25 @@ def chunks_of(text: str | None) -> list[str]:
 
 def split_long(piece: Column) -> Column:
     """array of the parts of a text (null: one empty part)."""
-    return F.pandas_udf(lambda t: pd.Series([parts_of((x or "").translate(MARKS)) for x in t], dtype=object), ArrayType(StringType()))(piece)
+    return listed(lambda x: parts_of((x or "").translate(MARKS)))(piece)
 
 
 def chunks(text: Column) -> Column:
     """array of chunks: parts of pieces behind their section's title in brackets; short ones go."""
-    return F.pandas_udf(lambda t: pd.Series([chunks_of(x) for x in t], dtype=object), ArrayType(StringType()))(text)
+    return listed(chunks_of)(text)
+
+
+def listed(cut: Callable[[str | None], list[str]]) -> Callable[[Column], Column]:
+    """A column function that cuts each text to a list, inside small Arrow batches: texts become Python
+    strings one at a time, and a batch's parts go to Arrow a few texts at a time."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = [pa.array([cut(x.as_py()) for x in texts.slice(at, SLICE)], pa.list_(pa.string())) for at in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # as objects: Spark reads them
+    small_batches(SparkSession.active())
+    return F.arrow_udf(run, ArrayType(StringType()))
 
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"

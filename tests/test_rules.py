@@ -125,6 +125,17 @@ def test_fusion(spark):
     assert got == {10: (0.5, "vector"), 11: (0.52, "both"), 12: (0.65, "vector"), 13: (1.17, "lexical")}
 
 
+def test_chunks_take_small_batches(spark):
+    """Workers get 1000 texts or 8 MB at once at most, however many a partition has."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    texts = [None if i % 50 == 0 else f"# T{i}\n\n" + f"text number {i} has a sentence. " * (i % 30) for i in range(2500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    got = {r.i: r.c for r in rows.select("i", chunks.chunks(F.col("text")).alias("c")).collect()}
+    assert got == {i: chunks.chunks_of(t) for i, t in enumerate(texts)}
+    seen = [r.n for r in rows.mapInArrow(lambda batches: (b.select([0]).set_column(0, "n", [[b.num_rows] * b.num_rows]) for b in batches), "n long").distinct().collect()]
+    assert max(seen) <= 1000
+
+
 def test_run_transitions(spark):
     old = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False), (5, True)], "doc_id long, p boolean")
     new = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False), (6, True)], "doc_id long, p boolean")
