@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,7 +133,7 @@ def test_chunks_take_small_batches(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
     got = {r.i: r.c for r in rows.select("i", chunks.chunks(F.col("text")).alias("c")).collect()}
     assert got == {i: chunks.chunks_of(t) for i, t in enumerate(texts)}
-    seen = [r.n for r in rows.mapInArrow(lambda batches: (b.select([0]).set_column(0, "n", [[b.num_rows] * b.num_rows]) for b in batches), "n long").distinct().collect()]
+    seen = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").distinct().collect()]
     assert max(seen) <= 1000
 
 
