@@ -23,10 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborlight.sources.batches import small_batches
 from harborlight.sources.folders import written
 
 #: Documents of a chunk and of a window, documents of a range, and queries that it takes at once.
-CHUNK, WINDOW, RANGE, QUERIES = 4096, 4, 1 << 16, 4096
+CHUNK, WINDOW, RANGE, QUERIES = 1024, 4, 1 << 14, 4096
 #: Parts that the rows of a term are dealt to when unasked terms are left out.
 SALTS = 16
 ROWS = "chunk long, term string, holders long, ids binary, places binary, units binary, windows binary, tops binary, sizes binary"
@@ -81,6 +82,7 @@ def build(docs: DataFrame, k1: float = 1.5, b: float = 0.75, chunk: int = CHUNK,
                     [c.split()[0] for c in ROWS.split(", ")],
                 )
 
+    small_batches(docs.sparkSession)
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), terms(F.coalesce("text", F.lit(""))).alias("terms"))
     return Index(written(held.mapInArrow(run, ROWS), "postings"), size["docs"], chunk, window)
 

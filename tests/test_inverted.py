@@ -77,3 +77,11 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, None), (2, "b c"), (None, "a")], "doc_id long, text string")
     assert inverted.best(q, inverted.build(some), 3).count() == 0
     assert inverted.best(q.limit(0), inverted.build(some), 3).count() == 0
+
+
+def test_chunks_and_ranges_bound_a_worker(spark):
+    """No row of the index has over 1024 documents, and no task's range over 16 such chunks on average."""
+    d = spark.createDataFrame([(i, f"common w{i % 97}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    index = inverted.build(d)
+    sizes = [r.holders for r in index.rows.where("term = 'common'").collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 1024 and inverted.RANGE <= 16 * 1024
