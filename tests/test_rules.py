@@ -386,3 +386,10 @@ def test_daily_json_stream_appends_once(spark, tmp_path):
     for _ in range(2):
         sinks.stream_daily_json(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
     assert spark.read.json(f"{tmp_path}/out").count() == 2 and (tmp_path / "out" / "day=2024-01-02").exists()
+
+
+def test_band_candidates_hash_texts_once(spark):
+    rows = spark.createDataFrame([(i, f"text number {i % 9} of some length") for i in range(30)], "id long, text string")
+    found = curation.band_candidates(curation.signatures(rows))
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert {r.id for r in found.collect()} >= set(range(9, 30))
