@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from harborlight.sources.batches import small_batches
 from harborlight.sources.folders import written
 
-#: Documents of a chunk and of a window, documents of a range, and queries that it takes at once.
-CHUNK, WINDOW, RANGE, QUERIES = 1024, 4, 1 << 14, 4096
+#: Documents of a chunk and of a window, documents of a range (on average), queries that it takes at
+#: once, and queries whose terms are Python strings at once.
+CHUNK, WINDOW, RANGE, QUERIES, READ = 1024, 4, 1 << 12, 4096, 64
 #: Parts that the rows of a term are dealt to when unasked terms are left out.
 SALTS = 16
 ROWS = "chunk long, term string, holders long, ids binary, places binary, units binary, windows binary, tops binary, sizes binary"
@@ -99,8 +100,10 @@ class Range:
         chunk = chunk[order]
 
         def joined(name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
-            column = table.column(name).combine_chunks().take(pa.array(order)).to_pylist()
-            return np.frombuffer(b"".join(column), kind), np.array([len(x) for x in column], np.int64) // np.dtype(kind).itemsize
+            column = table.column(name).cast(pa.large_binary()).combine_chunks().take(pa.array(order))
+            edge = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+            values = np.frombuffer(column.buffers()[2], np.uint8)[edge[0] : edge[-1]] if len(column) else np.zeros(0, np.uint8)
+            return values.view(kind), np.diff(edge) // np.dtype(kind).itemsize
 
         ids, count = joined("ids", "<i8")
         places, _ = joined("places", "<i4")
@@ -178,14 +181,21 @@ def search(queries: DataFrame, index: Index, top: int | None = None, share: floa
     chunk_docs, window = index.chunk, index.window
 
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
-        own, out = Range(held, chunk_docs, window), []
-        for query, t in zip(asked.column("query_id").to_pylist(), asked.column("t").to_pylist()):
-            ids, score, seen, all_ = own.search([x["term"] for x in t], [x["idf"] for x in t], top, share)
-            n = len(ids)
-            out.append((np.full(n + 1, query), [*ids.tolist(), None], [*score.tolist(), None], [None] * n + [seen], [None] * n + [all_]))
-        columns = [np.concatenate([x[0] for x in out]) if out else [], *([v for x in out for v in x[k]] for k in range(1, 5))]
+        own, found, counts = Range(held, chunk_docs, window), [], []
+        for at in range(0, asked.num_rows, READ):
+            piece = asked.slice(at, READ)
+            for query, t in zip(piece.column("query_id").to_pylist(), piece.column("t").to_pylist()):
+                ids, score, seen, all_ = own.search([x["term"] for x in t], [x["idf"] for x in t], top, share)
+                found.append((np.full(len(ids), query), ids, score))
+                counts.append((query, seen, all_))
+        hits, n = [np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in range(3)], len(counts)
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in FOUND.split(", ")])
+        empty = [pa.nulls(len(hits[0]), pa.int64())] * 2
+        columns = [
+            [*(pa.array(x, k) for x, k in zip(hits, kinds)), *empty],
+            [pa.array([x[0] for x in counts], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), *(pa.array([x[k] for x in counts], pa.int64()) for k in (1, 2))],
+        ]
+        return pa.table([pa.chunked_array(c, k) for *c, k in zip(*columns, kinds)], [c.split()[0] for c in FOUND.split(", ")])
 
     left, right = left.drop("salt", "holders").withColumn("range", F.col("range").cast("long")), right.withColumn("range", F.col("range").cast("long"))
     return left.groupBy("range", "block").cogroup(right.groupBy("range", "block")).applyInArrow(run, FOUND)

@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborlight.sources.batches import small_batches
 from harborlight.sources.folders import written
 
 #: Rows that centres are fitted on, centres at most, rings of a cell, rows a task holds, queries in
 #: one matrix product. The driver and each task know at most CENTRES * RINGS rings.
-SAMPLE, CENTRES, RINGS, SLICE, QUERY_BLOCK = 8192, 1024, 8, 50_000, 256
+SAMPLE, CENTRES, RINGS, SLICE, QUERY_BLOCK = 8192, 1024, 8, 16_384, 256
+#: Numbers of one matrix of distances or bounds, and visits (with the query's vector each) of one batch.
+NUMBERS, VISITS = 1 << 19, 4096
 STEPS = 8
 
 
@@ -32,7 +35,21 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of x and y, by one product; rounding may leave them slightly off."""
-    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)
+    out = x @ y.T
+    out *= -2
+    out += norms(x)[:, None]
+    out += norms(y)
+    return np.maximum(out, 0, out=out)
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    """Squared lengths of the rows."""
+    return np.einsum("ij,ij->i", x, x)
+
+
+def block_of(columns: int, most: int = QUERY_BLOCK) -> int:
+    """How many rows of a matrix with so many columns are made at once."""
+    return max(1, min(most, NUMBERS // max(1, columns)))
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -65,7 +82,8 @@ def celled(vectors: DataFrame, c: np.ndarray) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(1))
-                cell = squares(x, c).argmin(1)
+                step = block_of(len(c), len(x))
+                cell = np.concatenate([squares(x[at : at + step], c).argmin(1) for at in range(0, len(x), step)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distances(x, c[cell]))], ["id", "embedding", "cell", "radius"])
 
     return vectors.select("id", "embedding").mapInArrow(run, "id long, embedding array<float>, cell int, radius double")
@@ -87,7 +105,7 @@ class Rings:
         """For each query and ring, what no row of the ring is nearer than (a little less, for rounding)."""
         d = np.sqrt(squares(q, self.c))[:, self.cell]
         # the product's error in a squared distance, carried over to the distance
-        slack = np.sqrt(1e-12 * ((q**2).sum(1)[:, None] + (self.c**2).sum(1)[self.cell] + 1))
+        slack = np.sqrt(1e-12 * (norms(q)[:, None] + norms(self.c)[self.cell] + 1))
         return np.maximum(np.maximum(d - self.most, self.least - d) - slack, 0)
 
     def first(self, bound: np.ndarray, k: int) -> np.ndarray:
@@ -101,13 +119,15 @@ class Rings:
 
 def visits(queries: DataFrame, rings: Rings, k: int) -> DataFrame:
     """id, embedding, ring, task of the rings that the queries visit: first if there is no column
-    `reach`, then those within reach that were not among the first."""
+    `reach`, then those within reach that were not among the first. A query may visit all rings, so
+    bounds and visits are made a few queries and VISITS rows at a time."""
     second = "reach" in queries.columns
+    step = block_of(len(rings.rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, QUERY_BLOCK):
-                piece = batch.slice(at, QUERY_BLOCK)
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
                 bound = rings.bounds(matrix(piece.column(1)))
                 go = rings.first(bound, k)
                 if second:
@@ -116,7 +136,9 @@ def visits(queries: DataFrame, rings: Rings, k: int) -> DataFrame:
                 task = rings.tasks[ring]
                 query, ring = np.repeat(query, task), np.repeat(ring, task)
                 nth = np.arange(len(ring)) - np.repeat(np.cumsum(task) - task, task)
-                yield pa.RecordBatch.from_arrays([*(piece.column(i).take(pa.array(query)) for i in (0, 1)), pa.array(ring.astype(np.int32)), pa.array(nth.astype(np.int32))], ["id", "embedding", "ring", "task"])
+                for a in range(0, len(query), VISITS):
+                    part = slice(a, a + VISITS)
+                    yield pa.RecordBatch.from_arrays([*(piece.column(i).take(pa.array(query[part])) for i in (0, 1)), pa.array(ring[part].astype(np.int32)), pa.array(nth[part].astype(np.int32))], ["id", "embedding", "ring", "task"])
 
     columns = ["query_id", "embedding", *(["reach"] if second else [])]
     return queries.select(*columns).mapInArrow(run, "id long, embedding array<float>, ring int, task int")
@@ -125,14 +147,15 @@ def visits(queries: DataFrame, rings: Rings, k: int) -> DataFrame:
 def compared(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query_id, id, distance of the k nearest rows of each visited (ring, task).
 
-    A task holds its rows and streams the queries past them in blocks, one matrix product each.
+    A task holds its rows and streams the queries past them in blocks, one matrix product of at most
+    NUMBERS distances each.
     The product only selects: candidates' distances are computed from the differences.
     """
 
     def best(ids: np.ndarray, x: np.ndarray, asked_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         near = squares(q, x)
         keep = min(k, len(ids))
-        limit = np.partition(near, keep - 1, axis=1)[:, keep - 1] + 1e-9 * (1 + (q**2).sum(1) + (x**2).sum(1).max())
+        limit = np.partition(near, keep - 1, axis=1)[:, keep - 1] + 1e-9 * (1 + norms(q) + norms(x).max())
         out = []
         for i in range(len(q)):
             at = np.flatnonzero(near[i] <= limit[i])
@@ -157,8 +180,9 @@ def compared(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 elif held:
                     if len(held) > 1:
                         ids, held = [np.concatenate(ids)], [np.concatenate(held)]
-                    for i in range(0, len(part), QUERY_BLOCK):
-                        yield best(ids[0], held[0], part_ids[i : i + QUERY_BLOCK], part[i : i + QUERY_BLOCK])
+                    step = block_of(len(ids[0]))
+                    for i in range(0, len(part), step):
+                        yield best(ids[0], held[0], part_ids[i : i + step], part[i : i + step])
 
     both = rows.select("ring", "task", F.lit(0).alias("kind"), "id", "embedding").unionByName(asked.select("ring", "task", F.lit(1).alias("kind"), "id", "embedding"))
     both = both.repartition("ring", "task").sortWithinPartitions("ring", "task", "kind", "id")
@@ -175,6 +199,7 @@ class Cells:
     left out; all others have one length."""
 
     def __init__(self, vectors: DataFrame, slice_rows: int = SLICE):
+        small_batches(vectors.sparkSession)
         vectors = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).where("embedding is not null")
         c = centres(vectors)
         self.empty = not len(c)

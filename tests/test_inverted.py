@@ -85,3 +85,14 @@ def test_chunks_and_ranges_bound_a_worker(spark):
     index = inverted.build(d)
     sizes = [r.holders for r in index.rows.where("term = 'common'").collect()]
     assert sum(sizes) == 3000 and max(sizes) <= 1024 and inverted.RANGE <= 16 * 1024
+
+
+def test_a_range_has_4096_documents_on_average(spark):
+    """Queries meet the postings of at most so many documents at once; each range tells what it held."""
+    d = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("hot"), F.when(F.col("id") % 3 == 0, F.lit("third")), F.col("id").cast("string")).alias("text"))
+    q = spark.createDataFrame([(1, "third 8124"), (2, "unheard"), (3, "17 third")], "query_id long, text string")
+    index = inverted.build(d)
+    rows = inverted.search(q, index, top=2).where("doc_id is null").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held")).collect()
+    assert {r.query_id: r.n for r in rows} == {1: 5, 3: 5}
+    assert {r.query_id: r.held for r in rows} == {1: 6668, 3: 6668}
+    assert {(r.query_id, r.doc_id) for r in inverted.best(q, index, 2).collect()} == {(1, 8124), (1, 0), (3, 17), (3, 0)}

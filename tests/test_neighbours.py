@@ -1,6 +1,9 @@
 """Nearest vectors by cells against all pairs, on data that cells suit and data that they do not."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +74,45 @@ def test_no_rows_and_nulls(spark):
     assert neighbours.nearest(asked, none, 3).count() == 0
     assert got(neighbours.nearest(asked, some, 3)) == {2: [(2, 0.0), (3, 5.0)], 3: [(3, 0.0), (2, 5.0)]}
     assert neighbours.nearest(asked.limit(0), some, 3).count() == 0
+
+
+class Local:
+    """Stands for a DataFrame whose steps do not matter; mapInArrow hands its function back."""
+
+    columns = ["query_id", "embedding", "reach"]
+    select = unionByName = repartition = sortWithinPartitions = lambda self, *a: self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def batch(ids, x, **more):
+    values = pa.array(x.astype(np.float32).ravel())
+    return pa.RecordBatch.from_pydict({**more, "id": pa.array(ids, pa.int64()), "embedding": pa.ListArray.from_arrays(np.arange(len(x) + 1) * x.shape[1], values)})
+
+
+def test_a_query_that_visits_all_rings_stays_in_small_batches(spark):
+    rnd, cells = np.random.default_rng(9), 700
+    rows = [{"cell": c, "ring": r, "least": r / 8, "most": (r + 1) / 8, "n": 100} for c in range(cells) for r in range(8)]
+    rings = neighbours.Rings(SimpleNamespace(collect=lambda: rows), rnd.normal(size=(cells, 4)), 50_000)
+    asked = batch(range(60), rnd.normal(size=(60, 4))).append_column("reach", pa.array(np.full(60, np.inf)))
+    found = list(neighbours.visits(Local(), rings, 10)([asked]))
+    seen = [(i, r) for b in found for i, r in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+    # all rings but the one that holds the first ten rows, each once
+    assert len(seen) == len(set(seen)) == 60 * (8 * cells - 1)
+    assert max(b.num_rows for b in found) <= 4096
+
+
+def test_distances_are_made_in_small_matrices(spark, monkeypatch):
+    rnd, sizes, plain_squares = np.random.default_rng(10), [], neighbours.squares
+    monkeypatch.setattr(neighbours, "squares", lambda x, y: sizes.append(len(x) * len(y)) or plain_squares(x, y))
+    x, q = rnd.normal(size=(9000, 3)), rnd.normal(size=(200, 3))
+    key = lambda n, kind: {"ring": pa.array([0] * n, pa.int32()), "task": pa.array([0] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32())}
+    out = neighbours.compared(Local(), Local(), 5)([batch(range(9000), x, **key(9000, 0)), batch(range(200), q, **key(200, 1))])
+    have = {}
+    for b in out:
+        for i, j, d in zip(*(c.to_pylist() for c in b.columns)):
+            have.setdefault(i, []).append((j, round(d, 9)))
+    assert have == plain(x, q, 5)
+    assert max(sizes) <= 1 << 19
+    assert neighbours.SLICE <= 16_384
