@@ -85,7 +85,8 @@ def chunks(text: Column) -> Column:
 
 def listed(cut: Callable[[str | None], list[str]]) -> Callable[[Column], Column]:
     """A column function that cuts each text to a list, inside small Arrow batches: texts become Python
-    strings one at a time, and a batch's parts go to Arrow a few texts at a time."""
+    strings one at a time, and a batch's parts go to Arrow a few texts at a time. A column knows no
+    session, so the active one gets the small batches; callers with a table set them for its own."""
 
     def run(texts: pa.Array) -> pa.Array:
         out = [pa.array([cut(x.as_py()) for x in texts.slice(at, SLICE)], pa.list_(pa.string())) for at in range(0, len(texts), SLICE)]

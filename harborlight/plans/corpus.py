@@ -12,6 +12,7 @@ from harborlight.functions import chunks as K
 from harborlight.functions import text as T
 from harborlight.plans.registry import query
 from harborlight.sources import readers
+from harborlight.sources.batches import small_batches
 from harborlight.sources.tables import table
 
 
@@ -226,12 +227,14 @@ def transitions(old, new):
 
 @query("RET02_long_splitter", f"SELECT doc_id, len(parts) AS n, list_transform(parts, lambda p: length(p)) AS sizes FROM (SELECT doc_id, {K.split_long_sql('x')} AS parts FROM (SELECT doc_id, coalesce(translate(text, chr(1) || chr(2) || chr(3), ''), '') AS x FROM documents))")
 def ret02(spark, d):
+    small_batches(spark)
     parts = K.split_long(F.col("text"))
     return docs(spark, d).select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").cast("long").alias("n"), F.transform("parts", lambda p: F.length(p).cast("long")).alias("sizes"))
 
 
 @query("RET01_chunks", f"SELECT doc_id, unnest(range(0, len(c))) AS chunk_no, unnest(c) AS text FROM (SELECT doc_id, {K.chunks_sql('text')} AS c FROM documents)")
 def ret01(spark, d):
+    small_batches(spark)
     return docs(spark, d).select("doc_id", F.posexplode(K.chunks(F.col("text"))).alias("chunk_no", "text")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.functions.chunks import chunks
+from harborlight.sources.batches import small_batches
 
 # fixed values: accepted roster headers
 ALIASES = {
@@ -62,6 +63,7 @@ def chunked(files: DataFrame, metadata: str, file: str = "file") -> DataFrame:
 
     Lines that match `metadata` leave the text first; the last one is the tag ('' without any).
     """
+    small_batches(files.sparkSession)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = files.withColumn("tag", F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.rlike(metadata)), F.lit(-1)), F.lit("")))
     rows = rows.withColumn("chunk", chunks(F.array_join(F.filter(lines, lambda x: ~x.rlike(metadata)), "\n")))

@@ -16,7 +16,7 @@ from harborlight.operators import curation, retrieval
 from harborlight.functions import chunks
 from harborlight.functions import text as T
 from harborlight.operators import alerts
-from harborlight.plans import dialogue, screening
+from harborlight.plans import catalogue, dialogue, screening
 from harborlight.plans.corpus import transitions
 from harborlight.plans.events import histogram_quantiles
 from harborlight.plans.screening import latest_records, page, roster_problems
@@ -137,6 +137,15 @@ def test_chunks_take_small_batches(spark):
     assert max(seen) <= 1000
 
 
+@pytest.mark.parametrize("name", ["RET01_chunks", "RET02_long_splitter", "SRC03_corpus", "SRC09_chunk_scan"])
+def test_chunks_take_small_batches_in_any_session(spark, name):
+    """The session that a query is given need not be the active one."""
+    own, key = spark.newSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert int(own.conf.get(key)) > 1000
+    catalogue.queries()[name](own, "/root/testdata/sf0.001")
+    assert (own.conf.get(key), own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == ("1000", "8m")
+
+
 def test_run_transitions(spark):
     old = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False), (5, True)], "doc_id long, p boolean")
     new = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False), (6, True)], "doc_id long, p boolean")
