@@ -66,8 +66,9 @@ def chunked(files: DataFrame, metadata: str, file: str = "file") -> DataFrame:
     small_batches(files.sparkSession)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = files.withColumn("tag", F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.rlike(metadata)), F.lit(-1)), F.lit("")))
-    rows = rows.withColumn("chunk", chunks(F.array_join(F.filter(lines, lambda x: ~x.rlike(metadata)), "\n")))
-    rows = rows.select(*[c for c in rows.columns if c not in ("text", "chunk")], F.posexplode("chunk").alias("n", "text"))
+    # exploded where they are made: as a column of their own Spark would cut texts twice, to leave out empty arrays first
+    found = chunks(F.array_join(F.filter(lines, lambda x: ~x.rlike(metadata)), "\n"))
+    rows = rows.select(*[c for c in rows.columns if c != "text"], F.posexplode(found).alias("n", "text"))
     return rows.withColumn("id", F.concat(F.col(file), F.lit("#"), F.col("n").cast("string"))).drop("n")
 
 

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import time
 from datetime import datetime, timedelta
 
@@ -146,6 +147,13 @@ def test_chunks_take_small_batches_in_any_session(spark, name):
     assert (own.conf.get(key), own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == ("1000", "8m")
 
 
+@pytest.mark.parametrize("name", ["RET01_chunks", "SRC03_corpus", "SRC09_chunk_scan"])
+def test_texts_are_cut_once(spark, name, capsys):
+    """One step of the plan calls Python, so a task has one worker."""
+    catalogue.queries()[name](spark, "/root/testdata/sf0.001").explain()
+    assert len(re.findall("ArrowEvalPython ", capsys.readouterr().out)) == 1
+
+
 def test_run_transitions(spark):
     old = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False), (5, True)], "doc_id long, p boolean")
     new = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False), (6, True)], "doc_id long, p boolean")
